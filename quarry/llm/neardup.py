@@ -7,8 +7,10 @@ the whole texts is 0.8 or more. Classes are the links' connected components.
 
 Exact copies are one node from the start, and a bucket's members are compared
 with the bucket's hub first, so a group of copies costs links in proportion to
-its members, not pairs. Only members of buckets that still hold more than one
-component are then compared with each other, so that no link is lost.
+its members, not pairs. Where a bucket then still holds more than one component,
+other members of it become hubs in turn and meet the members of the other
+components, until a round finds no link. A link between two texts of one bucket
+is missed only if neither a common hub nor a chain of links joins them.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from quarry.functions.shared import materialize
 
 WORDS, BANDS, PER_BAND, SIMILAR = 5, 16, 4, 0.8
 HASHES = BANDS * PER_BAND
+#: Rounds of further hubs at most; each costs links in proportion to a bucket's members.
+TURNS = 4
 #: Document frequencies are kept in a count sketch of this depth and width; terms in less than one of LIGHT documents weigh alike.
 DEPTH, WIDTH, LIGHT = 2, 1 << 17, 100
 #: Rows of the table that the samples' random numbers come from.
@@ -233,7 +237,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, sent, text: st
     sig = nodes.select("fp", "sig", "rep")
     pairs = pairs.join(sig.select(F.col("fp").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("fp").alias("a"), F.col("sig").alias("sa")), "a")
     pairs = materialize(pairs.where(pandas_udf(_alike, "double")("sa", "sb") >= at_least - 0.2).select("a", "b"), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "rep"), "fp")
+    needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes.select("fp", "rep"), "fp")
 
     def only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:  # ids may repeat with other texts
@@ -282,6 +286,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select(F.col("v").alias("fp"), F.col("l").alias("label"))
 
 
+def unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(h, fp, label) of the buckets that hold more than one component."""
+    known = shared.join(labels, "fp", "left").select("h", "fp", F.coalesce("label", "fp").alias("label"))
+    mixed = known.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
+    return materialize(known.join(mixed, "h"), "unsettled")
+
+
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
     """One row per input row: doc_id, class_id, class_size.
 
@@ -301,17 +312,17 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     shared = materialize(members.join(hubs, "h"), "shared")
     links = verified(shared.where("fp <> a").select("a", F.col("fp").alias("b")).distinct(), nodes, docs, sent, text, doc_id, similar)
     labels = components(links)
-    # buckets that still hold more than one component
-    known = shared.join(labels, "fp", "left").select("h", "fp", "a", F.coalesce("label", "fp").alias("label"))
-    mixed = known.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
-    rest = materialize(known.join(mixed, "h"), "mixed")
-    x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") < F.col("y.label")) & (F.col("x.fp") != F.col("y.a")) & (F.col("y.fp") != F.col("x.a")))
-    cross = materialize(cross.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct(), "cross")
-    if cross.take(1):
-        more = verified(cross, nodes, docs, sent, text, doc_id, similar)
-        if more.take(1):
-            labels = components(links.union(more))
+    for turn in range(TURNS):
+        rest = unsettled(shared, labels)
+        # two other members of each bucket are its hubs in turn, and the members of other components meet them
+        pivots = rest.groupBy("h").agg(*(F.min_by(F.struct("fp", "label"), F.xxhash64("fp", F.lit(2 * turn + k))).alias(f"p{k}") for k in range(2)))
+        met = rest.join(pivots, "h")
+        met = [met.where(f"label <> p{k}.label").select(F.least("fp", f"p{k}.fp").alias("a"), F.greatest("fp", f"p{k}.fp").alias("b")) for k in range(2)]
+        more = verified(met[0].union(met[1]).distinct(), nodes, docs, sent, text, doc_id, similar)
+        if not more.take(1):
+            break
+        links = links.union(more)
+        labels = components(links)
     whole = nodes.select("fp", "rep", "n").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     whole = materialize(whole, "labelled")
     named = whole.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
