@@ -53,7 +53,7 @@ def deps_go_mod(files: DataFrame) -> DataFrame:
     closed = F.col("line").rlike(r"^\s*\)").cast("int")
     w = Window.partitionBy("repo_id", "path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("inside", F.sum(opened).over(w) - F.sum(closed).over(w))
-    one, block = r"^\s*require\s+([^\s(]+)\s+(v\S+)\s*$", r"^\s*([^\s(/]+)\s+(v\S+)\s*$"
+    one, block = r"^\s*require\s+([^\s(]+)\s+(v\S+)\s*$", r"^\s*([^\s(/][^\s(]*)\s+(v\S+)\s*$"
     pick = lambda k: F.when(F.col("inside") > 0, F.regexp_extract("line", block, k)).otherwise(F.regexp_extract("line", one, k))
     return lines.where(opened == 0).select("repo_id", F.col("path").alias("manifest_path"), F.lit("go_mod").alias("kind"), pick(1).alias("name"), pick(2).alias("version")).where("name <> '' and name <> 'require'")
 

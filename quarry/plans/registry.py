@@ -2,10 +2,716 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quarry.functions import constants as C
+from quarry.operators import arch, budget, classify, history, imports, replies, schemas, usage
+from quarry.operators import files as fs
+from quarry.plans import standins as v
+from quarry.sources import readers
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = v.with_views(sql.strip())
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _in(values) -> str:
+    return "(" + ", ".join(map(v._lit, values)) + ")"
+
+
+# ---- history
+
+_COUNTS = """WITH dirs AS (SELECT DISTINCT repo_id, hash, array_to_string(string_split(path, '/')[:least(len(string_split(path, '/')) - 1, 2)], '/') AS dir FROM changes_v),
+counts AS (SELECT d.repo_id, d.dir, c.month, count(*) AS n FROM dirs d JOIN commits_v c USING (repo_id, hash) WHERE dir <> '' GROUP BY ALL)"""
+_PER = ", per AS (SELECT repo_id, dir, min(month) AS first_month, max(month) AS last_month, arg_max(month, (n, month)) AS peak_month, max(n) AS peak_n, sum(n)::bigint AS total FROM counts GROUP BY ALL), top AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY total DESC, dir) AS dir_rank FROM per QUALIFY dir_rank <= 25)"
+
+
+def _counts(spark, d):
+    return history.dir_month_counts(v.changes(spark, d), v.commits(spark, d))
+
+
+@query(_COUNTS + " SELECT * FROM counts")
+def dir_month_counts(spark, d):
+    return _counts(spark, d)
+
+
+@query(_COUNTS + _PER + " SELECT repo_id, dir, total, dir_rank FROM top")
+def top_dirs(spark, d):
+    return history.top_dirs(_counts(spark, d))
+
+
+@query(_COUNTS + _PER + " SELECT * FROM top")
+def heatmap_summary(spark, d):
+    return history.heatmap_summary(_counts(spark, d))
+
+
+_PIVOTS = ", last AS (SELECT repo_id, max(month) AS repo_last FROM counts GROUP BY 1), pivots AS (SELECT repo_id, dir, first_month AS born, last_month AS last_active, last_month < repo_last AS silent FROM top JOIN last USING (repo_id))"
+
+
+@query(_COUNTS + _PER + _PIVOTS + " SELECT * FROM pivots")
+def pivots_summary(spark, d):
+    return history.pivots_summary(_counts(spark, d))
+
+
+@query(_COUNTS + _PER + _PIVOTS + " SELECT top.*, born, last_active, silent FROM top JOIN pivots USING (repo_id, dir)")
+def heatmap_pivots(spark, d):
+    counts = _counts(spark, d)
+    return history.heatmap_summary(counts).join(history.pivots_summary(counts), ["repo_id", "dir"])
+
+
+_SCOPE = """list_aggregate(list_transform(range(1, 3), lambda k: CASE WHEN len(lo) >= k AND len(hi) >= k AND lo[:k] = hi[:k] THEN lo[k] END), 'string_agg', '/')"""
+
+
+def _bulk_sql(status: str, floor: int) -> str:
+    return f"""un AS (SELECT repo_id, hash, path, status, false AS pure FROM changes_v WHERE status IN ('A', 'D') UNION ALL SELECT repo_id, hash, old_path, 'D', true FROM changes_v WHERE status = 'R' UNION ALL SELECT repo_id, hash, path, 'A', true FROM changes_v WHERE status = 'R'),
+per AS (SELECT repo_id, hash, list_sort(list(path)) AS files, count(*) AS n_files, bool_and(pure) AS renames_only, min(string_split(path, '/')[:-2]) AS lo, max(string_split(path, '/')[:-2]) AS hi FROM un WHERE status = '{status}' GROUP BY 1, 2 HAVING count(*) >= {floor}),
+bulk AS (SELECT repo_id, hash, ts, month, author, subject, files, n_files, renames_only, coalesce({_SCOPE}, '') AS scope FROM per JOIN commits_v USING (repo_id, hash))"""
+
+
+def _bulk(spark, d, status="D", floor=3):
+    return history.bulk_changes(v.changes(spark, d), v.commits(spark, d), status, floor)
+
+
+_BULK_COLS = "repo_id, hash, month, author, n_files, renames_only, scope"
+
+
+@query("WITH " + _bulk_sql("A", 4) + f" SELECT {_BULK_COLS} FROM bulk")
+def bulk_additions(spark, d):
+    return _bulk(spark, d, "A", 4).select(*_BULK_COLS.split(", "))
+
+
+@query("WITH " + _bulk_sql("D", 3) + f" SELECT {_BULK_COLS} FROM bulk")
+def bulk_changes(spark, d):
+    return _bulk(spark, d).select(*_BULK_COLS.split(", "))
+
+
+@query("WITH " + _bulk_sql("D", 3) + " SELECT repo_id, hash, scope FROM bulk")
+def scope_of(spark, d):
+    return _bulk(spark, d).select("repo_id", "hash", history.scope_of(F.col("files")).alias("scope"))
+
+
+@query("WITH " + _bulk_sql("D", 3) + " SELECT repo_id, hash, n_files, row_number() OVER (PARTITION BY repo_id ORDER BY n_files DESC, ts DESC, hash) AS change_rank, concat_ws(' | ', month, n_files || ' files', scope || '/', subject) AS line FROM bulk QUALIFY change_rank <= 20")
+def top_changes(spark, d):
+    return history.top_changes(_bulk(spark, d))
+
+
+@query("WITH " + _bulk_sql("D", 3) + " SELECT repo_id, hash, n_files FROM bulk WHERE NOT renames_only")
+def exclude_pure_renames(spark, d):
+    return history.exclude_pure_renames(_bulk(spark, d)).select("repo_id", "hash", "n_files")
+
+
+_NOISE = f"len(list_filter(files, lambda f: list_has_any(string_split(f, '/'), {v._list(C.SKIP_DIRS)}))) > len(files) * 0.5"
+
+
+@query("WITH " + _bulk_sql("D", 3) + f" SELECT repo_id, hash, {_NOISE} AS noise FROM bulk")
+def is_noise_deletion(spark, d):
+    return _bulk(spark, d).select("repo_id", "hash", history.is_noise_deletion().alias("noise"))
+
+
+_GRAVES = f", one AS (SELECT *, row_number() OVER (PARTITION BY repo_id, scope ORDER BY n_files DESC, ts DESC, hash) AS r FROM bulk WHERE n_files >= 4 AND NOT renames_only AND NOT ({_NOISE}) QUALIFY r = 1), graves AS (SELECT repo_id, hash, scope, n_files, month, row_number() OVER (PARTITION BY repo_id ORDER BY n_files DESC, ts DESC, hash) AS grave_rank FROM one QUALIFY grave_rank <= 6)"
+
+
+@query("WITH " + _bulk_sql("D", 3) + _GRAVES + " SELECT * FROM graves")
+def pick_graves(spark, d):
+    return history.pick_graves(_bulk(spark, d), 4)
+
+
+_IN_ERA = "c.repo_id = e.repo_id AND c.month BETWEEN e.start_month AND coalesce(e.end_month, '9999-99')"
+
+
+@query(f"SELECT c.repo_id, c.hash, e.era_index, e.name FROM commits_v c JOIN eras_v e ON {_IN_ERA}")
+def era_commits(spark, d):
+    return history.era_commits(v.commits(spark, d), v.eras(spark)).select("repo_id", "hash", "era_index", "name")
+
+
+@query(f"SELECT c.repo_id, c.hash, c.month, min(e.era_index) AS era_index, arg_min(e.name, e.era_index) AS era FROM commits_v c LEFT JOIN eras_v e ON {_IN_ERA} GROUP BY 1, 2, 3")
+def era_for(spark, d):
+    return history.era_for(v.commits(spark, d), v.eras(spark))
+
+
+_SAMPLE = """, num AS (SELECT repo_id, hash, row_number() OVER (PARTITION BY repo_id ORDER BY ts, hash) - 1 AS seq, count(*) OVER (PARTITION BY repo_id) AS n FROM commits_v),
+sizes AS (SELECT DISTINCT repo_id, n FROM num), picks AS (SELECT repo_id, floor(i * (n / 400.0::double))::bigint AS seq FROM sizes, range(400) t(i) UNION SELECT repo_id, n - 1 FROM sizes UNION SELECT repo_id, 0 FROM sizes),
+sample AS (SELECT num.repo_id, hash, seq, n > 400 AS sampled FROM num WHERE n <= 400 OR EXISTS (SELECT 1 FROM picks p WHERE p.repo_id = num.repo_id AND p.seq = num.seq))"""
+
+
+@query("WITH " + _SAMPLE[2:] + " SELECT * FROM sample")
+def sample_commits(spark, d):
+    return history.sample_commits(v.commits(spark, d)).select("repo_id", "hash", F.col("seq").cast("long").alias("seq"), "sampled")
+
+
+def _sizes(spark, d):
+    return v.changes(spark, d).groupBy("repo_id", "hash").agg(F.count("*").alias("n_files"))
+
+
+@query(f"""WITH sizes AS (SELECT repo_id, hash, count(*) AS n_files FROM changes_v GROUP BY 1, 2),
+r AS (SELECT e.repo_id, e.era_index, c.hash, c.month, coalesce(n_files, 0) AS n_files, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY e.repo_id, e.era_index) AS n FROM commits_v c JOIN eras_v e ON {_IN_ERA} LEFT JOIN sizes s ON s.repo_id = c.repo_id AND s.hash = c.hash WINDOW w AS (PARTITION BY e.repo_id, e.era_index ORDER BY ts, c.hash)),
+thirds AS (SELECT *, 'early' AS slot FROM r WHERE r < greatest(n // 3, 1) UNION ALL SELECT *, 'mid' FROM r WHERE (r >= n // 3 AND r < 2 * n // 3) OR n // 3 = 2 * n // 3 UNION ALL SELECT *, 'late' FROM r WHERE r >= 2 * n // 3),
+months AS (SELECT repo_id, era_index, slot, month, count(*) AS m, min(r) AS seen, arg_max(hash, (n_files, -r)) AS hash FROM thirds GROUP BY 1, 2, 3, 4)
+SELECT repo_id, era_index, slot, arg_max(hash, (m, -seen)) AS hash FROM months GROUP BY 1, 2, 3
+UNION ALL SELECT repo_id, era_index, 'opening', arg_min(hash, r) FROM r GROUP BY 1, 2 UNION ALL SELECT repo_id, era_index, 'closing', arg_max(hash, r) FROM r GROUP BY 1, 2""")
+def landmarks(spark, d):
+    return history.landmarks(history.era_commits(v.commits(spark, d), v.eras(spark)), _sizes(spark, d))
+
+
+@query(f"""WITH per AS (SELECT repo_id, hash, min(string_split(path, '/')[:-2]) AS lo, max(string_split(path, '/')[:-2]) AS hi FROM changes_v GROUP BY 1, 2),
+l AS (SELECT e.repo_id, e.era_index, c.ts, c.hash, concat_ws(' | ', c.month, c.author, coalesce({_SCOPE}, '') || '/', c.subject) AS line FROM commits_v c JOIN eras_v e ON {_IN_ERA} LEFT JOIN per ON per.repo_id = c.repo_id AND per.hash = c.hash)
+SELECT repo_id, era_index, count(*)::int AS n_lines, md5(string_agg(line, chr(10) ORDER BY ts, hash)) AS stream_md5 FROM l GROUP BY 1, 2""")
+def commit_stream(spark, d):
+    scopes = v.changes(spark, d).groupBy("repo_id", "hash").agg(F.collect_list("path").alias("files")).select("repo_id", "hash", history.scope_of(F.col("files")).alias("scope"))
+    return history.commit_stream(history.era_commits(v.commits(spark, d), v.eras(spark)), scopes).select("repo_id", "era_index", "n_lines", F.md5("stream").alias("stream_md5"))
+
+
+@query(f"""WITH per AS (SELECT e.repo_id, e.era_index, count(*) AS c FROM commits_v c JOIN eras_v e ON {_IN_ERA} GROUP BY 1, 2), r AS (SELECT repo_id, era_index, name, coalesce(c, 0) AS commits FROM eras_v LEFT JOIN per USING (repo_id, era_index))
+SELECT *, greatest(commits, 1) AS width, commits / greatest(sum(commits) OVER (PARTITION BY repo_id), 1)::double AS share FROM r""")
+def era_volume(spark, d):
+    return history.era_volume(v.commits(spark, d), v.eras(spark))
+
+
+@query(f"""WITH per AS (SELECT e.repo_id, e.era_index, c.author, count(*) AS commits FROM commits_v c JOIN eras_v e ON {_IN_ERA} GROUP BY 1, 2, 3)
+SELECT *, floor(commits * 100 / (sum(commits) OVER (PARTITION BY repo_id, era_index))::double)::bigint AS pct, row_number() OVER (PARTITION BY repo_id, era_index ORDER BY commits DESC, author) AS cast_rank FROM per QUALIFY cast_rank <= 5""")
+def era_cast(spark, d):
+    return history.era_cast(v.commits(spark, d), v.eras(spark))
+
+
+_TWO = "WITH " + _bulk_sql("A", 4).replace("per AS", "per_a AS").replace("bulk AS", "bulk_a AS").replace("FROM per JOIN", "FROM per_a JOIN") + ", " + _bulk_sql("D", 3).split("),\n", 1)[1].replace("per AS", "per AS", 1)
+
+
+@query(_TWO + """ SELECT c.repo_id, count(*) AS commits, min(month) AS first_month, max(month) AS last_month, (SELECT count(*) FROM bulk_a a WHERE a.repo_id = c.repo_id) AS bulk_additions, (SELECT count(*) FROM bulk b WHERE b.repo_id = c.repo_id) AS bulk_deletions FROM commits_v c GROUP BY c.repo_id""")
+def history_preview(spark, d):
+    return history.history_preview(v.commits(spark, d), _bulk(spark, d, "A", 4), _bulk(spark, d))
+
+
+@query("WITH " + _bulk_sql("D", 3) + _GRAVES + _SAMPLE + ", x AS (SELECT repo_id, hash, 'listed' AS kind FROM sample UNION SELECT repo_id, hash, 'diff' FROM graves) SELECT repo_id, kind, count(*) AS hashes, min(hash) AS first_hash FROM x GROUP BY 1, 2")
+def sent_commits(spark, d):
+    return history.sent_commits(history.sample_commits(v.commits(spark, d)), history.pick_graves(_bulk(spark, d), 4))
+
+
+@query("SELECT repo_id, hash, list_sort(list(path))[1] AS path, count(*) AS n FROM changes_v GROUP BY 1, 2")
+def explode_changes(spark, d):
+    nested = v.changes(spark, d).groupBy("repo_id", "hash").agg(F.collect_list("path").alias("files"))
+    return history.explode_changes(nested).groupBy("repo_id", "hash").agg(F.min("path").alias("path"), F.count("*").alias("n"))
+
+
+@query("SELECT repo_id, hash, ts, author, subject, month, strftime(to_timestamp(ts), '%Y-%m-%d') AS date, 2 AS n_files, row_number() OVER (PARTITION BY repo_id ORDER BY ts, hash) AS seq FROM commits_v")
+def read_commit_log(spark, d):
+    c = v.commits(spark, d)
+    good = F.concat(F.concat_ws("|", "hash", "ts", "author", "subject"), F.lit("\na/x.py\n\nb/y.py\n"))
+    bad = F.concat(F.lit("zz"), F.concat_ws("|", "hash", "ts", "author", "subject"))
+    return readers.parse_commit_log(c.select("repo_id", good.alias("record")).unionByName(c.select("repo_id", bad.alias("record")))).select("repo_id", "hash", "ts", "author", "subject", "month", "date", F.size("files").alias("n_files"), "seq")
+
+
+def _diffs(spark, d):
+    parts = F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\n+"), "status", F.lit("\ndiff --git a/.env b/.env\n+SECRET\n"))
+    return v.changes(spark, d).groupBy("repo_id", "hash").agg(F.array_join(F.array_sort(F.collect_list(parts)), "").alias("diff"))
+
+
+_DIFFS = "diffs AS (SELECT repo_id, hash, string_agg('diff --git a/' || path || ' b/' || path || chr(10) || '+' || status || chr(10) || 'diff --git a/.env b/.env' || chr(10) || '+SECRET' || chr(10), '' ORDER BY path, status) AS diff FROM changes_v GROUP BY 1, 2)"
+
+
+@query("WITH x AS (SELECT repo_id, hash, path FROM changes_v UNION ALL SELECT repo_id, hash, '.env' FROM changes_v) SELECT repo_id, hash, path AS first_path, count(*) AS hunks FROM x GROUP BY 1, 2, 3")
+def split_diff(spark, d):
+    return history.split_diff(_diffs(spark, d)).groupBy("repo_id", "hash", F.get("paths", F.lit(0)).alias("first_path")).agg(F.count("*").alias("hunks"))
+
+
+@query(f"WITH {_DIFFS}, r AS (SELECT repo_id, hash, replace(diff, 'diff --git a/.env b/.env' || chr(10) || '+SECRET' || chr(10), 'diff --git a/.env b/.env' || chr(10) || '[contents omitted: credential-bearing file]' || chr(10)) AS diff FROM diffs) SELECT repo_id, hash, md5(CASE WHEN length(diff) > 300 THEN substr(diff, 1, 300) || chr(10) || '... [diff truncated]' ELSE diff END) AS diff_md5 FROM r")
+def redact_diff(spark, d):
+    return history.redact_diff(_diffs(spark, d), 300).select("repo_id", "hash", F.md5("diff").alias("diff_md5"))
+
+
+# ---- files and classes
+
+_BASE = "string_split(path, '/')[-1]"
+_LB = f"lower({_BASE})"
+
+
+def _ends(c, xs):
+    return "(" + " OR ".join(f"ends_with({c}, '{x}')" for x in xs) + ")"
+
+
+def _has(c, xs):
+    return "(" + " OR ".join(f"contains({c}, '{x}')" for x in xs) + ")"
+
+
+_CRED = f"CASE WHEN starts_with({_LB}, '.env') THEN {_LB} NOT IN {_in(C.DOTENV_TEMPLATES)} ELSE {_LB} IN {_in(C.CREDENTIAL_NAMES)} OR {_ends(_LB, C.CREDENTIAL_SUFFIXES)} END"
+_WANT = f"(NOT ({_CRED}) AND ({_BASE} IN {_in(C.KEEP_NAMES)} OR regexp_extract({_LB}, '^\\.*[^.].*?(\\.[^.]*)$', 1) IN {_in(C.KEEP_EXT)}))"
+_SKIP = f"list_has_any(string_split(path, '/')[:-2], {v._list(C.SKIP_DIRS)})"
+_TEST = f"({_has(_LB, C.TEST_MARKERS)} OR ends_with({_LB}, '_spec.rb') OR (ends_with({_LB}, '.go') AND ({' OR '.join(f'starts_with({_LB}, {v._lit(p)})' for p in C.GO_TEST_PREFIXES)})))"
+_KEPT = f"({_WANT} AND NOT {_SKIP} AND size <= {C.MAX_FILE_BYTES})"
+
+
+@query(f"SELECT repo_id, path, {_CRED} AS credential, {_WANT} AS wanted, {_SKIP} AS skipped, {_TEST} AS test, size <= 2000 AS small FROM files_v")
+def file_predicates(spark, d):
+    return v.files(spark, d).select("repo_id", "path", fs.is_credential_named("path").alias("credential"), fs.is_wanted("path").alias("wanted"), fs.under_skip_dir("path").alias("skipped"), fs.is_test_file("path").alias("test"), fs.within_size("size", 2000).alias("small"))
+
+
+@query("SELECT repo_id, path, (regexp_matches(path, '^(?:.*/)?[^/]*\\.py(?:/.*)?$') OR regexp_matches(path, '^web/.*$')) AND NOT (regexp_matches(path, '^(?:.*/)?models\\.py(?:/.*)?$') AND NOT regexp_matches(path, '^app1[^/]*/models\\.py(?:/.*)?$')) AS matched FROM files_v")
+def path_match(spark, d):
+    return v.files(spark, d).select("repo_id", "path", fs.path_match("path", ("*.py", "/web/"), ("models.py", "!app1*/models.py")).alias("matched"))
+
+
+@query("SELECT repo_id, path, NOT starts_with(t, '../') AND NOT (ends_with(t, '.env')) AS contained FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN '../out.py' WHEN doc_id % 3 = 1 THEN 'a/.env' ELSE 'a/b.py' END AS t FROM files_v)")
+def link_contained(spark, d):
+    t = F.when(F.col("doc_id") % 3 == 0, "../out.py").when(F.col("doc_id") % 3 == 1, "a/.env").otherwise("a/b.py")
+    return v.files(spark, d).withColumn("link_target", t).select("repo_id", "path", fs.link_contained().alias("contained"))
+
+
+_WALK = "list_transform(string_split(path, '/'), lambda x, i: (CASE WHEN i < len(string_split(path, '/')) THEN '1' ELSE '0' END) || x)"
+
+
+@query(f"SELECT repo_id, path, size, row_number() OVER (PARTITION BY repo_id ORDER BY {_WALK}) AS walk_rank FROM files_v WHERE {_KEPT}")
+def list_files(spark, d):
+    return fs.list_files(v.files(spark, d))
+
+
+@query(f"SELECT repo_id, count(*) AS found, count(*) FILTER ({_KEPT}) AS kept, count(*) FILTER (NOT {_KEPT}) AS dropped, count(*) FILTER ({_KEPT} AND content IS NULL) AS unreadable FROM files_v GROUP BY 1")
+def count_files(spark, d):
+    return fs.count_files(v.files(spark, d))
+
+
+_P = "('/' || lower(path))"
+_GO = f"ends_with({_P}, '.go')"
+_LAYER = f"""CASE WHEN NOT {_ends(_P, C.SOURCE_EXT)} OR {_TEST} THEN NULL
+WHEN {_LB} IN ('urls.py', 'routes.rb', 'routes.ts', 'router.ts', 'routes.js', 'router.js') OR ends_with({_LB}, '_router.ts') OR {_has(_P, ('/pages/api/', '/routes/', '/urls/'))} OR ({_GO} AND ({_LB} IN ('server.go', 'router.go', 'routes.go', 'mux.go') OR ({_LB} = 'main.go' AND contains({_P}, '/cmd/')))) THEN 'route'
+WHEN contains({_P}, 'middleware') OR {_ends(_LB, ('decorator.py', 'decorators.py'))} OR {_LB} = 'computed_settings.py' THEN 'middleware'
+WHEN {_has(_P, ('/views/', '/controllers/', '/handlers/'))} OR {_LB} = 'views.py' OR {_ends(_LB, ('view.py', '_views.py', 'controller.rb'))} OR ({_GO} AND ({_LB} IN ('handler.go', 'handlers.go') OR {_ends(_LB, ('_api.go', '_handler.go', '_handlers.go'))} OR contains({_P}, '/handler/'))) THEN 'handler'
+WHEN {_has(_P, ('/actions/', '/services/', '/domain/'))} OR (contains({_P}, '/use') AND contains({_P}, 'case')) OR ({_GO} AND ({_LB} = 'service.go' OR ends_with({_LB}, '_service.go') OR contains({_P}, '/service/'))) THEN 'service'
+WHEN {_has(_P, ('/models/', '/repositories/', '/repository/'))} OR {_LB} IN ('models.py', 'schema.rb') OR ({_GO} AND ({_LB} IN ('db.go', 'database.go', 'store.go', 'queries.go') OR {_ends(_LB, ('_store.go', '.sql.go', '_repository.go'))} OR {_has(_P, ('/store/', '/db/', '/database/', '/sqlc/'))})) THEN 'database'
+WHEN contains({_P}, 'serializer') OR (starts_with({_LB}, 'response') AND ends_with({_LB}, '.py')) OR ({_GO} AND ({_LB} = 'response.go' OR ends_with({_LB}, '_response.go') OR contains({_P}, '/dto/'))) THEN 'response' END"""
+
+
+@query(f"SELECT repo_id, path, {_LAYER} AS layer FROM files_v")
+def backend_layer(spark, d):
+    return v.files(spark, d).select("repo_id", "path", classify.backend_layer("path").alias("layer"))
+
+
+@query(f"WITH x AS (SELECT repo_id, {_LAYER} AS layer FROM files_v) SELECT repo_id, " + ", ".join(f"count(*) FILTER (layer = '{x}') AS {x}" for x in C.LAYERS) + " FROM x GROUP BY 1")
+def layer_counts(spark, d):
+    return classify.layer_counts(v.files(spark, d))
+
+
+_KIND = f"""CASE WHEN starts_with({_LB}, 'docker-compose') OR {_LB} IN ('compose.yaml', 'compose.yml') THEN 'compose' WHEN {_BASE} = 'Procfile' THEN 'gateway' WHEN starts_with({_LB}, '.env') THEN 'env' WHEN {_ends(_LB, ('.tf', '.tfvars'))} THEN 'iac' WHEN {_BASE} IN {_in(C.GATEWAY_NAMES)} THEN 'gateway'
+WHEN {_LB} = 'package.json' THEN 'package' WHEN {_LB} = 'go.mod' THEN 'go_mod' WHEN {_LB} = 'pyproject.toml' THEN 'pyproject' WHEN starts_with({_LB}, 'requirements') AND ends_with({_LB}, '.txt') THEN 'requirements' WHEN {_ends(_LB, ('.yaml', '.yml'))} AND {_has("('/' || path)", C.K8S_DIRS)} THEN 'k8s' END"""
+
+
+@query(f"SELECT repo_id, path, {_KIND} AS kind FROM files_v")
+def arch_source_kind(spark, d):
+    return v.files(spark, d).select("repo_id", "path", classify.arch_source_kind("path").alias("kind"))
+
+
+@query(f"SELECT repo_id, path, NOT {_TEST} AND ({_BASE} IN {_in(C.ROUTE_NAMES)} OR {_ends(_BASE, ('_router.ts', '.proto', '.graphql'))} OR (contains('/' || path, '/pages/api/') AND {_ends('path', ('.ts', '.js', '.tsx'))}) OR (contains('/' || path, '/app/') AND {_BASE} IN ('route.ts', 'route.js', 'route.tsx'))) AS is_route FROM files_v")
+def is_route_file(spark, d):
+    return v.files(spark, d).select("repo_id", "path", classify.is_route_file("path").alias("is_route"))
+
+
+@query()
+def go_route_registrations(spark, d):
+    go = v.files(spark, d).where(F.col("path").endswith(".go"))
+    return go.select("repo_id", "path", classify.go_route_registrations("content").alias("g")).select("repo_id", "path", "g.n", "g.builds")
+
+
+@query()
+def surface_files(spark, d):
+    return classify.surface_files(v.files(spark, d))
+
+
+@query("SELECT repo_id, 'integrations' AS dir, string_agg(DISTINCT string_split(path, '/')[2], ',' ORDER BY string_split(path, '/')[2]) AS names FROM files_v WHERE starts_with(path, 'integrations/') GROUP BY 1")
+def integration_dirs(spark, d):
+    return classify.integration_dirs(v.files(spark, d))
+
+
+# ---- budgets
+
+_WALKED = f"walked AS (SELECT repo_id, path, length(content) AS len, row_number() OVER (PARTITION BY repo_id ORDER BY {_WALK}) AS ord, content FROM files_v)"
+
+
+@query(f"""WITH {_WALKED}, t AS (SELECT repo_id, string_agg('  [' || (ord - 1) || '] ' || path || chr(10) || substr(content, 1, 800) || chr(10), chr(10) ORDER BY ord) AS text FROM walked WHERE ord <= 12 GROUP BY 1), n AS (SELECT repo_id, count(*) AS n, count(*) FILTER (ord <= 12) AS previewed FROM walked GROUP BY 1)
+SELECT repo_id, previewed, n - previewed AS dropped, least(50, greatest(20, previewed // 20)) AS target, length(text)::int AS text_chars, md5(text) AS text_md5 FROM n JOIN t USING (repo_id)""")
+def preview_manifest(spark, d):
+    return budget.preview_manifest(v.files(spark, d), 9_600)
+
+
+@query(f"WITH {_WALKED}, b AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY repo_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS before FROM walked) SELECT repo_id, path, len, ord, before FROM b WHERE before < 20000")
+def budget_prefix(spark, d):
+    return budget.budget_prefix(budget.walked(v.files(spark, d)), 20_000)
+
+
+@query(f"WITH {_WALKED}, b AS (SELECT *, sum(len) OVER (PARTITION BY repo_id ORDER BY ord)::bigint AS upto FROM walked) SELECT repo_id, path, len, ord FROM b WHERE (upto <= 20000 OR ord = 1) AND ord <= 40")
+def budget_prefix_min1(spark, d):
+    return budget.budget_prefix_min1(budget.walked(v.files(spark, d)), 20_000).select("repo_id", "path", "len", "ord")
+
+
+@query()
+def budget_greedy(spark, d):
+    return budget.budget_greedy(budget.walked(v.files(spark, d)), 20_000)
+
+
+@query()
+def budget_fair_share(spark, d):
+    return budget.budget_fair_share(budget.layer_queue(v.files(spark, d)), 60_000)
+
+
+@query(f"""WITH {_WALKED}, b AS (SELECT *, coalesce(sum(len + 1) OVER (PARTITION BY repo_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start, sum(len + 1) OVER (PARTITION BY repo_id) - 1 > 20000 AS truncated FROM walked)
+SELECT repo_id, path, start, least(len, 20000 - start) AS kept_chars, truncated FROM b WHERE start < 20000""")
+def budget_slice(spark, d):
+    return budget.budget_slice(budget.walked(v.files(spark, d)), 20_000)
+
+
+@query(f"""WITH {_WALKED}, b AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY repo_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM walked)
+SELECT repo_id, count(*)::int AS n_files, md5(string_agg(repeat('=', 60) || chr(10) || 'File: ' || path || chr(10) || repeat('=', 60) || chr(10) || content || chr(10), chr(10) ORDER BY ord)) AS bundle_md5 FROM b WHERE before < 20000 GROUP BY 1""")
+def bundle_text(spark, d):
+    f = v.files(spark, d)
+    return budget.bundle_text(budget.budget_prefix(budget.walked(f), 20_000), f).select("repo_id", "n_files", F.md5("bundle").alias("bundle_md5"))
+
+
+@query(f"WITH {_WALKED}, b AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY repo_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM walked) SELECT repo_id, path, len, ord FROM b WHERE before >= 20000")
+def included_dropped(spark, d):
+    rows = budget.walked(v.files(spark, d))
+    return budget.included_dropped(rows, budget.budget_prefix(rows, 20_000)).select("repo_id", "path", "len", "ord")
+
+
+@query("""WITH names AS (SELECT repo_id, doc_id AS ord, array_to_string(string_split(path, '/')[-2:], '/') AS name FROM files_v WHERE doc_id % 3 = 0 AND path NOT LIKE '%.pem' AND path NOT LIKE '%.env.staging'),
+hit AS (SELECT n.repo_id, n.ord, n.name, arg_min(f.path, (f.path <> n.name, f.path)) AS path, arg_min(length(f.content), (f.path <> n.name, f.path)) AS len FROM names n JOIN files_v f ON f.repo_id = n.repo_id AND (f.path = n.name OR ends_with(f.path, '/' || n.name)) GROUP BY 1, 2, 3),
+r AS (SELECT repo_id, ord, name, path, least(len, 40000) AS chars, row_number() OVER w AS r, sum(least(len, 40000)) OVER w AS upto FROM hit WINDOW w AS (PARTITION BY repo_id ORDER BY ord)) SELECT repo_id, ord, name, path, chars FROM r WHERE r <= 8 AND upto <= 120000""")
+def resolve_named_paths(spark, d):
+    f = v.files(spark, d)
+    named = f.where("doc_id % 3 = 0").select("repo_id", F.col("doc_id").alias("ord"), F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("name"))
+    return budget.resolve_named_paths(named, f)
+
+
+@query("SELECT repo_id, arg_max(path, (contains('/' || path, '/pages/api/'), size, path)) AS path, arg_max(size, (contains('/' || path, '/pages/api/'), size, path)) AS size FROM files_v GROUP BY 1")
+def largest_file(spark, d):
+    return budget.largest_file(v.files(spark, d))
+
+
+@query(f"""WITH {_WALKED}, b AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY repo_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM walked),
+t AS (SELECT repo_id, 'tour' AS analysis, count(*) AS files, count(*) FILTER (before < 20000) AS included, count(*) FILTER (before >= 20000) AS dropped, sum(len) FILTER (before < 20000)::bigint AS assembled_chars FROM b GROUP BY 1)
+SELECT *, assembled_chars > 20000 AS stops_here FROM t UNION ALL SELECT repo_id, 'backend', count(*), NULL, NULL, NULL, NULL FROM files_v WHERE {_LAYER} IS NOT NULL GROUP BY 1""")
+def preview_rollup(spark, d):
+    return budget.preview_rollup(v.files(spark, d), 20_000)
+
+
+# ---- architecture
+
+@query("SELECT DISTINCT repo_id, unnest(regexp_extract_all(content, '(?m)^[ \\t]*(?:export[ \\t]+)?([A-Z][A-Z0-9_]+)[ \\t]*=', 1)) AS name FROM files_v WHERE path = 'deploy/.env.example'")
+def env_names(spark, d):
+    return arch.env_names(v.files(spark, d))
+
+
+_PKG = "SELECT repo_id, path AS manifest_path, 'package' AS kind, u.name, u.version FROM (SELECT repo_id, path, doc_id FROM files_v WHERE path LIKE 'm%/package.json'), LATERAL (SELECT unnest(['react', 'lib' || doc_id, 'jest']) AS name, unnest(['^19.0', '1.0', '29']) AS version) u"
+_GOM = "SELECT repo_id, path AS manifest_path, 'go_mod' AS kind, u.name, u.version FROM (SELECT repo_id, path FROM files_v WHERE path LIKE 'g%/go.mod'), LATERAL (SELECT unnest(['github.com/solo/one', 'github.com/a/b']) AS name, unnest(['v1.2.3', 'v0.1.0']) AS version) u"
+_REQ = "SELECT repo_id, path AS manifest_path, 'requirements' AS kind, u.name, u.version FROM (SELECT repo_id, path, doc_id FROM files_v WHERE path LIKE 'r%/requirements.txt'), LATERAL (SELECT unnest(['requests', 'numpy', 'lib' || doc_id]) AS name, unnest(['>=2.0', '==1.26', '~=1.0']) AS version) u"
+_DEPS = f"deps AS ({_PKG} UNION ALL {_GOM} UNION ALL {_REQ})"
+
+
+@query(_PKG)
+def deps_package_json(spark, d):
+    return arch.deps_package_json(v.files(spark, d))
+
+
+@query(_GOM)
+def deps_go_mod(spark, d):
+    return arch.deps_go_mod(v.files(spark, d))
+
+
+@query(_REQ)
+def deps_requirements(spark, d):
+    return arch.deps_requirements(v.files(spark, d))
+
+
+@query()
+def deps_pyproject(spark, d):
+    text = F.concat(F.lit('[project]\nname = "x"\ndependencies = ["numpy>=1", "lib'), F.col("doc_id").cast("string"), F.lit('[a]==2; python_version > \'3\'"]\n'))
+    toml = v.files(spark, d).where("doc_id % 4 = 0").withColumn("path", F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit("/pyproject.toml"))).withColumn("content", text)
+    return arch.deps_pyproject(toml)
+
+
+@query(f"WITH {_DEPS} SELECT repo_id, name, arg_max(version, (list_transform(string_split(manifest_path, '/'), lambda x, i: (CASE WHEN i < len(string_split(manifest_path, '/')) THEN '1' ELSE '0' END) || x), version)) AS version FROM deps GROUP BY 1, 2")
+def dependency_union(spark, d):
+    return arch.dependency_union(arch.all_deps(v.files(spark, d)))
+
+
+@query(f"WITH {_DEPS} SELECT name, count(DISTINCT repo_id) AS repos FROM deps GROUP BY 1 ORDER BY repos DESC, name LIMIT 50")
+def dependency_usage(spark, d):
+    return arch.dependency_usage(arch.all_deps(v.files(spark, d)))
+
+
+@query(f"SELECT repo_id, {_KIND} AS kind, count(*) AS manifests, count(*) FILTER (content IS NULL) AS unreadable, count(*) FILTER (length(content) > 200000) AS truncated, count(*) FILTER ({_KIND} = 'package' AND NOT json_valid(content)) AS malformed FROM files_v WHERE {_KIND} IN ('package', 'go_mod', 'pyproject', 'requirements') GROUP BY 1, 2")
+def manifest_problems(spark, d):
+    return arch.manifest_problems(v.files(spark, d))
+
+
+@query()
+def redact_config(spark, d):
+    return arch.redact_config(v.files(spark, d))
+
+
+@query()
+def sdk_imports(spark, d):
+    return arch.sdk_imports(v.files(spark, d))
+
+
+@query()
+def arch_stats(spark, d):
+    return arch.arch_stats(v.files(spark, d))
+
+
+# ---- imports
+
+@query()
+def extract_imports(spark, d):
+    return imports.extract_imports(v.files(spark, d))
+
+
+_PYSPECS = "specs AS (SELECT repo_id, path, unnest(['os', 'pkg.m' || (doc_id % 200), 'stripe']) AS spec FROM files_v WHERE path LIKE 'src/app/views/%' UNION ALL SELECT repo_id, path, unnest(['pkg.m' || (doc_id % 200), 'app.models']) FROM files_v WHERE path LIKE 'pkg/m%')"
+
+
+@query(f"WITH {_PYSPECS}, c AS (SELECT repo_id, path, spec, unnest([replace(spec, '.', '/') || '.py', replace(spec, '.', '/') || '/__init__.py']) AS to_path FROM specs), h AS (SELECT DISTINCT c.* FROM c JOIN files_v f ON f.repo_id = c.repo_id AND f.path = c.to_path) SELECT DISTINCT repo_id, path AS from_path, min(to_path) AS to_path FROM h GROUP BY repo_id, path, spec HAVING count(*) = 1 AND path <> min(to_path)")
+def resolve_python(spark, d):
+    f = v.files(spark, d)
+    known = imports.extract_imports(f.where("path like 'src/app/views/%' or path like 'pkg/m%'"))
+    return imports.resolve_python(known, f)
+
+
+@query()
+def resolve_relative_js(spark, d):
+    f = v.files(spark, d)
+    return imports.resolve_relative_js(imports.extract_imports(f), f)
+
+
+def _go_repo(spark, d):
+    """Go files of one module a repository, each importing the package of its neighbours."""
+    base = v.files(spark, d).select("repo_id", "doc_id")
+    go = base.select("repo_id", F.concat(F.lit("p"), F.col("doc_id") % 9, F.lit("/f"), "doc_id", F.lit(".go")).alias("path"), F.concat(F.lit('package p\nimport (\n\t"fmt"\n\t"example.org/x/p'), (F.col("doc_id") + 1) % 9, F.lit('"\n)\n')).alias("content"))
+    mod = base.select("repo_id").distinct().select("repo_id", F.lit("go.mod").alias("path"), F.lit("module example.org/x\n").alias("content"))
+    return go.unionByName(mod)
+
+
+@query("WITH g AS (SELECT repo_id, doc_id, 'p' || (doc_id % 9) AS dir, 'p' || ((doc_id + 1) % 9) AS want, 'p' || (doc_id % 9) || '/f' || doc_id || '.go' AS path FROM files_v) SELECT DISTINCT a.repo_id, a.path AS from_path, b.path AS to_path FROM g a JOIN g b ON a.repo_id = b.repo_id AND a.want = b.dir")
+def resolve_go_packages(spark, d):
+    f = _go_repo(spark, d)
+    return imports.resolve_go_packages(imports.extract_imports(f), f)
+
+
+@query()
+def import_edges(spark, d):
+    return imports.import_edges(v.files(spark, d))
+
+
+@query(f"SELECT repo_id, count(*) FILTER (regexp_matches(path, '\\.(py|js|mjs|cjs|jsx|ts|tsx|go)$') AND content IS NOT NULL) AS covered, count(*) AS total FROM files_v GROUP BY 1")
+def import_coverage(spark, d):
+    return imports.import_coverage(v.files(spark, d))
+
+
+def _abstractions(spark, d):
+    f = _go_repo(spark, d).where("path <> 'go.mod'")
+    return f.groupBy("repo_id", F.substring_index("path", "/", 1).alias("name")).agg(F.collect_list("path").alias("files"))
+
+
+def _relationships(spark, d):
+    return v.files(spark, d).select("repo_id", F.concat(F.lit("p"), F.col("doc_id") % 9).alias("from_name"), F.concat(F.lit("p"), (F.col("doc_id") * 2 + 1) % 10).alias("to_name")).distinct()
+
+
+_RELS = "rels AS (SELECT DISTINCT repo_id, 'p' || (doc_id % 9) AS from_name, 'p' || ((doc_id * 2 + 1) % 10) AS to_name FROM files_v), abs AS (SELECT DISTINCT repo_id, 'p' || (doc_id % 9) AS name FROM files_v)"
+
+
+@query(f"WITH {_RELS} SELECT r.*, CASE WHEN substr(from_name, 2)::int = (substr(to_name, 2)::int + 8) % 9 AND to_name <> 'p9' AND EXISTS (SELECT 1 FROM abs a WHERE a.repo_id = r.repo_id AND a.name = to_name) THEN 'EXTRACTED' ELSE 'INFERRED' END AS source FROM rels r")
+def tag_relationships(spark, d):
+    f = _go_repo(spark, d)
+    return imports.tag_relationships(_relationships(spark, d), _abstractions(spark, d), imports.resolve_go_packages(imports.extract_imports(f), f))
+
+
+@query(f"WITH {_RELS}, l AS (SELECT repo_id, from_name AS name, to_name AS other, 'to' AS direction FROM rels UNION ALL SELECT repo_id, to_name, from_name, 'from' FROM rels WHERE from_name <> to_name) SELECT l.* FROM l WHERE EXISTS (SELECT 1 FROM abs a WHERE a.repo_id = l.repo_id AND a.name = l.name) AND EXISTS (SELECT 1 FROM abs a WHERE a.repo_id = l.repo_id AND a.name = l.other)")
+def related_links(spark, d):
+    return imports.related_links(_relationships(spark, d), _abstractions(spark, d))
+
+
+# ---- schemas
+
+@query()
+def embedded_ddl(spark, d):
+    return schemas.embedded_ddl(v.files(spark, d)).select("repo_id", "path", F.size("ddl").alias("n_ddl"), "tables", "ddl_rank")
+
+
+_SK = f"CASE WHEN ends_with({_BASE}, '.prisma') THEN 0 WHEN ends_with('/' || path, '/db/schema.rb') THEN 1 WHEN {_BASE} IN ('schema.sql', 'structure.sql') THEN 2 WHEN {_BASE} = 'models.py' THEN 3 END"
+
+
+@query(f"""WITH s AS (SELECT repo_id, path, size, length(content) AS len, {_SK} AS k FROM files_v WHERE NOT {_SKIP} AND {_SK} IS NOT NULL), f AS (SELECT * FROM s QUALIFY k = min(k) OVER (PARTITION BY repo_id)),
+r AS (SELECT *, row_number() OVER w AS r, sum(len) OVER w AS upto FROM f WINDOW w AS (PARTITION BY repo_id ORDER BY -size, path))
+SELECT repo_id, (['prisma', 'rails', 'sql', 'models'])[k + 1] AS kind, path, CASE WHEN r = 1 OR (k = 3 AND upto <= 600000 AND r <= 40) THEN 'kept' ELSE 'dropped' END AS state, len > 600000 AS cut FROM r""")
+def find_schema(spark, d):
+    return schemas.find_schema(v.files(spark, d))
+
+
+_TABLES = """tables AS (SELECT DISTINCT repo_id, lower(name) AS name FROM (
+SELECT repo_id, 'orders' || doc_id AS name FROM files_v WHERE path = 'db/schema.sql' UNION ALL SELECT repo_id, 'users' FROM files_v WHERE path = 'db/schema.sql' UNION ALL SELECT repo_id, 't' || (doc_id % 200) FROM files_v WHERE path LIKE 'db/migrations/%' UNION ALL SELECT repo_id, 'order' || doc_id FROM files_v WHERE path LIKE 'app%/models.py'))"""
+
+
+def _tables(spark, d):
+    heads = v.files(spark, d).where("path = 'db/schema.sql' or path like 'db/migrations/%' or path like 'app%/models.py'")
+    return schemas.schema_tables(heads.select("repo_id", F.substring_index("content", "\n", 2).alias("text")))
+
+
+@query(f"WITH {_TABLES} SELECT * FROM tables")
+def schema_tables(spark, d):
+    return _tables(spark, d)
+
+
+@query(f"""WITH {_TABLES}, e AS (SELECT repo_id, prompt_id, unnest(['users', 'orders' || prompt_id, 'ghosts', 'users']) AS name FROM replies_v) SELECT DISTINCT e.repo_id, e.prompt_id, e.name FROM e JOIN tables t ON t.repo_id = e.repo_id AND t.name = lower(e.name)""")
+def reply_tables(spark, d):
+    return schemas.reply_tables(v.replies(spark, d), _tables(spark, d))
+
+
+@query("""WITH m AS (SELECT repo_id, 'db/migrations' AS dir, regexp_replace(regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', ''), '\\.up$', '') AS name FROM files_v WHERE regexp_matches(path, '^db/migrations/\\d{4,}[_-]')) SELECT repo_id, dir, count(DISTINCT name) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names, count(DISTINCT name) < 4 AS too_few FROM m GROUP BY 1, 2""")
+def find_migrations(spark, d):
+    return schemas.find_migrations(v.files(spark, d))
+
+
+@query(f"WITH {_TABLES}, r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY name) - 1 AS r FROM tables) SELECT repo_id, r // 4 AS batch, string_agg(name, ',' ORDER BY name) AS names FROM r GROUP BY 1, 2")
+def table_batches(spark, d):
+    return schemas.table_batches(_tables(spark, d))
+
+
+# ---- replies
+
+@query("""WITH p AS (SELECT repo_id, prompt_id, length(text) - length('```mermaid' || chr(10) || 'erDiagram' || chr(10) || '  users ||--o{ orders' || prompt_id || ' : has' || chr(10) || '  ghosts ||--o{ users : see' || chr(10) || '```') AS rest FROM replies_v)
+SELECT repo_id, prompt_id, 0 AS pos, 'mermaid' AS kind, 'erDiagram' || chr(10) || '  users ||--o{ orders' || prompt_id || ' : has' || chr(10) || '  ghosts ||--o{ users : see' AS body, rest FROM p UNION ALL SELECT repo_id, prompt_id, 1, 'json', '{"a": ' || prompt_id || '}', rest FROM p""")
+def reply_fences(spark, d):
+    return replies.reply_fences(v.replies(spark, d))
+
+
+@query()
+def reply_values(spark, d):
+    return replies.reply_values(v.replies(spark, d))
+
+
+_CARDS = "SELECT repo_id, prompt_id, 'Orders (' || (prompt_id % 9) || ' endpoints)' AS title, 1 AS card FROM replies_v UNION ALL SELECT repo_id, prompt_id, '`users` (' || (prompt_id % 5) || ' endpoints)', 2 FROM replies_v"
+
+
+@query(_CARDS)
+def split_cards(spark, d):
+    return replies.split_cards(v.replies(spark, d)).select("repo_id", "prompt_id", "title", "card")
+
+
+@query("SELECT repo_id, prompt_id, unnest(['overview', 'cards']) AS section FROM replies_v")
+def split_sections(spark, d):
+    return replies.split_sections(v.replies(spark, d)).select("repo_id", "prompt_id", "section")
+
+
+@query("SELECT repo_id, prompt_id, 'dev' || prompt_id AS owner, '' AS missing FROM replies_v")
+def labelled_field(spark, d):
+    return v.replies(spark, d).select("repo_id", "prompt_id", replies.labelled_field("text", "Owner").alias("owner"), replies.labelled_field("text", "Nobody").alias("missing"))
+
+
+@query("""WITH g AS (SELECT repo_id, prompt_id, unnest(['Orders', '`users`']) AS name, unnest([prompt_id % 9, prompt_id % 5])::int AS n FROM replies_v), w AS (SELECT *, sum(n) OVER (PARTITION BY repo_id, prompt_id)::bigint AS total, greatest(max(n) OVER (PARTITION BY repo_id, prompt_id), 1) AS top FROM g)
+SELECT repo_id, prompt_id, name, n, total, greatest(7, round(n * 100 / top::double))::int AS width FROM w""")
+def feature_group_sizes(spark, d):
+    return replies.feature_group_sizes(replies.split_cards(v.replies(spark, d)))
+
+
+@query("SELECT repo_id, doc_id AS era_index, 'dev' AS label, CASE doc_id % 4 WHEN 0 THEN (doc_id % 100)::double WHEN 1 THEN 100.0 WHEN 2 THEN NULL ELSE 45.0 END AS share FROM files_v")
+def profile_shares(spark, d):
+    pct = F.when(F.col("doc_id") % 4 == 0, (F.col("doc_id") % 100).cast("string")).when(F.col("doc_id") % 4 == 1, "250%").when(F.col("doc_id") % 4 == 2, "NaN").otherwise("45% ")
+    return replies.profile_shares(v.files(spark, d).select("repo_id", F.col("doc_id").alias("era_index"), F.lit("dev").alias("label"), pct.alias("pct")))
+
+
+@query("""SELECT repo_id, doc_id AS prompt_id, unnest(list_filter([CASE WHEN doc_id % 5 = 0 THEN 'not_unique' END, CASE WHEN doc_id % 7 = 0 THEN 'names_differ' END, CASE WHEN doc_id % 3 = 0 THEN 'unknown_file' END, CASE WHEN doc_id % 2 = 0 THEN 'bad_month' END], lambda x: x IS NOT NULL)) AS rule FROM files_v""")
+def validate_reply(spark, d):
+    f = v.files(spark, d)
+    n = F.col("doc_id")
+    names = F.when(n % 5 == 0, F.array(F.lit("a"), F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    chapters = F.when(n % 7 == 0, F.array(F.lit("a"), F.lit("c"))).otherwise(F.array(F.lit("b"), F.lit("a")))
+    parsed = f.select("repo_id", n.alias("prompt_id"), names.alias("names"), chapters.alias("chapters"), F.when(n % 3 == 0, F.array(F.lit("gone.py"))).otherwise(F.array("path")).alias("files"), F.when(n % 2 == 0, "2024").otherwise("2024-05").alias("month"))
+    return replies.validate_reply(parsed, f)
+
+
+@query(f"WITH c AS ({_CARDS}) SELECT repo_id, prompt_id, card, CASE WHEN card = 2 THEN 'Orders (' || (prompt_id % 9) || ' endpoints)' ELSE '' END AS context FROM c")
+def chapter_context(spark, d):
+    return replies.chapter_context(replies.split_cards(v.replies(spark, d)))
+
+
+# ---- usage
+
+_PRICE = "prices AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{m}', {a} / 1e6, {b} / 1e6, {c} / 1e6, {e} / 1e6, {t})" for p, m, a, b, c, e, t in C.PRICES) + ") t(provider, model, input, output, cache_read, cache_write, max_input))"
+_COST = "costed AS (SELECT u.*, input_tokens * input + output_tokens * output + cache_read_tokens * cache_read + cache_write_tokens * cache_write AS cost FROM usage_v u LEFT JOIN prices USING (provider, model))"
+
+
+def _costed(spark, d):
+    return usage.usage_cost(usage.price_for(v.llm_usage(spark, d), v.prices(spark)))
+
+
+@query(f"WITH {_PRICE} SELECT run_id, provider, model, count(*) AS records, CASE WHEN provider = 'gemini' THEN 1e-6 ELSE any_value(input) END AS p_input, CASE WHEN provider = 'gemini' THEN 0.0 ELSE any_value(output) END AS p_output FROM usage_v LEFT JOIN prices USING (provider, model) GROUP BY 1, 2, 3")
+def price_for(spark, d):
+    priced = usage.price_for(v.llm_usage(spark, d), v.prices(spark), usage.override_table(spark, v.OVERRIDES))
+    return priced.groupBy("run_id", "provider", "model").agg(F.count("*").alias("records"), F.first("p_input").alias("p_input"), F.first("p_output").alias("p_output"))
+
+
+@query(f"WITH {_PRICE}, {_COST} SELECT run_id, input_tokens, round(cost, 9) AS cost FROM costed")
+def usage_cost(spark, d):
+    return _costed(spark, d).select("run_id", "input_tokens", F.round("cost", 9).alias("cost"))
+
+
+@query(f"WITH {_PRICE}, {_COST} SELECT run_id, sum(input_tokens)::bigint AS input_tokens, sum(output_tokens)::bigint AS output_tokens, sum(cache_read_tokens)::bigint AS cache_read_tokens, sum(cache_write_tokens)::bigint AS cache_write_tokens, sum(duration_s) AS api_seconds, round(CASE WHEN count(*) = count(cost) THEN sum(cost) END, 9) AS cost FROM costed GROUP BY 1")
+def session_summary(spark, d):
+    return usage.session_summary(_costed(spark, d))
+
+
+@query(f"WITH {_PRICE}, {_COST} SELECT provider, model, grouping_id(provider, model)::int AS level, count(*) AS records, sum(input_tokens)::bigint AS input_tokens, sum(output_tokens)::bigint AS output_tokens, round(sum(cost), 6) AS cost FROM costed GROUP BY ROLLUP (provider, model)")
+def cost_rollup(spark, d):
+    return usage.cost_rollup(_costed(spark, d))
+
+
+_BODY = "body AS (SELECT repo_id, sum(length(content))::bigint AS body_chars FROM files_v GROUP BY 1)"
+_PLAN = "plan AS (SELECT repo_id, body_chars, template, shell_chars, calls_low, calls_high, CASE WHEN template = 'tour-chapter' THEN body_chars END AS body_max_chars FROM body, (VALUES " + ", ".join(map(str, usage.TEMPLATES)) + ") t(template, shell_chars, calls_low, calls_high))"
+
+
+def _plan(spark, d):
+    return usage.prompt_plan(v.files(spark, d).groupBy("repo_id").agg(F.sum(F.length("content")).alias("body_chars")))
+
+
+@query(f"WITH {_BODY}, {_PLAN} SELECT * FROM plan")
+def prompt_plan(spark, d):
+    return _plan(spark, d)
+
+
+@query(f"""WITH {_PRICE}, {_BODY}, {_PLAN}, p AS (SELECT *, shell_chars + body_chars AS chars FROM plan), e AS (SELECT repo_id, (sum(chars * calls_low) // 4)::bigint AS input_low, (sum(chars * calls_high) // 4)::bigint AS input_high, (sum(calls_high) * 16384)::bigint AS output_high, max(floor(chars / 2.5::double))::bigint AS largest_prompt FROM p GROUP BY 1)
+SELECT repo_id, input_low, input_high, output_high, largest_prompt, round(input_low * input, 6) AS cost_low, round(input_high * input + output_high * output, 6) AS cost_high, largest_prompt > max_input AS over_ceiling FROM e, prices WHERE provider = 'openai'""")
+def estimate_run(spark, d):
+    return usage.estimate_run(_plan(spark, d), v.prices(spark), "openai", "gpt-5.6-terra")
+
+
+@query("""WITH b AS (SELECT repo_id, sum(length(content) + 131)::bigint AS whole, avg(length(content) + 131) AS mean, max(length(content) + 131)::bigint AS largest, count(*) AS n FROM files_v GROUP BY 1), t AS (SELECT *, least(50, greatest(20, n // 20)) AS target FROM b)
+SELECT repo_id, floor(least(1e5, whole, target * mean * CASE WHEN n > target THEN 2.0 ELSE 1.0 END))::bigint AS likely, least(whole, 100000 + largest) AS most FROM t""")
+def codebase_size_estimate(spark, d):
+    return usage.codebase_size_estimate(v.files(spark, d), 100_000)
+
+
+@query("""WITH k AS (SELECT run_id, sha256(concat_ws('|', provider, model, '4096', text)) AS key, input_tokens FROM usage_v), r AS (SELECT DISTINCT key FROM k WHERE input_tokens % 2 = 0) SELECT run_id, count(*) AS calls, count(r.key) AS hits, count(r.key) / count(*)::double AS hit_rate FROM k LEFT JOIN r USING (key) GROUP BY 1""")
+def cache_hits(spark, d):
+    calls = v.llm_usage(spark, d).select("run_id", "provider", "model", F.lit(4096).alias("max_out"), F.concat(F.lit("<<<CACHE_BREAKPOINT>>>"), "text").alias("prompt"), "input_tokens")
+    return usage.cache_hits(calls, calls.where("input_tokens % 2 = 0").select(usage.cache_key().alias("key")))
+
+
+@query("SELECT run_id, coalesce(string_agg(DISTINCT provider || ':' || model, ',' ORDER BY provider || ':' || model) FILTER (NOT cached), '') AS models, count(*) FILTER (cached) AS cached_calls, count(*) AS calls FROM usage_v GROUP BY 1")
+def run_manifest(spark, d):
+    return usage.run_manifest(v.llm_usage(spark, d))
