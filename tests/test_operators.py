@@ -1,0 +1,140 @@
+"""Small cases of the rules that the stand-in tables do not reach."""
+
+from pyspark.sql import functions as F
+
+from quarry.operators import arch, budget, classify, history, imports, replies, schemas
+from quarry.operators import files as fs
+from quarry.sources import readers
+
+
+def column(spark, values, build):
+    df = spark.createDataFrame([(x,) for x in values], "path string")
+    return [r[0] for r in df.select(build("path")).collect()]
+
+
+def test_credentials(spark):
+    paths = ["a/.env.staging", ".envrc", "x/.env.example", ".env.Sample", "credentials.JSON", "k/server.PEM", "src/keys.py", "kubeconfig"]
+    assert column(spark, paths, fs.is_credential_named) == [True, True, False, False, True, True, False, True]
+
+
+def test_wanted_and_skipped(spark):
+    assert column(spark, ["Dockerfile", "dockerfile", ".gitignore", ".py", "a.PY", "x.tar.gz", "a/b.min.js"], fs.is_wanted) == [True, False, True, False, True, False, True]
+    assert column(spark, ["vendor/a.go", "src/vendor", "a/tests/b.py", "tests"], fs.under_skip_dir) == [True, False, True, False]
+
+
+def test_layers(spark):
+    cases = {"pkg/hub/server.go": "route", "cmd/claw/main.go": "route", "internal/dto/user.go": "response", "tools/gen/main.go": None, "app/views.py": "handler", "a/middleware/x.py": "middleware", "src/usecases/x.ts": "service", "src/x.spec.ts": None}
+    assert column(spark, list(cases), classify.backend_layer) == list(cases.values())
+    kinds = {"docker-compose.prod.yaml": "compose", "infra/prod.tfvars": "iac", "deploy/k8s/api.yaml": "k8s", "config.yaml": None, "requirements-dev.txt": "requirements"}
+    assert column(spark, list(kinds), classify.arch_source_kind) == list(kinds.values())
+    assert column(spark, ["src/trpc/_router.ts", "src/router.spec.ts", "app/x/route.ts", "x.proto"], classify.is_route_file) == [True, False, True, True]
+
+
+def test_walk_order(spark):
+    df = spark.createDataFrame([("r", p, 1, None, "") for p in ("a/b/c.py", "z.py", "a/z.py", "b.py")], "repo_id string, path string, size long, link_target string, content string")
+    got = [r["path"] for r in fs.list_files(df).orderBy("walk_rank").collect()]
+    assert got == ["b.py", "z.py", "a/z.py", "a/b/c.py"]
+
+
+def test_ignore_patterns(spark):
+    assert column(spark, ["a/b.py", "b.pyc", "docs/x.md", "a/docs/x.md"], lambda p: fs.path_match(p, ("*.py", "docs/"), ("a/docs/",))) == [True, False, True, False]
+
+
+def test_go_scanner():
+    text = 'g := gin.Default()\n// g.GET("/no", x)\ng.GET("/ping", ping)\nu := "http://x" /* .Get("/no") */\n'
+    clean = classify.go_without_comments(text)
+    assert "no" not in clean and "http://x" in clean
+    assert classify.go_strings('x := "a\\nb" + `raw` // "no"\nr := \'"\'') == ["a\nb", "raw"]
+
+
+def test_scope(spark):
+    df = spark.createDataFrame([(["a/b/c/x.py", "a/b/d/y.py"],), (["a/x.py", "b/y.py"],), (["a/x.py"],), (["x.py"],)], "files array<string>")
+    assert [r[0] for r in df.select(history.scope_of(F.col("files"))).collect()] == ["a/b", "", "a", ""]
+
+
+def test_budgets(spark):
+    rows = spark.createDataFrame([("r", f"p{i}", n, i) for i, n in enumerate([60, 50, 30, 20])], "repo_id string, path string, len long, ord int")
+    names = lambda df: sorted(r["path"] for r in df.collect())
+    assert names(budget.budget_prefix(rows, 100)) == ["p0", "p1"]
+    assert names(budget.budget_prefix_min1(rows, 50)) == ["p0"]
+    assert names(budget.budget_greedy(rows, 100)) == ["p0", "p2"]
+
+
+def test_fair_share(spark):
+    queue = spark.createDataFrame([("r", "route", f"routes/{i}.py", 500, i, False) for i in range(4)] + [("r", "handler", "views/a.py", 100, 1, False)], "repo_id string, layer string, path string, len long, ord int, blank boolean")
+    taken = [r["path"] for r in budget.budget_fair_share(queue, 1800).collect()]
+    assert "views/a.py" in taken and len(taken) == 4
+
+
+def test_redaction():
+    text, n = arch.redact_text("kind: Secret\ndata:\n  password: aGVsbG8=\n  other: x\nname: y\nurl: http://u:pw@h/x\n")
+    assert "aGVsbG8" not in text and "other: [REDACTED]" in text and ":pw@" not in text and n == 3
+    assert "hunter2" not in arch.redact_text("      - DB_PASSWORD=hunter2")[0]
+    assert arch.redact_text("a: 1\n---\nb: 2\n") == ("a: 1\n---\nb: 2\n", 0)
+
+
+def test_requirements(spark):
+    cases = {"requests[socks]>=2.0": ("requests", ">=2.0"), "git+https://x/y": (None, None), "a @ http://x": (None, None), "b": ("b", ""), "c[x": (None, None), "d ~=1 ; python_version>'3'": ("d", "~=1")}
+    df = spark.createDataFrame([(x,) for x in cases], "s string")
+    got = [tuple(r) for r in df.select(*arch.pep508(F.col("s"))).collect()]
+    assert got == list(cases.values())
+
+
+def test_go_client_names(spark):
+    cases = {"gopkg.in/yaml.v3": "yaml", "github.com/acme/clients/sdk-go/pkg/x": "acme", "github.com/stripe/stripe-go/v74": "stripe-go", "cloud.google.com/go/storage": "storage", "google.golang.org/grpc/credentials": "grpc"}
+    assert column(spark, list(cases), lambda p: arch.go_sdk_name(F.col(p))) == list(cases.values())
+
+
+def test_imports(spark):
+    text = 'import os.path\nimport a as b\nfrom x.y import z\nfrom . import q\n# import no\n"""\nimport no2\n"""\n'
+    df = spark.createDataFrame([("r", "m.py", text)], "repo_id string, path string, content string")
+    assert sorted(r["spec"] for r in imports.extract_imports(df).collect()) == ["os.path", "x.y"]
+    assert column(spark, ["a/../b/./c", "../x", "a//b"], lambda p: imports.normalize(F.col(p))) == ["b/c", None, "a/b"]
+
+
+def test_ambiguous_import_gives_no_edge(spark):
+    files = spark.createDataFrame([("r", p, "import a.b\n") for p in ("main.py", "a/b.py", "a/b/__init__.py")], "repo_id string, path string, content string")
+    assert imports.resolve_python(imports.extract_imports(files), files).count() == 0
+
+
+def test_commit_log(spark, tmp_path):
+    h = "a" * 40
+    (tmp_path / "log").write_text(f"\x00{h}|1577836800|Ann|a|b\nx.py\ny/z.py\n\x00{'b' * 64}|1|Bo|s\n\x00{'c' * 39}|1|Bo|s\n\x00{h}|9999999999999|Bo|s\n")
+    got = readers.read_commit_log(spark, str(tmp_path / "log"), "r").orderBy("seq").collect()
+    assert [(r["subject"], r["month"], r["files"]) for r in got] == [("s", "1970-01", []), ("a|b", "2020-01", ["x.py", "y/z.py"])]
+
+
+def test_read_repo_files(spark, tmp_path):
+    (tmp_path / "r1" / "src").mkdir(parents=True)
+    (tmp_path / "r1" / "src" / "a.py").write_text("é")
+    (tmp_path / "r1" / "bad.bin").write_bytes(b"\xff\xfe")
+    got = {r["path"]: r["content"] for r in readers.read_repo_files(spark, str(tmp_path)).collect()}
+    assert got == {"src/a.py": "é", "bad.bin": None}
+
+
+def test_reply_values(spark):
+    df = spark.createDataFrame([("r", 1, 'x {bad} {"a": 1} y'), ("r", 2, "none"), ("r", 3, '[0]\n```json\n{"b": 2}\n```')], "repo_id string, prompt_id int, text string")
+    assert [r["value"] for r in replies.reply_values(df).orderBy("prompt_id").collect()] == ['{"a": 1}', None, '{"b": 2}']
+
+
+def test_schema_tables(spark):
+    df = spark.createDataFrame([("r", 'CREATE TABLE IF NOT EXISTS public.orders (id int);\ncreate_table "users"\nmodel Post {\nclass Item(models.Model):')], "repo_id string, text string")
+    assert sorted(r["name"] for r in schemas.schema_tables(df).collect()) == ["item", "orders", "post", "users"]
+
+
+def test_no_python_in_builtin_plans(spark):
+    from quarry.plans import registry
+
+    for name in ("heatmap_pivots", "list_files", "pick_graves", "resolve_python", "cost_rollup"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert name == "resolve_python" or "Python" not in plan
+
+
+def test_stream(spark, tmp_path):
+    from quarry.streaming.history import stream_dir_activity
+
+    spark.sql("SELECT 'r' AS repo_id, 'a/b/x.py' AS path, timestamp'2024-01-02' AS at").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("repo_id string, path string, at timestamp").parquet(str(tmp_path / "in"))
+    q = stream_dir_activity(stream).writeStream.format("memory").queryName("activity").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(60)
+    assert [tuple(r) for r in spark.sql("SELECT dir, n FROM activity").collect()] == [("a/b", 1)]
