@@ -13,7 +13,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -132,9 +132,8 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The same rows and columns with every span of the text masked, and ``length`` set anew where it is a column."""
-    masked: Column = pandas_udf(_masked, "string")(text)
-    cols = [F.col(c) if c != text else F.col("masked").alias(text) for c in docs.columns]
+    rows = docs.select(F.struct("*").alias("row"), pandas_udf(_masked, "string")(F.col(text)).alias("masked"))
+    new = {text: F.col("masked")}
     if length in docs.columns:
-        k = docs.columns.index(length)
-        cols[k] = F.when(F.col(length).isNull(), None).otherwise(F.length("masked")).cast(docs.schema[length].dataType).alias(length)
-    return docs.select("*", masked.alias("masked")).select(*cols)
+        new[length] = F.when(F.col(f"row.{length}").isNotNull(), F.length("masked")).cast(docs.schema[length].dataType)
+    return rows.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     if not len(got):
         return None
     n, pos = sum(counts.values()), counts.get(1, 0)
-    return Machine([np.asarray(t) for t in got.t], got.y.to_numpy(dtype=float), pos / n)
+    return Machine([np.asarray(t, dtype=np.int64) for t in got.t], got.y.to_numpy(dtype=float), pos / n)
 
 
 def score(docs: DataFrame, machine: Machine | None, text: str = "text", doc_id: str = "doc_id", limit: float = 0.3) -> DataFrame:
