@@ -29,8 +29,8 @@ from quarry.functions.shared import materialize
 
 WORDS, BANDS, PER_BAND, SIMILAR = 5, 16, 4, 0.8
 HASHES = BANDS * PER_BAND
-#: Rounds of further hubs at most; each costs links in proportion to a bucket's members.
-TURNS = 4
+#: Rounds of further hubs at most, and hubs of a bucket in each; a hub costs links in proportion to the bucket's members.
+TURNS, HUBS = 2, 4
 #: Document frequencies are kept in a count sketch of this depth and width; terms in less than one of LIGHT documents weigh alike.
 DEPTH, WIDTH, LIGHT = 2, 1 << 17, 100
 #: Rows of the table that the samples' random numbers come from.
@@ -277,7 +277,7 @@ def components(links: DataFrame) -> DataFrame:
     labels = materialize(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("l")), "labels")
     while True:
         near = both.join(labels.select(F.col("v").alias("u"), F.col("l").alias("x")), "u").groupBy("v").agg(F.min("x").alias("x"))
-        step = materialize(labels.join(near, "v").select("v", "l", F.least("l", "x").alias("x")), "labels")
+        step = labels.join(near, "v").select("v", "l", F.least("l", "x").alias("x"))
         far = step.select(F.col("v").alias("x"), F.col("x").alias("y"))
         step = materialize(step.join(far, "x", "left").select("v", "l", F.least("x", F.coalesce("y", "x")).alias("x")), "labels")
         changed = step.where("x <> l").take(1)
@@ -314,11 +314,11 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     labels = components(links)
     for turn in range(TURNS):
         rest = unsettled(shared, labels)
-        # two other members of each bucket are its hubs in turn, and the members of other components meet them
-        pivots = rest.groupBy("h").agg(*(F.min_by(F.struct("fp", "label"), F.xxhash64("fp", F.lit(2 * turn + k))).alias(f"p{k}") for k in range(2)))
-        met = rest.join(pivots, "h")
-        met = [met.where(f"label <> p{k}.label").select(F.least("fp", f"p{k}.fp").alias("a"), F.greatest("fp", f"p{k}.fp").alias("b")) for k in range(2)]
-        more = verified(met[0].union(met[1]).distinct(), nodes, docs, sent, text, doc_id, similar)
+        # other members of each bucket are its hubs in turn, and the members of other components meet them
+        pivots = rest.groupBy("h").agg(F.array(*(F.min_by(F.struct("fp", "label"), F.xxhash64("fp", F.lit(turn * HUBS + k))) for k in range(HUBS))).alias("ps"))
+        met = rest.join(pivots, "h").select("fp", "label", F.explode(F.array_distinct("ps")).alias("p")).where("label <> p.label")
+        met = met.select(F.least("fp", "p.fp").alias("a"), F.greatest("fp", "p.fp").alias("b")).distinct()
+        more = verified(met, nodes, docs, sent, text, doc_id, similar)
         if not more.take(1):
             break
         links = links.union(more)
