@@ -79,7 +79,7 @@ def test_odd_rows(spark, odd):
     ids = Counter(r["doc_id"] for r in out["one"].collect())
     assert ids[4] == 1 and ids[5] == ids[6] == ids[13] == 0 and ids[7] == 1 and ids[None] == 1 and ids[1] == ids[2] == ids[3] == 1
     found = by_id(out["licenses"])
-    assert found[11]["base_labels"] == "apache,mit" and found[11]["labels"] == "apache,apache-2.0,mit" and (found[11]["first_word"], found[11]["last_word"]) == (0, 5)
+    assert found[11]["base_labels"] == "apache,mit" and found[11]["labels"] == "apache,apache-2.0,mit,mit-notice" and (found[11]["first_word"], found[11]["last_word"]) == (0, 5)
     hits = by_id(out["secrets"])
     assert (hits[12]["n_assign"], hits[12]["n_access"], hits[12]["n_hex"]) == (1, 1, 1)
     clean = by_id(out["redacted"])
