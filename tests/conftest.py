@@ -34,6 +34,7 @@ def duck():
 
 def rows(df):
     """Rows with columns by name, as comparable text, in any order."""
+    import numpy as np
     import pandas as pd
 
     def cell(x):
@@ -41,7 +42,7 @@ def rows(df):
             return str([cell(y) for y in x])
         if x is None or pd.isna(x):
             return "null"
-        if isinstance(x, bool) or type(x).__name__ == "bool_":
+        if isinstance(x, (bool, np.bool_)):
             return str(bool(x))
         return f"{float(x):.9g}" if isinstance(x, (int, float)) or hasattr(x, "item") else str(x)
 
