@@ -9,13 +9,16 @@ Exact copies are one node from the start, and a bucket's members are compared
 with the bucket's hub first, so a group of copies costs links in proportion to
 its members, not pairs. Where a bucket then still holds more than one component,
 other members of it become hubs in turn and meet the members of the other
-components, until a round finds no link. A link between two texts of one bucket
-is missed only if neither a common hub nor a chain of links joins them.
+components. What the hubs leave is compared in full: a bucket's members of
+different components whose weights can reach the similarity meet in tiles of
+bounded size, and a tile gives only links that join components. So every two
+texts that share a bucket are compared or already in one class.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +34,10 @@ WORDS, BANDS, PER_BAND, SIMILAR = 5, 16, 4, 0.8
 HASHES = BANDS * PER_BAND
 #: Rounds of further hubs at most, and hubs of a bucket in each; a hub costs links in proportion to the bucket's members.
 TURNS, HUBS = 2, 4
+#: Members of a tile's side: what a task holds of one bucket at a time.
+TILE = 512
+#: Texts of more than this weight (about a thousand words) count as several of a tile's members.
+PLAIN = 4000
 #: Document frequencies are kept in a count sketch of this depth and width; terms in less than one of LIGHT documents weigh alike.
 DEPTH, WIDTH, LIGHT = 2, 1 << 17, 100
 #: Rows of the table that the samples' random numbers come from.
@@ -188,6 +195,17 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / ((float(a[1].sum()) + float(b[1].sum()) - both) or 1.0)
 
 
+def jaccard_sorted(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """The same of sets whose hashes are sorted, by look-ups of the shorter in the longer."""
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    if not len(a[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    both = float(np.where(b[0][at] == a[0], np.minimum(a[1], b[1][at]), 0).sum())
+    return both / ((float(a[1].sum()) + float(b[1].sum()) - both) or 1.0)
+
+
 _samplers: dict = {}
 
 
@@ -200,34 +218,49 @@ def _sampler(sent) -> Sampler:
 
 
 def signatures(docs: DataFrame, sent, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, fp, bands, sig) of each row; the last three null for texts without words."""
+    """(doc_id, fp, bands, sig, weight) of each row; the last four null for texts without words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = _sampler(sent)
         order = _U(0x9E3779B97F4A7C15) ** np.arange(PER_BAND, dtype=np.uint64)
         for batch in batches:
-            fps, bands, sigs = [], [], []
+            fps, bands, sigs, weights = [], [], [], []
             for t in batch["t"]:
                 words = word_hashes(t or "")
-                fp, sig, band = fingerprint(words), None, None
+                fp, sig, band, weight = fingerprint(words), None, None, None
                 if fp is not None:
                     h, tf = shingles(words)
-                    drawn = s.sample(h, s.weights(h, tf))
+                    w = s.weights(h, tf)
+                    drawn, weight = s.sample(h, w), float(w.sum())
                     sig = (drawn >> _U(48)).astype(np.uint16).tobytes()
                     band = _mix((drawn.reshape(BANDS, PER_BAND) * order).sum(1, dtype=np.uint64)).view(np.int64)
                 fps.append(fp)
                 sigs.append(sig)
                 bands.append(band)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps, "bands": bands, "sig": sigs})
+                weights.append(weight)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps, "bands": bands, "sig": sigs, "weight": weights})
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).mapInPandas(run, f"doc_id {kind}, fp binary, bands array<long>, sig binary")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).mapInPandas(run, f"doc_id {kind}, fp binary, bands array<long>, sig binary, weight double")
 
 
 def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([float((np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)).mean()) for x, y in zip(a, b)], dtype=float)
 
 
+def texts_of(fps: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(fp, text) of the fingerprints, one text each."""
+    needed = fps.join(nodes.select("fp", "rep"), "fp")
+
+    def only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:  # ids may repeat with other texts
+            fps = [fingerprint(word_hashes(t or "")) for t in batch["text"]]
+            yield batch[[x == y for x, y in zip(fps, batch["fp"])]][["fp", "text"]]
+
+    texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text")).join(needed, "rep").select("fp", "text").mapInPandas(only, "fp binary, text string")
+    return materialize(texts.dropDuplicates(["fp"]), "texts")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, sent, text: str, doc_id: str, at_least: float) -> DataFrame:
     """Of the pairs (a, b) of fingerprints, those whose texts are similar enough.
 
@@ -237,15 +270,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, sent, text: st
     sig = nodes.select("fp", "sig", "rep")
     pairs = pairs.join(sig.select(F.col("fp").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("fp").alias("a"), F.col("sig").alias("sa")), "a")
     pairs = materialize(pairs.where(pandas_udf(_alike, "double")("sa", "sb") >= at_least - 0.2).select("a", "b"), "pairs")
-    needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes.select("fp", "rep"), "fp")
-
-    def only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:  # ids may repeat with other texts
-            fps = [fingerprint(word_hashes(t or "")) for t in batch["text"]]
-            yield batch[[x == y for x, y in zip(fps, batch["fp"])]][["fp", "text"]]
-
-    texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text")).join(needed, "rep").select("fp", "text").mapInPandas(only, "fp binary, text string")
-    texts = materialize(texts.dropDuplicates(["fp"]), "texts")
+    texts = texts_of(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), nodes, docs, text, doc_id)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = _sampler(sent)
@@ -293,6 +318,82 @@ def unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(known.join(mixed, "h"), "unsettled")
 
 
+def tiled(rest: DataFrame, nodes: DataFrame, docs: DataFrame, sent, text: str, doc_id: str, at_least: float) -> DataFrame:
+    """Links (a, b) between unsettled members of one bucket and different components, by their whole texts.
+
+    Two sets are as similar only if the lesser weight is that part of the greater,
+    so a member meets those of its own weight class and of the one below. Larger
+    groups are dealt into parts, and each two parts meet in a tile. Two texts are
+    compared in the first bucket that they share, and a tile gives one link for
+    each two components that it joins, never its pairs.
+    """
+    width = max(-math.log(max(at_least, 1e-3)), 1e-3) * 1.001
+    rows = rest.join(nodes.select("fp", "weight"), "fp").select("h", "fp", F.xxhash64("label").alias("l"), "weight", F.floor(F.log("weight") / width).alias("c"))
+    rows = rows.select("h", "fp", "l", "weight", "c", F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("k")).withColumn("own", F.col("k") == F.col("c"))
+    mixed = rows.groupBy("h", "k").agg(F.count("*").alias("n"), F.max("own").alias("any"), F.min("l").alias("lo"), F.max("l").alias("hi")).where("any and lo <> hi")
+    heavy = F.greatest(F.lit(1.0), F.exp(F.col("k") * width) / PLAIN)
+    parts = mixed.select("h", "k", F.least("n", F.ceil(F.col("n") * heavy / TILE)).cast("long").alias("parts"))
+    rows = materialize(rows.join(parts, ["h", "k"]).drop("c"), "mixed")
+    texts = texts_of(rows.select("fp").distinct(), nodes, docs, text, doc_id)
+    bands = F.transform("bands", lambda x, i: F.xxhash64(i, x))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("fp", "h"), "parts")).join(nodes.select("fp", "sig", bands.alias("bands")).join(texts, "fp"), "fp")
+    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.select("h", "k", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "fp", "l", "weight", "own", "part", "sig", "bands", "text")
+
+    def links(tile: pd.DataFrame) -> tuple[list, list]:
+        a, b, s = [], [], _sampler(sent)
+        fp, l, weight, own, part, h = (tile[x].to_numpy() for x in ("fp", "l", "weight", "own", "part", "h"))
+        l = l.copy()
+        if len(tile) < 2 or (l == l[0]).all():
+            return a, b
+        sig = np.frombuffer(b"".join(tile["sig"]), np.uint16).reshape(-1, HASHES)
+        buckets = np.stack(tile["bands"].to_list())
+        before = int(np.flatnonzero(buckets[0] == h[0])[0])
+        across, sets, own_terms = tile["i"].iloc[0] != tile["j"].iloc[0], {}, None
+
+        def terms(x: int):
+            if x not in sets:
+                hashes, tf = shingles(word_hashes(tile["text"].iat[x]))
+                sets[x] = hashes, s.weights(hashes, tf)
+            return sets[x]
+
+        for r in range(len(tile) - 1):
+            near = slice(r + 1, r + 1 + int(np.searchsorted(weight[r + 1 :], weight[r] / at_least * 1.000001, "right")))
+            ok = (l[near] != l[r]) & (own[near] | own[r])
+            if across:
+                ok &= part[near] != part[r]
+            at = np.flatnonzero(ok) + r + 1
+            if len(at):
+                at = at[(sig[at] == sig[r]).mean(1) >= at_least - 0.2]
+            if len(at) and before:
+                at = at[~(buckets[at, :before] == buckets[r, :before]).any(1)]
+            own_terms = terms(r) if len(at) else None
+            for x in at:
+                if l[x] != l[r] and jaccard_sorted(own_terms, terms(x)) >= at_least:
+                    a.append(fp[r])
+                    b.append(fp[x])
+                    l[l == l[x]] = l[r]
+            sets.pop(r, None)  # later rows don't meet it again
+        return a, b
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None
+        for batch in batches:
+            if left is not None:
+                batch = pd.concat([left, batch], ignore_index=True)
+            key = batch[["h", "k", "i", "j"]].to_numpy()
+            ends = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1)]
+            found = [links(batch.iloc[x:y]) for x, y in zip(ends, ends[1:])]
+            yield pd.DataFrame({"a": [x for a, _ in found for x in a], "b": [x for _, b in found for x in b]})
+            left = batch.iloc[ends[-1] :].reset_index(drop=True)
+        if left is not None and len(left):
+            a, b = links(left)
+            yield pd.DataFrame({"a": a, "b": b})
+
+    tiles = rows.repartition("h", "k", "i", "j").sortWithinPartitions("h", "k", "i", "j", "weight")
+    return materialize(tiles.mapInPandas(meet, "a binary, b binary"), "links")
+
+
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
     """One row per input row: doc_id, class_id, class_size.
 
@@ -306,7 +407,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     n, sketch = document_frequencies(docs, text)
     sent = spark.sparkContext.broadcast((f"{spark.sparkContext.applicationId}-{id(sketch)}-{n}", n, sketch))
     rows = materialize(signatures(docs, sent, text, doc_id), "signatures")
-    nodes = materialize(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
+    nodes = materialize(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("weight").alias("weight")), "nodes")
     members = materialize(nodes.select("fp", F.posexplode("bands").alias("band", "h")).select("fp", F.xxhash64("band", "h").alias("h")), "members")
     hubs = members.groupBy("h").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("h", "a")
     shared = materialize(members.join(hubs, "h"), "shared")
@@ -323,6 +424,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
             break
         links = links.union(more)
         labels = components(links)
+    more = tiled(unsettled(shared, labels), nodes, docs, sent, text, doc_id, similar)
+    if more.take(1):
+        labels = components(links.union(more))
     whole = nodes.select("fp", "rep", "n").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     whole = materialize(whole, "labelled")
     named = whole.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
