@@ -5,6 +5,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +252,42 @@ def test_pipeline_takes_effect(spark, docs):
         if name == "secret_scans":
             assert all(not secrets.find(r["text"])[0] for r in work.collect())
     assert corpus_pipeline.run(spark, SF).count() == corpus_pipeline.STAGES[-1][1](spark, work, SF).count()
+
+
+def test_every_two_texts_of_a_bucket_are_compared(spark, monkeypatch):
+    """Classes with tiny tiles and no further hubs, against all pairs that share a bucket."""
+    monkeypatch.setattr(neardup, "TURNS", 0)
+    monkeypatch.setattr(neardup, "TILE", 3)
+    monkeypatch.setattr(neardup, "PLAIN", 200)
+    rng, data = np.random.default_rng(3), []
+    for family in range(5):
+        base = [f"f{family}w{i}" for i in range(120)]
+        for k in range(40):
+            words = base + [f"f{family}k{k}x{i}" for i in range(int(rng.integers(0, 14)))]
+            for at in rng.choice(120, int(rng.integers(0, 3)), replace=False):
+                words[at] = f"c{k}at{at}"
+            data.append((family * 100 + k, " ".join(words)))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    sketch = neardup.document_frequencies(docs, "text")
+    sampler, rows = neardup.Sampler(*sketch), []
+    order = np.uint64(0x9E3779B97F4A7C15) ** np.arange(neardup.PER_BAND, dtype=np.uint64)
+    for d, t in data:
+        h, tf = neardup.shingles(neardup.word_hashes(t))
+        w = sampler.weights(h, tf)
+        rows.append((d, (h, w), (sampler.sample(h, w).reshape(neardup.BANDS, -1) * order).sum(1, dtype=np.uint64)))
+    top = {d: d for d, _ in data}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i, (d, a, b) in enumerate(rows):
+        for e, c, g in rows[:i]:
+            j = neardup.jaccard(a, c)
+            assert abs(j - neardup.jaccard_sorted(a, c)) < 1e-6
+            if (b == g).any() and j >= neardup.SIMILAR:
+                x, y = sorted((find(d), find(e)))
+                top[y] = x
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()}
+    assert got == {d: find(d) for d in top} and 5 < len(set(got.values())) < 190
