@@ -11,6 +11,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,9 +24,10 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Weak parts: alone they are ordinary text.
-WEAK_ID = re.compile(r"(?:access_key_id|client_id|user(?:name)?|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{4,128})", re.A | re.I)
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,127}[0-9])(?=[A-Za-z0-9+/_-]{0,127}[A-Z])(?=[A-Za-z0-9+/_-]{0,127}[a-z])[A-Za-z0-9+/_-]{20,128}(?![A-Za-z0-9+/_-])")
-ENDPOINT = re.compile(r"(?:https?|jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|mongodb|redis|s3)://[^\s\"'<>]{4,256}|(?:endpoint|host|server)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.:-]{4,128})", re.A | re.I)
+WEAK_ID = re.compile(r"(?:access_key_id|client_id|user(?:name)?|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{4,})", re.A | re.I)
+WEAK_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}")
+CLASSES = tuple(map(re.compile, ("[0-9]", "[A-Z]", "[a-z]")))
+ENDPOINT = re.compile(r"(?:https?|jdbc:[a-z]{2,}|postgres(?:ql)?|mysql|mongodb|redis|s3)://[^\s\"'<>]{4,}|(?:endpoint|host|server)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.:-]{4,})", re.A | re.I)
 KEYWORDS = ("passw", "secret", "token", "api_key", "apikey")
 HINTS = ("akia", "access_key_id", "client_id", "user", "account")
 
@@ -41,43 +43,38 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def linked_spans(text: str, base: list[tuple[int, int, str]], scope: int = 200) -> list[tuple[int, int, str]]:
-    """Weak parts that stand within ``scope`` characters of an identifier together with a complementary part.
+    """Weak parts that reach within ``scope`` characters of an identifier together with a complementary part.
 
     Parts: identifiers (access, weak ids), secrets (assign, hex, weak secrets),
     endpoints. A scope needs its identifier and a secret; endpoints and weak
-    identifiers are reported with them, never alone.
+    identifiers are reported with them, never alone. A part is in a scope when the
+    two overlap; it is left out when a base span covers its whole value.
     """
     low = text.lower()
     if not any(k in low for k in HINTS):
         return []
     strong = [(s, e) for s, e, k in base if k == "access"]
-    weak = [m.span() for m in WEAK_ID.finditer(text)]
     covered = [sorted((s, e) for s, e, k in base if k == kind) for kind in KINDS[:3]]
 
-    def free(span):  # of a kind, which does not overlap itself, only the last one before the end can reach it
-        return not any((k := bisect_left(of_kind, (span[1],))) and of_kind[k - 1][1] > span[0] for of_kind in covered)
+    def free(m):  # of a kind, which does not overlap itself, only the last one that starts no later can cover the value
+        s, e = m.span(m.lastindex or 0)
+        return not any((k := bisect_left(of_kind, (s + 1,))) and of_kind[k - 1][1] >= e for of_kind in covered)
 
-    ids = sorted([(s, e, True) for s, e in strong] + [(s, e, False) for s, e in weak if free((s, e))])
+    ids = sorted([(s, e, True) for s, e in strong] + [(*m.span(), False) for m in WEAK_ID.finditer(text) if free(m)])
     if not ids:
         return []
-    secrets = sorted([(s, e, True) for s, e, k in base if k != "access"] + [(*m.span(), False) for m in WEAK_SECRET.finditer(text) if free(m.span())])
-    points = sorted(m.span() for m in ENDPOINT.finditer(text) if free(m.span()))
-    at_secret, at_point = [x[0] for x in secrets], [x[0] for x in points]
-    out = set()
-    used_s = used_p = 0  # identifiers are in order, so no part is looked at twice for long
-    for s, e, known in ids:
-        lo, hi = s - scope, e + scope
-        a, b = max(used_s, bisect_left(at_secret, lo)), bisect_left(at_secret, hi)
-        near = bisect_left(at_secret, lo) < b
-        if not near:
-            continue
-        if not known:
-            out.add((s, e, "linked_id"))
-        out.update((x, y, "linked_secret") for x, y, sure in secrets[a:b] if not sure)
-        c, d = max(used_p, bisect_left(at_point, lo)), bisect_left(at_point, hi)
-        out.update((x, y, "linked_endpoint") for x, y in points[c:d])
-        used_s, used_p = max(used_s, b), max(used_p, d)
-    return list(out)
+    weak = [m.span() for m in WEAK_RUN.finditer(text) if all(c.search(m[0]) for c in CLASSES) and free(m)]
+    secrets = sorted([(s, e) for s, e, k in base if k != "access"] + weak)
+    begins, ends = [s for s, _ in secrets], list(accumulate((e for _, e in secrets), max))
+    near = lambda lo, hi: (b := bisect_left(begins, hi)) > 0 and ends[b - 1] > lo
+    scopes = [(s, e, known) for s, e, known in ids if near(s - scope, e + scope)]
+    opens, closes = [s - scope for s, _, _ in scopes], list(accumulate((e + scope for _, e, _ in scopes), max))
+    within = lambda x, y: (b := bisect_left(opens, y)) > 0 and closes[b - 1] > x
+    return (
+        [(s, e, "linked_id") for s, e, known in scopes if not known]
+        + [(x, y, "linked_secret") for x, y in weak if within(x, y)]
+        + [(*m.span(), "linked_endpoint") for m in ENDPOINT.finditer(text) if free(m) and within(*m.span())]
+    )
 
 
 def find(text: str | None, scope: int = 200) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

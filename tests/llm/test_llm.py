@@ -239,6 +239,47 @@ def test_secrets_are_linked_only_with_their_parts():
     assert secrets.mask(linked) == "[SECRET] then [SECRET] at [SECRET]"
 
 
+def linked_by_pairs(text, scope=200):
+    """Every identifier with every part, where their whole values and intervals decide."""
+    base = secrets.base_spans(text)
+    free = lambda s, e: not any(x <= s and e <= y for x, y, _ in base)
+    ids = [(s, e, True) for s, e, k in base if k == "access"] + [(*m.span(), False) for m in secrets.WEAK_ID.finditer(text) if free(*m.span(1))]
+    runs = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_-]+", text) if len(m[0]) >= 20 and text[m.start() - 1 : m.start()] != "=" and all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+    weak = [x for x in runs if free(*x)]
+    points = [m.span() for m in secrets.ENDPOINT.finditer(text) if free(*m.span(1 if m[1] else 0))]
+    out = set()
+    for s, e, known in ids:
+        meets = lambda x: x[1] > s - scope and x[0] < e + scope
+        if any(map(meets, weak + [x[:2] for x in base if x[2] != "access"])):
+            out |= {(*x, "linked_secret") for x in weak if meets(x)} | {(*x, "linked_endpoint") for x in points if meets(x)} | (set() if known else {(s, e, "linked_id")})
+    return out
+
+
+def test_secrets_of_any_length_are_linked_and_masked():
+    key = "aB3" * 200
+    for n in (20, 126, 128, 129, 600):
+        assert secrets.mask(f"client_id = webapp1 then {key[:n]} ok") == "[SECRET] then [SECRET] ok"
+    name, tail = "n" * 300, "/p" * 200 + "?sig=last"
+    assert secrets.mask(f"user: {name} and {key} user: abcd at https://bob:pw1@h.example.com{tail} ok") == "[SECRET] and [SECRET] [SECRET] at [SECRET] ok"
+    assert secrets.mask(f"{key} user: abcd host = {name} ok") == "[SECRET] [SECRET] [SECRET] ok"
+    # credentials of the fixed patterns inside of a longer part don't take the rest of it out
+    assert secrets.mask(f"user: abcd https://bob:pw1@h.example.com/?token=abcdefgh&x={'y' * 300} ok") == "[SECRET] [SECRET] ok"
+    assert secrets.mask(f"account = first-{'0a' * 12}.last ok") == "[SECRET] ok"
+    for part in ("0a" * 130, "password=" + "x" * 250, key):  # starts more than 200 characters before the identifier, ends beside it
+        assert "linked_id" in [k for *_, k in secrets.find(f"{part} user: abcd")[1]]
+    assert secrets.find(f"{key} {'x ' * 100}user: abcd")[1] == []
+    # nearest places that are out of scope and in it
+    assert not secrets.find(f"{key}{' ' * 200}user: abcd")[1] and secrets.find(f"{key}{' ' * 199}user: abcd")[1]
+
+
+def test_linked_spans_by_pairs():
+    rng, parts = np.random.default_rng(5), ["user: bob1", "client_id=" + "w" * 200, "AKIA" + "Q7" * 9, "password = hunter22", "0a" * 14, "0a" * 150, "aB3" * 9, "aB3" * 99, "https://u:p@h.example.com/x", "https://h.example.com/?token=abcdefgh&y=" + "z" * 200, "host: db.example.com", "account: " + "0a" * 13 + ".x", "x " * 60, "y " * 110]
+    for _ in range(500):
+        text = " ".join(rng.choice(parts, int(rng.integers(2, 14))))
+        got = secrets.linked_spans(text, secrets.base_spans(text))
+        assert len(got) == len(set(got)) and set(got) == linked_by_pairs(text), text
+
+
 def test_pipeline_takes_effect(spark, docs):
     work = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
