@@ -1,11 +1,14 @@
 """Licence scan with a positional rare-token index, in built-in expressions only.
 
 Method: the licence templates' words form a fixed vocabulary whose document
-frequencies are counted over the whole corpus. Each file looks up its licence
-words of the highest inverse document frequency, in each template's postings;
-places of the template (word position in the file minus position in the
-template) that several lookups agree on are candidates; a candidate stands when
-all mandatory phrases of the template are at their places.
+frequencies are counted over the whole corpus. Each template has lookups of its
+own, its words of the highest inverse document frequency, some of its mandatory
+phrases always among them; a file looks up those of every template whose
+mandatory words it has, in the postings; places of the template (word position
+in the file minus position in the template) that several lookups agree on are
+candidates; a candidate stands when all mandatory phrases of the template are at
+their places. As mandatory words are always looked up, no template that stands
+is left out, whatever else is in the file.
 """
 
 from __future__ import annotations
@@ -70,6 +73,21 @@ def idf_order(words: DataFrame, templates=TEMPLATES) -> list[str]:
     return sorted(vocabulary, key=lambda w: (found.get(w, 0), w))
 
 
+def template_lookups(rank: list[str], parsed, lookups: int, agree: int) -> tuple[list[tuple[list[str], list[str]]], int]:
+    """(mandatory words, words looked up) of each template, and how many must agree at a place.
+
+    The ``agree`` rarest mandatory words are always looked up, however few the lookups.
+    """
+    out, need = [], agree
+    for _, ws, phrases in parsed:
+        inside = [w for _, p in phrases for w in p]
+        must = [w for w in rank if w in inside]
+        sure = must[:agree]
+        need = min(need, sum(w in sure for w in inside))
+        out.append((must, sure + [w for w in rank if w in ws and w not in sure][: max(lookups - len(sure), 0)]))
+    return out, need
+
+
 def _places(words: Column, phrase: list[str]) -> Column:
     """Starts (from 0) of the phrase's words standing consecutively."""
     last = len(phrase) - 1
@@ -108,8 +126,8 @@ def _share(words):
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates=TEMPLATES, lookups: int = 8, agree: int = 2) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    A template is a candidate at a place that ``agree`` of the file's
-    ``lookups`` rarest licence words point to. score is the share of a found
+    A template is a candidate at a place that ``agree`` of its own ``lookups``
+    rarest words point to. score is the share of a found
     template's words that stand at its place (the best of them), at least 0.5
     where a phrase stands, else 0. Null and empty texts have no words and no
     labels; repeated rows each get a row; other columns are not read.
@@ -117,9 +135,13 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates=
     parsed = parse(templates)
     base = docs.select(F.col(doc_id).alias("doc_id"), words_of(text).alias("ws"))
     rank = idf_order(base.select("ws"), templates)
-    postings = {w: [(t, p) for t, (_, ws, _) in enumerate(parsed) for p, x in enumerate(ws) if x == w] for w in rank}
+    of_template, agree = template_lookups(rank, parsed, lookups, agree)
+    postings = {w: [(t, p) for t, (_, ws, _) in enumerate(parsed) if w in of_template[t][1] for p, x in enumerate(ws) if x == w] for w in rank}
+    postings = {w: ps for w, ps in postings.items() if ps}
+    rows = base.select("doc_id", "ws", F.size("ws").cast("long").alias("n_words"), F.array_intersect(_strings(rank), "ws").alias("present"))
     # 'rare' is empty for most rows: everything behind it then costs nothing
-    rows = base.select("doc_id", "ws", F.size("ws").cast("long").alias("n_words"), F.slice(F.array_intersect(_strings(rank), "ws"), 1, lookups).alias("rare"))
+    own = [F.when(F.size(F.array_intersect("present", _strings(must))) == len(must), _strings(found)).otherwise(_strings([]).cast("array<string>")) for must, found in of_template]
+    rows = rows.withColumn("rare", F.array_intersect("present", F.flatten(F.array(*own)))).drop("present")
     some = F.size("rare") > 0
     empty_hits = F.array().cast("array<struct<w:string,i:int>>")
     hits = F.when(some, F.filter(F.transform("ws", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains("rare", h["w"]))).otherwise(empty_hits)
@@ -141,7 +163,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates=
         best.append(F.array_max(f"t{t}"))
     any_word = {p.split()[0] for p, _ in PHRASES}
     for k, (phrase, _) in enumerate(PHRASES):
-        rows = rows.withColumn(f"p{k}", F.when(F.array_contains("rare", phrase.split()[-1]) | F.arrays_overlap(F.array_intersect("ws", _strings(sorted(any_word))), _strings(sorted(any_word))), _places(F.col("ws"), phrase.split())))
+        rows = rows.withColumn(f"p{k}", F.when(F.arrays_overlap(F.array_intersect("ws", _strings(sorted(any_word))), _strings(sorted(any_word))), _places(F.col("ws"), phrase.split())))
     starts = [F.coalesce(f"p{k}", F.array().cast("array<int>")) for k in range(len(PHRASES))]
     every = F.concat(*starts)
     labels = F.array_compact(F.array(*(F.when(F.size(s) > 0, label) for s, (_, label) in zip(starts, PHRASES))))

@@ -144,6 +144,31 @@ def test_licenses_brute_force(spark, docs):
             assert label in base or (label not in g["labels"].split(",")) or stands
 
 
+def stands_at(words, template):
+    """Labels and best score of the templates whose mandatory phrases stand in the words, place by place."""
+    label, ws, marks = template
+    places = [o for o in range(-len(ws), len(words)) if o + marks[0][0] >= 0 and all(words[o + p : o + p + len(m)] == m for p, m in marks)]
+    return max((sum(0 <= o + j < len(words) and words[o + j] == w for j, w in enumerate(ws)) / len(ws) for o in places), default=None)
+
+
+def test_every_licence_of_a_file(spark, docs):
+    """Labels and scores in both directions, on files with several licences and with many words of the vocabulary."""
+    texts = {label: text.replace("[", "").replace("]", "") for label, text in licenses.TEMPLATES}
+    everything = " ".join(sorted({w for t in texts.values() for w in t.split()}))
+    files = [" lorem ".join(texts.values()), " lorem ".join(list(texts.values())[::-1]), everything, f"{everything} {texts['bsd']}"]
+    files += [f"{a} work form 2 {b}" for a in texts.values() for b in texts.values()]
+    common = [f"{texts[k]} {i}" for i in range(40) for k in ("bsd", "mpl-2.0", "gpl-3.0", "cc-by-sa-4.0", "apache-2.0")]  # the words of "mit" are then the rarest ones
+    df = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate([*files, *common])], "doc_id long, text string").union(docs.select("doc_id", "text")).cache()
+    got, parsed = by_id(licenses.scan(df)), licenses.parse()
+    for r in df.collect():
+        words = re.findall(licenses.WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r["text"] or ""))
+        base = {label for p, label in licenses.PHRASES if f" {p} " in f" {' '.join(words)} "}
+        best = {t[0]: s for t in parsed if (s := stands_at(words, t)) is not None}
+        assert got[r["doc_id"]]["labels"] == ",".join(sorted(base | set(best))), r["text"]
+        assert got[r["doc_id"]]["score"] == pytest.approx(max([0.0, *([0.5] if base else []), *best.values()]))
+    assert set(got[10**9]["labels"].split(",")) >= set(texts)
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify(docs, language.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
