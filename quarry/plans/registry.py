@@ -569,7 +569,7 @@ SELECT repo_id, 'orders' || doc_id AS name FROM files_v WHERE path = 'db/schema.
 
 def _tables(spark, d):
     heads = v.files(spark, d).where("path = 'db/schema.sql' or path like 'db/migrations/%' or path like 'app%/models.py'")
-    return schemas.schema_tables(heads.select("repo_id", F.substring_index("content", "\n", 2).alias("text")))
+    return schemas.schema_tables(heads.select("repo_id", F.col("content").alias("text")))
 
 
 @query(f"WITH {_TABLES} SELECT * FROM tables")
@@ -597,7 +597,7 @@ def table_batches(spark, d):
 @query("""WITH p AS (SELECT repo_id, prompt_id, length(text) - length('```mermaid' || chr(10) || 'erDiagram' || chr(10) || '  users ||--o{ orders' || prompt_id || ' : has' || chr(10) || '  ghosts ||--o{ users : see' || chr(10) || '```') AS rest FROM replies_v)
 SELECT repo_id, prompt_id, 0 AS pos, 'mermaid' AS kind, 'erDiagram' || chr(10) || '  users ||--o{ orders' || prompt_id || ' : has' || chr(10) || '  ghosts ||--o{ users : see' AS body, rest FROM p UNION ALL SELECT repo_id, prompt_id, 1, 'json', '{"a": ' || prompt_id || '}', rest FROM p""")
 def reply_fences(spark, d):
-    return replies.reply_fences(v.replies(spark, d))
+    return replies.reply_fences(v.replies(spark, d, chars=40))  # the SQL counts the characters of such replies
 
 
 @query()

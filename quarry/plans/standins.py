@@ -81,11 +81,12 @@ def files(spark, d) -> DataFrame:
     return rows.select("repo_id", "path", F.octet_length("content").cast("long").alias("size"), F.lit(None).cast("string").alias("link_target"), "content", "doc_id")
 
 
-def replies(spark, d) -> DataFrame:
+def replies(spark, d, chars: int | None = None) -> DataFrame:
+    """Replies around the whole text, or its first ``chars`` characters."""
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
     n = F.col("doc_id").cast("string")
     text = F.concat(
-        F.lit("intro\n## Overview\n"), F.substring("text", 1, 40), F.lit("\n## Cards\n### Orders ("), (F.col("doc_id") % 9).cast("string"), F.lit(" endpoints)\n**Owner:** dev"), n,
+        F.lit("intro\n## Overview\n"), "text" if chars is None else F.substring("text", 1, chars), F.lit("\n## Cards\n### Orders ("), (F.col("doc_id") % 9).cast("string"), F.lit(" endpoints)\n**Owner:** dev"), n,
         F.lit("\n### `users` ("), (F.col("doc_id") % 5).cast("string"), F.lit(" endpoints)\nbody\n```mermaid\nerDiagram\n  users ||--o{ orders"), n, F.lit(" : has\n  ghosts ||--o{ users : see\n```\n```json\n{\"a\": "), n, F.lit("}\n```\n"))
     return docs.select(F.col("source").alias("repo_id"), F.col("doc_id").alias("prompt_id"), text.alias("text"))
 

@@ -1,5 +1,7 @@
 """Every query against its SQL on the smallest tables."""
 
+import re
+
 import pytest
 
 from quarry.plans import registry
@@ -25,3 +27,32 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def documents(spark, folder, texts):
+    """Documents of one source; a document's number decides which file it is."""
+    spark.createDataFrame([(k, "s", t) for k, t in texts.items()], "doc_id long, source string, text string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_schema_queries_read_whole_files(spark, tmp_path):
+    prose = "create " + "word " * 20_000  # no stack is used for the words between CREATE and TABLE
+    texts = {12: f"{prose}\nCREATE TABLE late_a (id int);", 13: "x\n" * 50 + "CREATE TEMP TABLE IF NOT EXISTS s.Late_B (id int);\ncreate create unlogged table late_c (", 14: "def f(): pass\n\nclass LateD(models.Model):\n    pass", 15: "CREATE TABLE of_no_schema (id int);"}
+    d = documents(spark, tmp_path, texts)
+    want = {"t12", "late_a", "orders13", "users", "late_b", "late_c", "order14", "lated"}
+    assert {r["name"] for r in registry.queries()["schema_tables"](spark, d).collect()} == want
+    batches = registry.queries()["table_batches"](spark, d).collect()
+    assert ",".join(r["names"] for r in sorted(batches, key=lambda r: r["batch"])) == ",".join(sorted(want))
+
+
+def test_reply_queries_read_whole_texts(spark, tmp_path):
+    text = "word " * 5_000 + "\n## Late\n### `users` view\n### Last (4 endpoints)\n**Owner:** late\n```json\n{\"late\": 1}\n```\n  users ||--o{ users : self\n"
+    d = documents(spark, tmp_path, {1: text, 13: "short"})
+    ask = lambda name: [r for r in registry.queries()[name](spark, d).collect() if r["prompt_id"] == 1]
+    cards = [m.strip() for m in re.findall(r"(?m)^### (.*)$", text)] + ["Orders (1 endpoints)", "`users` (1 endpoints)"]
+    assert [r["title"] for r in sorted(ask("split_cards"), key=lambda r: r["card"])] == cards
+    assert [r["context"] for r in sorted(ask("chapter_context"), key=lambda r: r["card"])][1].startswith(cards[0])
+    assert sorted(r["section"] for r in ask("split_sections")) == ["cards", "late", "overview"]
+    assert [r["value"] for r in ask("reply_values")] == ['{"late": 1}'] and [r["owner"] for r in ask("labelled_field")] == ["late"]
+    assert {r["name"]: r["n"] for r in ask("feature_group_sizes")} == {"Last": 4, "Orders": 1, "`users`": 1}
+    assert [r["name"] for r in ask("reply_tables")] == ["users"]
