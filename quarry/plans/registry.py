@@ -442,7 +442,7 @@ def deps_requirements(spark, d):
 @query()
 def deps_pyproject(spark, d):
     text = F.concat(F.lit('[project]\nname = "x"\ndependencies = ["numpy>=1", "lib'), F.col("doc_id").cast("string"), F.lit('[a]==2; python_version > \'3\'"]\n'))
-    toml = v.files(spark, d).where("doc_id % 4 = 0").withColumn("path", F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit("/pyproject.toml"))).withColumn("content", text)
+    toml = v.files(spark, d).withColumn("path", F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit("/pyproject.toml"))).withColumn("content", text)
     return arch.deps_pyproject(toml)
 
 
@@ -489,8 +489,7 @@ _PYSPECS = "specs AS (SELECT repo_id, path, unnest(['os', 'pkg.m' || (doc_id % 2
 @query(f"WITH {_PYSPECS}, c AS (SELECT repo_id, path, spec, unnest([replace(spec, '.', '/') || '.py', replace(spec, '.', '/') || '/__init__.py']) AS to_path FROM specs), h AS (SELECT DISTINCT c.* FROM c JOIN files_v f ON f.repo_id = c.repo_id AND f.path = c.to_path) SELECT DISTINCT repo_id, path AS from_path, min(to_path) AS to_path FROM h GROUP BY repo_id, path, spec HAVING count(*) = 1 AND path <> min(to_path)")
 def resolve_python(spark, d):
     f = v.files(spark, d)
-    known = imports.extract_imports(f.where("path like 'src/app/views/%' or path like 'pkg/m%'"))
-    return imports.resolve_python(known, f)
+    return imports.resolve_python(imports.extract_imports(f), f)
 
 
 @query()

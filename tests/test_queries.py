@@ -56,3 +56,11 @@ def test_reply_queries_read_whole_texts(spark, tmp_path):
     assert [r["value"] for r in ask("reply_values")] == ['{"late": 1}'] and [r["owner"] for r in ask("labelled_field")] == ["late"]
     assert {r["name"]: r["n"] for r in ask("feature_group_sizes")} == {"Last": 4, "Orders": 1, "`users`": 1}
     assert [r["name"] for r in ask("reply_tables")] == ["users"]
+
+
+def test_every_document_reaches_python_imports_and_pyproject(spark, tmp_path):
+    say = "\nfrom pkg.m1 import thing\n"
+    d = documents(spark, tmp_path, {1: "", 0: "", 14: say, 22: say, 24: say, 23: say})  # 14 models.py, 22 a client, 24 a serializer, 23 no Python
+    got = {(r["from_path"], r["to_path"]) for r in registry.queries()["resolve_python"](spark, d).collect()}
+    assert got == {(p, "pkg/m1.py") for p in ("app14/models.py", "integrations/slack22/client.py", "src/serializers/s24.py")}
+    assert {r["name"] for r in registry.queries()["deps_pyproject"](spark, d).collect()} >= {f"lib{k}" for k in (1, 0, 14, 22, 24, 23)}
