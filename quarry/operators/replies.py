@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import yaml
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -22,12 +24,30 @@ def reply_fences(replies: DataFrame) -> DataFrame:
     return rows.select(*KEY, "pos", F.col("f.kind").alias("kind"), F.trim(F.regexp_replace("f.body", r"^\s+|\s+$", "")).alias("body"), "rest")
 
 
+YAML = re.compile(r"(?s)```yaml\s*\n(.*?)```")
+
+
+def _plain(x):
+    """The YAML value as JSON has it: names, dates and the like as strings, sets as lists."""
+    if isinstance(x, dict):
+        return {k if k is None or isinstance(k, (str, int, float)) else str(k): _plain(v) for k, v in x.items()}
+    if isinstance(x, (list, tuple, set)):
+        return [_plain(v) for v in x]
+    return x if x is None or isinstance(x, (str, int, float)) else str(x)
+
+
 def _values(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     read = json.JSONDecoder()
 
     def one(text):
         text = text or ""
         at = text.find("```json")
+        fence = YAML.search(text) if at < 0 else None
+        if fence:
+            try:
+                return json.dumps(_plain(yaml.safe_load(fence[1]))), None
+            except (yaml.YAMLError, ValueError, TypeError, AttributeError, KeyError, RecursionError):
+                return None, "no decodable value"
         text = text[at + 7 :] if at >= 0 else text
         k = min((x for x in (text.find("{"), text.find("[")) if x >= 0), default=-1)
         while k >= 0:
@@ -42,7 +62,7 @@ def _values(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def reply_values(replies: DataFrame) -> DataFrame:
-    """The first decodable JSON value of each reply, or the reason there is none."""
+    """The first decodable JSON value of each reply, or its YAML fence's value as JSON where no JSON fence stands, or the reason there is none."""
     return replies.select(*KEY, pandas_udf(_values, "value string, reason string")("text").alias("v")).select(*KEY, "v.value", "v.reason")
 
 
@@ -100,7 +120,7 @@ def validate_reply(parsed: DataFrame, selected: DataFrame) -> DataFrame:
     return rows.select(*KEY, F.explode(failed).alias("rule"))
 
 
-def chapter_context(chapters: DataFrame, w: int = 3) -> DataFrame:
-    """The bodies of the previous chapters, in order, for each chapter."""
+def chapter_context(chapters: DataFrame, w: int = 3, of: str = "body", between: str = "\n\n---\n\n") -> DataFrame:
+    """The bodies (or another column) of the previous chapters, in order, for each chapter."""
     before = Window.partitionBy(*KEY).orderBy("card").rowsBetween(-w, -1)
-    return chapters.select(*KEY, "card", F.array_join(F.collect_list("title").over(before), "\n").alias("context"))
+    return chapters.select(*KEY, "card", F.array_join(F.collect_list(of).over(before), between).alias("context"))

@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 
 from quarry.functions import constants as C
 from quarry.operators.classify import go_strings
-from quarry.operators.files import basename, under_skip_dir, walk_key
+from quarry.operators.files import basename, is_test_file, under_skip_dir, walk_key, within_size
 
 BUDGET = 600_000
 
@@ -40,15 +40,30 @@ def schema_kind(path="path"):
 KINDS = ("prisma", "rails", "sql", "models")
 
 
-def find_schema(files: DataFrame, budget: int = BUDGET, max_files: int = 40) -> DataFrame:
-    """The files of the first kind that a repository has: the largest one, Rails' first in walk order, or models by size within the budget."""
+def _embedded_schema(files: DataFrame, budget: int, max_files: int) -> DataFrame:
+    """Go files by the tables that their string literals create; as many whole blocks of statements as the budget holds, the first one always."""
+    rows = embedded_ddl(files.where(~under_skip_dir("path") & ~is_test_file("path") & within_size()))
+    text = F.array_join(F.transform("ddl", lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), "\n")
+    block = F.length(F.concat(F.lit("-- ===== "), "path", F.lit(" =====\n"), text))
+    w = Window.partitionBy("repo_id").orderBy("ddl_rank").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.sum(block).over(w))
+    kept = (F.col("ddl_rank") == 1) | ((F.col("upto") <= budget) & (F.col("ddl_rank") <= max_files))
+    return rows.select("repo_id", F.lit("embedded-sql").alias("kind"), "path", F.when(kept, "kept").otherwise("dropped").alias("state"), F.lit(False).alias("cut"))
+
+
+def find_schema(files: DataFrame, budget: int = BUDGET, max_files: int = 40, embedded: bool = True) -> DataFrame:
+    """The files of the first kind that a repository has: the largest one, Rails' first in walk order, or models by size within the budget; Go files with SQL in strings where there is no other kind."""
     rows = files.where(~under_skip_dir("path")).select("repo_id", "path", "size", F.length("content").cast("long").alias("len"), schema_kind().alias("k")).where("k is not null")
     rows = rows.withColumn("first_kind", F.min("k").over(Window.partitionBy("repo_id"))).where("k = first_kind")
     w = Window.partitionBy("repo_id").orderBy(F.when(F.col("k") == 1, F.lit(0)).otherwise(-F.col("size")), F.when(F.col("k") == 1, walk_key("path")), "path")
     rows = rows.withColumn("r", F.row_number().over(w)).withColumn("upto", F.sum(F.coalesce("len", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     kept = (F.col("r") == 1) | ((F.col("k") == 3) & (F.col("upto") <= budget) & (F.col("r") <= max_files))
     names = F.array(*map(F.lit, KINDS))
-    return rows.select("repo_id", F.get(names, F.col("k")).alias("kind"), "path", F.when(kept, "kept").otherwise("dropped").alias("state"), (F.col("len") > budget).alias("cut"))
+    found = rows.select("repo_id", F.get(names, F.col("k")).alias("kind"), "path", F.when(kept, "kept").otherwise("dropped").alias("state"), (F.col("len") > budget).alias("cut"))
+    if not embedded:
+        return found
+    has = files.where(~under_skip_dir("path") & schema_kind().isNotNull()).select("repo_id").distinct()
+    return found.unionByName(_embedded_schema(files.join(has, "repo_id", "left_anti"), budget, max_files))
 
 
 def schema_tables(docs: DataFrame) -> DataFrame:

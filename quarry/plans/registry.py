@@ -559,7 +559,7 @@ _SK = f"CASE WHEN ends_with({_BASE}, '.prisma') THEN 0 WHEN ends_with('/' || pat
 r AS (SELECT *, row_number() OVER w AS r, sum(len) OVER w AS upto FROM f WINDOW w AS (PARTITION BY repo_id ORDER BY -size, path))
 SELECT repo_id, (['prisma', 'rails', 'sql', 'models'])[k + 1] AS kind, path, CASE WHEN r = 1 OR (k = 3 AND upto <= 600000 AND r <= 40) THEN 'kept' ELSE 'dropped' END AS state, len > 600000 AS cut FROM r""")
 def find_schema(spark, d):
-    return schemas.find_schema(v.files(spark, d))
+    return schemas.find_schema(v.files(spark, d), embedded=False)  # the SQL has the other four kinds
 
 
 _TABLES = """tables AS (SELECT DISTINCT repo_id, lower(name) AS name FROM (
@@ -646,7 +646,7 @@ def validate_reply(spark, d):
 
 @query(f"WITH c AS ({_CARDS}) SELECT repo_id, prompt_id, card, CASE WHEN card = 2 THEN 'Orders (' || (prompt_id % 9) || ' endpoints)' ELSE '' END AS context FROM c")
 def chapter_context(spark, d):
-    return replies.chapter_context(replies.split_cards(v.replies(spark, d)))
+    return replies.chapter_context(replies.split_cards(v.replies(spark, d)), of="title", between="\n")  # the SQL has the titles
 
 
 # ---- usage

@@ -122,6 +122,32 @@ def test_schema_tables(spark):
     assert sorted(r["name"] for r in schemas.schema_tables(df).collect()) == ["item", "orders", "post", "users"]
 
 
+def test_embedded_schema_is_the_last_kind(spark):
+    go = lambda *tables: "package s\n" + "".join(f"const q{i} = `\n CREATE TABLE {t} (id int)`\n" for i, t in enumerate(tables))
+    data = [("go", "a.go", go("a")), ("go", "b.go", go("b", "c")), ("go", "c.go", go("d" * 60)), ("go", "x_test.go", go("e", "f", "g")), ("go", "node_modules/y.go", go("h", "i", "j")), ("go", "plain.go", "package s"), ("both", "models.py", "m"), ("both", "a.go", go("a")), ("none", "a.md", "x")]
+    files = spark.createDataFrame([(r, p, len(t), t) for r, p, t in data], "repo_id string, path string, size long, content string")
+    block = lambda path, *tables: len(f"-- ===== {path} =====\n" + "\n".join(f"CREATE TABLE {t} (id int)" for t in tables))
+    ask = lambda budget: {(r["repo_id"], r["kind"], r["path"]): r["state"] for r in schemas.find_schema(files, budget).collect()}
+    keys = [("go", "embedded-sql", p) for p in ("b.go", "a.go", "c.go")]
+    two = block("b.go", "b", "c") + block("a.go", "a")
+    for budget, states in ((10**6, ["kept"] * 3), (two, ["kept", "kept", "dropped"]), (two - 1, ["kept", "dropped", "dropped"]), (1, ["kept", "dropped", "dropped"])):
+        assert ask(budget) == dict(zip(keys, states)) | {("both", "models", "models.py"): "kept"}
+
+
+def test_yaml_replies(spark):
+    texts = ["say {x}\n```yaml\n- name: a\n  files: [1, 2]\n  on: 2024-05-01\n```", "```yaml\na: [1\n```", '```yaml\na: 1\n```\n```json\n{"b": 2}\n```', "```yaml\n&a [*a]\n```", "```yaml\n? [1, 2]\n: 2024-13-45\n```"]
+    df = spark.createDataFrame([("r", i, t) for i, t in enumerate(texts)], "repo_id string, prompt_id int, text string")
+    got = [(r["value"], r["reason"]) for r in replies.reply_values(df).orderBy("prompt_id").collect()]
+    bad = (None, "no decodable value")
+    assert got == [('[{"name": "a", "files": [1, 2], "true": "2024-05-01"}]', None), bad, ('{"b": 2}', None), bad, bad]
+
+
+def test_chapter_context_joins_bodies(spark):
+    df = spark.createDataFrame([("r", 1, i, f"t{i}", f"body {i}") for i in range(1, 6)], "repo_id string, prompt_id int, card int, title string, body string")
+    got = [r["context"] for r in replies.chapter_context(df).orderBy("card").collect()]
+    assert got == ["\n\n---\n\n".join(f"body {j}" for j in range(max(1, i - 3), i)) for i in range(1, 6)]
+
+
 def test_no_python_in_builtin_plans(spark):
     from quarry.plans import registry
 
