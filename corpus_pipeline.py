@@ -37,7 +37,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("secret_scans", secret_scans), ("source_mix", source_mix), ("byte_bpe", byte_bpe)]
-#: SQL can't express the near-duplicate stage; tests compare with a brute-force version.
+#: SQL can't express the near-duplicate stage; tests compare near duplicates, masks and token ids with brute force, stage by stage, and check properties of the whole.
 ORACLE_SQL = None
 
 

@@ -297,6 +297,32 @@ def test_secrets_of_any_length_are_linked_and_masked():
     assert not secrets.find(f"{key}{' ' * 200}user: abcd")[1] and secrets.find(f"{key}{' ' * 199}user: abcd")[1]
 
 
+def test_fixed_patterns_and_masks_by_plain_python(spark, docs):
+    """op10's counts, digests and spans, and the pipeline's masks, on all documents and some that have every kind."""
+    rules = {
+        "assign": lambda t: [m.span() for m in re.finditer(r"(?ai)(password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)", t) if len(m[2]) >= 6],
+        "access": lambda t: [m.span() for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20],
+        "hex": lambda t: [m.span() for m in re.finditer(r"[0-9a-f]{24,}", t)],
+    }
+    key, planted = "aB3" * 60, ["", None, "token: abcde", "\U0001f600 Api_Key='abc/def=' x"]
+    planted += [f"é {a} {b} user: bob1 {c} {key} https://u:p@h.example.com/{key}" for a in ("AKIA" + "Q7" * 8, "AKIA" + "Q7" * 7) for b in ("0a" * 12, "0a" * 11 + "b") for c in ('"secret" : "hunter22"', "PASSWD=hunter22")]
+    df = docs.select("doc_id", "text", "n_chars").unionByName(spark.createDataFrame([(10**9 + i, t, 0) for i, t in enumerate(planted)], "doc_id long, text string, n_chars long")).cache()
+    got, masked = by_id(secrets.scan(df)), by_id(secrets.redact(df))
+    order = [*rules, "linked_id", "linked_secret", "linked_endpoint"]
+    written = lambda spans: ",".join(f"{k}:{s}:{e}" for s, k, e in sorted(spans, key=lambda x: (x[0], order.index(x[1]), x[2])))
+    for r in df.collect():
+        text, g = r["text"] or "", got[r["doc_id"]]
+        base = {k: f(text) for k, f in rules.items()}
+        spans = [(s, k, e) for k, v in base.items() for s, e in v]
+        every = spans + [(s, k, e) for s, e, k in linked_by_pairs(text)]
+        assert [g["n_assign"], g["n_access"], g["n_hex"]] == [len(v) for v in base.values()]
+        assert g["base_sha256"] == hashlib.sha256(written(spans).encode()).hexdigest() and g["spans"] == written(every)
+        hidden = [any(s <= i < e for s, _, e in every) for i in range(len(text))]
+        starts = [i for i, h in enumerate(hidden) if h and (not i or not hidden[i - 1] or not any(s < i < e for s, _, e in every))]
+        clean = "".join("[SECRET]" * (i in starts) + ("" if hidden[i] else c) for i, c in enumerate(text))
+        assert masked[r["doc_id"]]["text"] == (clean if r["text"] is not None else None)
+
+
 def test_linked_spans_by_pairs():
     rng, parts = np.random.default_rng(5), ["user: bob1", "client_id=" + "w" * 200, "AKIA" + "Q7" * 9, "password = hunter22", "0a" * 14, "0a" * 150, "aB3" * 9, "aB3" * 99, "https://u:p@h.example.com/x", "https://h.example.com/?token=abcdefgh&y=" + "z" * 200, "host: db.example.com", "account: " + "0a" * 13 + ".x", "x " * 60, "y " * 110]
     for _ in range(500):
