@@ -14,7 +14,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a session on one machine that has none gets one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "/tmp/checkpoints/quarry"
         spark.conf.set("spark.checkpoint.dir", found)
