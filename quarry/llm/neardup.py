@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -38,6 +39,9 @@ HASHES = BANDS * PER_BAND
 TURNS, HUBS = 2, 4
 #: Members of a tile's side: what a task holds of one bucket at a time.
 TILE = 512
+TILE_KEY = ["h", "k", "i", "j"]
+#: Pairs of one hub that meet in a task, and parts that one label is dealt into.
+PART, SALTS = 2000, 32
 #: Texts of more than this weight (about a thousand words) count as several of a tile's members.
 PLAIN = 4000
 #: Document frequencies are kept in a count sketch of this depth and width; terms in less than one of LIGHT documents weigh alike.
@@ -250,29 +254,73 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([float((np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)).mean()) for x, y in zip(a, b)], dtype=float)
 
 
-def texts_of(fps: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(fp, text) of the fingerprints, one text each."""
-    needed = fps.join(nodes.select("fp", "rep"), "fp")
-
-    def only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:  # ids may repeat with other texts
-            fps = [fingerprint(word_hashes(t or "")) for t in batch["text"]]
-            yield batch[[x == y for x, y in zip(fps, batch["fp"])]][["fp", "text"]]
-
-    texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text")).join(needed, "rep").select("fp", "text").mapInPandas(only, "fp binary, text string")
-    return materialize(texts.dropDuplicates(["fp"]), "texts")
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, sent, text: str, doc_id: str, at_least: float) -> DataFrame:
+@dataclass
+class Corpus:
+    """What the comparisons need: the documents, one node for each distinct text, and the sampler's frequencies."""
+
+    docs: DataFrame
+    nodes: DataFrame
+    sent: object
+    text: str
+    doc_id: str
+    at_least: float
+    nameless: bool  # some node has only rows without an id
+
+    def with_text(self, wanted: DataFrame) -> DataFrame:
+        """``wanted`` (rep, fp and more) without rep and with the text of each fingerprint.
+
+        Whole texts are shuffled once, by id. Ids may repeat with other texts, so
+        the fingerprint decides; rows of an id that repeat a text are taken once
+        where they come one after the other. Nodes without an id are found by
+        their fingerprint among the documents without an id.
+        """
+        given = self.docs.select(F.col(self.doc_id).alias("rep"), F.col(self.text).alias("text"))
+        found = wanted.join(given, "rep")
+        names = [c for c in wanted.columns if c != "rep"]
+        keys = [c for c in names if wanted.schema[c].dataType.typeName() != "array"]
+
+        def only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            last, seen = None, set()
+            for batch in batches:
+                keep = []
+                for rep, text, key in zip(batch["rep"], batch["text"], zip(*(batch[c] for c in keys))):
+                    if rep != last:
+                        last, seen = rep, set()
+                    fp = fingerprint(word_hashes(text or ""))
+                    new = fp == key[keys.index("fp")] and key not in seen
+                    keep.append(new)
+                    if new:
+                        seen.add(key)
+                yield batch[keep][[*names, "text"]]
+
+        kinds = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in names)
+        out = found.mapInPandas(only, f"{kinds}, text string")
+        if self.nameless:
+
+            def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for batch in batches:
+                    yield pd.DataFrame({"fp": [fingerprint(word_hashes(t or "")) for t in batch["text"]], "text": batch["text"]})
+
+            loose = given.where("rep is null").select("text").mapInPandas(marked, "fp binary, text string").where("fp is not null").dropDuplicates(["fp"])
+            out = out.unionByName(wanted.where("rep is null").drop("rep").join(loose, "fp"))
+        return out
+
+
+def verified(pairs: DataFrame, corpus: Corpus) -> DataFrame:
     """Of the pairs (a, b) of fingerprints, those whose texts are similar enough.
 
     The share of equal samples has a deviation of 0.05 there, so pairs with less
-    than ``at_least`` - 0.2 of them are not worth their texts.
+    than ``at_least`` - 0.2 of them are not worth their texts. The others meet at
+    a, a bounded number at a time: a's text goes to each of its parts, b's to one.
     """
-    sig = nodes.select("fp", "sig", "rep")
+    nodes, sent, at_least = corpus.nodes, corpus.sent, corpus.at_least
+    sig = nodes.select("fp", "sig")
     pairs = pairs.join(sig.select(F.col("fp").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("fp").alias("a"), F.col("sig").alias("sa")), "a")
     pairs = materialize(pairs.where(pandas_udf(_alike, "double")("sa", "sb") >= at_least - 0.2).select("a", "b"), "pairs")
-    texts = texts_of(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), nodes, docs, text, doc_id)
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    others = pairs.join(parts, "a").select(F.col("a").alias("hub"), F.col("b").alias("fp"), F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    hubs = parts.select(F.col("a").alias("hub"), F.col("a").alias("fp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    wanted = others.unionByName(hubs).join(nodes.select("fp", "rep"), "fp")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = _sampler(sent)
@@ -281,36 +329,38 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, sent, text: st
             h, tf = shingles(word_hashes(t))
             return h, s.weights(h, tf)
 
-        last, hub = None, None
+        at, hub = None, None
         for batch in batches:
             good = []
-            for a, ta, tb in zip(batch["a"], batch["ta"], batch["tb"]):
-                if a != last:
-                    last, hub = a, weighted(ta)
-                good.append(jaccard(hub, weighted(tb)) >= at_least)
-            yield batch[good][["a", "b"]]
+            for a, b, t in zip(batch["hub"], batch["fp"], batch["text"]):
+                if a == b:
+                    at, hub = a, weighted(t)
+                good.append(a != b and at == a and jaccard(hub, weighted(t)) >= at_least)
+            yield batch[good][["hub", "fp"]].set_axis(["a", "b"], axis=1)
 
-    both = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a")
-    return materialize(both.select("a", "b", "ta", "tb").mapInPandas(compare, "a binary, b binary"), "links")
+    met = corpus.with_text(wanted).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("fp") != F.col("hub"))
+    return materialize(met.mapInPandas(compare, "a binary, b binary"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(fp, label) of all ends of the links; the label is the least fingerprint of the component.
 
     Each round takes the least label among a node and its neighbours, then the
-    label of that label; rounds end when none changes.
+    label of that label; rounds end when none changes. Only labels that have
+    moved are looked up again, in SALTS parts each, as one label may be that of
+    a third of all nodes.
     """
     both = materialize(links.select("a", "b").union(links.select("b", "a")).toDF("v", "u").distinct(), "edges")
     labels = materialize(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("l")), "labels")
     while True:
         near = both.join(labels.select(F.col("v").alias("u"), F.col("l").alias("x")), "u").groupBy("v").agg(F.min("x").alias("x"))
-        step = labels.join(near, "v").select("v", "l", F.least("l", "x").alias("x"))
-        far = step.select(F.col("v").alias("x"), F.col("x").alias("y"))
-        step = materialize(step.join(far, "x", "left").select("v", "l", F.least("x", F.coalesce("y", "x")).alias("x")), "labels")
-        changed = step.where("x <> l").take(1)
-        labels = step.select("v", F.col("x").alias("l"))
-        if not changed:
+        step = materialize(labels.join(near, "v").select("v", "l", F.least("l", "x").alias("x")), "labels")
+        if not step.where("x <> l").take(1):
             return labels.select(F.col("v").alias("fp"), F.col("l").alias("label"))
+        moved = step.select("x").distinct().join(step.select(F.col("v").alias("x"), F.col("x").alias("y")), "x").where("y < x")
+        moved = moved.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = step.select("v", "x", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("salt"))
+        labels = materialize(salted.join(moved, ["x", "salt"], "left").select("v", F.coalesce("y", "x").alias("l")), "labels")
 
 
 def unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -320,15 +370,17 @@ def unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(known.join(mixed, "h"), "unsettled")
 
 
-def tiled(rest: DataFrame, nodes: DataFrame, docs: DataFrame, sent, text: str, doc_id: str, at_least: float) -> DataFrame:
+def tiled(rest: DataFrame, corpus: Corpus) -> DataFrame:
     """Links (a, b) between unsettled members of one bucket and different components, by their whole texts.
 
     Two sets are as similar only if the lesser weight is that part of the greater,
     so a member meets those of its own weight class and of the one below. Larger
-    groups are dealt into parts, and each two parts meet in a tile. Two texts are
-    compared in the first bucket that they share, and a tile gives one link for
-    each two components that it joins, never its pairs.
+    groups are dealt into parts, and each two parts meet in a tile. Samples meet
+    first; only members with a partner there come to the tile again with their
+    text. Two texts are compared in the first bucket that they share, and a tile
+    gives one link for each two components that it joins, never its pairs.
     """
+    nodes, sent, at_least = corpus.nodes, corpus.sent, corpus.at_least
     width = max(-math.log(max(at_least, 1e-3)), 1e-3) * 1.001
     rows = rest.join(nodes.select("fp", "weight"), "fp").select("h", "fp", F.xxhash64("label").alias("l"), "weight", F.floor(F.log("weight") / width).alias("c"))
     rows = rows.select("h", "fp", "l", "weight", "c", F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("k")).withColumn("own", F.col("k") == F.col("c"))
@@ -336,29 +388,18 @@ def tiled(rest: DataFrame, nodes: DataFrame, docs: DataFrame, sent, text: str, d
     heavy = F.greatest(F.lit(1.0), F.exp(F.col("k") * width) / PLAIN)
     parts = mixed.select("h", "k", F.least("n", F.ceil(F.col("n") * heavy / TILE)).cast("long").alias("parts"))
     rows = materialize(rows.join(parts, ["h", "k"]).drop("c"), "mixed")
-    texts = texts_of(rows.select("fp").distinct(), nodes, docs, text, doc_id)
     bands = F.transform("bands", lambda x, i: F.xxhash64(i, x))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("fp", "h"), "parts")).join(nodes.select("fp", "sig", bands.alias("bands")).join(texts, "fp"), "fp")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("fp", "h"), "parts")).join(nodes.select("fp", "rep", "sig", bands.alias("bands")), "fp")
     rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = rows.select("h", "k", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "fp", "l", "weight", "own", "part", "sig", "bands", "text")
-
-    def links(tile: pd.DataFrame) -> tuple[list, list]:
-        a, b, s = [], [], _sampler(sent)
-        fp, l, weight, own, part, h = (tile[x].to_numpy() for x in ("fp", "l", "weight", "own", "part", "h"))
-        l = l.copy()
-        if len(tile) < 2 or (l == l[0]).all():
-            return a, b
+    rows = rows.select("h", "k", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "fp", "rep", "l", "weight", "own", "part", "sig", "bands")
+
+    def partners(tile: pd.DataFrame, l: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row with later ones of other components (``l`` as it is then) that its samples resemble."""
+        weight, own, part, h = (tile[x].to_numpy() for x in ("weight", "own", "part", "h"))
         sig = np.frombuffer(b"".join(tile["sig"]), np.uint16).reshape(-1, HASHES)
         buckets = np.stack(tile["bands"].to_list())
         before = int(np.flatnonzero(buckets[0] == h[0])[0])
-        across, sets, own_terms = tile["i"].iloc[0] != tile["j"].iloc[0], {}, None
-
-        def terms(x: int):
-            if x not in sets:
-                hashes, tf = shingles(word_hashes(tile["text"].iat[x]))
-                sets[x] = hashes, s.weights(hashes, tf)
-            return sets[x]
-
+        across = tile["i"].iloc[0] != tile["j"].iloc[0]
         for r in range(len(tile) - 1):
             near = slice(r + 1, r + 1 + int(np.searchsorted(weight[r + 1 :], weight[r] / at_least * 1.000001, "right")))
             ok = (l[near] != l[r]) & (own[near] | own[r])
@@ -369,51 +410,83 @@ def tiled(rest: DataFrame, nodes: DataFrame, docs: DataFrame, sent, text: str, d
                 at = at[(sig[at] == sig[r]).mean(1) >= at_least - 0.2]
             if len(at) and before:
                 at = at[~(buckets[at, :before] == buckets[r, :before]).any(1)]
-            own_terms = terms(r) if len(at) else None
-            for x in at:
-                if l[x] != l[r] and jaccard_sorted(own_terms, terms(x)) >= at_least:
-                    a.append(fp[r])
-                    b.append(fp[x])
-                    l[l == l[x]] = l[r]
-            sets.pop(r, None)  # later rows don't meet it again
-        return a, b
+            yield r, at
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = None
-        for batch in batches:
-            if left is not None:
-                batch = pd.concat([left, batch], ignore_index=True)
-            key = batch[["h", "k", "i", "j"]].to_numpy()
-            ends = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1)]
-            found = [links(batch.iloc[x:y]) for x, y in zip(ends, ends[1:])]
-            yield pd.DataFrame({"a": [x for a, _ in found for x in a], "b": [x for _, b in found for x in b]})
-            left = batch.iloc[ends[-1] :].reset_index(drop=True)
-        if left is not None and len(left):
-            a, b = links(left)
-            yield pd.DataFrame({"a": a, "b": b})
+    def mixes(tile: pd.DataFrame) -> bool:
+        return len(tile) > 1 and (tile["l"] != tile["l"].iloc[0]).any()
 
-    tiles = rows.repartition("h", "k", "i", "j").sortWithinPartitions("h", "k", "i", "j", "weight")
-    return materialize(tiles.mapInPandas(meet, "a binary, b binary"), "links")
+    def resemble(tile: pd.DataFrame) -> pd.DataFrame:
+        hit = np.zeros(len(tile), bool)
+        if mixes(tile):
+            for r, at in partners(tile, tile["l"].to_numpy()):
+                hit[at] = True
+                hit[r] |= len(at) > 0
+        return tile[hit]
 
+    def link(tile: pd.DataFrame) -> pd.DataFrame:
+        a, b, s, sets = [], [], _sampler(sent), {}
+        fp, l = tile["fp"].to_numpy(), tile["l"].to_numpy().copy()
 
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
-    """One row per input row: doc_id, class_id, class_size.
+        def terms(x: int):
+            if x not in sets:
+                hashes, tf = shingles(word_hashes(tile["text"].iat[x]))
+                sets[x] = hashes, s.weights(hashes, tf)
+            return sets[x]
 
-    class_id is the least doc_id of the class, class_size its number of rows.
-    Null and empty texts, and texts without a letter or digit, are classes of
-    their own (size 1); texts that differ only in case, spaces and punctuation
-    are copies; texts of fewer than five words match their copies only; repeated
-    rows are copies; an empty table gives none. Only id and text are read.
-    """
+        for r, at in partners(tile, l) if mixes(tile) else ():
+            for x in at:
+                if l[x] != l[r] and jaccard_sorted(terms(r), terms(x)) >= at_least:
+                    a.append(fp[r])
+                    b.append(fp[x])
+                    l[l == l[x]] = l[r]
+            sets.pop(r, None)  # later rows don't meet it again
+        return pd.DataFrame({"a": a, "b": b})
+
+    def by_tile(f):
+        """``f`` of each tile; the batches hold tiles one after the other."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: list[pd.DataFrame] = []
+            last = None
+            for batch in batches:
+                key, out = batch[TILE_KEY].to_numpy(), []
+                ends = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(batch)]
+                for x, y in zip(ends, ends[1:]):
+                    if x == y:
+                        continue
+                    if held and (key[x] != last).any():
+                        out.append(f(pd.concat(held, ignore_index=True)))
+                        held = []
+                    held.append(batch.iloc[x:y])
+                    last = key[x]
+                if out:
+                    yield pd.concat(out, ignore_index=True)
+            if held:
+                yield f(pd.concat(held, ignore_index=True))
+
+        return run
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY, "weight", "fp")
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    alike = materialize(dealt(rows).mapInPandas(by_tile(resemble), kinds), "alike")
+    return materialize(dealt(corpus.with_text(alike)).mapInPandas(by_tile(link), "a binary, b binary"), "links")
+
+
+def _labelled(docs: DataFrame, text: str, doc_id: str, similar: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, label, class_id, class_size) of each distinct text."""
     spark = docs.sparkSession
     n, sketch = document_frequencies(docs, text)
-    sent = spark.sparkContext.broadcast((f"{spark.sparkContext.applicationId}-{id(sketch)}-{n}", n, sketch))
+    name = hashlib.blake2b(sketch.tobytes() + n.to_bytes(8, "little"), digest_size=16).hexdigest()
+    sent = spark.sparkContext.broadcast((name, n, sketch))
     rows = materialize(signatures(docs, sent, text, doc_id), "signatures")
     nodes = materialize(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("weight").alias("weight")), "nodes")
+    corpus = Corpus(docs, nodes, sent, text, doc_id, similar, bool(nodes.where("rep is null").take(1)))
     members = materialize(nodes.select("fp", F.posexplode("bands").alias("band", "h")).select("fp", F.xxhash64("band", "h").alias("h")), "members")
     hubs = members.groupBy("h").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("h", "a")
     shared = materialize(members.join(hubs, "h"), "shared")
-    links = verified(shared.where("fp <> a").select("a", F.col("fp").alias("b")).distinct(), nodes, docs, sent, text, doc_id, similar)
+    links = verified(shared.where("fp <> a").select("a", F.col("fp").alias("b")).distinct(), corpus)
     labels = components(links)
     for turn in range(TURNS):
         rest = unsettled(shared, labels)
@@ -421,33 +494,58 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
         pivots = rest.groupBy("h").agg(F.array(*(F.min_by(F.struct("fp", "label"), F.xxhash64("fp", F.lit(turn * HUBS + k))) for k in range(HUBS))).alias("ps"))
         met = rest.join(pivots, "h").select("fp", "label", F.explode(F.array_distinct("ps")).alias("p")).where("label <> p.label")
         met = met.select(F.least("fp", "p.fp").alias("a"), F.greatest("fp", "p.fp").alias("b")).distinct()
-        more = verified(met, nodes, docs, sent, text, doc_id, similar)
+        more = verified(met, corpus)
         if not more.take(1):
             break
         links = links.union(more)
         labels = components(links)
-    more = tiled(unsettled(shared, labels), nodes, docs, sent, text, doc_id, similar)
+    more = tiled(unsettled(shared, labels), corpus)
     if more.take(1):
         labels = components(links.union(more))
     whole = nodes.select("fp", "rep", "n").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     whole = materialize(whole, "labelled")
     named = whole.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
-    of = materialize(whole.join(named, "label").select("fp", "class_id", "class_size"), "classes")
-    out = rows.select("doc_id", "fp").join(of, "fp", "left")
+    return rows.select("doc_id", "fp"), materialize(whole.join(named, "label").select("fp", "label", "class_id", "class_size"), "classes")
+
+
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
+    """One row per input row: doc_id, class_id, class_size.
+
+    class_id is the least doc_id of the class, class_size its number of rows.
+    Rows without an id are members like others; a class of such rows alone has a
+    null class_id. Null and empty texts, and texts without a letter or digit, are
+    classes of their own (size 1); texts that differ only in case, spaces and
+    punctuation are copies; texts of fewer than five words match their copies
+    only; texts of any length are compared whole; repeated rows are copies; an
+    empty table gives none. Only id and text are read.
+    """
+    rows, of = _labelled(docs, text, doc_id, similar)
+    out = rows.join(of, "fp", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` with one document of each class, the one of the least id, and no other change.
 
-    Rows without an id are kept; of rows that repeat a kept id one stays.
+    Of rows that repeat a kept id one stays. Of a class of rows without an id one
+    stays, and none of those in a class with an id. Null and empty texts, and
+    texts without a letter or digit, all stay; an empty table gives none.
     """
-    of = materialize(classes(docs, text, doc_id, similar), "classes")
-    kept = of.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = materialize(kept, "kept")
+    rows, of = _labelled(docs, text, doc_id, similar)
+    out = rows.join(of.select("fp", "class_id"), "fp", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    kept = materialize(out.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     row = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"))
     out = row.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi").select("row")
     if kept.where("n > 1").take(1):
         again = row.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("row")
         out = out.unionByName(again)
-    return out.unionByName(row.where("doc_id is null").select("row")).select("row.*")
+    if not rows.where("doc_id is null").take(1):
+        return out.select("row.*")
+
+    @pandas_udf("binary")
+    def marked(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: fingerprint(word_hashes(t or "")), na_action=None)
+
+    loose = row.where("doc_id is null").select("row", marked(F.col(f"row.`{text}`")).alias("fp"))
+    alone = loose.join(of.where("class_id is null").select("fp", "label"), "fp").dropDuplicates(["label"])
+    return out.unionByName(loose.where("fp is null").select("row")).unionByName(alone.select("row")).select("row.*")
