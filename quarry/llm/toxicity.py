@@ -2,7 +2,9 @@
 
 Method: terms are a text's distinct words and their beginnings, hashed; the
 machine adds a weight for each term and the inner product of the terms' factors
-for each pair, so that two words together can say what neither says alone.
+for each pair, so that two words together can say what neither says alone. It
+has the terms that tell the sample's classes apart alone or together with some
+other term; those that do neither would only add noise.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-BUCKETS = 1 << 20
+from quarry.functions.shared import bounded_batches
+
+BUCKETS = 1 << 18
 BEGINNINGS = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 REMEMBERED = 200_000
@@ -32,20 +36,72 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall(text.lower())) if text else set()
 
 
+def alone(counts: np.ndarray, toxic: np.ndarray, n: int, pos: int) -> np.ndarray:
+    """Chi-square of each term's presence against the label; 0 where it stands in fewer than five rows."""
+    expect = counts * (pos / max(n, 1))
+    spread = np.maximum(expect * (1 - pos / max(n, 1)) * (1 - counts / max(n, 1)), 1e-9)
+    return np.where(counts >= 5, (toxic - expect) ** 2 / spread, 0.0)
+
+
+def together(rows: list[np.ndarray], y: np.ndarray, counts: np.ndarray, toxic: np.ndarray, tile: int = 512) -> np.ndarray:
+    """For each term the greatest chi-square of an interaction with another: what both say beyond what each adds.
+
+    Every two terms are asked whose four cells (both, either, none) have 20 rows
+    and 1/200 of the rows or more, fewer would say nothing, by products of tiles
+    of the sample's matrix. Terms of the same rows, as a word and its beginning
+    often are, are asked as one.
+    """
+    n, pos = len(y), int(y.sum())
+    cell = max(20, n // 200)
+    best, marks = np.zeros(len(counts)), np.zeros(len(counts), np.uint64)
+    for r, mark in zip(rows, np.random.default_rng(3).integers(1, 1 << 63, n, dtype=np.uint64)):
+        marks[r] += mark
+    able = np.flatnonzero((counts >= 2 * cell) & (counts <= n - 2 * cell))
+    asked, first = able[(of_mark := np.unique(marks[able], return_index=True, return_inverse=True))[1]], of_mark[2]
+    place = np.full(len(counts), -1, np.int64)
+    place[asked] = np.arange(len(asked))
+    order = np.argsort(-y, kind="stable")  # toxic rows first: their part of a product is its head
+    at = [p[p >= 0] for p in (place[rows[i]] for i in order)]
+    row, col = np.repeat(np.arange(n), [len(p) for p in at]), np.concatenate(at) if n else np.zeros(0, np.int64)
+    by = np.argsort(col // tile, kind="stable")
+    ends = np.searchsorted(col[by] // tile, np.arange(-(-len(asked) // tile) + 1))
+
+    def matrix(k):
+        part = by[ends[k] : ends[k + 1]]
+        out = np.zeros((n, min(tile, len(asked) - k * tile)), np.float32)
+        out[row[part], col[part] - k * tile] = 1
+        return out
+
+    rate = pos / max(n, 1)
+    for i in range(len(ends) - 1):
+        a, ia = matrix(i), asked[i * tile : (i + 1) * tile]
+        for j in range(i, len(ends) - 1):
+            b, ib = (a, ia) if i == j else (matrix(j), asked[j * tile : (j + 1) * tile])
+            n11 = a.T @ b
+            x, y11 = np.nonzero(n11 >= cell), a[:pos].T @ b[:pos]
+            ka, kb, c, p = ia[x[0]], ib[x[1]], n11[x].astype(np.float64), y11[x].astype(np.float64)
+            of = np.array([c, counts[ka] - c, counts[kb] - c, n - counts[ka] - counts[kb] + c])  # both, the one, the other, none
+            bad = np.array([p, toxic[ka] - p, toxic[kb] - p, pos - toxic[ka] - toxic[kb] + p])
+            fit = of.min(0, initial=n) >= cell
+            of, bad, ka, kb = of[:, fit], bad[:, fit], ka[fit], kb[fit]
+            share = bad / of
+            chi = (share[0] - share[1] - share[2] + share[3]) ** 2 / (max(rate * (1 - rate), 1e-9) * (1 / of).sum(0))
+            np.maximum.at(best, ka, chi)
+            np.maximum.at(best, kb, chi)
+    best[able] = best[asked][first]
+    return best
+
+
 class Machine:
-    """Factorization machine with a logistic loss over the terms that the classes differ in."""
+    """Factorization machine with a logistic loss over the terms that tell the classes apart, alone or with another."""
 
-    def __init__(self, rows: list[np.ndarray], y: np.ndarray, share: float, rank: int = 4, least: float = 15.0, most: int = 4000, rounds: int = 12):
+    def __init__(self, rows: list[np.ndarray], y: np.ndarray, share: float, rank: int = 4, least: float = 15.0, least_pair: float = 40.0, rounds: int = 12):
         n, pos = len(y), int(y.sum())
         has = np.zeros((2, BUCKETS), np.int32)
         for r, c in zip(rows, y):
             has[int(c), r] += 1
         total = has.sum(0)
-        expect = total * (pos / max(n, 1))
-        spread = np.maximum(expect * (1 - pos / max(n, 1)) * (1 - total / max(n, 1)), 1e-9)
-        chi = np.where(total >= 5, (has[1] - expect) ** 2 / spread, 0.0)
-        order = np.argsort(-chi, kind="stable")[:most]
-        chosen = order[chi[order] >= least]
+        chosen = np.flatnonzero((alone(total, has[1], n, pos) >= least) | (together(rows, y, total, has[1]) >= least_pair))
         self.index = {int(b): k for k, b in enumerate(chosen)}
         place = np.full(BUCKETS, -1, np.int32)
         place[chosen] = np.arange(len(chosen))
@@ -75,6 +131,7 @@ class Machine:
         self.weights, self.factors = w, v
 
     def score(self, found: list[int]) -> float:
+        """The probability of toxicity of a text with these terms (numbers of chosen ones, each once)."""
         x = np.array(found, dtype=np.int64)
         vx = self.factors[x]
         s = vx.sum(0)
@@ -99,6 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     hashed terms come to the driver; the sample's size bounds them. None where
     no row is labelled.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -110,20 +168,22 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     # about 2 * per_class ids: a bound that does not grow with the input
     sample = F.broadcast(known.where(chosen).withColumnRenamed("doc_id", "id"))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(sample, "id")
-    got = rows.select("y", "id", pandas_udf(_terms, "array<int>")("text").alias("t")).limit(8 * per_class).sort("id").toPandas()
+    got = rows.select("y", "id", pandas_udf(_terms, "array<int>")("text").alias("t")).sort("id", "t").limit(8 * per_class).toPandas()
     if not len(got):
         return None
     n, pos = sum(counts.values()), counts.get(1, 0)
-    return Machine([np.asarray(t, dtype=np.int64) for t in got.t], got.y.to_numpy(dtype=float), pos / n)
+    return Machine(got.t.to_list(), got.y.to_numpy(dtype=float), pos / n)
 
 
 def score(docs: DataFrame, machine: Machine | None, text: str = "text", doc_id: str = "doc_id", limit: float = 0.3) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    Null and empty texts have no terms and score as the bias says, and all rows
-    score 0 where nothing was learned. Rows without an id are not held out;
+    Null and empty texts have no terms and score as the bias says; texts of any
+    length are read whole, each term counts once; all rows score 0 where nothing
+    was learned. Rows without an id are not held out;
     repeated rows each get a row; only id and text are read.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     @pandas_udf("double")
@@ -141,8 +201,7 @@ def score(docs: DataFrame, machine: Machine | None, text: str = "text", doc_id:
                     t = tuple(m.index[b] for b in terms(w) if b in m.index)
                     if len(memory) < REMEMBERED and len(w) <= 40:
                         memory[w] = t
-                if t:
-                    found.update(t)
+                found.update(t)
             return m.score(sorted(found))
 
         for texts in batches:
