@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-Method: the distinct pieces of a task's texts form one corpus. An inverted index
+Method: the distinct pieces of a batch of texts form one corpus. An inverted index
 holds, for each mergeable pair, the places where it stands; the pairs are taken
 in rank order, each merge is applied at all its places, and only the touched
 neighbours get new entries. Pieces that a worker has met before are remembered.
@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from quarry.functions.shared import bounded_batches
+
 #: Pieces that a worker remembers at most, and the longest such piece; others are encoded again.
-REMEMBERED, LONGEST = 400_000, 64
-#: Characters of text that are replayed together.
+REMEMBERED, LONGEST = 150_000, 64
+#: Characters of text that are replayed together at most; a batch of Arrow has about as many.
 TOGETHER = 4_000_000
 _known: dict[str, dict] = {}
 
@@ -132,7 +134,10 @@ def encode_texts(texts: list[str], ranks: dict[bytes, int], find, memory: dict[s
 def _worker(ranks_sent, pattern: str):
     import regex
 
-    memory = _known.setdefault(str(ranks_sent.value[0]), {})
+    name = ranks_sent.value[0]
+    if name not in _known:  # another vocabulary's ids are of no use
+        _known.clear()
+    memory = _known.setdefault(name, {})
     return ranks_sent.value[1], regex.compile(pattern).findall, memory
 
 
@@ -141,12 +146,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id:
 
     Digests are of the decimal ids joined by commas, and of the bytes that the
     ids decode to. Null and empty texts have no tokens; lone surrogates cannot
-    come from Spark strings; repeated rows each get a row; other columns are not
-    read. The vocabulary is sent to each executor once: its size is fixed.
+    come from Spark strings; texts of any length are encoded whole; repeated rows
+    each get a row; other columns are not read. The vocabulary is sent to each executor once: its size is fixed.
     """
     spark = docs.sparkSession
     ranks = load_ranks(spark, path)
-    sent = spark.sparkContext.broadcast((path, ranks))
+    bounded_batches(spark)
+    name = hashlib.blake2b(repr(sorted(ranks.items())).encode(), digest_size=16).hexdigest()
+    sent = spark.sparkContext.broadcast((name, ranks))
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     @pandas_udf(kind)

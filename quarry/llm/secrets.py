@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from quarry.functions.shared import bounded_batches
+
 #: The kinds, in the order in which ties are listed.
 KINDS = ("assign", "access", "hex", "linked_id", "linked_secret", "linked_endpoint")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
@@ -122,13 +124,20 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 
     Spans are kind:start:end in code points, the end exclusive, of the whole
     match. Null and empty texts have none (the digest of an empty string);
-    repeated rows each get a row; other columns are not read.
+    texts of any length are scanned whole; repeated rows each get a row; other
+    columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).alias("doc_id"), pandas_udf(_report, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")(text).alias("r")).select("doc_id", "r.*")
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """The same rows and columns with every span of the text masked, and ``length`` set anew where it is a column."""
+    """The same rows and columns with every span of the text masked, and ``length`` set anew where it is a column.
+
+    Null and empty texts stay as they are; repeated rows and extra columns of any
+    name stay; an empty table gives none.
+    """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"), pandas_udf(_masked, "string")(F.col(text)).alias("masked"))
     new = {text: F.col("masked")}
     if length in docs.columns:
