@@ -7,7 +7,6 @@ language. Features are hashed runs of one to four characters of the whole text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -17,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from quarry.functions.shared import bounded_batches
+
 BUCKETS = 4096
 #: Families of languages by code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -27,7 +28,6 @@ FAMILIES = {
     "turkic": ("tr", "az", "kk"),
     "indic": ("hi", "bn", "mr", "ur"),
 }
-LETTER = re.compile(r"[^\W\d_]")
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -108,7 +108,8 @@ def _grams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and LETTER.search(text) is not None
+    """Whether a character of the text is of a letter category; digits, superscripts and fractions are not."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 500) -> Model | None:
@@ -117,6 +118,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     The rows are chosen by a hash of the id; their vectors (8 KB each) come to
     the driver, at most 2 * per_language a language. None where no row is labelled.
     """
+    bounded_batches(docs.sparkSession)
     known = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     known = known.where(F.col("lang").isNotNull() & F.coalesce(~held_out("id"), F.lit(True)) & F.rlike("text", F.lit(r"\p{L}")))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -126,7 +128,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     chosen = F.lit(False)
     for x, n in counts.items():
         chosen = chosen | ((F.col("lang") == x) & (unit < int(min(1.0, per_language / n) * (1 << 20)) + 1))
-    got = known.where(chosen).select("lang", pandas_udf(_grams, "binary")("text").alias("v")).limit(2 * per_language * len(counts)).sort("lang", "v").toPandas()
+    got = known.where(chosen).select("lang", pandas_udf(_grams, "binary")("text").alias("v")).sort("lang", "v").limit(2 * per_language * len(counts)).toPandas()
     if not len(got):
         return None
     return Model(np.stack([np.frombuffer(v, np.float16).astype(np.float32) for v in got.v]), got.lang.to_numpy(dtype=object))
@@ -141,9 +143,10 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", doc_id: s
     """One row per input row: doc_id, held_out, lang_pred, score.
 
     ``und`` with score 0 where the text is null or has no letter, or where
-    nothing was learned. Rows without an id are not held out; repeated rows each
+    nothing was learned; texts of any length are read whole. Rows without an id are not held out; repeated rows each
     get a row; only id and text are read.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("lang_pred string, score double")

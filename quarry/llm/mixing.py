@@ -45,7 +45,7 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
 
 
 def source_targets(sizes: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
-    """(key, source_size, target) of each source of ``sizes`` (key, size).
+    """(key, turn, source_size, target) of each source of ``sizes`` (key, size); turn numbers them from 0.
 
     Sources take the weights in turn, by code point and null last, and share the
     words of all; a target stops at ``most`` times its source's words and the
@@ -61,7 +61,7 @@ def source_targets(sizes: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFr
     start = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("_p")) if starts else F.lit(0)
     rank = F.row_number().over(Window.partitionBy("_p").orderBy("key")) - 1 + start
     turn = F.array(*map(F.lit, weights))
-    dealt = materialize(dealt.select("key", "source_size", F.element_at(turn, (rank % len(weights) + 1).cast("int")).alias("weight")), "weights")
+    dealt = materialize(dealt.select("key", rank.cast("long").alias("turn"), "source_size", F.element_at(turn, (rank % len(weights) + 1).cast("int")).alias("weight")), "weights")
     total = dealt.agg(F.sum("source_size")).first()[0] or 0
     cap, level, capped = F.col("source_size") * most, None, -1
     while True:
@@ -71,7 +71,7 @@ def source_targets(sizes: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFr
             break
         capped, level = got["n"], (total - got["c"]) / got["w"]
     share = cap.cast("double") if level is None else F.when(cap <= F.col("weight") * F.lit(level), cap.cast("double")).otherwise(F.col("weight") * F.lit(level))
-    return dealt.select("key", "source_size", share.alias("target"))
+    return dealt.select("key", "turn", "source_size", share.alias("target"))
 
 
 def _key(source: str | Column) -> Column:
@@ -87,8 +87,9 @@ def plan(rows: DataFrame, weights=(1, 2, 3), most: int = 3, tilt: float = 0.5) -
     the target is met. ``taken`` counts the words up to there, ``copies`` whole
     documents: one stands in the last, partial round when its middle is before
     the round's end. ``position``
-    (0 to 1) is where its first copy comes in training; odd schedules rise and
-    even ones fall, by weight, so the mix changes over time while totals stay.
+    (0 to 1) is where its first copy comes in training; the schedules of every
+    other source rise and the others fall, so the mix changes over time while
+    totals stay.
     """
     rows = materialize(rows, "sizes")
     targets = materialize(source_targets(rows.select("key", "size"), weights, most), "targets")
@@ -99,16 +100,16 @@ def plan(rows: DataFrame, weights=(1, 2, 3), most: int = 3, tilt: float = 0.5) -
     last = F.least(F.greatest(F.floor(rest) - F.col("start"), F.lit(0)), F.col("size"))
     rows = rows.withColumn("taken", (F.col("size") * whole + last).cast("long"))
     rows = rows.withColumn("copies", F.when(F.col("size") > 0, whole + part.cast("long")).otherwise(0))
-    return rows.withColumn("position", position(F.col("start"), F.col("target"), F.col("key"), tilt))
+    return rows.withColumn("position", position(F.col("start"), F.col("target"), F.col("turn"), tilt))
 
 
-def position(tokens: Column, target: Column, key: Column, tilt: float) -> Column:
+def position(tokens: Column, target: Column, turn: Column, tilt: float) -> Column:
     """Training position at which the source's cumulative demand reaches ``tokens``.
 
     Demand at x is target * (x + a (x^2 - x)), the integral of the schedule
-    1 + a (2x - 1) with a = tilt or -tilt by the key's checksum.
+    1 + a (2x - 1) with a = tilt for sources of even turns and -tilt for others.
     """
-    a = F.when(F.crc32(key) % 2 == 0, F.lit(tilt)).otherwise(F.lit(-tilt))
+    a = F.when(turn % 2 == 0, F.lit(tilt)).otherwise(F.lit(-tilt))
     y = F.least(F.coalesce(tokens / F.when(target > 0, target), F.lit(0.0)), F.lit(1.0))
     b = 1 - a
     return (F.sqrt(b * b + 4 * a * y) - b) / (2 * a)
@@ -131,6 +132,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 def apply(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=(1, 2, 3), most: int = 3, tilt: float = 0.5) -> DataFrame:
     """The mixed documents: each row as often as it is taken, in training order, with the input's columns.
 
+    Null texts are of size 0 and never taken; null sources are one source; texts
+    of any length count whole; an empty table gives none; extra columns stay.
     Repeated input rows of one doc_id and size are planned together and each
     gets its copies: the plan is joined on (doc_id, size, source) and the k-th
     of such rows.
@@ -141,7 +144,7 @@ def apply(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
     repeated = materialize(planned.groupBy("id", "size", "key").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
     alike = ["id", "size", "key"]
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["size"] == b["size"]) & (a["key"] == b["key"])
-    cols = ["row", "copies", "start", "position", "target", "key"]
+    cols = ["row", "copies", "start", "target", "turn"]
     single = planned.join(repeated.select(*alike), same(planned, repeated), "left_anti")
     r, p = rows.alias("r"), single.alias("p")
     match = F.col("r.id").eqNullSafe(F.col("p.id")) & (F.col("r.size") == F.col("p.size")) & (F.col("r.key") == F.col("p.key"))
@@ -152,6 +155,6 @@ def apply(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
         again = rows.join(repeated.select(*alike), same(rows, repeated), "left_semi").withColumn("k", F.row_number().over(Window.partitionBy(*alike).orderBy(F.xxhash64("row")))).alias("r")
         out = out.unionByName(again.join(left, match & (F.col("r.k") == F.col("p.k"))).select("r.row", *(f"p.{c}" for c in cols[1:]), "p.source_size"))
     copy = out.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
-    at = position(F.col("start") + F.col("copy") * F.col("source_size"), F.col("target"), F.col("key"), tilt)
+    at = position(F.col("start") + F.col("copy") * F.col("source_size"), F.col("target"), F.col("turn"), tilt)
     placed = materialize(copy.select("row", at.alias("_at"), "copy"), "placed")
     return placed.orderBy("_at", f"row.{doc_id}", "copy").select("row.*")
