@@ -11,11 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quarry.functions.shared import materialize
+from quarry.functions.shared import bounded_batches, materialize
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 #: Rule name -> SQL over the features. The first two are the base rules.
@@ -76,19 +76,20 @@ def _features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def features(text: str | Column = "text") -> Column:
     """Struct of the text's counts."""
+    bounded_batches(SparkSession.getActiveSession())
     return pandas_udf(_features, ", ".join(f"{x} long" for x in FEATURES))(F.col(text) if isinstance(text, str) else text)
 
 
 def host_verdicts(
     judged: DataFrame, max_rate: float = 0.5, z: float = 2.0, strength: tuple[float, float] = (2.0, 1000.0)
 ) -> DataFrame:
-    """Hosts that fail a rule too often: (host, host_rejected).
+    """Hosts and whether they fail a rule too often: (host, host_bound, host_rejected).
 
     ``judged`` has host and the features. For each rule a beta prior is fitted
     to the hosts' rates: mean m of all rows, variance v of the rates weighted
     by rows, strength m(1-m)/v - 1 held within ``strength``. A host is rejected
-    when, for some rule, the posterior mean less ``z`` posterior deviations is
-    above ``max_rate``. Null hosts have no verdict. One row of moments comes to
+    when host_bound, the greatest of the rules' posterior means less ``z``
+    posterior deviations, is above ``max_rate``. Null hosts have no verdict. One row of moments comes to
     the driver, whatever the number of hosts.
     """
     counts = judged.where("host is not null").groupBy("host").agg(
@@ -101,18 +102,17 @@ def host_verdicts(
     spread = counts.agg(
         *(F.sum(F.col("n") * (F.col(r) / F.col("n") - F.lit(mean[r])) * (F.col(r) / F.col("n") - F.lit(mean[r]))).alias(r) for r in RULES)
     ).first()
-    reject = F.lit(False)
+    bounds = []
     for r in RULES:
         m, v = mean[r], (spread[r] or 0.0) / n
         s = min(max(m * (1 - m) / v - 1, strength[0]), strength[1]) if v > 0 else strength[1]
         post = (F.col(r) + F.lit(m * s)) / (F.col("n") + F.lit(s))
-        low = post - z * F.sqrt(post * (1 - post) / (F.col("n") + F.lit(s + 1)))
-        reject = reject | (low > max_rate)
-    return counts.select("host", reject.alias("host_rejected"))
+        bounds.append(post - z * F.sqrt(post * (1 - post) / (F.col("n") + F.lit(s + 1))))
+    return counts.select("host", F.greatest(*bounds).alias("host_bound")).withColumn("host_rejected", F.col("host_bound") > max_rate)
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """One row per input row: doc_id, host, FEATURES, base_failed, host_rejected, kept.
+    """One row per input row: doc_id, host, FEATURES, base_failed, host_rejected, host_bound (six digits), kept.
 
     Null or empty texts have no words and fail; rows with a null host are judged
     by their own rules alone; repeated rows each get a row; other columns of the
@@ -123,13 +123,16 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str
     out = judged.join(host_verdicts(judged), "host", "left")
     failed, rejected = F.expr(BASE_FAILED), F.coalesce("host_rejected", F.lit(False))
     return out.select(
-        "doc_id", "host", *FEATURES, failed.alias("base_failed"), rejected.alias("host_rejected"), (~failed & ~rejected).alias("kept")
+        "doc_id", "host", *FEATURES, failed.alias("base_failed"), rejected.alias("host_rejected"), F.round("host_bound", 6).alias("host_bound"), (~failed & ~rejected).alias("kept")
     )
 
 
 def keep(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns and nothing else.
 
+    Null and empty texts fail; texts of any length are read whole; rows with a
+    null host are judged by their own rules alone; repeated rows pass or fail
+    alike; extra columns of any name stay; an empty table gives none.
     The counts are computed once for the hosts and once for the filter, so the
     text itself never goes through a shuffle unless the table of rejected hosts
     is larger than Spark's broadcast limit.

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries of one matrix product.
+STEP = 1024
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -45,11 +47,12 @@ def select_tile(queries: np.ndarray, q_ids: np.ndarray, shard: np.ndarray, ids:
     return out
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", block: int = 2048, shard: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", block: int = 16384, shard: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best candidates of each query, all if there are fewer.
 
     ``block`` queries and about ``shard`` candidates make a tile, whose size thus
-    has a bound. Vectors that are null or hold null or non-finite components,
+    has a bound; a candidate is sent once for each block of queries. Only id and
+    vector are read, other columns are not. Vectors that are null or hold null or non-finite components,
     and rows without an id, take no part. Rows that repeat an id are candidates
     each, never of that id's own query; a query id has one list, for the least
     of its vectors. Only vectors of the query's length are compared; an empty
@@ -71,7 +74,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec
             for dim in sorted(set(q_dim) & set(c_dim)):
                 part, own = qs[q_dim == dim], cs[c_dim == dim]
                 matrix = lambda x, dim=dim: np.array(x.iloc[:, -1].tolist(), dtype=float).reshape(len(x), dim)
-                out += select_tile(matrix(part), part["id"].to_numpy(), matrix(own), own["c_id"].to_numpy(), k)
+                right, ids = matrix(own), own["c_id"].to_numpy()
+                for at in range(0, len(part), STEP):  # one product of STEP queries at a time
+                    step = part.iloc[at : at + STEP]
+                    out += select_tile(matrix(step), step["id"].to_numpy(), right, ids, k)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     lists = left.select("b", "s", "id", "v").groupBy("b", "s").cogroup(right.select("b", "s", "c_id", "c_v").groupBy("b", "s")).applyInPandas(lambda key, a, b: tile(a, b).assign(s=key[1]), OUT + ", s int")

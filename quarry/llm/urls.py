@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from quarry.functions.shared import materialize
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+#: Public suffixes of two labels.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "com.br", "com.cn", "co.in", "co.jp", "ne.jp", "or.jp", "co.kr", "com.mx", "co.nz", "com.tr", "co.za",
+)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,46 +42,62 @@ def rule_column(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
     return rule, verdict
 
 
-def _strength(groups: DataFrame, mean: float, low: float = 1.0, high: float = 1000.0) -> float:
-    """Strength of the beta prior by the method of moments; groups has n and bad. One row comes to the driver."""
-    rate = F.col("bad") / F.col("n")
-    got = groups.where("n > 0").agg(F.sum(F.col("n") * (rate - mean) * (rate - mean)).alias("v"), F.sum("n").alias("n")).first()
-    v = (got["v"] or 0.0) / (got["n"] or 1)
-    return min(max(mean * (1 - mean) / v - 1, low), high) if v > 0 else high
+def _strength(groups: DataFrame, low: float = 1.0, high: float = 1000.0) -> float:
+    """Strength of the beta priors about the parents' rates by the method of moments.
+
+    ``groups`` has n, bad and parent. One row comes to the driver.
+    """
+    rate, p = F.col("bad") / F.col("n"), F.col("parent")
+    got = groups.where("n > 0").agg(F.sum(F.col("n") * (rate - p) * (rate - p)).alias("v"), F.sum(F.col("n") * p * (1 - p)).alias("m")).first()
+    return min(max(got["m"] / got["v"] - 1, low), high) if got["v"] else high
+
+
+def _shrunk(k: float):
+    return (F.col("bad") + F.lit(k) * F.col("parent")) / (F.col("n") + F.lit(k))
+
+
+def parents(host: Column) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host: the suffix is the last label, or the last two where they are in SUFFIXES."""
+    name = F.regexp_replace(host, r":[0-9]*$", "")
+    long = F.regexp_extract(name, r"[^.]*\.[^.]*$", 0).isin(*SUFFIXES)
+    suffix = F.when(long, F.regexp_extract(name, r"[^.]*\.[^.]*$", 0)).otherwise(F.regexp_extract(name, r"[^.]*$", 0))
+    return F.when(long, F.regexp_extract(name, r"([^.]*\.)?[^.]*\.[^.]*$", 0)).otherwise(F.regexp_extract(name, r"([^.]*\.)?[^.]*$", 0)), suffix
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame, max_rate: float = 0.35, z: float = 1.64) -> DataFrame:
-    """Hosts with the verdict of their posterior: (host, blocked).
+    """Hosts with their posterior and its verdict: (host, bad_rate, bad_bound, blocked).
 
     ``pages`` has page_id and host, ``outcomes`` page_id and bad (0/1, one row a
-    page). Hosts without a labelled page take what their domain and suffix say.
+    page). Each level is shrunk towards the posterior rate of the level above.
+    Hosts without a labelled page take what their domain and suffix say.
     """
-    name = F.regexp_replace("host", r":[0-9]*$", "")
-    hosts = materialize(
-        pages.join(outcomes, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-        .withColumn("domain", F.regexp_extract(name, r"([^.]*\.)?[^.]*$", 0)).withColumn("suffix", F.regexp_extract(name, r"[^.]*$", 0)),
-        "hosts",
-    )
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    domain, suffix = parents(F.col("host"))
+    hosts = pages.join(outcomes, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    hosts = materialize(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
+    domains = materialize(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
-    mean = (total["bad"] or 0) / (total["n"] or 1)
-    k = [_strength(x, mean) for x in (suffixes, domains, hosts)]
-    by_suffix = suffixes.select("suffix", ((F.col("bad") + F.lit(k[0] * mean)) / (F.col("n") + F.lit(k[0]))).alias("suffix_rate"))
-    by_domain = domains.join(by_suffix, "suffix").select("domain", "suffix", ((F.col("bad") + F.lit(k[1]) * F.col("suffix_rate")) / (F.col("n") + F.lit(k[1]))).alias("domain_rate"))
-    post = (F.col("bad") + F.lit(k[2]) * F.col("domain_rate")) / (F.col("n") + F.lit(k[2]))
-    low = post - z * F.sqrt(post * (1 - post) / (F.col("n") + F.lit(k[2] + 1)))
-    return hosts.join(by_domain, ["domain", "suffix"]).select("host", (low > max_rate).alias("blocked"))
+    suffixes = suffixes.withColumn("parent", F.lit((total["bad"] or 0) / (total["n"] or 1)))
+    above = suffixes.select("suffix", _shrunk(_strength(suffixes)).alias("parent"))
+    domains = domains.join(above, "suffix")
+    above = domains.select("domain", "suffix", _shrunk(_strength(domains)).alias("parent"))
+    hosts = hosts.join(above, ["domain", "suffix"])
+    k = _strength(hosts)
+    post = _shrunk(k)
+    low = post - z * F.sqrt(post * (1 - post) / (F.col("n") + F.lit(k + 1)))
+    return hosts.select("host", post.alias("bad_rate"), low.alias("bad_bound")).withColumn("blocked", F.col("bad_bound") > max_rate)
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_rate: float = 0.35) -> DataFrame:
-    """One row per page row: page_id, host, path, rule, verdict.
+    """One row per page row: page_id, host, path, rule, verdict, bad_rate, bad_bound.
 
     Labels belong to the page of the same id; a page is bad where a label row
     says quality 0 or toxic 1 (of repeated label rows the worst counts; rows
-    with both null say nothing). Null urls and urls without :// have empty host
-    and path and share the reputation of the empty host. Repeated pages each get
-    a row; only page_id and url are read, so other columns cannot clash.
+    with both null say nothing). bad_rate and bad_bound are the posterior of the
+    page's host and its lower bound, to six digits. Null urls and urls without
+    :// have empty host and path and share the reputation of the empty host.
+    Repeated pages each get a row; only page_id and url are read, so other
+    columns cannot clash; an empty table gives none.
     """
     host, path = url_host("url"), url_path("url")
     seen = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -86,4 +106,5 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_rate: float = 0.
     hosts = reputation(seen, outcomes, max_rate)
     rule, verdict = rule_column(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("blocked"), "block").otherwise("allow")
-    return seen.join(hosts, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"))
+    out = seen.join(hosts, "host", "left")
+    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.round("bad_rate", 6).alias("bad_rate"), F.round("bad_bound", 6).alias("bad_bound"))

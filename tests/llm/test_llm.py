@@ -383,3 +383,130 @@ def test_every_two_texts_of_a_bucket_are_compared(spark, monkeypatch):
                 top[y] = x
     got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()}
     assert got == {d: find(d) for d in top} and 5 < len(set(got.values())) < 190
+
+
+def test_rows_without_id_are_linked(spark):
+    words = [f"n{i}" for i in range(100)]
+    near = lambda k: " ".join([*words[:k], "other", *words[k + 1 :]])
+    alone = " ".join(f"z{i}" for i in range(60))
+    data = [(None, " ".join(words)), (7, near(50)), (3, near(10)), (None, alone), (None, alone.upper()), (None, ""), (None, None), (9, "solo words that stand here alone")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in neardup.classes(df).collect()), key=str)
+    assert got == sorted([(None, 3, 3), (7, 3, 3), (3, 3, 3), (None, None, 2), (None, None, 2), (None, None, 1), (None, None, 1), (9, 9, 1)], key=str)
+    kept = sorted(((r["doc_id"], (r["text"] or "-").lower()) for r in neardup.keep_one(df).collect()), key=str)
+    assert kept == sorted([(3, near(10)), (None, alone), (None, "-"), (None, "-"), (9, data[-1][1])], key=str)
+
+
+def test_samplers_are_named_by_content(spark):
+    """Two corpora of one application with as many texts but other frequencies don't share a worker's sampler."""
+    a = spark.createDataFrame([(i, " ".join(f"c{j}" for j in range(40)) + f" x{i}") for i in range(30)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(f"d{i}q{j}" for j in range(40))) for i in range(30)], "doc_id long, text string")
+    names = []
+    for df in (a, b):
+        n, sketch = neardup.document_frequencies(df, "text")
+        names.append(hashlib.blake2b(sketch.tobytes() + n.to_bytes(8, "little"), digest_size=16).hexdigest())
+    assert names[0] != names[1]
+
+
+def test_filter_by_samples_loses_few_pairs():
+    """Of pairs at a weighted similarity of 0.8 to 0.85, the share that no band or the 39 equal samples would leave out."""
+    rng = np.random.default_rng(1)
+    s = neardup.Sampler(1000, np.full((neardup.DEPTH, neardup.WIDTH), 10.0, np.float32))
+    order, lost, n = np.uint64(0x9E3779B97F4A7C15) ** np.arange(neardup.PER_BAND, dtype=np.uint64), 0, 400
+    for _ in range(n):
+        both, own = rng.integers(0, 2**63, 300, dtype=np.uint64), rng.integers(0, 2**63, 70, dtype=np.uint64)
+        drawn = []
+        for part in (own[:35], own[35:]):  # 300 of 370: 0.81
+            h = np.unique(np.concatenate([both, part]))
+            drawn.append(s.sample(h, s.weights(h, np.ones(len(h), np.int64))))
+        equal = (drawn[0] >> np.uint64(48)) == (drawn[1] >> np.uint64(48))
+        bands = [(d.reshape(neardup.BANDS, -1) * order).sum(1, dtype=np.uint64) for d in drawn]
+        lost += equal.mean() < 0.6 or not (bands[0] == bands[1]).any()
+    assert lost <= 2
+
+
+def test_letters_decide_und(spark):
+    train = spark.createDataFrame([(i, ("the cat sat on the mat", "le chat est sur la table")[i % 2], ("en", "fr")[i % 2]) for i in range(60)], "doc_id long, text string, lang string")
+    odd = ["² ½ 12", "① Ⅷ ٣", "ª", "the ²", " . ", "́"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    got = by_id(language.identify(df, language.train(train)))
+    assert [got[i]["lang_pred"] == "und" for i in range(len(odd))] == [True, True, False, False, True, True]
+
+
+def test_schedule_by_integration(spark, docs):
+    """Each position is where the integral of the source's weight schedule has the tokens before it, and tenths of training hold its share."""
+    out = mixing.plan(docs.select(F.col("doc_id").alias("id"), mixing.text_size("text").alias("size"), mixing._key("source").alias("key"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("digest")))
+    turns = {}
+    x = np.linspace(0, 1, 20_001)
+    for r in out.collect():
+        a = 0.5 if r["turn"] % 2 == 0 else -0.5
+        demand = r["target"] * np.concatenate([[0], np.cumsum((1 + a * (2 * (x[1:] + x[:-1]) / 2 - 1)) * np.diff(x))])
+        assert abs(np.interp(r["position"], x, demand) - min(r["start"], r["target"])) <= 1e-6 * max(r["target"], 1)
+        turns.setdefault((r["turn"], a, r["target"], r["source_size"]), []).append((r["position"], r["size"]))
+    for (_, a, target, whole), rows in turns.items():
+        if target >= whole:  # every word comes once at least: tenths of the first round follow the schedule
+            end = np.interp(whole, target * (x + a * (x * x - x)), x)
+            for lo, hi in zip(np.linspace(0, end, 6)[:-1], np.linspace(0, end, 6)[1:]):
+                want = target * ((hi + a * (hi * hi - hi)) - (lo + a * (lo * lo - lo)))
+                assert abs(sum(s for p, s in rows if lo <= p < hi) - want) <= 2 * max(s for _, s in rows) + 1
+    mixed = mixing.mix(docs).collect()
+    assert [r["position"] for r in mixed] == sorted(r["position"] for r in mixed) and len(mixed) == docs.count()
+
+
+def test_machine_by_double_loop():
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 300, 25)) for _ in range(600)]
+    y = np.array([float((5 in r) != (9 in r)) for r in rows])
+    m = toxicity.Machine(rows, y, 0.4)
+    for r in rows[:50]:
+        x = [m.index[b] for b in r.tolist() if b in m.index]
+        z = m.bias + sum(m.weights[i] for i in x) + sum(float(m.factors[i] @ m.factors[j]) for k, i in enumerate(x) for j in x[k + 1 :])
+        assert m.score(x) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_pure_interactions_are_learned():
+    """Toxic where exactly one of two words stands: neither says anything alone."""
+    rng = np.random.default_rng(4)
+    rows = [np.array(sorted({10 + int(x) for x in rng.integers(0, 500, 20)} | ({1} if k & 1 else set()) | ({2} if k & 2 else set()))) for k in range(4000)]
+    y = np.array([float((k & 1) != (k >> 1 & 1)) for k in range(4000)])
+    m = toxicity.Machine(rows, y, 0.5)
+    assert {1, 2} <= set(m.index)
+    assert np.mean([(m.score([m.index[b] for b in r.tolist() if b in m.index]) >= 0.5) == t for r, t in zip(rows, y)]) > 0.97
+    counts = np.bincount(np.concatenate(rows), minlength=toxicity.BUCKETS)
+    toxic = np.bincount(np.concatenate([r for r, t in zip(rows, y) if t]), minlength=toxicity.BUCKETS)
+    want = np.zeros(600)
+    some = [1, 2, *range(10, 40)]
+    for i in some:
+        for j in some:
+            cells = [[(i in r) == a and (j in r) == b for r in rows] for a, b in ((1, 1), (1, 0), (0, 1), (0, 0))] if i < j else []
+            if cells and min(map(sum, cells)) >= 20:
+                p = [y[np.array(c)].mean() for c in cells]
+                chi = (p[0] - p[1] - p[2] + p[3]) ** 2 / (0.25 * sum(1 / sum(c) for c in cells))
+                want[i], want[j] = max(want[i], chi), max(want[j], chi)
+    kept = np.isin(np.arange(toxicity.BUCKETS), some)
+    got = toxicity.together([r[kept[r]] for r in rows], y, counts * kept, toxic * kept)
+    assert got[:600] == pytest.approx(want, rel=1e-4)
+
+
+def test_posteriors_by_hand(spark):
+    """Hosts of a two-label suffix are shrunk towards their registered domain, level by level."""
+    df = spark.createDataFrame([("a.b.example.co.uk:80",), ("example.co.uk",), ("x.example.com",), ("net",), ("",), ("co.uk",)], "host string")
+    assert [tuple(r) for r in df.select(*urls.parents(F.col("host"))).collect()] == [("example.co.uk", "co.uk"), ("example.co.uk", "co.uk"), ("example.com", "com"), ("net", "net"), ("", ""), ("co.uk", "co.uk")]
+    pages = spark.createDataFrame([(i, f"http://{'abc'[i % 3]}.{'one' if i % 3 else 'two'}.com/{i}", "x", "y") for i in range(900)] * 2, "page_id long, url string, host string, path string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0, "z") for i in range(900)], "doc_id long, quality int, toxic int, url string")
+    got = {r["host"]: r for r in urls.judge(pages, labels).collect()}
+    assert got["a.two.com"]["verdict"] == "allow" and got["b.one.com"]["verdict"] == got["c.one.com"]["verdict"] == "block"
+    assert all(r["bad_bound"] < r["bad_rate"] for r in got.values()) and got["b.one.com"]["bad_rate"] > 0.9 > 0.1 > got["a.two.com"]["bad_rate"]
+    assert urls.judge(pages, labels).count() == 1800
+
+
+def test_queries_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "STEP", 3)
+    rng = np.random.default_rng(6)
+    data = [(i, rng.normal(size=8).tolist(), "x", 0, 1) for i in range(300)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, score string, rank int, s int")
+    whole = np.floor(1024 * np.array([v for _, v, *_ in data])).astype(np.int64)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.search(df, F.col("vec_id") % 10 == 0, block=7, shard=9).collect()}
+    for q in range(0, 300, 10):
+        best = sorted(((-int(whole[q] @ whole[i]), i) for i in range(300) if i != q))[:10]
+        assert [got[q, k + 1] for k in range(10)] == [(i, -s) for s, i in best]
