@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +22,10 @@ from pyspark.sql.functions import pandas_udf
 from quarry.functions.shared import bounded_batches
 
 #: Pieces that a worker remembers at most, and the longest such piece; others are encoded again.
-REMEMBERED, LONGEST = 150_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: Characters of text that are replayed together at most; a batch of Arrow has about as many.
-TOGETHER = 4_000_000
-_known: dict[str, dict] = {}
+TOGETHER = 2_000_000
+_known: dict[str, tuple[dict[str, str], dict[str, bytes]]] = {}
 
 
 def load_ranks(spark, path: str) -> dict[bytes, int]:
@@ -110,11 +111,8 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
     return out
 
 
-def encode_texts(texts: list[str], ranks: dict[bytes, int], find, memory: dict[str, tuple]) -> Iterator[list[tuple]]:
-    """For each text, its pieces as (ids, ids written with commas, decoded bytes)."""
-    back = memory.get("")
-    if back is None:
-        back = memory[""] = {i: b for b, i in ranks.items()}
+def encode_texts(texts: list[str], ranks: dict[bytes, int], find, memory: dict[str, str]) -> Iterator[str]:
+    """The ids of each text, written with commas; ``memory`` holds those of pieces."""
     start = 0
     while start < len(texts):
         end, size = start, 0
@@ -122,23 +120,23 @@ def encode_texts(texts: list[str], ranks: dict[bytes, int], find, memory: dict[s
             size += len(texts[end])
             end += 1
         split = [find(t) for t in texts[start:end]]
-        fresh = [w for w in {w for ws in split for w in ws} if w not in memory]
-        own: dict[str, tuple] = {}
+        fresh = list({w for ws in split for w in ws if w not in memory})
+        own: dict[str, str] = {}
         for w, ids in zip(fresh, replay([w.encode() for w in fresh], ranks)):
-            (memory if len(memory) < REMEMBERED and len(w) <= LONGEST else own)[w] = (ids, ",".join(map(str, ids)), b"".join(map(back.__getitem__, ids)))
+            (memory if len(memory) < REMEMBERED and len(w) <= LONGEST else own)[w] = ",".join(map(str, ids))
         for ws in split:
-            yield [memory.get(w) or own[w] for w in ws]
+            yield ",".join([memory.get(w) or own[w] for w in ws])
         start = end
 
 
-def _worker(ranks_sent, pattern: str):
+def _worker(sent, pattern: str):
     import regex
 
-    name = ranks_sent.value[0]
+    name, ranks = sent.value
     if name not in _known:  # another vocabulary's ids are of no use
         _known.clear()
-    memory = _known.setdefault(name, {})
-    return ranks_sent.value[1], regex.compile(pattern).findall, memory
+        _known[name] = {}, {str(i): b for b, i in ranks.items()}
+    return ranks, regex.compile(pattern).findall, *_known[name]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id", ids: bool = False) -> DataFrame:
@@ -158,13 +156,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id:
 
     @pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table, find, memory = _worker(sent, pattern)
+        table, find, memory, back = _worker(sent, pattern)
         for texts in batches:
             rows = []
-            for parts in encode_texts(["" if x is None else x for x in texts], table, find, memory):
-                n = sum(len(p[0]) for p in parts)
-                row = (n, hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest(), hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
-                rows.append((*row, [i for p in parts for i in p[0]]) if ids else row)
+            for written in encode_texts(["" if x is None else x for x in texts], table, find, memory):
+                own = written.split(",") if written else []
+                row = (len(own), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(b"".join([back[i] for i in own])).hexdigest())
+                rows.append((*row, np.array(own, np.int32)) if ids else row)
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
 
     return docs.select(F.col(doc_id).alias("doc_id"), run(text).alias("r")).select("doc_id", "r.*")
