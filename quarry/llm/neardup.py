@@ -265,15 +265,17 @@ class Corpus:
     doc_id: str
     at_least: float
     nameless: bool  # some node has only rows without an id
+    ambiguous: bool  # some id has rows of different texts
 
     def with_text(self, wanted: DataFrame) -> DataFrame:
         """``wanted`` (rep, fp and more) without rep and with the text of each fingerprint.
 
-        Whole texts are shuffled once, by id. Ids may repeat with other texts, so
-        the fingerprint decides; rows of an id that repeat a text are taken once
-        where they come one after the other. Nodes without an id are found by
-        their fingerprint among the documents without an id.
+        Whole texts are shuffled once, by id. Where ids repeat with other texts the
+        fingerprint decides; rows of an id that repeat a text are taken once where
+        they come one after the other. Nodes without an id are found by their
+        fingerprint among the documents without an id.
         """
+        ambiguous = self.ambiguous
         given = self.docs.select(F.col(self.doc_id).alias("rep"), F.col(self.text).alias("text"))
         found = wanted.join(given, "rep")
         names = [c for c in wanted.columns if c != "rep"]
@@ -286,8 +288,7 @@ class Corpus:
                 for rep, text, key in zip(batch["rep"], batch["text"], zip(*(batch[c] for c in keys))):
                     if rep != last:
                         last, seen = rep, set()
-                    fp = fingerprint(word_hashes(text or ""))
-                    new = fp == key[keys.index("fp")] and key not in seen
+                    new = key not in seen and (not ambiguous or fingerprint(word_hashes(text or "")) == key[keys.index("fp")])
                     keep.append(new)
                     if new:
                         seen.add(key)
@@ -482,7 +483,8 @@ def _labelled(docs: DataFrame, text: str, doc_id: str, similar: float) -> tuple[
     sent = spark.sparkContext.broadcast((name, n, sketch))
     rows = materialize(signatures(docs, sent, text, doc_id), "signatures")
     nodes = materialize(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("weight").alias("weight")), "nodes")
-    corpus = Corpus(docs, nodes, sent, text, doc_id, similar, bool(nodes.where("rep is null").take(1)))
+    texts = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("fp", F.lit(b""))).alias("lo"), F.max(F.coalesce("fp", F.lit(b""))).alias("hi"))
+    corpus = Corpus(docs, nodes, sent, text, doc_id, similar, bool(nodes.where("rep is null").take(1)), bool(texts.where("lo <> hi").take(1)))
     members = materialize(nodes.select("fp", F.posexplode("bands").alias("band", "h")).select("fp", F.xxhash64("band", "h").alias("h")), "members")
     hubs = members.groupBy("h").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("h", "a")
     shared = materialize(members.join(hubs, "h"), "shared")

@@ -510,3 +510,12 @@ def test_queries_by_blocks(spark, monkeypatch):
     for q in range(0, 300, 10):
         best = sorted(((-int(whole[q] @ whole[i]), i) for i in range(300) if i != q))[:10]
         assert [got[q, k + 1] for k in range(10)] == [(i, -s) for s, i in best]
+
+
+def test_ids_with_several_texts(spark):
+    """An id that stands for other texts too lends a comparison the right one."""
+    words = [f"n{i}" for i in range(100)]
+    near = " ".join([*words[:50], "other", *words[51:]])
+    data = [(5, "quite another text " * 9), (5, near), (5, near), (8, " ".join(words)), (5, None), (2, "and one more of its own words")]
+    got = sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in neardup.classes(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    assert got == [(2, 2, 1), (5, 5, 1), (5, 5, 1), (5, 5, 3), (5, 5, 3), (8, 5, 3)]
