@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from quarry.functions import constants as C
-from quarry.operators.classify import arch_source_kind
-from quarry.operators.files import basename, walk_key
+from quarry.operators.classify import arch_source_kind, integration_dirs
+from quarry.operators.files import basename, under_skip_dir, walk_key
 
 READ_LIMIT, ENV_LIMIT = 200_000, 40_000
 
 
 def of_kind(files: DataFrame, *kinds: str) -> DataFrame:
-    return files.where(arch_source_kind("path").isin(*kinds))
+    return files.where(arch_source_kind("path").isin(*kinds) & ~under_skip_dir("path", C.ARCH_SKIP_DIRS))
 
 
 def env_names(files: DataFrame) -> DataFrame:
@@ -47,15 +47,16 @@ def deps_package_json(files: DataFrame) -> DataFrame:
 
 
 def deps_go_mod(files: DataFrame) -> DataFrame:
-    """Direct requirements of go.mod, in blocks and alone; indirect ones and comments are left out."""
-    lines = of_kind(files, "go_mod").select("repo_id", "path", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
+    """Direct requirements of go.mod, in blocks and alone; those whose comment is exactly ``indirect`` are left out."""
+    lines = of_kind(files, "go_mod").select("repo_id", "path", F.posexplode(F.split(F.substring("content", 1, READ_LIMIT), "\n")).alias("pos", "raw"))
+    lines = lines.select("repo_id", "path", "pos", F.regexp_replace("raw", r"//.*$", "").alias("line"), F.trim(F.regexp_extract("raw", r"//(.*)$", 1)).alias("note"))
     opened = F.col("line").rlike(r"^\s*require\s*\(").cast("int")
     closed = F.col("line").rlike(r"^\s*\)").cast("int")
     w = Window.partitionBy("repo_id", "path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("inside", F.sum(opened).over(w) - F.sum(closed).over(w))
-    one, block = r"^\s*require\s+([^\s(]+)\s+(v\S+)\s*$", r"^\s*([^\s(/][^\s(]*)\s+(v\S+)\s*$"
+    one, block = r"^\s*require\s+([^\s(]+)\s+(v\S+)\s*$", r"^\s*([^\s(]+)\s+(v\S+)\s*$"
     pick = lambda k: F.when(F.col("inside") > 0, F.regexp_extract("line", block, k)).otherwise(F.regexp_extract("line", one, k))
-    return lines.where(opened == 0).select("repo_id", F.col("path").alias("manifest_path"), F.lit("go_mod").alias("kind"), pick(1).alias("name"), pick(2).alias("version")).where("name <> '' and name <> 'require'")
+    return lines.where((opened == 0) & (F.col("note") != "indirect")).select("repo_id", F.col("path").alias("manifest_path"), F.lit("go_mod").alias("kind"), pick(1).alias("name"), pick(2).alias("version")).where("name <> '' and name <> 'require'")
 
 
 def deps_requirements(files: DataFrame) -> DataFrame:
@@ -92,8 +93,8 @@ def deps_pyproject(files: DataFrame) -> DataFrame:
 
 
 def all_deps(files: DataFrame) -> DataFrame:
-    """Dependencies of the manifests that built-in expressions parse."""
-    return deps_package_json(files).unionByName(deps_go_mod(files)).unionByName(deps_requirements(files))
+    """Dependencies of every kind of manifest."""
+    return deps_package_json(files).unionByName(deps_go_mod(files)).unionByName(deps_requirements(files)).unionByName(deps_pyproject(files))
 
 
 def dependency_union(deps: DataFrame) -> DataFrame:
@@ -107,70 +108,117 @@ def dependency_usage(deps: DataFrame, k: int = 50) -> DataFrame:
     return per.orderBy(F.desc("repos"), "name").limit(k)
 
 
-def manifest_problems(files: DataFrame) -> DataFrame:
-    """Unreadable, malformed and truncated manifests of each kind."""
-    kind = arch_source_kind("path")
-    rows = files.select("repo_id", kind.alias("kind"), "content").where("kind in ('package', 'go_mod', 'pyproject', 'requirements')")
-    long = F.length("content") > READ_LIMIT
-    bad = (F.col("kind") == "package") & F.try_parse_json(F.col("content")).isNull() & F.col("content").isNotNull()
-    return rows.groupBy("repo_id", "kind").agg(F.count("*").alias("manifests"), F.count_if(F.col("content").isNull()).alias("unreadable"), F.count_if(F.coalesce(long, F.lit(False))).alias("truncated"), F.count_if(bad & ~long).alias("malformed"))
+PROBLEMS = ("unreadable", "malformed", "truncated", "truncated_unparsable")
+
+
+def _bad_toml(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    import tomllib
+
+    def one(text):
+        try:
+            tomllib.loads(text)
+        except tomllib.TOMLDecodeError:
+            return True
+        return False
+
+    for texts in batches:
+        yield texts.map(one, na_action=None).astype(bool)
 
 
-SECRET_KEY = re.compile(r"(?i)(passw|secret|token|api_?-?key|private_?key|credential|access_?key)")
-_PAIR = re.compile(r"^(\s*(?:-\s+)?[\"']?)([A-Za-z0-9_.-]+)([\"']?\s*[:=]\s*)(\S.*)$")
-_URL = re.compile(r"([a-z][a-z0-9+.-]{0,30}://[^\s:/@]{0,200}:)[^\s@/]{1,400}@", re.I)
+def manifest_problems(files: DataFrame) -> DataFrame:
+    """(repo_id, kind, manifests, each of PROBLEMS, note): manifests that could not be read, parsed or read whole.
+
+    A manifest longer than the read limit is judged by what fits: cut JSON and
+    TOML that no longer parse are truncated_unparsable, not malformed.
+    """
+    rows = files.where(~under_skip_dir("path", C.ARCH_SKIP_DIRS)).select("repo_id", arch_source_kind("path").alias("kind"), "content").where("kind in ('package', 'go_mod', 'pyproject', 'requirements')")
+    rows = rows.select("repo_id", "kind", F.col("content").isNull().alias("unreadable"), F.coalesce(F.length("content") > READ_LIMIT, F.lit(False)).alias("long"), F.coalesce(F.substring("content", 1, READ_LIMIT), F.lit("")).alias("cut"))
+    toml = rows.where("kind = 'pyproject'").withColumn("bad", pandas_udf(_bad_toml, "boolean")("cut"))
+    rest = rows.where("kind <> 'pyproject'").withColumn("bad", (F.col("kind") == "package") & F.try_parse_json(F.col("cut")).isNull())
+    rows = rest.unionByName(toml).withColumn("bad", F.col("bad") & ~F.col("unreadable"))
+    per = rows.groupBy("repo_id", "kind").agg(
+        F.count("*").alias("manifests"), F.count_if("unreadable").alias("unreadable"), F.count_if(F.col("bad") & ~F.col("long")).alias("malformed"),
+        F.count_if(F.col("long") & ~F.col("bad")).alias("truncated"), F.count_if(F.col("long") & F.col("bad")).alias("truncated_unparsable"))
+    label, verb = (F.element_at(F.create_map(*[F.lit(x) for pair in named.items() for x in pair]), F.col("kind")) for named in (C.MANIFEST_LABELS, C.MANIFEST_VERBS))
+    said = {"unreadable": F.lit("{be} unreadable or refused"), "malformed": verb, "truncated": F.lit("{be} truncated by the read limit; only what fit was parsed"),
+            "truncated_unparsable": F.concat(F.lit("{be} truncated by the read limit; the cut text "), verb, F.lit(", so no dependencies were parsed"))}
+    clauses = []
+    for name in PROBLEMS:
+        n, one = F.col(name), F.col(name) == 1
+        text = F.concat(n.cast("string"), F.lit(" "), label, F.when(one, " file ").otherwise(" files "), F.replace(said[name], F.lit("{be}"), F.when(one, "was").otherwise("were")))
+        clauses.append(F.when(n > 0, text))
+    return per.withColumn("note", F.array_join(F.array_compact(F.array(*clauses)), "; "))
+
+
+class _Blocks:
+    """The open keys above a line of one YAML document, and what they say about its value."""
+
+    def __init__(self, secret: bool):
+        self.secret, self.above, self.named, self.hidden = secret, [], None, 0
+
+    def enter(self, depth: int, item: bool) -> str:
+        """Leaves the keys that end before this line; 'gone' or 'data' where the line stands under such a key."""
+        # a list may stand as deep as its key
+        self.above = [x for x in self.above if x[0] < depth or (item and x[0] == depth and not x[2] and x[1] == "gone")]
+        kinds = {kind for _, kind, _ in self.above}
+        return "gone" if "gone" in kinds else "data" if "data" in kinds else ""
+
+    def hide(self, head: str, value: str, depth: int, item: bool, rest: bool) -> str:
+        """The line without its value; ``rest``: nor what is nested under it."""
+        self.hidden += 1
+        if rest:
+            self.above.append((depth, "gone", item))
+        quote = value[-1:] if value[-1:] in ("'", '"') and head.count(value[-1:]) % 2 else ""
+        return head + C.REDACTED + quote
+
+
+def _rewritten(blocks: _Blocks, line: str, below: str | None) -> str | None:
+    """One line without secrets, None where it is part of one; ``below`` is the next line with text if it is deeper."""
+    depth, item = len(line) - len(line.lstrip()), line.lstrip().startswith("-")
+    under = blocks.enter(depth, item)
+    if under == "gone":
+        return None
+    if bare := re.match(C.BARE_KEY, line):
+        if blocks.secret and bare["key"] in ("data", "stringData"):
+            blocks.above.append((depth, "data", item))
+        elif under or (re.search(C.SECRET_KEY, bare["key"]) and not (below and (re.match(C.ASSIGNMENT, below) or re.match(C.BARE_KEY, below)))):
+            return blocks.hide(bare["head"] + " ", "", depth, item, True)
+        return line
+    if pair := re.match(C.ASSIGNMENT, line):
+        key, value = pair["key"], pair["value"]
+        if key == "name" and not under:
+            blocks.named = depth if re.search(C.SECRET_KEY, value) else None
+        elif under or re.search(C.SECRET_KEY, key) or (key == "value" and blocks.named is not None and depth >= blocks.named):
+            return blocks.hide(pair["head"], value, depth, item, re.match(C.BLOCK_SCALAR, value) is not None)
+    masked, n = re.subn(C.URL_PASSWORD, lambda m: m["scheme"] + C.REDACTED, line)
+    blocks.hidden += n
+    return masked
 
 
 def redact_text(text: str) -> tuple[str, int]:
-    """Configuration without the values of secret keys, Kubernetes Secret data and URL passwords; and their number."""
-    out, n = [], 0
-    for doc in re.split(r"(?m)(?=^(?:---|\.\.\.)\s*$)", text):
-        secret = re.search(r"(?m)^kind:\s*[\"']?Secret[\"']?\s*$", doc) is not None
-        swallow = data = name_at = None
-        for line in doc.split("\n"):
-            depth = len(line) - len(line.lstrip())
-            if not line.strip():
-                out.append(line)
-                continue
-            if swallow is not None:
-                if depth > swallow:
-                    continue
-                swallow = None
-            if data is not None and depth <= data:
-                data = None
-            body = line.strip()
-            if secret and re.match(r"(data|stringData):\s*$", body):
-                data = depth
-                out.append(line)
-                continue
-            if m := re.match(r"(?:-\s+)?name:\s*[\"']?([A-Za-z0-9_.-]+)", body):
-                name_at = depth if SECRET_KEY.search(m[1]) else None
-                out.append(line)
-                continue
-            pair = _PAIR.match(line)
-            hide = pair and (data is not None or SECRET_KEY.search(pair[2]) or (pair[2] == "value" and name_at is not None and depth >= name_at))
-            if hide:
-                n += 1
-                out.append(f"{pair[1]}{pair[2]}{pair[3]}[REDACTED]")
-                if pair[4].strip()[:1] in ("|", ">"):
-                    swallow = depth
-            elif (m := re.match(r"(?:-\s+)?[\"']?([A-Za-z0-9_.-]+)[\"']?:\s*$", body)) and SECRET_KEY.search(m[1]):
-                n += 1
-                out.append(line + " [REDACTED]")
-                swallow = depth
-            else:
-                masked, k = _URL.subn(r"\1[REDACTED]@", line)
-                n += k
-                out.append(masked)
-        out.append(None)
-    joined, first = [], True
-    for x in out:
-        if x is None:
-            first = True
-            continue
-        joined.append(x if first else "\n" + x)
-        first = False
-    return "".join(joined), n
+    """Configuration without the values of secret keys, Kubernetes Secret data and URL passwords; and their number.
+
+    A nested mapping under a secret key stays and its own keys decide; a list or
+    a block of text there is the value.
+    """
+    out, hidden = [], 0
+    for doc in re.split(r"(?m)^(?=(?:---|\.\.\.)\s*$)", text):
+        lines = doc.split("\n")
+        blocks, below, deeper = _Blocks(re.search(C.SECRET_KIND, doc) is not None), None, [None] * len(lines)
+        for k in range(len(lines) - 1, -1, -1):
+            deeper[k] = below
+            if lines[k].strip():
+                below = lines[k]
+        kept = []
+        for line, nxt in zip(lines, deeper):
+            if nxt is not None and len(nxt) - len(nxt.lstrip()) <= len(line) - len(line.lstrip()):
+                nxt = None
+            new = _rewritten(blocks, line, nxt) if line.strip() else line
+            if new is not None:
+                kept.append(new)
+        out.append("\n".join(kept))
+        hidden += blocks.hidden
+    return "".join(out), hidden
 
 
 def _redacted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -185,16 +233,6 @@ def redact_config(files: DataFrame) -> DataFrame:
 
 
 JS_LINE = r"import .*from ['\"]" + C.SDK + r"|require\(['\"]" + C.SDK + r"|new (?:Stripe|Twilio|Redis|S3Client)"
-GO_PATH = (
-    r'^[ \t]*(?:[A-Za-z_][A-Za-z0-9_]*[ \t]+){0,2}"((?:github\.com/aws/aws-sdk-go(?:-v2)?|cloud\.google\.com/go/[a-z0-9]+|'
-    r"github\.com/(?:redis/go-redis|go-redis/redis|jackc/pgx|lib/pq|mattn/go-sqlite3|stripe/stripe-go|slack-go/slack|sendgrid/sendgrid-go|twilio/twilio-go|"
-    r"openai/openai-go|sashabaranov/go-openai|minio/minio-go|elastic/go-elasticsearch|segmentio/kafka-go|nats-io/nats\.go|IBM/sarama|Shopify/sarama|rabbitmq/amqp091-go|"
-    r"streadway/amqp|getsentry/sentry-go|aws/aws-lambda-go|hashicorp/vault|go-sql-driver/mysql|jmoiron/sqlx|uptrace/bun|gorm/gorm)|"
-    r"modernc\.org/sqlite|google\.golang\.org/grpc|gorm\.io/gorm|entgo\.io/ent|"
-    r'[A-Za-z0-9.-]+/[A-Za-z0-9-]+/(?:[A-Za-z0-9-]+/)*[A-Za-z0-9-]*(?:sdk-go|go-sdk|sdk-for-go))(?:/[^"]*)?)"'
-)
-
-
 def go_sdk_name(path: Column) -> Column:
     """The client that a Go module path names; version segments never do."""
     s = F.filter(F.split(path, "/"), lambda x: (x != "") & ~x.rlike(r"^v\d+$"))
@@ -216,8 +254,8 @@ def sdk_imports(files: DataFrame, cap: int = 400) -> DataFrame:
     known = F.regexp_extract("text", C.SDK, 1)
     name = F.regexp_replace(F.when(known != "", known).when(built != "", built).otherwise("sdk"), "['\"@]", "")
     js = js.select("repo_id", "path", (F.col("pos") + 1).alias("line"), name.alias("sdk"), F.lit(0).alias("part"))
-    go = files.where((ext == "go") & ~F.col("path").rlike(r"(^|/)vendor/") & F.col("content").rlike("(?m)" + GO_PATH)).select("repo_id", "path", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
-    go = go.withColumn("module", F.regexp_extract("text", GO_PATH, 1)).where("module <> ''")
+    go = files.where((ext == "go") & ~F.col("path").rlike(r"(^|/)vendor/") & F.col("content").rlike("(?m)" + C.GO_PATH)).select("repo_id", "path", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
+    go = go.withColumn("module", F.regexp_extract("text", C.GO_PATH, 1)).where("module <> ''")
     own = files.where(basename("path") == "go.mod").groupBy("repo_id").agg(F.min_by(F.regexp_extract("content", r"(?m)^module\s+(\S+)", 1), F.struct(F.length("path"), "path")).alias("own"))
     go = go.join(own, "repo_id", "left").where("own is null or own = '' or not (module = own or startswith(module, own || '/'))")
     go = go.select("repo_id", "path", (F.col("pos") + 1).alias("line"), go_sdk_name(F.col("module")).alias("sdk"), F.lit(1).alias("part"))
@@ -228,10 +266,13 @@ def sdk_imports(files: DataFrame, cap: int = 400) -> DataFrame:
 
 
 def arch_stats(files: DataFrame) -> DataFrame:
-    """Counts of configuration files, variables, dependencies and SDK lines of each repository."""
-    kind = arch_source_kind("path")
-    base = files.groupBy("repo_id").agg(F.count_if(kind.isNotNull()).alias("configs"), F.count_if(kind.isNotNull() & F.col("content").isNull()).alias("unreadable"), F.count_if(kind.isNotNull() & (F.length("content") > READ_LIMIT)).alias("truncated"))
+    """Counts of configuration files (found, included, unreadable, cut), variables, dependencies, integrations and SDK lines of each repository."""
+    config = arch_source_kind("path").isNotNull() & ~under_skip_dir("path", C.ARCH_SKIP_DIRS)
+    base = files.groupBy("repo_id").agg(
+        F.count_if(config).alias("configs"), F.count_if(config & F.col("content").isNotNull()).alias("included"), F.count_if(config & F.col("content").isNull()).alias("unreadable"),
+        F.count_if(config & (F.length("content") > READ_LIMIT)).alias("truncated"))
     parts = {"env_vars": env_names(files), "deps": dependency_union(all_deps(files)), "sdk_lines": sdk_imports(files)}
     for name, rows in parts.items():
         base = base.join(rows.groupBy("repo_id").agg(F.count("*").alias(name)), "repo_id", "left")
-    return base.na.fill(0, list(parts))
+    listed = integration_dirs(files).select("repo_id", F.size(F.split("names", ",")).cast("long").alias("integrations"))
+    return base.join(listed, "repo_id", "left").na.fill(0, [*parts, "integrations"])

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,22 +49,31 @@ def budget_prefix_min1(rows: DataFrame, budget: int, max_files: int = 40) -> Dat
 
 
 def budget_greedy(rows: DataFrame, budget: int) -> DataFrame:
-    """First fit in order: a row that does not fit is skipped and later ones may still fit."""
+    """First fit in order: a row that does not fit is skipped and later ones may still fit.
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part, left, keep = part.sort_values("ord"), budget, []
-        for n in part["len"]:
-            keep.append(n <= left)
-            left -= n if n <= left else 0
-        return part[keep]
+    A repository's rows stream by in order and only what is left of its budget
+    is held, so its number of files does not matter.
+    """
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        repo, left = None, budget
+        for batch in batches:
+            keep = []
+            for r, n in zip(batch["repo_id"], batch["len"]):
+                if r != repo:
+                    repo, left = r, budget
+                keep.append(n <= left)
+                left -= n if keep[-1] else 0
+            yield batch[keep]
 
-    return rows.where("len is not null").select("repo_id", "path", "len", "ord").groupBy("repo_id").applyInPandas(fit, "repo_id string, path string, len long, ord int")
+    one = rows.where(F.col("len").between(0, budget)).select("repo_id", "path", "len", "ord")
+    return one.repartition("repo_id").sortWithinPartitions("repo_id", "ord").mapInPandas(fit, "repo_id string, path string, len long, ord int")
 
 
 def layer_queue(files: DataFrame) -> DataFrame:
     """Backend files with their length and place in their layer's queue."""
     base = F.lower(basename("path"))
-    sampled = F.col("layer").isin("handler", "service", "database")
+    sampled = F.col("layer").isin(*C.SAMPLED_LAYERS)
     hint = base.rlike("|".join(C.CORE_HINTS))
     first = F.when(sampled, F.when(hint, 0).otherwise(1)).otherwise(F.when(F.col("path").endswith("main.go"), 1).otherwise(0))
     rows = files.select("repo_id", "path", backend_layer("path").alias("layer"), F.length("content").cast("long").alias("len"), (F.trim(F.coalesce("content", F.lit(""))) == "").alias("blank")).where("layer is not null")
@@ -73,43 +83,46 @@ def layer_queue(files: DataFrame) -> DataFrame:
 def budget_fair_share(queue: DataFrame, budget: int = 650_000, sample: int = 18, header: int = 0) -> DataFrame:
     """Each layer gets an even share of what is left; then the set-aside files take turns.
 
-    A queue row costs its length and its heading. Blank rows cost nothing and are not taken.
+    A queue row costs its length and its heading. Blank rows cost nothing and are
+    not taken; rows that no budget can hold are left out first.
     """
+    heading = F.length(F.concat(F.lit("\n===== LAYER "), F.upper("layer"), F.lit(": "), "path", F.lit(" =====\n\n")))
+    order = {x: k for k, x in enumerate(C.BUNDLE_ORDER)}
 
     def share(part: pd.DataFrame) -> pd.DataFrame:
-        taken, total, later = [], header, {}
-        queues = {x: part[part["layer"] == x].sort_values("ord") for x in C.BUNDLE_ORDER}
-        queues = {x: q for x, q in queues.items() if len(q)}
-        limit = {x: sample if x in ("handler", "service", "database") else len(part) for x in queues}
-        count = dict.fromkeys(queues, 0)
-        cost = lambda x, r: r.len + len(f"\n===== LAYER {x.upper()}: {r.path} =====\n\n")
-        for k, (x, q) in enumerate(queues.items()):
-            own, used, later[x] = (budget - total) // (len(queues) - k), 0, deque()
-            for r in q.itertuples():
-                if count[x] >= limit[x]:
+        part = part.assign(turn=part["layer"].map(order)).sort_values(["turn", "ord"], ignore_index=True)
+        cost, turns = part["cost"].to_numpy(), part["turn"].to_numpy()
+        room = {t: sample if C.BUNDLE_ORDER[t] in C.SAMPLED_LAYERS else len(part) for t in np.unique(turns)}
+        left, taken, aside = budget - header, [], []
+        for k, t in enumerate(room):
+            own = left // (len(room) - k)
+            left -= own
+            for i in np.flatnonzero(turns == t):
+                if not room[t]:
                     break
-                if r.blank:
-                    continue
-                n = cost(x, r)
-                if used + n > own:
-                    later[x].append(r)
-                    continue
-                used, count[x] = used + n, count[x] + 1
-                taken.append(r.Index)
-            total += used
-        while any(later.values()):
-            for x, q in later.items():
-                if count[x] >= limit[x]:
-                    q.clear()
-                if q:
-                    r = q.popleft()
-                    n = cost(x, r)
-                    if total + n <= budget:
-                        total, count[x] = total + n, count[x] + 1
-                        taken.append(r.Index)
+                if cost[i] <= own:
+                    own, room[t] = own - cost[i], room[t] - 1
+                    taken.append(i)
+                else:
+                    aside.append(i)
+            left += own  # what the layer leaves is for the next ones
+        # one of each layer's set-aside rows a round: the k-th of all layers come before the k+1-th of any
+        rest = pd.DataFrame({"i": aside, "turn": turns[aside]}) if aside else pd.DataFrame({"i": [], "turn": []}, dtype=int)
+        for i, t in rest.assign(round=rest.groupby("turn").cumcount()).sort_values(["round", "turn"])[["i", "turn"]].to_numpy():
+            if room[t] and cost[i] <= left:
+                left, room[t] = left - cost[i], room[t] - 1
+                taken.append(i)
         return part.loc[taken, ["repo_id", "layer", "path", "len", "ord"]]
 
-    return queue.where("len is not null").groupBy("repo_id").applyInPandas(share, "repo_id string, layer string, path string, len long, ord int")
+    rows = queue.where("len is not null and not blank").withColumn("cost", F.col("len") + heading).drop("blank")
+    every = queue.where("len is not null").select("repo_id", "layer").distinct().groupBy("repo_id").agg(F.collect_set("layer").alias("layers"))
+    # layers of blank files alone take part in the sharing: each repository has at most six
+    empty = every.join(rows.groupBy("repo_id").agg(F.collect_set("layer").alias("filled")), "repo_id", "left").select("repo_id", F.explode(F.array_except("layers", F.coalesce("filled", F.array().cast("array<string>")))).alias("layer"))
+    marks = empty.select("repo_id", "layer", F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("len"), F.lit(0).alias("ord"), F.lit(budget + 1).cast("long").alias("cost"))
+    fits = rows.where(F.col("cost") <= budget).unionByName(rows.where(F.col("cost") > budget).select("repo_id", "layer").distinct().select(
+        "repo_id", "layer", F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("len"), F.lit(0).alias("ord"), F.lit(budget + 1).cast("long").alias("cost")))
+    kinds = "repo_id string, layer string, path string, len long, ord int"
+    return fits.select(*marks.columns).unionByName(marks).groupBy("repo_id").applyInPandas(share, kinds)
 
 
 def budget_slice(sections: DataFrame, max_chars: int) -> DataFrame:
@@ -121,6 +134,15 @@ def budget_slice(sections: DataFrame, max_chars: int) -> DataFrame:
     return rows.where(F.col("start") < max_chars).select("repo_id", "path", "start", F.least("len", max_chars - F.col("start")).alias("kept_chars"), "truncated")
 
 
+def whole_lines(kept: DataFrame, files: DataFrame) -> DataFrame:
+    """The lines of each kept section that lie inside of the cut to their end: (repo_id, path, line, text)."""
+    rows = kept.select("repo_id", "path", "kept_chars").join(files.select("repo_id", "path", "content"), ["repo_id", "path"])
+    rows = rows.select("repo_id", "path", F.length("content").alias("len"), F.col("kept_chars").cast("int").alias("kept"), F.split(F.substr("content", F.lit(1), F.col("kept_chars").cast("int")), "\n").alias("ls"))
+    # the last line is whole where nothing is cut
+    whole = F.when(F.col("kept") < F.col("len"), F.slice("ls", 1, F.size("ls") - 1)).otherwise(F.col("ls"))
+    return rows.select("repo_id", "path", F.posexplode(whole).alias("pos", "text")).select("repo_id", "path", (F.col("pos") + 1).alias("line"), "text")
+
+
 def bundle_text(chosen: DataFrame, files: DataFrame) -> DataFrame:
     """The chosen files' texts under their headings, in order, as one text."""
     rows = chosen.select("repo_id", "path", "ord").join(files.select("repo_id", "path", "content"), ["repo_id", "path"])
@@ -135,7 +157,12 @@ def included_dropped(candidates: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def resolve_named_paths(named: DataFrame, files: DataFrame, max_files: int = 8, max_chars: int = 120_000, cut: int = 40_000) -> DataFrame:
-    """Files that a reply's names mean: the exact path, else the first file that ends with it after a slash."""
+    """(repo_id, ord, name, path, chars, skipped): the files that a reply's names mean.
+
+    A name is an exact path, else the first file that ends with it after a slash.
+    Names that leave the repository, name credentials, fit no file or come after
+    the caps are skipped.
+    """
     names = named.select("repo_id", "ord", F.regexp_replace("name", "^/+", "").alias("name")).where(~F.col("name").contains("..") & ~is_credential_named("name"))
     parts = F.split("path", "/")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
@@ -144,7 +171,8 @@ def resolve_named_paths(named: DataFrame, files: DataFrame, max_files: int = 8,
     w = Window.partitionBy("repo_id").orderBy("ord")
     rows = hit.select("repo_id", "ord", "name", "f.path", F.least(F.coalesce("f.len", F.lit(0)), F.lit(cut)).alias("chars"))
     rows = rows.withColumn("r", F.row_number().over(w)).withColumn("upto", F.sum("chars").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.where((F.col("r") <= max_files) & (F.col("upto") <= max_chars)).select("repo_id", "ord", "name", "path", "chars")
+    read = rows.where((F.col("r") <= max_files) & (F.col("upto") <= max_chars)).select("repo_id", "ord", "path", "chars")
+    return named.select("repo_id", "ord", "name").join(read, ["repo_id", "ord"], "left").withColumn("skipped", F.col("path").isNull())
 
 
 def largest_file(files: DataFrame) -> DataFrame:
@@ -153,11 +181,26 @@ def largest_file(files: DataFrame) -> DataFrame:
     return files.groupBy("repo_id").agg(F.max_by(F.struct("path", "size"), F.struct(pref.alias("p"), "size", "path")).alias("f")).select("repo_id", "f.path", "f.size")
 
 
-def preview_rollup(files: DataFrame, budget: int = 1_000_000) -> DataFrame:
-    """One row for each repository and analysis; what an analysis does not compute is null."""
-    rows = walked(files)
-    kept = budget_prefix(rows, budget)
-    tour = rows.groupBy("repo_id").agg(F.count("*").alias("files")).join(kept.groupBy("repo_id").agg(F.count("*").alias("included"), F.sum("len").alias("assembled_chars")), "repo_id", "left")
-    tour = tour.select("repo_id", F.lit("tour").alias("analysis"), "files", "included", (F.col("files") - F.col("included")).alias("dropped"), "assembled_chars", (F.col("assembled_chars") > budget).alias("stops_here"))
-    layers = files.where(backend_layer("path").isNotNull()).groupBy("repo_id").agg(F.count("*").alias("files")).withColumn("analysis", F.lit("backend"))
-    return tour.unionByName(layers, allowMissingColumns=True)
+def preview_rollup(parts: dict[str, DataFrame], notes: dict[str, Column] | None = None) -> DataFrame:
+    """One row for each repository and analysis: counts, included, dropped, assembled_chars, notes.
+
+    A part has repo_id, its counts, and of included, dropped and assembled_chars
+    what the analysis computes; the others are null, which is not 0. ``notes``
+    has a text or null for the rows of an analysis.
+    """
+    known, out = ("included", "dropped", "assembled_chars"), None
+    for analysis, part in parts.items():
+        names = [c for c in part.columns if c not in ("repo_id", *known)]
+        counts = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.coalesce(F.col(c), F.lit(0)).cast("long") for c in names)))
+        have = [(F.col(c) if c in part.columns else F.lit(None)).cast("long").alias(c) for c in known]
+        note = (notes or {}).get(analysis, F.lit(None).cast("string"))
+        rows = part.select("repo_id", F.lit(analysis).alias("analysis"), counts.alias("counts"), *have, F.array_compact(F.array(note)).alias("notes"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def budget_totals(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """(repo_id, files, included, dropped, assembled_chars) of a budget."""
+    got = kept.groupBy("repo_id").agg(F.count("*").alias("included"), F.sum("len").alias("assembled_chars"))
+    per = rows.groupBy("repo_id").agg(F.count("*").alias("files")).join(got, "repo_id", "left").na.fill(0)
+    return per.select("repo_id", "files", "included", (F.col("files") - F.col("included")).alias("dropped"), "assembled_chars")

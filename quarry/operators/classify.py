@@ -36,9 +36,9 @@ def backend_layer(path) -> Column:
 
 
 def layer_counts(files: DataFrame) -> DataFrame:
-    """Files of each layer and repository; every layer is a column."""
+    """Files of each layer and repository outside of the skipped directories; every layer is a column."""
     layer = backend_layer("path")
-    return files.select("repo_id", layer.alias("layer")).groupBy("repo_id").agg(*(F.count_if(F.col("layer") == x).alias(x) for x in C.LAYERS))
+    return files.where(~under_skip_dir("path", C.BACKEND_SKIP_DIRS)).select("repo_id", layer.alias("layer")).groupBy("repo_id").agg(*(F.count_if(F.col("layer") == x).alias(x) for x in C.LAYERS))
 
 
 def arch_source_kind(path) -> Column:
@@ -66,17 +66,17 @@ def is_route_file(path) -> Column:
 
 
 #: One token of Go source: comment, raw string, string or rune.
-_GO = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|`[^`]*(?:`|\Z)|\"(?:\\.|[^\"\\\n])*(?:\"|$)|'(?:\\.|[^'\\\n])*(?:'|$)", re.S | re.M)
+GO_TOKEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|`[^`]*(?:`|\Z)|\"(?:\\.|[^\"\\\n])*(?:\"|$)|'(?:\\.|[^'\\\n])*(?:'|$)", re.S | re.M)
 
 
 def go_without_comments(text: str) -> str:
-    return _GO.sub(lambda m: "" if m[0].startswith("/") else m[0], text)
+    return GO_TOKEN.sub(lambda m: "" if m[0].startswith("/") else m[0], text)
 
 
 def go_strings(text: str) -> list[str]:
     """Contents of the string literals, with the common escapes resolved."""
     out = []
-    for m in _GO.finditer(text):
+    for m in GO_TOKEN.finditer(text):
         t = m[0]
         if t[0] == "`":
             out.append(t[1:].removesuffix("`"))
@@ -107,7 +107,7 @@ def surface_files(files: DataFrame) -> DataFrame:
     be there. Repositories without a Go hit get their serving cmd main.go.
     """
     base = basename("path")
-    seen = files.where(~under_skip_dir("path") & ~is_test_file("path") & (F.col("size") <= C.MAX_FILE_BYTES))
+    seen = files.where(~under_skip_dir("path", C.INTERFACES_SKIP_DIRS) & ~is_test_file("path") & (F.col("size") <= C.MAX_FILE_BYTES))
     named = seen.where(is_route_file("path")).select("repo_id", "path", F.when(is_manifest_name(base), 0).otherwise(2).alias("tier"), F.lit(0).alias("weight"))
     go = seen.where(base.endswith(".go") & F.col("content").rlike(C.GO_REGISTRATION)).select("repo_id", "path", go_route_registrations("content").alias("g"))
     go = go.where("g.n > 0").select("repo_id", "path", F.when((F.col("g.n") >= 5) & F.col("g.builds"), 1).otherwise(2).alias("tier"), F.col("g.n").alias("weight"))

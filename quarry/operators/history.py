@@ -46,24 +46,25 @@ def top_dirs(counts: DataFrame, k: int = 25) -> DataFrame:
     return totals.withColumn("dir_rank", rank).where(F.col("dir_rank") <= k)
 
 
-def _per_dir(counts: DataFrame, k: int) -> DataFrame:
+def dir_activity(counts: DataFrame, k: int = 25) -> DataFrame:
+    """What both summaries say of the top directories: one aggregate, and windows over its few columns."""
     agg = counts.groupBy("repo_id", "dir").agg(
         F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.max_by("month", F.struct("n", "month")).alias("peak_month"),
         F.max("n").alias("peak_n"), F.sum("n").alias("total"),
     )
-    rank = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("total"), "dir"))
-    return agg.withColumn("dir_rank", rank).where(F.col("dir_rank") <= k)
+    repo = Window.partitionBy("repo_id")
+    rows = agg.withColumn("repo_last", F.max("last_month").over(repo)).withColumn("dir_rank", F.row_number().over(repo.orderBy(F.desc("total"), "dir"))).where(F.col("dir_rank") <= k)
+    return rows.select("*", F.col("first_month").alias("born"), F.col("last_month").alias("last_active"), (F.col("last_month") < F.col("repo_last")).alias("silent")).drop("repo_last")
 
 
 def heatmap_summary(counts: DataFrame, k: int = 25) -> DataFrame:
     """First, last and peak month of each top directory; of equal peaks the newest."""
-    return _per_dir(counts, k)
+    return dir_activity(counts, k).drop("born", "last_active", "silent")
 
 
 def pivots_summary(counts: DataFrame, k: int = 25) -> DataFrame:
     """When each top directory began and was last active, and whether it has gone silent."""
-    last = counts.groupBy("repo_id").agg(F.max("month").alias("repo_last"))
-    return _per_dir(counts, k).join(last, "repo_id").select("repo_id", "dir", F.col("first_month").alias("born"), F.col("last_month").alias("last_active"), (F.col("last_month") < F.col("repo_last")).alias("silent"))
+    return dir_activity(counts, k).select("repo_id", "dir", "born", "last_active", "silent")
 
 
 def unrenamed(changes: DataFrame) -> DataFrame:
@@ -109,8 +110,17 @@ def pick_graves(bulk: DataFrame, min_files: int = 8, k: int = 6) -> DataFrame:
     return rows.select("repo_id", "hash", "scope", "n_files", "month", "grave_rank")
 
 
+#: Rows of an era table that are sent to every task; a larger one is joined by repository.
+ERAS = 100_000
+
+
+def measured(df: DataFrame, most: int = ERAS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, which are counted first."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _in_era(commits: DataFrame, eras: DataFrame, how: str) -> DataFrame:
-    c, e = commits.alias("c"), eras.alias("e")
+    c, e = commits.alias("c"), measured(eras.select("repo_id", "era_index", "name", "start_month", "end_month")).alias("e")
     on = (F.col("c.repo_id") == F.col("e.repo_id")) & (F.col("c.month") >= F.col("e.start_month")) & (F.col("c.month") <= F.coalesce("e.end_month", F.lit(FOREVER)))
     return c.join(e, on, how).select("c.*", "e.era_index", "e.name")
 
@@ -125,15 +135,15 @@ def era_for(commits: DataFrame, eras: DataFrame) -> DataFrame:
     return _in_era(commits, eras, "left").groupBy("repo_id", "hash", "month").agg(F.min("era_index").alias("era_index"), F.min_by("name", "era_index").alias("era"))
 
 
-def sample_commits(commits: DataFrame, max_n: int = 400) -> DataFrame:
-    """An even stride of a repository's commits, oldest first, that keeps the first and the last."""
-    w = Window.partitionBy("repo_id")
-    rows = commits.select("repo_id", "hash", "ts").withColumn("i", F.row_number().over(w.orderBy("ts", "hash")) - 1).withColumn("n", F.count("*").over(w))
+def sample_commits(commits: DataFrame, max_n: int = 400, key: tuple[str, ...] = ("repo_id",)) -> DataFrame:
+    """An even stride of the commits of a repository (or another key), oldest first, that keeps the first and the last."""
+    w = Window.partitionBy(*key)
+    rows = commits.select(*key, "hash", "ts").withColumn("i", F.row_number().over(w.orderBy("ts", "hash")) - 1).withColumn("n", F.count("*").over(w))
     step = F.col("n") / F.lit(float(max_n))
     k = F.ceil(F.col("i") / step)
     hit = (F.floor(k * step) == F.col("i")) | (F.floor((k - 1) * step) == F.col("i")) | (F.floor((k + 1) * step) == F.col("i"))
     keep = (F.col("n") <= max_n) | (F.col("i") == 0) | (F.col("i") == F.col("n") - 1) | hit
-    return rows.where(keep).select("repo_id", "hash", F.col("i").alias("seq"), (F.col("n") > max_n).alias("sampled"))
+    return rows.where(keep).select(*key, "hash", F.col("i").alias("seq"), (F.col("n") > max_n).alias("sampled"))
 
 
 def landmarks(era_rows: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -153,12 +163,14 @@ def landmarks(era_rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return ends.unionByName(best)
 
 
-def commit_stream(era_rows: DataFrame, scopes: DataFrame) -> DataFrame:
-    """One text line for each commit, joined in order within its era."""
-    rows = era_rows.join(scopes, ["repo_id", "hash"], "left")
+def commit_stream(era_rows: DataFrame, scopes: DataFrame, max_n: int = 400) -> DataFrame:
+    """One text line for each sampled commit, joined in order within its era: at most ``max_n`` and the last one."""
+    key = ("repo_id", "era_index")
+    picked = sample_commits(era_rows, max_n, key).select(*key, "hash", "seq")
+    rows = era_rows.join(picked, [*key, "hash"]).join(scopes, ["repo_id", "hash"], "left")
     line = F.concat_ws(" | ", "month", "author", F.concat(F.coalesce("scope", F.lit("")), F.lit("/")), "subject")
-    per = rows.groupBy("repo_id", "era_index").agg(F.array_sort(F.collect_list(F.struct("ts", "hash", line.alias("line")))).alias("ls"))
-    return per.select("repo_id", "era_index", F.size("ls").alias("n_lines"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("stream"))
+    per = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("ls"))
+    return per.select(*key, F.size("ls").alias("n_lines"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("stream"))
 
 
 def era_volume(commits: DataFrame, eras: DataFrame) -> DataFrame:
@@ -185,9 +197,9 @@ def history_preview(commits: DataFrame, additions: DataFrame, deletions: DataFra
 
 
 def sent_commits(listed: DataFrame, used: DataFrame) -> DataFrame:
-    """Distinct hashes that were listed, and those whose diff was used."""
-    rows = listed.select("repo_id", "hash", F.lit("listed").alias("kind")).unionByName(used.select("repo_id", "hash", F.lit("diff").alias("kind"))).distinct()
-    return rows.groupBy("repo_id", "kind").agg(F.count("*").alias("hashes"), F.min("hash").alias("first_hash"))
+    """The distinct hashes that were listed, and those whose diff was used; both are samples of bounded size."""
+    rows = listed.select("repo_id", "hash", F.lit("listed").alias("kind")).unionByName(used.select("repo_id", "hash", F.lit("diff").alias("kind")))
+    return rows.groupBy("repo_id", "kind").agg(F.sort_array(F.collect_set("hash")).alias("hashes"))
 
 
 HEADER = r"(?m)(?=^diff --(?:git|cc|combined) )"

@@ -10,17 +10,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from quarry.operators.classify import GO_TOKEN
 from quarry.operators.files import is_test_file
 from quarry.operators.history import directory
 
-#: Comments and docstrings by language; strings that hold specifiers stay.
-_PY = re.compile(r"(?s)\"\"\".*?\"\"\"|'''.*?'''|#[^\n]*")
-_C = re.compile(r"(?s)/\*.*?\*/|(?m:^\s*//[^\n]*)")
-RULES = {
-    "py": r"(?m)^[ \t]*(?:import[ \t]+([A-Za-z_][\w.]*)[ \t]*(?=$|,|;|\r)|from[ \t]+([A-Za-z_][\w.]*)[ \t]+import\b)",
-    "js": r"(?m)^[ \t]*import\b[^;'\"]*?['\"]([^'\"]+)['\"]()",
-    "go": r"(?m)^[ \t]*(?:import[ \t]+)?(?:[A-Za-z_.][A-Za-z0-9_]*[ \t]+)?\"([^\"\s]+)\"()[ \t]*$",
-}
+#: Comments and string literals by language; those that are not closed end with the line or the text.
+_PY = re.compile(r"(?s)\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|#[^\n]*|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?")
+_JS = re.compile(r"(?s)//[^\n]*|/\*.*?(?:\*/|\Z)|`(?:\\.|[^`\\])*(?:`|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?")
+_PY_IMPORT = re.compile(r"(?m)(?:^|[;:])[ \t]*(?:import[ \t]+([^\n;]+)|from[ \t]+([A-Za-z_][\w.]*)[ \t]+import\b)")
+_JS_IMPORT = re.compile(r"(?m)^[ \t]*import\b(?!\s*[(.])[^;'\"]*?['\"]([^'\"]+)['\"]")
+_GO_IMPORT = re.compile(r"(?m)^[ \t]*import\b\s*(?:\(([^)]*)\)|([^\n;(]*))")
+_GO_SPEC = re.compile(r"(?:^|[\n;])\s*(?:[A-Za-z_.]\w*\s+)?\"(\d+)\"")
+
+
+def python_imports(text: str) -> set[str]:
+    """Modules of import and from statements; aliased and relative ones are not read."""
+    bare = _PY.sub(lambda m: "" if m[0][0] == "#" else '""', text)
+    out = set()
+    for names, module in _PY_IMPORT.findall(bare):
+        out |= {module} if module else {n.strip() for n in names.split(",") if re.fullmatch(r"\s*[A-Za-z_][\w.]*\s*", n)}
+    return out
+
+
+def js_imports(text: str) -> set[str]:
+    """Specifiers of static import statements; what stands in comments and template strings is not read."""
+    return set(_JS_IMPORT.findall(_JS.sub(lambda m: "" if m[0][0] == "/" else "``" if m[0][0] == "`" else m[0], text)))
+
+
+def go_imports(text: str) -> set[str]:
+    """Paths of the specs of import declarations, in either form of string; each literal is a number meanwhile."""
+    found: list[str] = []
+
+    def number(m):
+        if m[0][0] == "/":
+            return ""
+        found.append(m[0][1:].rstrip(m[0][0]))
+        return f'"{len(found) - 1}"' if m[0][0] != "'" else "''"
+
+    bare = GO_TOKEN.sub(number, text)
+    return {found[int(k)] for many, one in _GO_IMPORT.findall(bare) for k in _GO_SPEC.findall(many or one)} - {""}
+
+
+RULES = {"py": python_imports, "js": js_imports, "ts": js_imports, "go": go_imports}
 
 
 def language(path="path") -> Column:
@@ -29,15 +60,8 @@ def language(path="path") -> Column:
 
 
 def _specifiers(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    rules = {k: re.compile(v) for k, v in RULES.items()}
-
-    def one(lang, text):
-        text = (_PY if lang == "py" else _C).sub("", text or "")
-        found = rules["js" if lang == "ts" else lang].findall(text)
-        return sorted({a or b for a, b in found})
-
     for langs, texts in batches:
-        yield pd.Series([one(x, t) for x, t in zip(langs, texts)], dtype=object)
+        yield pd.Series([sorted(RULES[x](t or "")) for x, t in zip(langs, texts)], dtype=object)
 
 
 def extract_imports(files: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from quarry.functions import constants as C
+
 KEY = ("repo_id", "prompt_id")
 FENCE = r"(?s)```(mermaid|yaml|json)[ \t]*\n(.*?)```"
 
@@ -105,22 +107,30 @@ def profile_shares(shares: DataFrame) -> DataFrame:
     return rows.select("repo_id", "era_index", "label", F.when(F.isnan("n"), None).otherwise(F.least(F.greatest("n", F.lit(0.0)), F.lit(100.0))).alias("share"))
 
 
-def validate_reply(parsed: DataFrame, selected: DataFrame) -> DataFrame:
-    """(repo_id, prompt_id, rule) for each rule that a parsed reply (names, chapters, files, month) fails."""
-    rows = parsed.join(selected.groupBy("repo_id").agg(F.collect_set("path").alias("known")), "repo_id", "left")
+def validate_reply(parsed: DataFrame, selected: DataFrame, dimensions: int | None = None) -> DataFrame:
+    """(repo_id, prompt_id, rule) for each rule that a parsed reply (names, chapters, files, month) fails.
+
+    With ``dimensions`` each of the reply's ``cells`` must have one cell for each
+    dimension. Named files are looked up one by one, so a repository's paths
+    never come together.
+    """
     names, chapters = F.col("names"), F.col("chapters")
     rules = {
         "empty": F.coalesce(F.size(names), F.lit(0)) <= 0,
         "not_unique": F.size(F.array_distinct(names)) < F.size(names),
         "names_differ": (F.size(F.array_except(names, chapters)) > 0) | (F.size(F.array_except(chapters, names)) > 0),
-        "unknown_file": F.size(F.array_except("files", F.coalesce("known", F.array().cast("array<string>")))) > 0,
         "bad_month": ~F.coalesce("month", F.lit("")).rlike(r"^\d{4}-\d{2}$"),
     }
+    if dimensions is not None:
+        rules["cells"] = F.coalesce(F.exists("cells", lambda c: F.coalesce(F.size(c), F.lit(0)) != dimensions), F.lit(True))
     failed = F.array_compact(F.array(*(F.when(c, r) for r, c in rules.items())))
-    return rows.select(*KEY, F.explode(failed).alias("rule"))
+    named = parsed.select(*KEY, F.explode("files").alias("path")).distinct()
+    unknown = named.join(selected.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_anti").select(*KEY, F.lit("unknown_file").alias("rule")).distinct()
+    return parsed.select(*KEY, F.explode(failed).alias("rule")).unionByName(unknown)
 
 
-def chapter_context(chapters: DataFrame, w: int = 3, of: str = "body", between: str = "\n\n---\n\n") -> DataFrame:
-    """The bodies (or another column) of the previous chapters, in order, for each chapter."""
+def chapter_context(chapters: DataFrame, w: int = 3) -> DataFrame:
+    """The bodies of the previous chapters, in order, for each chapter; the first one gets a fixed text."""
     before = Window.partitionBy(*KEY).orderBy("card").rowsBetween(-w, -1)
-    return chapters.select(*KEY, "card", F.array_join(F.collect_list(of).over(before), between).alias("context"))
+    bodies = F.collect_list("body").over(before)
+    return chapters.select(*KEY, "card", F.when(F.size(bodies) == 0, C.FIRST_CHAPTER).otherwise(F.array_join(bodies, "\n\n---\n\n")).alias("context"))

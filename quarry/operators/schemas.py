@@ -34,7 +34,7 @@ def embedded_ddl(files: DataFrame) -> DataFrame:
 def schema_kind(path="path"):
     base = basename(path)
     p = F.concat(F.lit("/"), F.col(path))
-    return F.when(base.endswith(".prisma"), 0).when(p.endswith("/db/schema.rb"), 1).when(base.isin("schema.sql", "structure.sql"), 2).when(base == "models.py", 3)
+    return F.when(base == "schema.prisma", 0).when(p.endswith("/db/schema.rb"), 1).when(base == "schema.sql", 2).when(base == "models.py", 3)
 
 
 KINDS = ("prisma", "rails", "sql", "models")
@@ -73,31 +73,37 @@ def schema_tables(docs: DataFrame) -> DataFrame:
 
 
 def reply_tables(replies: DataFrame, known: DataFrame) -> DataFrame:
-    """Known tables that a reply names: ends of its diagram's relationships in order, else names in backticks of its headings."""
-    line = r"(?m)^\s*(\w+)\s+[|}o][|o]--[|o][|{o]\s+(\w+)"
-    pairs = F.zip_with(F.regexp_extract_all("text", F.lit(line), F.lit(1)), F.regexp_extract_all("text", F.lit(line), F.lit(2)), lambda x, y: F.array(x, y))
-    ends = F.flatten(pairs)
+    """(repo_id, prompt_id, name, pos): known tables that a reply names, in order of first appearance.
+
+    Ends of the relationship lines of its first erDiagram, else every name in
+    backticks of its ### headings; a name keeps the reply's own spelling.
+    """
+    erd = F.regexp_extract("text", r"(?s)```mermaid[ \t]*\n(\s*erDiagram\b.*?)```", 1)
+    both = [F.regexp_extract_all(erd, F.lit(C.ERD_LINE), F.lit(k)) for k in (1, 2)]
+    ends = F.flatten(F.zip_with(*both, lambda x, y: F.array(x, y)))
+    heads = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(r"(?m)^###.*$"), F.lit(0)), lambda x: F.regexp_extract_all(x, F.lit(r"`(\w+)`"), F.lit(1))))
     key = ["repo_id", "prompt_id"]
-    names = known.select("repo_id", F.lower("name").alias("low"))
+    names = known.select("repo_id", F.lower("name").alias("low")).distinct()
 
     def only_known(array):
-        rows = replies.select(*key, F.posexplode(array).alias("pos", "name")).withColumn("low", F.lower("name"))
-        return rows.join(names, ["repo_id", "low"], "left_semi").groupBy(*key, "low").agg(F.min_by("name", "pos").alias("name")).select(*key, "name")
+        rows = replies.select(*key, F.posexplode(array).alias("at", "name")).withColumn("low", F.lower("name"))
+        per = rows.join(names, ["repo_id", "low"], "left_semi").groupBy(*key, "low").agg(F.min_by("name", "at").alias("name"), F.min("at").alias("at"))
+        return per.select(*key, "name", F.row_number().over(Window.partitionBy(*key).orderBy("at")).alias("pos"))
 
     first = only_known(ends)
-    heads = only_known(F.regexp_extract_all("text", F.lit(r"(?m)^### [^\n`]*`(\w+)`"), F.lit(1)))
-    return first.unionByName(heads.join(first.select(*key).distinct(), key, "left_anti"))
+    return first.unionByName(only_known(heads).join(first.select(*key).distinct(), key, "left_anti"))
 
 
 def find_migrations(files: DataFrame, floor: int = 4) -> DataFrame:
-    """Migrations of the migrations directory that holds most, with a flag where they are few."""
+    """Migrations of the migrations directory that holds most, of equal ones the first in walk order, with a flag where they are few."""
     found = F.col("path")
     d = F.regexp_extract(found, r"^((?:.*/)?(?:migrations|migrate))/([^/]+)", 1)
     child = F.regexp_extract(found, r"^(?:.*/)?(?:migrations|migrate)/([^/]+)", 1)
     name = F.regexp_replace(F.regexp_replace(child, r"\.[^.]*$", ""), r"\.up$", "")
     rows = files.select("repo_id", d.alias("dir"), child.alias("child"), name.alias("name")).where(F.col("child").rlike(r"^\d{4,}[_-]") & ~F.col("name").endswith(".down")).select("repo_id", "dir", "name").distinct()
     per = rows.groupBy("repo_id", "dir").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("name")).alias("names"))
-    best = per.groupBy("repo_id").agg(F.max_by(F.struct("dir", "n", "names"), F.struct("n", "dir")).alias("b"))
+    walk = F.transform(F.split("dir", "/"), lambda x: x)  # a directory comes before its sub-directories, each level sorted
+    best = per.groupBy("repo_id").agg(F.min_by(F.struct("dir", "n", "names"), F.struct((-F.col("n")).alias("n"), walk.alias("walk"))).alias("b"))
     return best.select("repo_id", "b.dir", "b.n", F.array_join("b.names", ",").alias("names"), (F.col("b.n") < floor).alias("too_few"))
 
 

@@ -46,31 +46,39 @@ def session_summary(costed: DataFrame) -> DataFrame:
     return costed.groupBy("run_id").agg(*(F.sum(t).alias(t) for t in TOKENS), F.sum("duration_s").alias("api_seconds"), F.round(total, 9).alias("cost"))
 
 
-def cost_rollup(costed: DataFrame) -> DataFrame:
-    """Tokens and cost by provider and model, with sub-totals."""
-    return costed.rollup("provider", "model").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("records"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("cost"), 6).alias("cost"))
+def cost_rollup(costed: DataFrame, *levels: str) -> DataFrame:
+    """Tokens and cost by provider, model and day (or other columns), with sub-totals."""
+    return costed.rollup(*(levels or ("provider", "model", "day"))).agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("records"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("cost"), 6).alias("cost"))
 
 
 def estimate_run(plan: DataFrame, prices: DataFrame, provider: str, model: str, cap: int = 16_384) -> DataFrame:
-    """Low and high input tokens, worst-case output, costs and the largest prompt of each repository's plan."""
+    """Low and high input tokens, worst-case output, costs and the largest prompt of each repository's plan.
+
+    Only the largest prompt takes the most that a body can be.
+    """
     chars, largest = F.col("shell_chars") + F.col("body_chars"), F.col("shell_chars") + F.coalesce("body_max_chars", "body_chars")
     per = plan.groupBy("repo_id").agg(
-        F.floor(F.sum(chars * F.col("calls_low")) / 4).alias("input_low"), F.floor(F.sum(largest * F.col("calls_high")) / 4).alias("input_high"),
+        F.floor(F.sum(chars * F.col("calls_low")) / 4).alias("input_low"), F.floor(F.sum(chars * F.col("calls_high")) / 4).alias("input_high"),
         (F.sum("calls_high") * cap).alias("output_high"), F.max(F.floor(largest / 2.5)).alias("largest_prompt"))
     price = prices.where((F.col("provider") == provider) & (F.col("model") == model)).select(F.lit(provider).alias("provider"), "input", "output", "max_input")
     rows = per.withColumn("provider", F.lit(provider)).join(F.broadcast(price), "provider", "left")
     return rows.select("repo_id", "input_low", "input_high", "output_high", "largest_prompt", F.round(F.col("input_low") * F.col("input"), 6).alias("cost_low"), F.round(F.col("input_high") * F.col("input") + F.col("output_high") * F.col("output"), 6).alias("cost_high"), (F.col("largest_prompt") > F.col("max_input")).alias("over_ceiling"))
 
 
-#: Templates of a run: name, length of the fixed text, calls (low, high).
-TEMPLATES = (("tour-identify", 2400, 1, 1), ("tour-relate", 1800, 1, 1), ("tour-chapter", 2600, 5, 10), ("history-eras", 1900, 1, 1), ("history-profile", 2100, 3, 5), ("history-grave", 1500, 0, 6), ("schema-batch", 1700, 0, 5), ("schema-migrations", 1200, 0, 1))
-
+def prompt_plan(preview: DataFrame, templates=C.PROMPTS) -> DataFrame:
+    """A row for each repository and prompt: fixed and filled characters, and calls low and high.
 
-def prompt_plan(preview: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """A row for each repository and template: fixed and filled characters, and calls low and high. The templates are a literal of a few rows."""
-    rows = F.array(*(F.struct(F.lit(n).alias("template"), F.lit(s).alias("shell_chars"), F.lit(lo).alias("calls_low"), F.lit(hi).alias("calls_high")) for n, s, lo, hi in templates))
-    out = preview.select("repo_id", "body_chars", F.inline(rows))
-    return out.withColumn("body_max_chars", F.when(F.col("template") == "tour-chapter", F.col("body_chars")))
+    ``preview`` has repo_id, analysis, part, body_chars, body_max_chars and
+    migrations (their number, null where an analysis has none); a template names
+    the part that fills it. A template's fixed part is its length without its
+    placeholders. The templates are a fixed table of a few rows.
+    """
+    rows = [(a, t, n - sum(len(x) + 2 for x in slots.split()), part, lo, hi) for a, t, n, slots, part, lo, hi in templates]
+    table = preview.sparkSession.createDataFrame(rows, "analysis string, template string, shell_chars int, part string, calls_low int, calls_high int")
+    out = preview.join(F.broadcast(table), ["analysis", "part"])
+    few = (F.col("template") == "migration-acts.md") & (F.coalesce("migrations", F.lit(0)) < 4)
+    calls = [F.when(few, 0).otherwise(F.col(c)).alias(c) for c in ("calls_low", "calls_high")]
+    return out.select("repo_id", "analysis", "template", "shell_chars", "body_chars", "body_max_chars", *calls)
 
 
 def codebase_size_estimate(files: DataFrame, budget: int = 1_000_000, overhead: int = 131, skew: float = 2.0) -> DataFrame:
@@ -88,14 +96,31 @@ def cache_key(prompt: str = "prompt"):
     return F.sha2(F.concat_ws("|", "provider", "model", F.col("max_out").cast("string"), F.replace(F.col(prompt), F.lit("<<<CACHE_BREAKPOINT>>>"), F.lit(""))), 256)
 
 
+def answered(calls: DataFrame, responses: DataFrame) -> DataFrame:
+    """The calls, prompt apart, as the cache leaves them: those whose key has a stored response cost no tokens and are ``cached``.
+
+    ``calls`` has provider, model, max_out, prompt and the token counts. The
+    prompt is dropped before the join.
+    """
+    keyed = calls.withColumn("key", cache_key()).drop("prompt", "cached")
+    hit = keyed.join(responses.select("key").distinct().withColumn("hit", F.lit(True)), "key", "left")
+    return hit.select(*(F.when(F.col("hit"), F.lit(0).cast("long")).otherwise(F.col(c)).alias(c) if c in TOKENS else c for c in keyed.columns), F.coalesce("hit", F.lit(False)).alias("cached"))
+
+
 def cache_hits(calls: DataFrame, responses: DataFrame) -> DataFrame:
-    """Hit rate of each run: calls whose key has a stored response. The prompt is dropped before the join."""
-    keyed = calls.select("run_id", cache_key().alias("key"))
-    hit = keyed.join(responses.select("key").distinct().withColumn("hit", F.lit(1)), "key", "left")
-    return hit.groupBy("run_id").agg(F.count("*").alias("calls"), F.count("hit").alias("hits"), (F.count("hit") / F.count("*")).alias("hit_rate"))
+    """Hit rate of each run, and the input tokens that are left to pay."""
+    rows = answered(calls, responses)
+    return rows.groupBy("run_id").agg(F.count("*").alias("calls"), F.count_if("cached").alias("hits"), (F.count_if("cached") / F.count("*")).alias("hit_rate"), F.sum("input_tokens").alias("input_tokens"))
+
 
+def run_manifest(usage: DataFrame, sent: DataFrame) -> DataFrame:
+    """One record a run: analysis, repository and time, its distinct live models, the number of cached calls, what it sent.
 
-def run_manifest(usage: DataFrame) -> DataFrame:
-    """One record a run: its distinct live models and the number of cached calls."""
+    ``sent`` has run_id, analysis, repo_id, sent_at, and one row for each file or
+    commit (kind, name). Names are a run's own selection, bounded by its budget.
+    """
     live = F.sort_array(F.collect_set(F.when(~F.col("cached"), F.concat_ws(":", "provider", "model"))))
-    return usage.groupBy("run_id").agg(F.array_join(live, ",").alias("models"), F.count_if("cached").alias("cached_calls"), F.count("*").alias("calls"))
+    calls = usage.groupBy("run_id").agg(F.array_join(live, ",").alias("models"), F.count_if("cached").alias("cached_calls"), F.count("*").alias("calls"))
+    names = lambda kind: F.sort_array(F.collect_set(F.when(F.col("kind") == kind, F.col("name"))))
+    what = sent.groupBy("run_id").agg(F.min("analysis").alias("analysis"), F.min("repo_id").alias("repo_id"), F.min("sent_at").alias("sent_at"), names("file").alias("files"), names("commit").alias("commits"))
+    return calls.join(what, "run_id", "left")

@@ -76,8 +76,7 @@ def pivots_summary(spark, d):
 
 @query(_COUNTS + _PER + _PIVOTS + " SELECT top.*, born, last_active, silent FROM top JOIN pivots USING (repo_id, dir)")
 def heatmap_pivots(spark, d):
-    counts = _counts(spark, d)
-    return history.heatmap_summary(counts).join(history.pivots_summary(counts), ["repo_id", "dir"])
+    return history.dir_activity(_counts(spark, d))
 
 
 _SCOPE = """list_aggregate(list_transform(range(1, 3), lambda k: CASE WHEN len(lo) >= k AND len(hi) >= k AND lo[:k] = hi[:k] THEN lo[k] END), 'string_agg', '/')"""
@@ -175,7 +174,9 @@ def landmarks(spark, d):
 
 
 @query(f"""WITH per AS (SELECT repo_id, hash, min(string_split(path, '/')[:-2]) AS lo, max(string_split(path, '/')[:-2]) AS hi FROM changes_v GROUP BY 1, 2),
-l AS (SELECT e.repo_id, e.era_index, c.ts, c.hash, concat_ws(' | ', c.month, c.author, coalesce({_SCOPE}, '') || '/', c.subject) AS line FROM commits_v c JOIN eras_v e ON {_IN_ERA} LEFT JOIN per ON per.repo_id = c.repo_id AND per.hash = c.hash)
+num AS (SELECT c.*, e.era_index, row_number() OVER w - 1 AS seq, count(*) OVER (PARTITION BY c.repo_id, e.era_index) AS n FROM commits_v c JOIN eras_v e ON {_IN_ERA} WINDOW w AS (PARTITION BY c.repo_id, e.era_index ORDER BY ts, hash)),
+sizes AS (SELECT DISTINCT repo_id, era_index, n FROM num), picks AS (SELECT repo_id, era_index, floor(i * (n / 400.0::double))::bigint AS seq FROM sizes, range(400) t(i) UNION SELECT repo_id, era_index, n - 1 FROM sizes UNION SELECT repo_id, era_index, 0 FROM sizes),
+l AS (SELECT c.repo_id, c.era_index, c.ts, c.hash, concat_ws(' | ', c.month, c.author, coalesce({_SCOPE}, '') || '/', c.subject) AS line FROM num c LEFT JOIN per ON per.repo_id = c.repo_id AND per.hash = c.hash WHERE n <= 400 OR EXISTS (SELECT 1 FROM picks p WHERE p.repo_id = c.repo_id AND p.era_index = c.era_index AND p.seq = c.seq))
 SELECT repo_id, era_index, count(*)::int AS n_lines, md5(string_agg(line, chr(10) ORDER BY ts, hash)) AS stream_md5 FROM l GROUP BY 1, 2""")
 def commit_stream(spark, d):
     scopes = v.changes(spark, d).groupBy("repo_id", "hash").agg(F.collect_list("path").alias("files")).select("repo_id", "hash", history.scope_of(F.col("files")).alias("scope"))
@@ -202,9 +203,10 @@ def history_preview(spark, d):
     return history.history_preview(v.commits(spark, d), _bulk(spark, d, "A", 4), _bulk(spark, d))
 
 
-@query("WITH " + _bulk_sql("D", 3) + _GRAVES + _SAMPLE + ", x AS (SELECT repo_id, hash, 'listed' AS kind FROM sample UNION SELECT repo_id, hash, 'diff' FROM graves) SELECT repo_id, kind, count(*) AS hashes, min(hash) AS first_hash FROM x GROUP BY 1, 2")
+@query("WITH " + _bulk_sql("D", 3) + _GRAVES + _SAMPLE + ", x AS (SELECT repo_id, hash, 'listed' AS kind FROM sample UNION SELECT repo_id, hash, 'diff' FROM graves) SELECT repo_id, kind, string_agg(hash, ',' ORDER BY hash) AS hashes FROM x GROUP BY 1, 2")
 def sent_commits(spark, d):
-    return history.sent_commits(history.sample_commits(v.commits(spark, d)), history.pick_graves(_bulk(spark, d), 4))
+    sent = history.sent_commits(history.sample_commits(v.commits(spark, d)), history.pick_graves(_bulk(spark, d), 4))
+    return sent.withColumn("hashes", F.array_join("hashes", ","))
 
 
 @query("SELECT repo_id, hash, list_sort(list(path))[1] AS path, count(*) AS n FROM changes_v GROUP BY 1, 2")
@@ -265,6 +267,28 @@ def file_predicates(spark, d):
     return v.files(spark, d).select("repo_id", "path", fs.is_credential_named("path").alias("credential"), fs.is_wanted("path").alias("wanted"), fs.under_skip_dir("path").alias("skipped"), fs.is_test_file("path").alias("test"), fs.within_size("size", 2000).alias("small"))
 
 
+def _flag(name, sql, build):
+    """One predicate over every file, under its own name."""
+
+    def run(spark, d):
+        return v.files(spark, d).select("repo_id", "path", build().alias(name))
+
+    run.__name__ = name
+    query(f"SELECT repo_id, path, {sql} AS {name} FROM files_v")(run)
+
+
+_flag("is_credential_named", _CRED, lambda: fs.is_credential_named("path"))
+_flag("is_wanted", _WANT, lambda: fs.is_wanted("path"))
+_flag("within_size", f"size <= {C.MAX_FILE_BYTES}", lambda: fs.within_size())
+_flag("is_test_file", _TEST, lambda: fs.is_test_file("path"))
+
+
+@query(f"SELECT repo_id, path, {_SKIP} AS everywhere, list_has_any(string_split(path, '/')[:-2], {v._list(C.BACKEND_SKIP_DIRS)}) AS backend, list_has_any(string_split(path, '/')[:-2], {v._list(C.ARCH_SKIP_DIRS)}) AS architecture, list_has_any(string_split(path, '/')[:-2], {v._list(C.INTERFACES_SKIP_DIRS)}) AS interfaces FROM files_v")
+def under_skip_dir(spark, d):
+    sets = {"everywhere": C.SKIP_DIRS, "backend": C.BACKEND_SKIP_DIRS, "architecture": C.ARCH_SKIP_DIRS, "interfaces": C.INTERFACES_SKIP_DIRS}
+    return v.files(spark, d).select("repo_id", "path", *(fs.under_skip_dir("path", x).alias(n) for n, x in sets.items()))
+
+
 @query("SELECT repo_id, path, (regexp_matches(path, '^(?:.*/)?[^/]*\\.py(?:/.*)?$') OR regexp_matches(path, '^web/.*$')) AND NOT (regexp_matches(path, '^(?:.*/)?models\\.py(?:/.*)?$') AND NOT regexp_matches(path, '^app1[^/]*/models\\.py(?:/.*)?$')) AS matched FROM files_v")
 def path_match(spark, d):
     return v.files(spark, d).select("repo_id", "path", fs.path_match("path", ("*.py", "/web/"), ("models.py", "!app1*/models.py")).alias("matched"))
@@ -305,7 +329,7 @@ def backend_layer(spark, d):
     return v.files(spark, d).select("repo_id", "path", classify.backend_layer("path").alias("layer"))
 
 
-@query(f"WITH x AS (SELECT repo_id, {_LAYER} AS layer FROM files_v) SELECT repo_id, " + ", ".join(f"count(*) FILTER (layer = '{x}') AS {x}" for x in C.LAYERS) + " FROM x GROUP BY 1")
+@query(f"WITH x AS (SELECT repo_id, {_LAYER} AS layer FROM files_v WHERE NOT list_has_any(string_split(path, '/')[:-2], {v._list(C.BACKEND_SKIP_DIRS)})) SELECT repo_id, " + ", ".join(f"count(*) FILTER (layer = '{x}') AS {x}" for x in C.LAYERS) + " FROM x GROUP BY 1")
 def layer_counts(spark, d):
     return classify.layer_counts(v.files(spark, d))
 
@@ -324,13 +348,26 @@ def is_route_file(spark, d):
     return v.files(spark, d).select("repo_id", "path", classify.is_route_file("path").alias("is_route"))
 
 
-@query()
+_BARE_GO = "regexp_replace(content, '//[^\n]*', '', 'g')"
+_N_REG = f"len(regexp_extract_all({_BARE_GO}, {v._lit(C.GO_REGISTRATION)}))"
+_BUILDS = f"regexp_matches({_BARE_GO}, {v._lit(C.GO_BUILDS_SERVER)})"
+
+
+@query(f"SELECT repo_id, path, {_N_REG}::int AS n, {_BUILDS} AS builds FROM files_v WHERE path LIKE '%.go'")
 def go_route_registrations(spark, d):
     go = v.files(spark, d).where(F.col("path").endswith(".go"))
     return go.select("repo_id", "path", classify.go_route_registrations("content").alias("g")).select("repo_id", "path", "g.n", "g.builds")
 
 
-@query()
+_MANIFEST_NAME = f"({_BASE} IN {_in(C.ROUTE_NAMES)} OR {_ends(_BASE, ('_router.ts', '.proto', '.graphql'))})"
+_ROUTE_FILE = f"(NOT {_TEST} AND ({_MANIFEST_NAME} OR (contains('/' || path, '/pages/api/') AND {_ends('path', ('.ts', '.js', '.tsx'))}) OR (contains('/' || path, '/app/') AND {_BASE} IN ('route.ts', 'route.js', 'route.tsx'))))"
+_SURFACE = f"""seen AS (SELECT * FROM files_v WHERE NOT list_has_any(string_split(path, '/')[:-2], {v._list(C.INTERFACES_SKIP_DIRS)}) AND NOT {_TEST} AND size <= {C.MAX_FILE_BYTES}),
+go AS (SELECT repo_id, path, CASE WHEN n >= 5 AND builds THEN 1 ELSE 2 END AS tier, n AS weight FROM (SELECT repo_id, path, {_N_REG} AS n, {_BUILDS} AS builds FROM seen WHERE path LIKE '%.go') WHERE n > 0),
+surface AS (SELECT repo_id, path, CASE WHEN {_MANIFEST_NAME} THEN 0 ELSE 2 END AS tier, 0 AS weight FROM seen WHERE {_ROUTE_FILE} UNION ALL SELECT * FROM go
+  UNION ALL SELECT repo_id, path, 2, 0 FROM seen WHERE regexp_matches(path, '(^|/)cmd/(.*/)?main\\.go$') AND regexp_matches(content, {v._lit(C.GO_SERVES)}) AND repo_id NOT IN (SELECT repo_id FROM go))"""
+
+
+@query(f"WITH {_SURFACE} SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY tier, CASE WHEN tier = 1 THEN -weight ELSE 0 END, path) AS surface_rank FROM surface")
 def surface_files(spark, d):
     return classify.surface_files(v.files(spark, d))
 
@@ -390,12 +427,16 @@ def included_dropped(spark, d):
     return budget.included_dropped(rows, budget.budget_prefix(rows, 20_000)).select("repo_id", "path", "len", "ord")
 
 
-@query("""WITH names AS (SELECT repo_id, doc_id AS ord, array_to_string(string_split(path, '/')[-2:], '/') AS name FROM files_v WHERE doc_id % 3 = 0 AND path NOT LIKE '%.pem' AND path NOT LIKE '%.env.staging'),
-hit AS (SELECT n.repo_id, n.ord, n.name, arg_min(f.path, (f.path <> n.name, f.path)) AS path, arg_min(length(f.content), (f.path <> n.name, f.path)) AS len FROM names n JOIN files_v f ON f.repo_id = n.repo_id AND (f.path = n.name OR ends_with(f.path, '/' || n.name)) GROUP BY 1, 2, 3),
-r AS (SELECT repo_id, ord, name, path, least(len, 40000) AS chars, row_number() OVER w AS r, sum(least(len, 40000)) OVER w AS upto FROM hit WINDOW w AS (PARTITION BY repo_id ORDER BY ord)) SELECT repo_id, ord, name, path, chars FROM r WHERE r <= 8 AND upto <= 120000""")
+@query(f"""WITH named AS (SELECT repo_id, doc_id AS ord, array_to_string(string_split(path, '/')[-2:], '/') AS name FROM files_v), names AS (SELECT repo_id, ord, name AS path FROM named),
+good AS (SELECT repo_id, ord, path AS name FROM names WHERE NOT ({_CRED})),
+sized AS (SELECT repo_id, path, length(content) AS len FROM files_v), suffixes AS (SELECT repo_id, path, len, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[i:], '/'))) AS name FROM sized),
+hit AS (SELECT n.repo_id, n.ord, arg_min(f.path, (f.path <> n.name, f.path)) AS path, arg_min(f.len, (f.path <> n.name, f.path)) AS len FROM good n JOIN suffixes f USING (repo_id, name) GROUP BY 1, 2),
+r AS (SELECT repo_id, ord, path, least(len, 40000) AS chars, row_number() OVER w AS r, sum(least(len, 40000)) OVER w AS upto FROM hit WINDOW w AS (PARTITION BY repo_id ORDER BY ord)),
+taken AS (SELECT repo_id, ord, path, chars FROM r WHERE r <= 8 AND upto <= 120000)
+SELECT repo_id, ord, name, path, chars, path IS NULL AS skipped FROM named LEFT JOIN taken USING (repo_id, ord)""")
 def resolve_named_paths(spark, d):
     f = v.files(spark, d)
-    named = f.where("doc_id % 3 = 0").select("repo_id", F.col("doc_id").alias("ord"), F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("name"))
+    named = f.select("repo_id", F.col("doc_id").alias("ord"), F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("name"))
     return budget.resolve_named_paths(named, f)
 
 
@@ -404,24 +445,30 @@ def largest_file(spark, d):
     return budget.largest_file(v.files(spark, d))
 
 
-@query(f"""WITH {_WALKED}, b AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY repo_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM walked),
-t AS (SELECT repo_id, 'tour' AS analysis, count(*) AS files, count(*) FILTER (before < 20000) AS included, count(*) FILTER (before >= 20000) AS dropped, sum(len) FILTER (before < 20000)::bigint AS assembled_chars FROM b GROUP BY 1)
-SELECT *, assembled_chars > 20000 AS stops_here FROM t UNION ALL SELECT repo_id, 'backend', count(*), NULL, NULL, NULL, NULL FROM files_v WHERE {_LAYER} IS NOT NULL GROUP BY 1""")
-def preview_rollup(spark, d):
-    return budget.preview_rollup(v.files(spark, d), 20_000)
+@query(f"""WITH {_WALKED}, b AS (SELECT *, coalesce(sum(len + 1) OVER (PARTITION BY repo_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start FROM walked),
+k AS (SELECT *, least(len, 20000 - start) AS kept, string_split(substr(content, 1, least(len, 20000 - start)), chr(10)) AS ls FROM b WHERE start < 20000),
+w AS (SELECT repo_id, path, CASE WHEN kept < len THEN ls[:len(ls) - 1] ELSE ls END AS ls FROM k) SELECT repo_id, path, unnest(ls) AS text, generate_subscripts(ls, 1)::int AS line FROM w""")
+def whole_lines(spark, d):
+    f = v.files(spark, d)
+    return budget.whole_lines(budget.budget_slice(budget.walked(f), 20_000), f)
 
 
 # ---- architecture
 
-@query("SELECT DISTINCT repo_id, unnest(regexp_extract_all(content, '(?m)^[ \\t]*(?:export[ \\t]+)?([A-Z][A-Z0-9_]+)[ \\t]*=', 1)) AS name FROM files_v WHERE path = 'deploy/.env.example'")
+@query("SELECT DISTINCT repo_id, unnest(regexp_extract_all(content, '(?m)^[ \\t]*(?:export[ \\t]+)?([A-Z][A-Z0-9_]+)[ \\t]*=', 1)) AS name FROM files_v WHERE path LIKE 'deploy%/.env.example'")
 def env_names(spark, d):
     return arch.env_names(v.files(spark, d))
 
 
 _PKG = "SELECT repo_id, path AS manifest_path, 'package' AS kind, u.name, u.version FROM (SELECT repo_id, path, doc_id FROM files_v WHERE path LIKE 'm%/package.json'), LATERAL (SELECT unnest(['react', 'lib' || doc_id, 'jest']) AS name, unnest(['^19.0', '1.0', '29']) AS version) u"
-_GOM = "SELECT repo_id, path AS manifest_path, 'go_mod' AS kind, u.name, u.version FROM (SELECT repo_id, path FROM files_v WHERE path LIKE 'g%/go.mod'), LATERAL (SELECT unnest(['github.com/solo/one', 'github.com/a/b']) AS name, unnest(['v1.2.3', 'v0.1.0']) AS version) u"
+_GOM = r"""SELECT repo_id, manifest_path, 'go_mod' AS kind, CASE WHEN inside > 0 THEN regexp_extract(line, '^\s*([^\s(]+)\s+(v\S+)\s*$', 1) ELSE regexp_extract(line, '^\s*require\s+([^\s(]+)\s+(v\S+)\s*$', 1) END AS name,
+  CASE WHEN inside > 0 THEN regexp_extract(line, '^\s*([^\s(]+)\s+(v\S+)\s*$', 2) ELSE regexp_extract(line, '^\s*require\s+([^\s(]+)\s+(v\S+)\s*$', 2) END AS version
+  FROM (SELECT *, sum(regexp_matches(line, '^\s*require\s*\(')::int - regexp_matches(line, '^\s*\)')::int) OVER (PARTITION BY repo_id, manifest_path ORDER BY pos) AS inside
+    FROM (SELECT *, regexp_replace(raw, '//.*$', '') AS line, trim(regexp_extract(raw, '//(.*)$', 1)) AS note FROM (SELECT repo_id, path AS manifest_path, unnest(string_split(content, chr(10))) AS raw, generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM files_v WHERE path LIKE '%/go.mod')))
+  WHERE note <> 'indirect' AND NOT regexp_matches(line, '^\s*require\s*\(') AND name NOT IN ('', 'require')"""
+_PYP = "SELECT repo_id, path AS manifest_path, 'pyproject' AS kind, u.name, u.version FROM (SELECT repo_id, path, doc_id FROM files_v WHERE path LIKE 'p%/pyproject.toml'), LATERAL (SELECT unnest(['numpy', 'lib' || doc_id, 'pytest']) AS name, unnest(['>=2', '==2', '']) AS version) u"
 _REQ = "SELECT repo_id, path AS manifest_path, 'requirements' AS kind, u.name, u.version FROM (SELECT repo_id, path, doc_id FROM files_v WHERE path LIKE 'r%/requirements.txt'), LATERAL (SELECT unnest(['requests', 'numpy', 'lib' || doc_id]) AS name, unnest(['>=2.0', '==1.26', '~=1.0']) AS version) u"
-_DEPS = f"deps AS ({_PKG} UNION ALL {_GOM} UNION ALL {_REQ})"
+_DEPS = f"deps AS ({_PKG} UNION ALL {_GOM} UNION ALL {_REQ} UNION ALL {_PYP})"
 
 
 @query(_PKG)
@@ -439,7 +486,7 @@ def deps_requirements(spark, d):
     return arch.deps_requirements(v.files(spark, d))
 
 
-@query()
+@query("SELECT repo_id, 'p' || doc_id || '/pyproject.toml' AS manifest_path, 'pyproject' AS kind, unnest(['numpy', 'lib' || doc_id]) AS name, unnest(['>=1', '==2']) AS version FROM files_v")
 def deps_pyproject(spark, d):
     text = F.concat(F.lit('[project]\nname = "x"\ndependencies = ["numpy>=1", "lib'), F.col("doc_id").cast("string"), F.lit('[a]==2; python_version > \'3\'"]\n'))
     toml = v.files(spark, d).withColumn("path", F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit("/pyproject.toml"))).withColumn("content", text)
@@ -456,7 +503,9 @@ def dependency_usage(spark, d):
     return arch.dependency_usage(arch.all_deps(v.files(spark, d)))
 
 
-@query(f"SELECT repo_id, {_KIND} AS kind, count(*) AS manifests, count(*) FILTER (content IS NULL) AS unreadable, count(*) FILTER (length(content) > 200000) AS truncated, count(*) FILTER ({_KIND} = 'package' AND NOT json_valid(content)) AS malformed FROM files_v WHERE {_KIND} IN ('package', 'go_mod', 'pyproject', 'requirements') GROUP BY 1, 2")
+@query(f"""WITH p AS (SELECT repo_id, {_KIND} AS kind, content IS NULL AS gone, length(content) > 200000 AS long, ({_KIND} = 'package' AND NOT json_valid(content)) OR ({_KIND} = 'pyproject' AND NOT regexp_matches(content, '(?m)^\\[project\\]$')) AS bad FROM files_v WHERE {_KIND} IN ('package', 'go_mod', 'pyproject', 'requirements')),
+n AS (SELECT repo_id, kind, count(*) AS manifests, count(*) FILTER (gone) AS unreadable, count(*) FILTER (bad AND NOT long) AS malformed, count(*) FILTER (long AND NOT bad) AS truncated, count(*) FILTER (long AND bad) AS truncated_unparsable FROM p GROUP BY 1, 2)
+SELECT *, CASE WHEN malformed > 0 THEN malformed || CASE kind WHEN 'package' THEN ' package.json' ELSE ' pyproject.toml' END || CASE WHEN malformed = 1 THEN ' file ' ELSE ' files ' END || CASE kind WHEN 'package' THEN 'could not be parsed as JSON' ELSE 'could not be parsed as TOML' END ELSE '' END AS note FROM n""")
 def manifest_problems(spark, d):
     return arch.manifest_problems(v.files(spark, d))
 
@@ -466,12 +515,27 @@ def redact_config(spark, d):
     return arch.redact_config(v.files(spark, d))
 
 
-@query()
+_JS_LINE = v._lit(arch.JS_LINE)
+#: The stand-in's Go clients are named by the third segment of their path.
+_SDK = f"""js AS (SELECT repo_id, path, line, text FROM (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1)::int AS line FROM files_v WHERE regexp_matches(path, '\\.(ts|tsx|js|py)$')) WHERE regexp_matches(text, {_JS_LINE})),
+gol AS (SELECT repo_id, path, line, regexp_extract(text, {v._lit(C.GO_PATH)}, 1) AS module FROM (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1)::int AS line FROM files_v WHERE path LIKE '%.go')),
+sdk_all AS (SELECT repo_id, path, line, regexp_replace(CASE WHEN regexp_extract(text, {v._lit(C.SDK)}, 1) <> '' THEN regexp_extract(text, {v._lit(C.SDK)}, 1) WHEN regexp_extract(text, 'new (Stripe|Twilio|Redis|S3Client)', 1) <> '' THEN regexp_extract(text, 'new (Stripe|Twilio|Redis|S3Client)', 1) ELSE 'sdk' END, '[''"@]', '', 'g') AS sdk, 0 AS part FROM js
+  UNION ALL SELECT repo_id, path, line, string_split(module, '/')[3], 1 FROM gol WHERE module <> ''),
+sdk AS (SELECT repo_id, path, line, sdk, count(*) OVER (PARTITION BY repo_id) > 400 AS capped FROM sdk_all QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY part, path, line, sdk) <= 400)"""
+
+
+@query(f"WITH {_SDK} SELECT * FROM sdk")
 def sdk_imports(spark, d):
     return arch.sdk_imports(v.files(spark, d))
 
 
-@query()
+_ENV = "env AS (SELECT DISTINCT repo_id, unnest(regexp_extract_all(content, '(?m)^[ \\t]*(?:export[ \\t]+)?([A-Z][A-Z0-9_]+)[ \\t]*=', 1)) AS name FROM files_v WHERE path LIKE 'deploy%/.env.example')"
+_STATS = f"""{_SDK}, {_DEPS}, {_ENV}, found AS (SELECT repo_id, count(*) FILTER (k IS NOT NULL) AS configs, count(*) FILTER (k IS NOT NULL AND content IS NOT NULL) AS included, count(*) FILTER (k IS NOT NULL AND content IS NULL) AS unreadable, count(*) FILTER (k IS NOT NULL AND length(content) > 200000) AS truncated FROM (SELECT repo_id, content, {_KIND} AS k FROM files_v) GROUP BY 1),
+stats AS (SELECT *, (SELECT count(*) FROM env e WHERE e.repo_id = f.repo_id) AS env_vars, (SELECT count(DISTINCT name) FROM deps x WHERE x.repo_id = f.repo_id) AS deps, (SELECT count(*) FROM sdk s WHERE s.repo_id = f.repo_id) AS sdk_lines,
+  (SELECT count(DISTINCT string_split(path, '/')[2]) FROM files_v i WHERE i.repo_id = f.repo_id AND starts_with(path, 'integrations/')) AS integrations FROM found f)"""
+
+
+@query(f"WITH {_STATS} SELECT * FROM stats")
 def arch_stats(spark, d):
     return arch.arch_stats(v.files(spark, d))
 
@@ -486,13 +550,20 @@ def extract_imports(spark, d):
 _PYSPECS = "specs AS (SELECT repo_id, path, unnest(['os', 'pkg.m' || (doc_id % 200), 'stripe']) AS spec FROM files_v WHERE path LIKE 'src/app/views/%' UNION ALL SELECT repo_id, path, unnest(['pkg.m' || (doc_id % 200), 'app.models']) FROM files_v WHERE path LIKE 'pkg/m%')"
 
 
-@query(f"WITH {_PYSPECS}, c AS (SELECT repo_id, path, spec, unnest([replace(spec, '.', '/') || '.py', replace(spec, '.', '/') || '/__init__.py']) AS to_path FROM specs), h AS (SELECT DISTINCT c.* FROM c JOIN files_v f ON f.repo_id = c.repo_id AND f.path = c.to_path) SELECT DISTINCT repo_id, path AS from_path, min(to_path) AS to_path FROM h GROUP BY repo_id, path, spec HAVING count(*) = 1 AND path <> min(to_path)")
+_PYEDGE = f"{_PYSPECS}, c AS (SELECT repo_id, path, spec, unnest([replace(spec, '.', '/') || '.py', replace(spec, '.', '/') || '/__init__.py']) AS to_path FROM specs), h AS (SELECT DISTINCT c.* FROM c JOIN files_v f ON f.repo_id = c.repo_id AND f.path = c.to_path), pyedge AS (SELECT DISTINCT repo_id, path AS from_path, min(to_path) AS to_path FROM h GROUP BY repo_id, path, spec HAVING count(*) = 1 AND path <> min(to_path))"
+
+
+@query(f"WITH {_PYEDGE} SELECT * FROM pyedge")
 def resolve_python(spark, d):
     f = v.files(spark, d)
     return imports.resolve_python(imports.extract_imports(f), f)
 
 
-@query()
+_JSEDGE = """jsedge AS (SELECT DISTINCT a.repo_id, a.path AS from_path, b.path AS to_path FROM files_v a JOIN files_v b ON a.repo_id = b.repo_id AND a.path <> b.path AND b.path = CASE
+  WHEN regexp_matches(a.path, '^web/src/lib\\d+\\.ts$') OR regexp_matches(a.path, '^web/pages/api/p\\d+\\.ts$') THEN 'web/src/lib' || (a.doc_id % 200) || '.ts' WHEN regexp_matches(a.path, '^src/middleware/auth\\d+\\.js$') THEN 'src/middleware/auth' || (a.doc_id % 200) || '.js' END)"""
+
+
+@query(f"WITH {_JSEDGE} SELECT * FROM jsedge")
 def resolve_relative_js(spark, d):
     f = v.files(spark, d)
     return imports.resolve_relative_js(imports.extract_imports(f), f)
@@ -512,7 +583,7 @@ def resolve_go_packages(spark, d):
     return imports.resolve_go_packages(imports.extract_imports(f), f)
 
 
-@query()
+@query(f"WITH {_PYEDGE}, {_JSEDGE} SELECT DISTINCT *, 'imports' AS kind FROM (SELECT * FROM pyedge UNION ALL SELECT * FROM jsedge)")
 def import_edges(spark, d):
     return imports.import_edges(v.files(spark, d))
 
@@ -547,27 +618,36 @@ def related_links(spark, d):
 
 # ---- schemas
 
-@query()
-def embedded_ddl(spark, d):
-    return schemas.embedded_ddl(v.files(spark, d)).select("repo_id", "path", F.size("ddl").alias("n_ddl"), "tables", "ddl_rank")
+_SK = f"CASE WHEN {_BASE} = 'schema.prisma' THEN 0 WHEN ends_with('/' || path, '/db/schema.rb') THEN 1 WHEN {_BASE} = 'schema.sql' THEN 2 WHEN {_BASE} = 'models.py' THEN 3 END"
 
 
-_SK = f"CASE WHEN ends_with({_BASE}, '.prisma') THEN 0 WHEN ends_with('/' || path, '/db/schema.rb') THEN 1 WHEN {_BASE} IN ('schema.sql', 'structure.sql') THEN 2 WHEN {_BASE} = 'models.py' THEN 3 END"
+#: Statements of the stand-in's Go files: string literals in double quotes that begin as schema statements do.
+_DDL = f"""ddl AS (SELECT repo_id, path, list_filter(regexp_extract_all({_BARE_GO}, '"((?:[^"\\\\\n]|\\\\.)*)"', 1), lambda x: regexp_matches(x, {v._lit(C.DDL_STATEMENT)})) AS ss FROM files_v WHERE path LIKE '%.go'),
+embedded AS (SELECT repo_id, path, len(ss)::int AS n_ddl, len(regexp_extract_all(array_to_string(ss, chr(10)), '(?i)\\bCREATE\\s+TABLE\\b'))::int AS tables, ss FROM ddl WHERE len(ss) > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY tables DESC, path) AS ddl_rank FROM embedded)"""
+_SCHEMA = f"""s AS (SELECT repo_id, path, size, length(content) AS len, {_SK} AS k FROM files_v WHERE NOT {_SKIP} AND {_SK} IS NOT NULL), f AS (SELECT * FROM s QUALIFY k = min(k) OVER (PARTITION BY repo_id)),
+r AS (SELECT *, row_number() OVER w AS r, sum(len) OVER w AS upto FROM f WINDOW w AS (PARTITION BY repo_id ORDER BY -size, path)), {_DDL},
+e AS (SELECT *, sum(length('-- ===== ' || path || ' =====' || chr(10)) + length(array_to_string(list_transform(ss, lambda x: trim(x)), chr(10)))) OVER (PARTITION BY repo_id ORDER BY ddl_rank) AS upto FROM ranked WHERE repo_id NOT IN (SELECT repo_id FROM s)),
+schema AS (SELECT repo_id, (['prisma', 'rails', 'sql', 'models'])[k + 1] AS kind, path, CASE WHEN r = 1 OR (k = 3 AND upto <= 600000 AND r <= 40) THEN 'kept' ELSE 'dropped' END AS state, len > 600000 AS cut FROM r
+  UNION ALL SELECT repo_id, 'embedded-sql', path, CASE WHEN ddl_rank = 1 OR (upto <= 600000 AND ddl_rank <= 40) THEN 'kept' ELSE 'dropped' END, false FROM e)"""
 
 
-@query(f"""WITH s AS (SELECT repo_id, path, size, length(content) AS len, {_SK} AS k FROM files_v WHERE NOT {_SKIP} AND {_SK} IS NOT NULL), f AS (SELECT * FROM s QUALIFY k = min(k) OVER (PARTITION BY repo_id)),
-r AS (SELECT *, row_number() OVER w AS r, sum(len) OVER w AS upto FROM f WINDOW w AS (PARTITION BY repo_id ORDER BY -size, path))
-SELECT repo_id, (['prisma', 'rails', 'sql', 'models'])[k + 1] AS kind, path, CASE WHEN r = 1 OR (k = 3 AND upto <= 600000 AND r <= 40) THEN 'kept' ELSE 'dropped' END AS state, len > 600000 AS cut FROM r""")
+@query(f"WITH {_SCHEMA} SELECT * FROM schema")
 def find_schema(spark, d):
-    return schemas.find_schema(v.files(spark, d), embedded=False)  # the SQL has the other four kinds
+    return schemas.find_schema(v.files(spark, d))
+
+
+@query(f"WITH {_DDL} SELECT repo_id, path, n_ddl, tables, ddl_rank FROM ranked")
+def embedded_ddl(spark, d):
+    return schemas.embedded_ddl(v.files(spark, d)).select("repo_id", "path", F.size("ddl").alias("n_ddl"), "tables", "ddl_rank")
 
 
 _TABLES = """tables AS (SELECT DISTINCT repo_id, lower(name) AS name FROM (
-SELECT repo_id, 'orders' || doc_id AS name FROM files_v WHERE path = 'db/schema.sql' UNION ALL SELECT repo_id, 'users' FROM files_v WHERE path = 'db/schema.sql' UNION ALL SELECT repo_id, 't' || (doc_id % 200) FROM files_v WHERE path LIKE 'db/migrations/%' UNION ALL SELECT repo_id, 'order' || doc_id FROM files_v WHERE path LIKE 'app%/models.py'))"""
+SELECT repo_id, 'orders' || doc_id AS name FROM files_v WHERE path LIKE 'db%/schema.sql' UNION ALL SELECT repo_id, 'users' FROM files_v WHERE path LIKE 'db%/schema.sql' UNION ALL SELECT repo_id, 't' || (doc_id % 200) FROM files_v WHERE path LIKE 'db/migrations/%' UNION ALL SELECT repo_id, 'order' || doc_id FROM files_v WHERE path LIKE 'app%/models.py'))"""
 
 
 def _tables(spark, d):
-    heads = v.files(spark, d).where("path = 'db/schema.sql' or path like 'db/migrations/%' or path like 'app%/models.py'")
+    heads = v.files(spark, d).where("path LIKE 'db%/schema.sql' or path like 'db/migrations/%' or path like 'app%/models.py'")
     return schemas.schema_tables(heads.select("repo_id", F.col("content").alias("text")))
 
 
@@ -576,7 +656,14 @@ def schema_tables(spark, d):
     return _tables(spark, d)
 
 
-@query(f"""WITH {_TABLES}, e AS (SELECT repo_id, prompt_id, unnest(['users', 'orders' || prompt_id, 'ghosts', 'users']) AS name FROM replies_v) SELECT DISTINCT e.repo_id, e.prompt_id, e.name FROM e JOIN tables t ON t.repo_id = e.repo_id AND t.name = lower(e.name)""")
+_ERD = r"regexp_extract(text, '(?s)```mermaid[ \t]*\n(\s*erDiagram\b.*?)```', 1)"
+_ENDS = f"list_zip(regexp_extract_all({_ERD}, {v._lit(C.ERD_LINE)}, 1), regexp_extract_all({_ERD}, {v._lit(C.ERD_LINE)}, 2))"
+
+
+@query(rf"""WITH {_TABLES}, e AS (SELECT repo_id, prompt_id, flatten(list_transform({_ENDS}, lambda p: [p[1], p[2]])) AS names FROM replies_v), h AS (SELECT repo_id, prompt_id, flatten(list_transform(regexp_extract_all(text, '(?m)^###.*$'), lambda x: regexp_extract_all(x, '`(\w+)`', 1))) AS names FROM replies_v),
+n AS (SELECT 0 AS way, repo_id, prompt_id, unnest(names) AS name, generate_subscripts(names, 1) AS place FROM e UNION ALL SELECT 1, repo_id, prompt_id, unnest(names), generate_subscripts(names, 1) FROM h),
+k AS (SELECT n.repo_id, n.prompt_id, way, arg_min(n.name, place) AS name, min(place) AS place FROM n JOIN tables t ON t.repo_id = n.repo_id AND t.name = lower(n.name) GROUP BY n.repo_id, n.prompt_id, way, lower(n.name))
+SELECT repo_id, prompt_id, name, row_number() OVER (PARTITION BY repo_id, prompt_id, way ORDER BY place) AS pos FROM k QUALIFY way = min(way) OVER (PARTITION BY repo_id, prompt_id)""")
 def reply_tables(spark, d):
     return schemas.reply_tables(v.replies(spark, d), _tables(spark, d))
 
@@ -593,10 +680,13 @@ def table_batches(spark, d):
 
 # ---- replies
 
-@query("""WITH p AS (SELECT repo_id, prompt_id, length(text) - length('```mermaid' || chr(10) || 'erDiagram' || chr(10) || '  users ||--o{ orders' || prompt_id || ' : has' || chr(10) || '  ghosts ||--o{ users : see' || chr(10) || '```') AS rest FROM replies_v)
-SELECT repo_id, prompt_id, 0 AS pos, 'mermaid' AS kind, 'erDiagram' || chr(10) || '  users ||--o{ orders' || prompt_id || ' : has' || chr(10) || '  ghosts ||--o{ users : see' AS body, rest FROM p UNION ALL SELECT repo_id, prompt_id, 1, 'json', '{"a": ' || prompt_id || '}', rest FROM p""")
+_FENCE = r"(?s)```(mermaid|yaml|json)[ \t]*\n(.*?)```"
+
+
+@query(rf"""WITH p AS (SELECT repo_id, prompt_id, regexp_extract_all(text, '{_FENCE}', 1) AS kinds, regexp_extract_all(text, '{_FENCE}', 2) AS bodies, length(regexp_replace(text, '(?s)```mermaid[ \t]*\n.*?```', '', 'g'))::int AS rest FROM replies_v),
+u AS (SELECT repo_id, prompt_id, (generate_subscripts(kinds, 1) - 1)::int AS pos, unnest(kinds) AS kind, unnest(bodies) AS body, rest FROM p) SELECT repo_id, prompt_id, pos, kind, regexp_replace(body, '^\s+|\s+$', '', 'g') AS body, rest FROM u""")
 def reply_fences(spark, d):
-    return replies.reply_fences(v.replies(spark, d, chars=40))  # the SQL counts the characters of such replies
+    return replies.reply_fences(v.replies(spark, d))
 
 
 @query()
@@ -604,25 +694,30 @@ def reply_values(spark, d):
     return replies.reply_values(v.replies(spark, d))
 
 
-_CARDS = "SELECT repo_id, prompt_id, 'Orders (' || (prompt_id % 9) || ' endpoints)' AS title, 1 AS card FROM replies_v UNION ALL SELECT repo_id, prompt_id, '`users` (' || (prompt_id % 5) || ' endpoints)', 2 FROM replies_v"
+def _parts(mark: str) -> str:
+    return f"""parts AS (SELECT repo_id, prompt_id, unnest(ps) AS part, generate_subscripts(ps, 1)::int AS card FROM (SELECT repo_id, prompt_id, string_split(chr(10) || text, chr(10) || '{mark} ')[2:] AS ps FROM replies_v)),
+cards AS (SELECT repo_id, prompt_id, card, trim(string_split(part, chr(10))[1]) AS title, regexp_replace(substr(part, length(string_split(part, chr(10))[1]) + 2), '^\\s+|\\s+$', '', 'g') AS body FROM parts)"""
+
+
+_CARDS = _parts("###")
 
 
-@query(_CARDS)
+@query(f"WITH {_CARDS} SELECT repo_id, prompt_id, title, md5(body) AS body_md5, card FROM cards")
 def split_cards(spark, d):
-    return replies.split_cards(v.replies(spark, d)).select("repo_id", "prompt_id", "title", "card")
+    return replies.split_cards(v.replies(spark, d)).select("repo_id", "prompt_id", "title", F.md5("body").alias("body_md5"), "card")
 
 
-@query("SELECT repo_id, prompt_id, unnest(['overview', 'cards']) AS section FROM replies_v")
+@query(f"WITH {_parts('##')} SELECT repo_id, prompt_id, lower(title) AS section, md5(body) AS body_md5 FROM cards")
 def split_sections(spark, d):
-    return replies.split_sections(v.replies(spark, d)).select("repo_id", "prompt_id", "section")
+    return replies.split_sections(v.replies(spark, d)).select("repo_id", "prompt_id", "section", F.md5("body").alias("body_md5"))
 
 
-@query("SELECT repo_id, prompt_id, 'dev' || prompt_id AS owner, '' AS missing FROM replies_v")
+@query(r"SELECT repo_id, prompt_id, trim(regexp_extract(text, '\*\*Owner:\*\*[ \t]*([^\n]*)', 1)) AS owner, trim(regexp_extract(text, '\*\*Nobody:\*\*[ \t]*([^\n]*)', 1)) AS missing FROM replies_v")
 def labelled_field(spark, d):
     return v.replies(spark, d).select("repo_id", "prompt_id", replies.labelled_field("text", "Owner").alias("owner"), replies.labelled_field("text", "Nobody").alias("missing"))
 
 
-@query("""WITH g AS (SELECT repo_id, prompt_id, unnest(['Orders', '`users`']) AS name, unnest([prompt_id % 9, prompt_id % 5])::int AS n FROM replies_v), w AS (SELECT *, sum(n) OVER (PARTITION BY repo_id, prompt_id)::bigint AS total, greatest(max(n) OVER (PARTITION BY repo_id, prompt_id), 1) AS top FROM g)
+@query(rf"""WITH {_CARDS}, g AS (SELECT repo_id, prompt_id, trim(regexp_replace(title, '\s*\([0-9]+ endpoints?\)\s*$', '')) AS name, try_cast(regexp_extract(title, '[(]([0-9]+) endpoints?[)]', 1) AS int) AS n FROM cards WHERE n IS NOT NULL), w AS (SELECT *, sum(n) OVER (PARTITION BY repo_id, prompt_id)::bigint AS total, greatest(max(n) OVER (PARTITION BY repo_id, prompt_id), 1) AS top FROM g)
 SELECT repo_id, prompt_id, name, n, total, greatest(7, round(n * 100 / top::double))::int AS width FROM w""")
 def feature_group_sizes(spark, d):
     return replies.feature_group_sizes(replies.split_cards(v.replies(spark, d)))
@@ -644,9 +739,9 @@ def validate_reply(spark, d):
     return replies.validate_reply(parsed, f)
 
 
-@query(f"WITH c AS ({_CARDS}) SELECT repo_id, prompt_id, card, CASE WHEN card = 2 THEN 'Orders (' || (prompt_id % 9) || ' endpoints)' ELSE '' END AS context FROM c")
+@query(f"WITH {_CARDS}, w AS (SELECT repo_id, prompt_id, card, list(body) OVER (PARTITION BY repo_id, prompt_id ORDER BY card ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS before FROM cards) SELECT repo_id, prompt_id, card, md5(CASE WHEN coalesce(len(before), 0) = 0 THEN '{C.FIRST_CHAPTER}' ELSE array_to_string(before, chr(10) || chr(10) || '---' || chr(10) || chr(10)) END) AS context_md5 FROM w")
 def chapter_context(spark, d):
-    return replies.chapter_context(replies.split_cards(v.replies(spark, d)), of="title", between="\n")  # the SQL has the titles
+    return replies.chapter_context(replies.split_cards(v.replies(spark, d))).select("repo_id", "prompt_id", "card", F.md5("context").alias("context_md5"))
 
 
 # ---- usage
@@ -675,17 +770,24 @@ def session_summary(spark, d):
     return usage.session_summary(_costed(spark, d))
 
 
-@query(f"WITH {_PRICE}, {_COST} SELECT provider, model, grouping_id(provider, model)::int AS level, count(*) AS records, sum(input_tokens)::bigint AS input_tokens, sum(output_tokens)::bigint AS output_tokens, round(sum(cost), 6) AS cost FROM costed GROUP BY ROLLUP (provider, model)")
+@query(f"WITH {_PRICE}, {_COST} SELECT provider, model, day, grouping_id(provider, model, day)::int AS level, count(*) AS records, sum(input_tokens)::bigint AS input_tokens, sum(output_tokens)::bigint AS output_tokens, round(sum(cost), 6) AS cost FROM costed GROUP BY ROLLUP (provider, model, day)")
 def cost_rollup(spark, d):
     return usage.cost_rollup(_costed(spark, d))
 
 
-_BODY = "body AS (SELECT repo_id, sum(length(content))::bigint AS body_chars FROM files_v GROUP BY 1)"
-_PLAN = "plan AS (SELECT repo_id, body_chars, template, shell_chars, calls_low, calls_high, CASE WHEN template = 'tour-chapter' THEN body_chars END AS body_max_chars FROM body, (VALUES " + ", ".join(map(str, usage.TEMPLATES)) + ") t(template, shell_chars, calls_low, calls_high))"
+_BODY = "body AS (SELECT repo_id, sum(length(content))::bigint AS body_chars, max(length(content))::bigint AS largest, count(*) FILTER (starts_with(path, 'db/migrations/')) AS migrations FROM files_v GROUP BY 1)"
+_PROMPTS = ", ".join(f"('{a}', '{t}', {n - sum(len(x) + 2 for x in slots.split())}, '{part}', {lo}, {hi})" for a, t, n, slots, part, lo, hi in C.PROMPTS)
+_PLAN = f"""plan AS (SELECT repo_id, analysis, template, shell_chars, floor(body_chars * CASE part {' '.join(f"WHEN '{p}' THEN {w}" for p, w in (('bundle', 1.0), ('manifest', 0.5), ('head', 0.25), ('names', 0.125), ('survey', 0.0625), ('stream', 0.25), ('diff', 0.125)))} END)::bigint AS body_chars,
+  CASE WHEN analysis = 'tour' AND part = 'bundle' THEN body_chars + largest END AS body_max_chars, CASE WHEN template = 'migration-acts.md' AND migrations < 4 THEN 0 ELSE lo END AS calls_low, CASE WHEN template = 'migration-acts.md' AND migrations < 4 THEN 0 ELSE hi END AS calls_high FROM body, (VALUES {_PROMPTS}) t(analysis, template, shell_chars, part, lo, hi))"""
 
 
 def _plan(spark, d):
-    return usage.prompt_plan(v.files(spark, d).groupBy("repo_id").agg(F.sum(F.length("content")).alias("body_chars")))
+    """Every part of a preview is a share of the repository's characters here."""
+    body = v.files(spark, d).groupBy("repo_id").agg(F.sum(F.length("content")).alias("whole"), F.max(F.length("content")).cast("long").alias("largest"), F.count_if(F.col("path").startswith("db/migrations/")).alias("migrations"))
+    shares = {"bundle": 1.0, "manifest": 0.5, "head": 0.25, "names": 0.125, "survey": 0.0625, "stream": 0.25, "diff": 0.125}
+    parts = F.array(*(F.struct(F.lit(a).alias("analysis"), F.lit(p).alias("part"), F.lit(shares[p]).alias("share")) for a, p in sorted({(a, p) for a, _, _, _, p, *_ in C.PROMPTS})))
+    most = F.when((F.col("analysis") == "tour") & (F.col("part") == "bundle"), F.col("whole") + F.col("largest"))
+    return usage.prompt_plan(body.select("*", F.inline(parts)).select("repo_id", "analysis", "part", F.floor(F.col("whole") * F.col("share")).alias("body_chars"), most.alias("body_max_chars"), "migrations"))
 
 
 @query(f"WITH {_BODY}, {_PLAN} SELECT * FROM plan")
@@ -693,7 +795,7 @@ def prompt_plan(spark, d):
     return _plan(spark, d)
 
 
-@query(f"""WITH {_PRICE}, {_BODY}, {_PLAN}, p AS (SELECT *, shell_chars + body_chars AS chars FROM plan), e AS (SELECT repo_id, (sum(chars * calls_low) // 4)::bigint AS input_low, (sum(chars * calls_high) // 4)::bigint AS input_high, (sum(calls_high) * 16384)::bigint AS output_high, max(floor(chars / 2.5::double))::bigint AS largest_prompt FROM p GROUP BY 1)
+@query(f"""WITH {_PRICE}, {_BODY}, {_PLAN}, p AS (SELECT *, shell_chars + body_chars AS chars, shell_chars + coalesce(body_max_chars, body_chars) AS most FROM plan), e AS (SELECT repo_id, (sum(chars * calls_low) // 4)::bigint AS input_low, (sum(chars * calls_high) // 4)::bigint AS input_high, (sum(calls_high) * 16384)::bigint AS output_high, max(floor(most / 2.5::double))::bigint AS largest_prompt FROM p GROUP BY 1)
 SELECT repo_id, input_low, input_high, output_high, largest_prompt, round(input_low * input, 6) AS cost_low, round(input_high * input + output_high * output, 6) AS cost_high, largest_prompt > max_input AS over_ceiling FROM e, prices WHERE provider = 'openai'""")
 def estimate_run(spark, d):
     return usage.estimate_run(_plan(spark, d), v.prices(spark), "openai", "gpt-5.6-terra")
@@ -705,12 +807,49 @@ def codebase_size_estimate(spark, d):
     return usage.codebase_size_estimate(v.files(spark, d), 100_000)
 
 
-@query("""WITH k AS (SELECT run_id, sha256(concat_ws('|', provider, model, '4096', text)) AS key, input_tokens FROM usage_v), r AS (SELECT DISTINCT key FROM k WHERE input_tokens % 2 = 0) SELECT run_id, count(*) AS calls, count(r.key) AS hits, count(r.key) / count(*)::double AS hit_rate FROM k LEFT JOIN r USING (key) GROUP BY 1""")
+@query("""WITH k AS (SELECT run_id, sha256(concat_ws('|', provider, model, '4096', text)) AS key, input_tokens FROM usage_v), r AS (SELECT DISTINCT key FROM k WHERE input_tokens % 2 = 0) SELECT run_id, count(*) AS calls, count(r.key) AS hits, count(r.key) / count(*)::double AS hit_rate, sum(CASE WHEN r.key IS NULL THEN input_tokens ELSE 0 END)::bigint AS input_tokens FROM k LEFT JOIN r USING (key) GROUP BY 1""")
 def cache_hits(spark, d):
     calls = v.llm_usage(spark, d).select("run_id", "provider", "model", F.lit(4096).alias("max_out"), F.concat(F.lit("<<<CACHE_BREAKPOINT>>>"), "text").alias("prompt"), "input_tokens")
     return usage.cache_hits(calls, calls.where("input_tokens % 2 = 0").select(usage.cache_key().alias("key")))
 
 
-@query("SELECT run_id, coalesce(string_agg(DISTINCT provider || ':' || model, ',' ORDER BY provider || ':' || model) FILTER (NOT cached), '') AS models, count(*) FILTER (cached) AS cached_calls, count(*) AS calls FROM usage_v GROUP BY 1")
+@query("""WITH s AS (SELECT run_id, 'tour' AS analysis, 'repo' || (run_id % 7) AS repo_id, day || 'T00:00:00Z' AS sent_at, CASE WHEN input_tokens % 2 = 0 THEN 'file' ELSE 'commit' END AS kind, 'n' || (input_tokens % 50) AS name FROM usage_v),
+w AS (SELECT run_id, min(analysis) AS analysis, min(repo_id) AS repo_id, min(sent_at) AS sent_at, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (kind = 'file'), '') AS files, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (kind = 'commit'), '') AS commits FROM s GROUP BY 1)
+SELECT u.*, analysis, repo_id, sent_at, files, commits FROM (SELECT run_id, coalesce(string_agg(DISTINCT provider || ':' || model, ',' ORDER BY provider || ':' || model) FILTER (NOT cached), '') AS models, count(*) FILTER (cached) AS cached_calls, count(*) AS calls FROM usage_v GROUP BY 1) u LEFT JOIN w USING (run_id)""")
 def run_manifest(spark, d):
-    return usage.run_manifest(v.llm_usage(spark, d))
+    calls = v.llm_usage(spark, d)
+    kind = F.when(F.col("input_tokens") % 2 == 0, "file").otherwise("commit")
+    sent = calls.select("run_id", F.lit("tour").alias("analysis"), F.concat(F.lit("repo"), (F.col("run_id") % 7).cast("string")).alias("repo_id"), F.concat("day", F.lit("T00:00:00Z")).alias("sent_at"), kind.alias("kind"), F.concat(F.lit("n"), (F.col("input_tokens") % 50).cast("string")).alias("name"))
+    return usage.run_manifest(calls, sent).withColumn("files", F.array_join("files", ",")).withColumn("commits", F.array_join("commits", ","))
+
+
+# ---- previews of the seven analyses
+
+_ROLL = f"""WITH {_WALKED}, b AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY repo_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM walked), {_STATS}, {_SURFACE}, {_SCHEMA}, {_bulk_sql("D", 3)},
+layers AS (SELECT repo_id, {_LAYER} AS layer FROM files_v WHERE NOT list_has_any(string_split(path, '/')[:-2], {v._list(C.BACKEND_SKIP_DIRS)}))
+SELECT repo_id, 'tour' AS analysis, 'files=' || count(*) AS counts, count(*) FILTER (before < 20000) AS included, count(*) FILTER (before >= 20000) AS dropped, coalesce(sum(len) FILTER (before < 20000), 0)::bigint AS assembled_chars, CASE WHEN coalesce(sum(len) FILTER (before < 20000), 0) > 20000 THEN 'the real run stops here' ELSE '' END AS notes FROM b GROUP BY 1
+UNION ALL SELECT repo_id, 'backend', {" || ',' || ".join(f"'{x}=' || count(*) FILTER (layer = '{x}')" for x in sorted(C.LAYERS))}, NULL, NULL, NULL, '' FROM layers GROUP BY 1
+UNION ALL SELECT repo_id, 'architecture', 'configs=' || configs || ',deps=' || deps || ',env_vars=' || env_vars || ',integrations=' || integrations || ',sdk_lines=' || sdk_lines || ',truncated=' || truncated || ',unreadable=' || unreadable, included, NULL, NULL, '' FROM stats
+UNION ALL SELECT repo_id, 'interfaces', 'go=' || count(*) FILTER (weight > 0) || ',surface=' || count(*), NULL, NULL, NULL, '' FROM surface GROUP BY 1
+UNION ALL SELECT repo_id, 'schema', 'candidates=' || count(*), count(*) FILTER (state = 'kept'), count(*) FILTER (state = 'dropped'), NULL, '' FROM schema GROUP BY 1
+UNION ALL SELECT c.repo_id, 'history', 'bulk_deletions=' || (SELECT count(*) FROM bulk b WHERE b.repo_id = c.repo_id) || ',commits=' || count(*), NULL, NULL, NULL, '' FROM commits_v c GROUP BY c.repo_id
+UNION ALL SELECT repo_id, 'product_intent', 'found=' || count(*) || ',unreadable=' || count(*) FILTER ({_KEPT} AND content IS NULL), count(*) FILTER ({_KEPT}), count(*) FILTER (NOT {_KEPT}), NULL, '' FROM files_v GROUP BY 1"""
+
+
+@query(_ROLL)
+def preview_rollup(spark, d):
+    f, c = v.files(spark, d), v.commits(spark, d)
+    rows = budget.walked(f)
+    surface = classify.surface_files(f).groupBy("repo_id").agg(F.count_if(F.col("weight") > 0).alias("go"), F.count("*").alias("surface"))
+    schema = schemas.find_schema(f).groupBy("repo_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("state") == "kept").alias("included"), F.count_if(F.col("state") == "dropped").alias("dropped"))
+    deleted = c.groupBy("repo_id").agg(F.count("*").alias("commits")).join(_bulk(spark, d).groupBy("repo_id").agg(F.count("*").alias("bulk_deletions")), "repo_id", "left")
+    parts = {
+        "tour": budget.budget_totals(rows, budget.budget_prefix(rows, 20_000)), "backend": classify.layer_counts(f), "architecture": arch.arch_stats(f), "interfaces": surface,
+        "schema": schema, "history": deleted, "product_intent": fs.count_files(f).withColumnsRenamed({"kept": "included"}),
+    }
+    notes = {"tour": F.when(F.col("assembled_chars") > 20_000, "the real run stops here")}
+    return budget.preview_rollup(parts, notes).withColumn("counts", _written(F.col("counts"))).withColumn("notes", F.array_join("notes", ","))
+
+
+def _written(counts):
+    return F.array_join(F.array_sort(F.transform(F.map_entries(counts), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",")

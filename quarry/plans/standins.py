@@ -17,12 +17,12 @@ TEMPLATES = (
     ("web/pages/api/p§.ts", "import x from '../../src/lib¤'\n", True),
     ("m§/package.json", '{"dependencies": {"react": "^18.0", "lib§": "1.0"}, "devDependencies": {"react": "^19.0", "jest": "29"}}', False),
     ("n§/package.json", '{"dependencies": {broken', False),
-    ("g§/go.mod", "module example.org/g§\n\nrequire github.com/solo/one v1.2.3\nrequire (\n\tgithub.com/a/b v0.1.0\n\tgithub.com/c/d v0.2.0 // indirect\n)\n", False),
+    ("g§/go.mod", "module example.org/g§\n\nrequire github.com/solo/one v1.2.3\nrequire (\n\tgithub.com/a/b v0.1.0\n\tgithub.com/c/d v0.2.0 // indirect\n\tgithub.com/e/f v0.3.0 // pinned§\n\t// github.com/no/no v9.9.9\n)\nrequire github.com/k/l v1.4.0 // keep\n", False),
     ("r§/requirements.txt", "requests[socks]>=2.0  # http\nnumpy==1.26 \\\n  --hash=sha256:aa\n-r other.txt\ngit+https://x/y.git\nlib§~=1.0; python_version > '3'\n", False),
-    ("deploy/.env.example", "STRIPE_SECRET_KEY=x\nexport DATABASE_URL=y\nlower=z\nKEY_§=1\n", False),
+    ("deploy§/.env.example", "STRIPE_SECRET_KEY=x\nexport DATABASE_URL=y\nlower=z\nKEY_§=1\n", False),
     ("infra/k8s/d§.yaml", "kind: Secret\ndata:\n  password: aGVsbG8=\nurl: http://user:pw@host/x\n", False),
     ("db/migrations/000¤_m§.up.sql", "CREATE TABLE IF NOT EXISTS public.t¤ (id int);\n", True),
-    ("db/schema.sql", "CREATE TABLE orders§ (id int);\nCREATE TABLE `users` (id int);\n", True),
+    ("db§/schema.sql", "CREATE TABLE orders§ (id int);\nCREATE TABLE `users` (id int);\n", True),
     ("app§/models.py", "class Order§(models.Model):\n    pass\n", True),
     ("docs/guide§.md", "# Guide\n", True),
     ("src/store/s§_store.go", 'package s\nconst q = "CREATE TABLE IF NOT EXISTS items§ (id int)"\n', True),
@@ -32,8 +32,10 @@ TEMPLATES = (
     ("keys/id§.pem", "", True),
     ("node_modules/p§/index.js", "", True),
     ("integrations/slack§/client.py", "import slack\n", True),
-    ("config/routes.rb", "", True),
+    ("config§/routes.rb", "", True),
     ("src/serializers/s§.py", "", True),
+    ("p§/pyproject.toml", '[project]\nname = "x"\ndependencies = ["numpy>=2", "lib§[a]==2; python_version > \'3\'"]\n[project.optional-dependencies]\ndev = ["pytest"]\n', False),
+    ("q§/pyproject.toml", "[project\ndependencies = 1\n", False),
 )
 N = len(TEMPLATES)
 ERAS = ((0, "founding", "1992-01", "1995-06"), (1, "growth", "1995-03", "1996-12"), (2, "rewrite", "1997-06", "1999-06"), (3, "now", "1999-07", None))
@@ -76,18 +78,19 @@ def files(spark, d) -> DataFrame:
     of = lambda i: F.get(F.array(*(F.lit(t[i]) for t in TEMPLATES)), k)
     fill = lambda c: F.replace(F.replace(c, F.lit("§"), F.col("doc_id").cast("string")), F.lit("¤"), (F.col("doc_id") % 200).cast("string"))
     rows = docs.select(F.col("source").alias("repo_id"), "doc_id", fill(of(0)).alias("path"), F.concat(fill(of(1)), F.when(of(2), F.coalesce("text", F.lit(""))).otherwise("")).alias("content"))
-    # one file for each path: where a template has no number the first document stands
-    rows = rows.join(rows.groupBy("repo_id", "path").agg(F.min("doc_id").alias("doc_id")), ["repo_id", "path", "doc_id"], "left_semi")
     return rows.select("repo_id", "path", F.octet_length("content").cast("long").alias("size"), F.lit(None).cast("string").alias("link_target"), "content", "doc_id")
 
 
-def replies(spark, d, chars: int | None = None) -> DataFrame:
-    """Replies around the whole text, or its first ``chars`` characters."""
+def replies(spark, d) -> DataFrame:
+    """Replies around the whole text; each fourth names known tables in its headings only."""
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
     n = F.col("doc_id").cast("string")
     text = F.concat(
-        F.lit("intro\n## Overview\n"), "text" if chars is None else F.substring("text", 1, chars), F.lit("\n## Cards\n### Orders ("), (F.col("doc_id") % 9).cast("string"), F.lit(" endpoints)\n**Owner:** dev"), n,
-        F.lit("\n### `users` ("), (F.col("doc_id") % 5).cast("string"), F.lit(" endpoints)\nbody\n```mermaid\nerDiagram\n  users ||--o{ orders"), n, F.lit(" : has\n  ghosts ||--o{ users : see\n```\n```json\n{\"a\": "), n, F.lit("}\n```\n"))
+        F.lit("intro\n## Overview\n"), "text", F.lit("\n## Cards\n### Orders ("), (F.col("doc_id") % 9).cast("string"), F.lit(" endpoints)\n**Owner:** dev"), n,
+        F.lit("\n### `users` ("), (F.col("doc_id") % 5).cast("string"), F.lit(" endpoints)\nbody\n"),
+        F.when(F.col("doc_id") % 4 == 3, F.concat(F.lit("```mermaid\nerDiagram\n  nobody ||--o{ ghosts : see\n```\n### Step (`order"), n, F.lit("`, `Users`, `id`)\n")))
+        .otherwise(F.concat(F.lit("```mermaid\nerDiagram\n  users ||--o{ orders"), n, F.lit(" : has\n  ghosts ||..o{ Users : see\n  users }o--|| nobody\n```\n"))),
+        F.lit("```json\n{\"a\": "), n, F.lit("}\n```\n"))
     return docs.select(F.col("source").alias("repo_id"), F.col("doc_id").alias("prompt_id"), text.alias("text"))
 
 
@@ -97,7 +100,7 @@ def llm_usage(spark, d) -> DataFrame:
     n = F.floor(F.length("text") / 4).cast("long")
     return c.select(
         F.col("conv_id").alias("run_id"), models["p"].alias("provider"), models["m"].alias("model"), n.alias("input_tokens"), F.floor(n / 3).alias("output_tokens"), F.floor(n / 5).alias("cache_read_tokens"), F.floor(n / 7).alias("cache_write_tokens"),
-        (F.col("turn") * 0.5).cast("double").alias("duration_s"), (F.col("turn") % 3 == 0).alias("cached"), "text")
+        (F.col("turn") * 0.5).cast("double").alias("duration_s"), (F.col("turn") % 3 == 0).alias("cached"), F.concat(F.lit("2024-05-"), (F.col("conv_id") % 20 + 10).cast("string")).alias("day"), "text")
 
 
 def prices(spark) -> DataFrame:
@@ -125,27 +128,32 @@ VIEWS = {
         CASE WHEN l_returnflag = 'A' THEN 'A' WHEN l_returnflag = 'R' THEN 'D' WHEN l_linestatus = 'F' THEN 'R' ELSE 'M' END AS status
       FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)""",
     "eras_v": "SELECT 'repo' || r AS repo_id, e.* FROM range(7) t(r), (VALUES " + ", ".join(f"({i}, '{n}', '{s}', {_lit(e)})" for i, n, s, e in ERAS) + ") e(era_index, name, start_month, end_month)",
-    "files_v": f"""SELECT repo_id, path, strlen(content)::bigint AS size, content, doc_id FROM (
-      SELECT source AS repo_id, doc_id, {_fill(0)} AS path, {_fill(1)} || CASE WHEN ({_list([t[2] for t in TEMPLATES])})[doc_id % {N} + 1] THEN coalesce(text, '') ELSE '' END AS content,
-        row_number() OVER (PARTITION BY source, {_fill(0)} ORDER BY doc_id) AS r FROM documents) WHERE r = 1""",
+    "files_v": f"""SELECT source AS repo_id, {_fill(0)} AS path, strlen(content)::bigint AS size, content, doc_id FROM (
+      SELECT source, doc_id, {_fill(1)} || CASE WHEN ({_list([t[2] for t in TEMPLATES])})[doc_id % {N} + 1] THEN coalesce(text, '') ELSE '' END AS content FROM documents)""",
     "replies_v": """SELECT source AS repo_id, doc_id AS prompt_id, 'intro
 ## Overview
-' || substr(text, 1, 40) || '
+' || text || '
 ## Cards
 ### Orders (' || (doc_id % 9) || ' endpoints)
 **Owner:** dev' || doc_id || '
 ### `users` (' || (doc_id % 5) || ' endpoints)
 body
-```mermaid
+' || CASE WHEN doc_id % 4 = 3 THEN '```mermaid
+erDiagram
+  nobody ||--o{ ghosts : see
+```
+### Step (`order' || doc_id || '`, `Users`, `id`)
+' ELSE '```mermaid
 erDiagram
   users ||--o{ orders' || doc_id || ' : has
-  ghosts ||--o{ users : see
+  ghosts ||..o{ Users : see
+  users }o--|| nobody
 ```
-```json
+' END || '```json
 {"a": ' || doc_id || '}
 ```
 ' AS text FROM documents""",
-    "usage_v": f"""SELECT conv_id AS run_id, ({_list([m[0] for m in MODELS])})[conv_id % 4 + 1] AS provider, ({_list([m[1] for m in MODELS])})[conv_id % 4 + 1] AS model, n AS input_tokens, n // 3 AS output_tokens, n // 5 AS cache_read_tokens, n // 7 AS cache_write_tokens, turn * 0.5::double AS duration_s, turn % 3 = 0 AS cached, text
+    "usage_v": f"""SELECT conv_id AS run_id, ({_list([m[0] for m in MODELS])})[conv_id % 4 + 1] AS provider, ({_list([m[1] for m in MODELS])})[conv_id % 4 + 1] AS model, n AS input_tokens, n // 3 AS output_tokens, n // 5 AS cache_read_tokens, n // 7 AS cache_write_tokens, turn * 0.5::double AS duration_s, turn % 3 = 0 AS cached, '2024-05-' || (conv_id % 20 + 10) AS day, text
       FROM (SELECT *, (length(text) // 4)::bigint AS n FROM conversations WHERE role = 'assistant')""",
 }
 

@@ -145,12 +145,16 @@ def test_yaml_replies(spark):
 def test_chapter_context_joins_bodies(spark):
     df = spark.createDataFrame([("r", 1, i, f"t{i}", f"body {i}") for i in range(1, 6)], "repo_id string, prompt_id int, card int, title string, body string")
     got = [r["context"] for r in replies.chapter_context(df).orderBy("card").collect()]
-    assert got == ["\n\n---\n\n".join(f"body {j}" for j in range(max(1, i - 3), i)) for i in range(1, 6)]
+    assert got == ["(This is the first chapter.)", *("\n\n---\n\n".join(f"body {j}" for j in range(max(1, i - 3), i)) for i in range(2, 6))]
 
 
 def test_no_python_in_builtin_plans(spark):
     from quarry.plans import registry
 
+    plan = registry.queries()["heatmap_pivots"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("FileScan parquet") <= 5  # each table once or twice, not once a summary
+    plan = registry.queries()["era_for"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     for name in ("heatmap_pivots", "list_files", "pick_graves", "resolve_python", "cost_rollup"):
         plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert name == "resolve_python" or "Python" not in plan
@@ -164,3 +168,152 @@ def test_stream(spark, tmp_path):
     q = stream_dir_activity(stream).writeStream.format("memory").queryName("activity").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(60)
     assert [tuple(r) for r in spark.sql("SELECT dir, n FROM activity").collect()] == [("a/b", 1)]
+
+
+def test_go_mod_comments(spark):
+    text = "module m\nrequire (\n\tgithub.com/a/b v1.0.0 // pinned\n\tgithub.com/c/d v2.0.0 // indirect\n\t// github.com/e/f v3.0.0\n)\nrequire github.com/g/h v4.0.0 // keep\nreplace github.com/a/b => ../b\n"
+    df = spark.createDataFrame([("r", "go.mod", text)], "repo_id string, path string, content string")
+    assert sorted((r["name"], r["version"]) for r in arch.deps_go_mod(df).collect()) == [("github.com/a/b", "v1.0.0"), ("github.com/g/h", "v4.0.0")]
+
+
+def test_dependency_union_has_every_manifest(spark):
+    rows = [("r", "pyproject.toml", '[project]\ndependencies = ["numpy>=1"]\n[project.optional-dependencies]\nx = ["b @ http://x"]\n'), ("r", "requirements.txt", "numpy==2\n"), ("r", "docs/package.json", '{"dependencies": {"c": "1"}}'), ("r", "vendor/package.json", '{"dependencies": {"no": "1"}}')]
+    df = spark.createDataFrame(rows, "repo_id string, path string, content string")
+    got = {r["name"]: r["version"] for r in arch.dependency_union(arch.all_deps(df)).collect()}
+    assert got == {"numpy": "==2", "c": "1"}
+
+
+def test_manifest_problem_kinds(spark):
+    long = '[project]\nname = "' + "x" * 200_001
+    rows = [("r", "a/pyproject.toml", long), ("r", "b/pyproject.toml", "[project"), ("r", "c/pyproject.toml", None), ("r", "go.mod", "module m\n" * 30_000), ("r", "package.json", "{}")]
+    df = spark.createDataFrame(rows, "repo_id string, path string, content string")
+    got = {r["kind"]: tuple(r[c] for c in arch.PROBLEMS) for r in arch.manifest_problems(df).collect()}
+    assert got == {"pyproject": (1, 1, 0, 1), "go_mod": (0, 0, 1, 0), "package": (0, 0, 0, 0)}
+    notes = {r["kind"]: r["note"] for r in arch.manifest_problems(df).collect()}
+    assert notes["go_mod"] == "1 go.mod file was truncated by the read limit; only what fit was parsed" and notes["package"] == ""
+    assert notes["pyproject"].startswith("1 pyproject.toml file was unreadable or refused; 1 pyproject.toml file could not be parsed as TOML; 1 pyproject.toml file was truncated")
+
+
+def test_redaction_by_blocks():
+    keep = ["secrets:\n  db_password:\n    file: ./secrets/db.txt\n", "    image: envoyproxy/envoy:v1.29", "      - '5432:5432'", "    depends_on:", "kind: ConfigMap\ndata:\n  LOG_LEVEL: debug\n"]
+    assert [arch.redact_text(t)[0] for t in keep] == keep
+    assert arch.redact_text("auth:\n  api_token: hunter2\n  host: db.internal\n")[0] == "auth:\n  api_token: [REDACTED]\n  host: db.internal\n"
+    assert arch.redact_text("data:\n  pw: aHVu\nkind: Secret\nmetadata:\n  name: my-app\n---\nkind: ConfigMap\ndata:\n  x: y\n") == ("data:\n  pw: [REDACTED]\nkind: Secret\nmetadata:\n  name: my-app\n---\nkind: ConfigMap\ndata:\n  x: y\n", 1)
+    assert arch.redact_text("env:\n  - name: API_TOKEN\n    value: sk\n  - name: HOST\n    value: db\n")[0].count("[REDACTED]") == 1
+    assert arch.redact_text("private_key: |\n  line one\n  line two\nnext: 1\n") == ("private_key: [REDACTED]\nnext: 1\n", 1)
+    assert arch.redact_text("tokens:\n- abc\n- def\nnext: 1\n") == ("tokens: [REDACTED]\nnext: 1\n", 1)
+    assert arch.redact_text('  - "DB_PASSWORD=hunter2"\n')[0] == '  - "DB_PASSWORD=[REDACTED]"\n'
+    assert arch.redact_text("url: redis://:pw@h/x\n") == ("url: redis://:[REDACTED]@h/x\n", 1)
+
+
+def test_redaction_is_linear_on_a_long_line():
+    import time
+
+    start = time.perf_counter()
+    arch.redact_text("s" * 200_000)
+    assert time.perf_counter() - start < 1.0
+
+
+def test_import_grammar():
+    go = 'package a\nimport (\n\t_ "c/d" // side\n\tx `raw/p`\n\t/* "no" */\n)\nimport "e/f"\nvar s = `\nimport "no/t"\n\t"also/not"\n`\nvar t = []string{\n\t"x/y",\n}\n'
+    assert imports.go_imports(go) == {"c/d", "raw/p", "e/f"}
+    assert imports.python_imports('import a.b, c.d as e, f\nif x: import g\nfrom . import q\nfrom h.i import j as k\ns = "# import z"\n"""\nimport no\n"""\n') == {"a.b", "f", "g", "h.i"}
+    assert imports.js_imports('import a from "x"\nimport type {\n  B,\n} from \'./y\'\nimport("dyn")\nconst s = `\nimport b from "fake"\n`\n// import c from "com"\nimport "side"\nexport { d } from "e"\nrequire("r")\n') == {"x", "./y", "side"}
+
+
+def test_reply_tables_by_rule(spark):
+    known = spark.createDataFrame([("r", n) for n in ("a", "b", "users")], "repo_id string, name string")
+    texts = ["### Step (`a`, `b`, `int`)\n", "```mermaid\nerDiagram\n  b ||..o{ a : x\n  Users }o--|| ghosts : y\n  a ||--o{ b\n```\n### `users`\n  a ||--o{ users : outside\n", "```mermaid\ngraph LR\n  a ||--o{ b : x\n```\n### `B`\n", "none"]
+    df = spark.createDataFrame([("r", i, t) for i, t in enumerate(texts)], "repo_id string, prompt_id int, text string")
+    got = [[r["name"] for r in sorted(schemas.reply_tables(df, known).where(F.col("prompt_id") == i).collect(), key=lambda r: r["pos"])] for i in range(4)]
+    assert got == [["a", "b"], ["b", "a", "Users"], ["B"], []]
+
+
+def test_migrations_tie_goes_to_the_first_directory(spark):
+    paths = [f"{d}/000{i}_x.sql" for d in ("db/migrations", "api/migrations", "db/old/migrate") for i in range(2)] + ["db/migrations/README.md"]
+    df = spark.createDataFrame([("r", p) for p in paths], "repo_id string, path string")
+    assert [(r["dir"], r["n"], r["too_few"]) for r in schemas.find_migrations(df).collect()] == [("api/migrations", 2, True)]
+
+
+def test_largest_prompt_alone_takes_the_most(spark):
+    from quarry.operators import usage
+
+    plan = spark.createDataFrame([("r", 100, 1000, 5000, 2, 2)], "repo_id string, shell_chars int, body_chars long, body_max_chars long, calls_low int, calls_high int")
+    r = usage.estimate_run(plan, usage.price_table(spark), "openai", "gpt-5.6-terra").first()
+    assert (r["input_low"], r["input_high"], r["largest_prompt"], r["over_ceiling"]) == (550, 550, 2040, False)
+    assert usage.estimate_run(plan, usage.price_table(spark), "x", "y").first()["over_ceiling"] is None
+
+
+def test_answered_calls_cost_nothing(spark):
+    from quarry.operators import usage
+
+    calls = spark.createDataFrame([("r", "p", "m", 9, f"q{i}", 10, 5) for i in range(3)], "run_id string, provider string, model string, max_out int, prompt string, input_tokens long, output_tokens long")
+    rows = usage.answered(calls, calls.where("prompt = 'q1'").select(usage.cache_key().alias("key"))).collect()
+    assert sorted((r["cached"], r["input_tokens"], r["output_tokens"]) for r in rows) == [(False, 10, 5), (False, 10, 5), (True, 0, 0)]
+
+
+def test_cells_for_each_dimension(spark):
+    rows = [("r", 1, ["a"], ["a"], ["x.py"], "2024-05", [["1", "2"], ["3", "4"]]), ("r", 2, ["a", "a"], ["b"], ["gone.py"], "May", [["1"]]), ("r", 3, [], [], [], "2024-05", None)]
+    df = spark.createDataFrame(rows, "repo_id string, prompt_id int, names array<string>, chapters array<string>, files array<string>, month string, cells array<array<string>>")
+    files = spark.createDataFrame([("r", "x.py")], "repo_id string, path string")
+    got = sorted((r["prompt_id"], r["rule"]) for r in replies.validate_reply(df, files, 2).collect())
+    assert got == [(2, "bad_month"), (2, "cells"), (2, "names_differ"), (2, "not_unique"), (2, "unknown_file"), (3, "cells"), (3, "empty")]
+
+
+def fair_share_by_turns(rows, budget, sample=18):
+    """The rule, one layer and one file at a time: rows (layer, path, len, blank) in queue order."""
+    from quarry.functions import constants as C
+
+    layers = [x for x in C.BUNDLE_ORDER if any(r[0] == x for r in rows)]
+    total, taken, aside, count = 0, [], {x: [] for x in layers}, dict.fromkeys(layers, 0)
+    cap = lambda x: sample if x in ("handler", "service", "database") else 10**9
+    cost = lambda r: r[2] + len(f"\n===== LAYER {r[0].upper()}: {r[1]} =====\n\n")
+    for k, x in enumerate(layers):
+        allowed, used = (budget - total) // (len(layers) - k), 0
+        for r in (r for r in rows if r[0] == x and not r[3]):
+            if count[x] == cap(x):
+                break
+            if used + cost(r) > allowed:
+                aside[x].append(r)
+            else:
+                used, count[x] = used + cost(r), count[x] + 1
+                taken.append(r[1])
+        total += used
+    while any(aside.values()):
+        for x in layers:
+            if aside[x]:
+                r = aside[x].pop(0)
+                if count[x] < cap(x) and total + cost(r) <= budget:
+                    total, count[x] = total + cost(r), count[x] + 1
+                    taken.append(r[1])
+    return sorted(taken)
+
+
+def test_budgets_by_brute_force(spark):
+    import random
+
+    rng, queue, rows = random.Random(8), [], []
+    for repo in range(12):
+        for layer in ("route", "middleware", "response", "handler", "service", "database"):
+            for i in range(rng.choice([0, 1, 5, 40])):
+                queue.append((f"r{repo}", layer, f"{layer}/{i}", rng.choice([0, 10, 300, 900, 4000]), i, rng.random() < 0.1))
+        rows += [(f"r{repo}", f"p{i}", rng.choice([0, 5, 40, 90, 2000]), i) for i in range(60)]
+    got = budget.budget_fair_share(spark.createDataFrame(queue, "repo_id string, layer string, path string, len long, ord int, blank boolean"), 9000).collect()
+    for repo in {q[0] for q in queue}:
+        assert sorted(r["path"] for r in got if r["repo_id"] == repo) == fair_share_by_turns([(q[1], q[2], q[3], q[5]) for q in queue if q[0] == repo], 9000)
+    got = budget.budget_greedy(spark.createDataFrame(rows, "repo_id string, path string, len long, ord int"), 700).collect()
+    for repo in {r[0] for r in rows}:
+        left, want = 700, []
+        for _, p, n, _ in (r for r in rows if r[0] == repo):
+            if n <= left:
+                left, want = left - n, [*want, p]
+        assert sorted(r["path"] for r in got if r["repo_id"] == repo) == sorted(want)
+
+
+def test_links_of_a_tree(spark, tmp_path):
+    (tmp_path / "r" / "src").mkdir(parents=True)
+    for name in ("a.py", "b.py", "c.py"):
+        (tmp_path / "r" / "src" / name).write_text("x")
+    links = spark.createDataFrame([("r", "src/b.py", "../../etc/passwd"), ("r", "src/c.py", "src/a.py")], "repo_id string, path string, link_target string")
+    got = fs.list_files(readers.read_repo_files(spark, str(tmp_path), links=links)).orderBy("walk_rank").collect()
+    assert [r["path"] for r in got] == ["src/a.py", "src/c.py"]
