@@ -519,3 +519,22 @@ def test_ids_with_several_texts(spark):
     data = [(5, "quite another text " * 9), (5, near), (5, near), (8, " ".join(words)), (5, None), (2, "and one more of its own words")]
     got = sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in neardup.classes(spark.createDataFrame(data, "doc_id long, text string")).collect())
     assert got == [(2, 2, 1), (5, 5, 1), (5, 5, 1), (5, 5, 3), (5, 5, 3), (8, 5, 3)]
+
+
+def test_pipeline_on_odd_rows(spark, odd):
+    """Stages one after the other, and the later ones on rows that the first would reject, by what each must leave."""
+    stages = dict(corpus_pipeline.STAGES)
+    for docs in (odd, odd.limit(0)):
+        work = docs
+        for name, stage in corpus_pipeline.STAGES:
+            work = corpus_pipeline.materialize(stage(spark, work, SF), name)
+            assert name == "byte_bpe" or work.columns == odd.columns, name
+    passed = [r["doc_id"] for r in stages["quality_rules"](spark, odd, SF).collect()]
+    assert sorted(passed) == [4, 5, 6, 13]  # the long text repeats its words, the others are short or repeat
+    masked = stages["secret_scans"](spark, odd, SF).collect()
+    assert len(masked) == len(ODD) and sum("[SECRET]" in (r["text"] or "") for r in masked) == 1
+    single = stages["near_dedup"](spark, odd, SF).collect()
+    mixed = Counter((r["doc_id"], len(r["text"] or "")) for r in stages["source_mix"](spark, odd, SF).collect())
+    assert len(single) == len(ODD) - 4 and not any(n == 0 for _, n in mixed) and max(mixed.values()) <= 6  # the long text stands twice
+    ids = {r["doc_id"]: r["ids"] for r in stages["byte_bpe"](spark, odd, SF).collect()}
+    assert list(ids[1]) == list(ids[2]) == [] and len(ids[7]) > 50_000
