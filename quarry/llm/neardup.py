@@ -456,7 +456,7 @@ def tiled(rest: DataFrame, corpus: Corpus) -> DataFrame:
                     if x == y:
                         continue
                     if held and (key[x] != last).any():
-                        out.append(f(pd.concat(held, ignore_index=True)))
+                        out.append(f(held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)))
                         held = []
                     held.append(batch.iloc[x:y])
                     last = key[x]
