@@ -261,7 +261,8 @@ def sdk_imports(files: DataFrame, cap: int = 400) -> DataFrame:
     go = go.select("repo_id", "path", (F.col("pos") + 1).alias("line"), go_sdk_name(F.col("module")).alias("sdk"), F.lit(1).alias("part"))
     rows = js.unionByName(go).dropDuplicates(["repo_id", "path", "line", "sdk"])
     w = Window.partitionBy("repo_id")
-    rows = rows.withColumn("r", F.row_number().over(w.orderBy("part", "path", "line", "sdk"))).withColumn("capped", F.count("*").over(w) > cap)
+    # one more than the cap tells that there are more, and keeps a repository's window small
+    rows = rows.withColumn("r", F.row_number().over(w.orderBy("part", "path", "line", "sdk"))).where(F.col("r") <= cap + 1).withColumn("capped", F.max("r").over(w) > cap)
     return rows.where(F.col("r") <= cap).select("repo_id", "path", "line", "sdk", "capped")
 
 

@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import constants as C
+from quarry.functions.running import numbered, running
+from quarry.functions.shared import materialize
 from quarry.operators.classify import backend_layer
 from quarry.operators.files import basename, is_credential_named, walk_key
 
 
 def walked(files: DataFrame) -> DataFrame:
     """(repo_id, path, len, ord) in walk order; unreadable files have a null length."""
-    return files.select("repo_id", "path", F.length("content").cast("long").alias("len"), F.row_number().over(Window.partitionBy("repo_id").orderBy(walk_key("path"))).alias("ord"))
+    return numbered(files.select("repo_id", "path", F.length("content").cast("long").alias("len")), ["repo_id"], [walk_key("path")], "ord")
 
 
 def preview_manifest(files: DataFrame, budget: int = 1_000_000, head: int = 800) -> DataFrame:
@@ -31,21 +33,16 @@ def preview_manifest(files: DataFrame, budget: int = 1_000_000, head: int = 800)
     return total.join(text, "repo_id").select("repo_id", "previewed", (F.col("n") - F.col("previewed")).alias("dropped"), target.alias("target"), F.length("text").alias("text_chars"), F.md5("text").alias("text_md5"))
 
 
-def _before() -> Window:
-    return Window.partitionBy("repo_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-
-
 def budget_prefix(rows: DataFrame, budget: int) -> DataFrame:
     """Rows while the total before them is under the budget, so the last may overrun; unreadable ones don't count."""
-    rows = rows.where("len is not null").withColumn("before", F.coalesce(F.sum("len").over(_before()), F.lit(0)))
+    rows = running(rows.where("len is not null"), ["repo_id"], ["ord"], before=F.col("len")).drop("before_all")
     return rows.where(F.col("before") < budget)
 
 
 def budget_prefix_min1(rows: DataFrame, budget: int, max_files: int = 40) -> DataFrame:
     """Rows while the total with them is within the budget, the first one always, at most ``max_files``."""
-    w = Window.partitionBy("repo_id").orderBy("ord")
-    rows = rows.where("len is not null").withColumn("r", F.row_number().over(w)).withColumn("upto", F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.where(((F.col("upto") <= budget) | (F.col("r") == 1)) & (F.col("r") <= max_files))
+    rows = running(rows.where("len is not null"), ["repo_id"], ["ord"], r=F.lit(1), before=F.col("len"))
+    return rows.where(((F.col("before") + F.col("len") <= budget) | (F.col("r") == 0)) & (F.col("r") < max_files)).drop("r", "r_all", "before", "before_all")
 
 
 def budget_greedy(rows: DataFrame, budget: int) -> DataFrame:
@@ -76,61 +73,77 @@ def layer_queue(files: DataFrame) -> DataFrame:
     sampled = F.col("layer").isin(*C.SAMPLED_LAYERS)
     hint = base.rlike("|".join(C.CORE_HINTS))
     first = F.when(sampled, F.when(hint, 0).otherwise(1)).otherwise(F.when(F.col("path").endswith("main.go"), 1).otherwise(0))
-    rows = files.select("repo_id", "path", backend_layer("path").alias("layer"), F.length("content").cast("long").alias("len"), (F.trim(F.coalesce("content", F.lit(""))) == "").alias("blank")).where("layer is not null")
-    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("repo_id", "layer").orderBy(first, "path")))
+    rows = files.select("repo_id", "path", backend_layer("path").alias("layer"), F.length("content").cast("long").alias("len"), (~F.coalesce("content", F.lit("")).rlike(r"\S")).alias("blank")).where("layer is not null")
+    return numbered(rows, ["repo_id", "layer"], [first, "path"], "ord")
+
+
+def _even_share(budget: int, sample: int):
+    """Marks the rows that fit their layer's even share of what is left; rows come by repository, layer and place."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        repo, turn, left, own, room = object(), None, 0, 0, 0
+        for batch in batches:
+            keep, taken = [], []
+            for r, t, turns, cost, sampled in zip(batch["repo_id"], batch["turn"], batch["turns"], batch["cost"], batch["sampled"]):
+                if r != repo:
+                    repo, turn, left = r, None, budget
+                if t != turn:
+                    turn, own, room = t, left // (len(turns) - list(turns).index(t)), sample if sampled else -1
+                keep.append(room != 0)  # a layer whose sample is full takes no more, now or later
+                taken.append(room != 0 and cost <= own)
+                if taken[-1]:
+                    own, left, room = own - cost, left - cost, room - 1
+            batch["taken"] = taken
+            yield batch.loc[np.array(keep, bool), ["repo_id", "layer", "path", "len", "ord", "turn", "cost", "sampled", "taken"]]
+
+    return run
+
+
+def _in_turns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the rows set aside, those that what is left and their layer's sample still hold; rows come by repository and round."""
+    repo, left, used = object(), 0, {}
+    for batch in batches:
+        keep = []
+        for r, t, cost, rest, room in zip(batch["repo_id"], batch["turn"], batch["cost"], batch["rest"], batch["room"]):
+            if r != repo:
+                repo, left, used = r, rest, {}
+            keep.append(cost <= left and used.get(t, 0) < room)
+            if keep[-1]:
+                left, used[t] = left - cost, used.get(t, 0) + 1
+        yield batch.loc[np.array(keep, bool), ["repo_id", "layer", "path", "len", "ord"]]
 
 
 def budget_fair_share(queue: DataFrame, budget: int = 650_000, sample: int = 18, header: int = 0) -> DataFrame:
     """Each layer gets an even share of what is left; then the set-aside files take turns.
 
-    A queue row costs its length and its heading. Blank rows cost nothing and are
-    not taken; rows that no budget can hold are left out first.
+    A queue row costs its length and its heading. Blank and unreadable rows cost
+    nothing and are not taken, but their layer counts in the sharing; a row that
+    no budget can hold still uses up its turn. The rows of a repository stream by
+    twice, and only what is left of its budget is held.
     """
     heading = F.length(F.concat(F.lit("\n===== LAYER "), F.upper("layer"), F.lit(": "), "path", F.lit(" =====\n\n")))
-    order = {x: k for k, x in enumerate(C.BUNDLE_ORDER)}
-
-    def share(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(turn=part["layer"].map(order)).sort_values(["turn", "ord"], ignore_index=True)
-        cost, turns = part["cost"].to_numpy(), part["turn"].to_numpy()
-        room = {t: sample if C.BUNDLE_ORDER[t] in C.SAMPLED_LAYERS else len(part) for t in np.unique(turns)}
-        left, taken, aside = budget - header, [], []
-        for k, t in enumerate(room):
-            own = left // (len(room) - k)
-            left -= own
-            for i in np.flatnonzero(turns == t):
-                if not room[t]:
-                    break
-                if cost[i] <= own:
-                    own, room[t] = own - cost[i], room[t] - 1
-                    taken.append(i)
-                else:
-                    aside.append(i)
-            left += own  # what the layer leaves is for the next ones
-        # one of each layer's set-aside rows a round: the k-th of all layers come before the k+1-th of any
-        rest = pd.DataFrame({"i": aside, "turn": turns[aside]}) if aside else pd.DataFrame({"i": [], "turn": []}, dtype=int)
-        for i, t in rest.assign(round=rest.groupby("turn").cumcount()).sort_values(["round", "turn"])[["i", "turn"]].to_numpy():
-            if room[t] and cost[i] <= left:
-                left, room[t] = left - cost[i], room[t] - 1
-                taken.append(i)
-        return part.loc[taken, ["repo_id", "layer", "path", "len", "ord"]]
-
-    rows = queue.where("len is not null and not blank").withColumn("cost", F.col("len") + heading).drop("blank")
-    every = queue.where("len is not null").select("repo_id", "layer").distinct().groupBy("repo_id").agg(F.collect_set("layer").alias("layers"))
-    # layers of blank files alone take part in the sharing: each repository has at most six
-    empty = every.join(rows.groupBy("repo_id").agg(F.collect_set("layer").alias("filled")), "repo_id", "left").select("repo_id", F.explode(F.array_except("layers", F.coalesce("filled", F.array().cast("array<string>")))).alias("layer"))
-    marks = empty.select("repo_id", "layer", F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("len"), F.lit(0).alias("ord"), F.lit(budget + 1).cast("long").alias("cost"))
-    fits = rows.where(F.col("cost") <= budget).unionByName(rows.where(F.col("cost") > budget).select("repo_id", "layer").distinct().select(
-        "repo_id", "layer", F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("len"), F.lit(0).alias("ord"), F.lit(budget + 1).cast("long").alias("cost")))
+    turn = (F.array_position(F.array(*map(F.lit, C.BUNDLE_ORDER)), F.col("layer")) - 1).cast("int")
+    turns = queue.groupBy("repo_id").agg(F.sort_array(F.collect_set(turn)).alias("turns"))  # six layers at most
+    rows = queue.where("len is not null and not blank").select("repo_id", "layer", "path", "len", "ord", turn.alias("turn"), (F.col("len") + heading).alias("cost"), F.col("layer").isin(*C.SAMPLED_LAYERS).alias("sampled"))
+    rows = rows.join(turns, "repo_id").repartition("repo_id").sortWithinPartitions("repo_id", "turn", "ord")
+    first = "repo_id string, layer string, path string, len long, ord int, turn int, cost long, sampled boolean, taken boolean"
+    shared = materialize(rows.mapInPandas(_even_share(budget - header, sample), first), "shared")
+    taken = shared.where("taken")
+    rest = shared.groupBy("repo_id").agg((F.lit(budget - header) - F.sum(F.when(F.col("taken"), F.col("cost")).otherwise(0))).alias("rest"))
+    count = taken.groupBy("repo_id", "turn").agg(F.count("*").alias("had"))
+    room = F.when(F.col("sampled"), sample - F.coalesce("had", F.lit(0))).otherwise(F.lit(1 << 62)).cast("long")
+    # the k-th row that any layer has set aside comes before the k+1-th of all
+    aside = numbered(shared.where("not taken").select("repo_id", "layer", "path", "len", "ord", "turn", "cost", "sampled"), ["repo_id", "turn"], ["ord"], "round")
+    aside = aside.join(rest, "repo_id").where("cost <= rest").join(count, ["repo_id", "turn"], "left").withColumn("room", room).where("room > 0")
+    later = aside.select("repo_id", "layer", "path", "len", "ord", "turn", "round", "cost", "rest", "room").repartition("repo_id").sortWithinPartitions("repo_id", "round", "turn")
     kinds = "repo_id string, layer string, path string, len long, ord int"
-    return fits.select(*marks.columns).unionByName(marks).groupBy("repo_id").applyInPandas(share, kinds)
+    return taken.select("repo_id", "layer", "path", "len", "ord").unionByName(later.mapInPandas(_in_turns, kinds))
 
 
 def budget_slice(sections: DataFrame, max_chars: int) -> DataFrame:
     """Sections that start before the cut of their concatenation, and whether the cut truncates."""
-    w = Window.partitionBy("repo_id").orderBy("ord")
-    rows = sections.withColumn("start", F.coalesce(F.sum(F.col("len") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    whole = F.sum(F.col("len") + 1).over(Window.partitionBy("repo_id")) - 1
-    rows = rows.withColumn("truncated", whole > max_chars)
+    rows = running(sections, ["repo_id"], ["ord"], start=F.col("len") + 1)
+    rows = rows.withColumn("truncated", F.col("start_all") - 1 > max_chars)
     return rows.where(F.col("start") < max_chars).select("repo_id", "path", "start", F.least("len", max_chars - F.col("start")).alias("kept_chars"), "truncated")
 
 

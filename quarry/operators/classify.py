@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from quarry.functions import constants as C
+from quarry.functions.running import numbered
 from quarry.operators.files import _col, any_of, basename, ends_any, is_test_file, under_skip_dir
 
 
@@ -113,8 +114,7 @@ def surface_files(files: DataFrame) -> DataFrame:
     go = go.where("g.n > 0").select("repo_id", "path", F.when((F.col("g.n") >= 5) & F.col("g.builds"), 1).otherwise(2).alias("tier"), F.col("g.n").alias("weight"))
     mains = seen.where(F.col("path").rlike(r"(^|/)cmd/(.*/)?main\.go$") & F.col("content").rlike(C.GO_SERVES)).select("repo_id", "path", F.lit(2).alias("tier"), F.lit(0).alias("weight"))
     out = named.unionByName(go).unionByName(mains.join(go.select("repo_id").distinct(), "repo_id", "left_anti"))
-    rank = F.row_number().over(Window.partitionBy("repo_id").orderBy("tier", F.when(F.col("tier") == 1, -F.col("weight")).otherwise(0), "path"))
-    return out.withColumn("surface_rank", rank)
+    return numbered(out, ["repo_id"], ["tier", F.when(F.col("tier") == 1, -F.col("weight")).otherwise(0), "path"], "surface_rank")
 
 
 def integration_dirs(files: DataFrame, candidates=("integrations", "src/integrations", "app/integrations", "packages/integrations")) -> DataFrame:

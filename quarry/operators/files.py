@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import constants as C
+from quarry.functions.running import numbered
 
 
 def _col(c) -> Column:
@@ -100,7 +101,7 @@ def kept(files: DataFrame, include=(), exclude=(), cap: int = C.MAX_FILE_BYTES)
 def list_files(files: DataFrame, include=(), exclude=(), cap: int = C.MAX_FILE_BYTES) -> DataFrame:
     """Kept files with their place in the walk, on the narrow columns only."""
     rows = files.where(kept(files, include, exclude, cap)).select("repo_id", "path", "size")
-    return rows.withColumn("walk_rank", F.row_number().over(Window.partitionBy("repo_id").orderBy(walk_key("path"))))
+    return numbered(rows, ["repo_id"], [walk_key("path")], "walk_rank")
 
 
 def count_files(files: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import constants as C
+from quarry.functions.running import running
 from quarry.operators.files import is_credential_named
 
 FOREVER = "9999-99"
@@ -137,8 +138,7 @@ def era_for(commits: DataFrame, eras: DataFrame) -> DataFrame:
 
 def sample_commits(commits: DataFrame, max_n: int = 400, key: tuple[str, ...] = ("repo_id",)) -> DataFrame:
     """An even stride of the commits of a repository (or another key), oldest first, that keeps the first and the last."""
-    w = Window.partitionBy(*key)
-    rows = commits.select(*key, "hash", "ts").withColumn("i", F.row_number().over(w.orderBy("ts", "hash")) - 1).withColumn("n", F.count("*").over(w))
+    rows = running(commits.select(*key, "hash", "ts"), [*key], ["ts", "hash"], i=F.lit(1)).withColumnRenamed("i_all", "n")
     step = F.col("n") / F.lit(float(max_n))
     k = F.ceil(F.col("i") / step)
     hit = (F.floor(k * step) == F.col("i")) | (F.floor((k - 1) * step) == F.col("i")) | (F.floor((k + 1) * step) == F.col("i"))
@@ -149,9 +149,8 @@ def sample_commits(commits: DataFrame, max_n: int = 400, key: tuple[str, ...] =
 def landmarks(era_rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Five commits of each era: opening, closing, and of each third the biggest of its busiest month; ties go to the earliest."""
     key = ["repo_id", "era_index"]
-    w = Window.partitionBy(*key)
     rows = era_rows.join(sizes, ["repo_id", "hash"], "left").select(*key, "hash", "ts", "month", F.coalesce("n_files", F.lit(0)).alias("n_files"))
-    rows = rows.withColumn("r", F.row_number().over(w.orderBy("ts", "hash")) - 1).withColumn("n", F.count("*").over(w))
+    rows = running(rows, key, ["ts", "hash"], r=F.lit(1)).withColumnRenamed("r_all", "n")
     t, t2 = F.floor(F.col("n") / 3), F.floor(2 * F.col("n") / 3)
     ends = rows.groupBy(*key).agg(F.min_by("hash", "r").alias("opening"), F.max_by("hash", "r").alias("closing")).select(*key, F.inline(F.array(
         F.struct(F.lit("opening").alias("slot"), F.col("opening").alias("hash")), F.struct(F.lit("closing").alias("slot"), F.col("closing").alias("hash")))))

@@ -296,11 +296,11 @@ def test_budgets_by_brute_force(spark):
     for repo in range(12):
         for layer in ("route", "middleware", "response", "handler", "service", "database"):
             for i in range(rng.choice([0, 1, 5, 40])):
-                queue.append((f"r{repo}", layer, f"{layer}/{i}", rng.choice([0, 10, 300, 900, 4000]), i, rng.random() < 0.1))
+                queue.append((f"r{repo}", layer, f"{layer}/{i}", rng.choice([None] * (repo % 4 == 3 and layer == "response") or [0, 10, 300, 900, 4000, 20000]), i, rng.random() < 0.1))
         rows += [(f"r{repo}", f"p{i}", rng.choice([0, 5, 40, 90, 2000]), i) for i in range(60)]
     got = budget.budget_fair_share(spark.createDataFrame(queue, "repo_id string, layer string, path string, len long, ord int, blank boolean"), 9000).collect()
     for repo in {q[0] for q in queue}:
-        assert sorted(r["path"] for r in got if r["repo_id"] == repo) == fair_share_by_turns([(q[1], q[2], q[3], q[5]) for q in queue if q[0] == repo], 9000)
+        assert sorted(r["path"] for r in got if r["repo_id"] == repo) == fair_share_by_turns([(q[1], q[2], q[3], q[5] or q[3] is None) for q in queue if q[0] == repo], 9000)
     got = budget.budget_greedy(spark.createDataFrame(rows, "repo_id string, path string, len long, ord int"), 700).collect()
     for repo in {r[0] for r in rows}:
         left, want = 700, []
@@ -310,6 +310,42 @@ def test_budgets_by_brute_force(spark):
         assert sorted(r["path"] for r in got if r["repo_id"] == repo) == sorted(want)
 
 
+def test_running_totals_of_a_hot_key(spark):
+    import random
+
+    from quarry.functions.running import numbered, running
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", "c", None]), i, rng.choice([None, 0, 1, 7])) for i in range(4000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, at int, n int").repartition(5)
+    want = {}
+    for k in ("hot", "b", "c", None):
+        total, own = 0, sorted(r for r in rows if r[0] == k)
+        for place, (_, at, n) in enumerate(own, 1):
+            want[k, at] = place, total, sum(r[2] or 0 for r in own)
+            total += n or 0
+    for few in (0, None):
+        got = running(df, ["k"], ["at"], few, sum=F.col("n"))
+        places = {(r["k"], r["at"]): r["place"] for r in numbered(df, ["k"], [F.desc("at")], "place", few).collect()}
+        size = {k: sum(1 for r in rows if r[0] == k) for k in ("hot", "b", "c", None)}
+        assert {(r["k"], r["at"]): (size[r["k"]] + 1 - places[r["k"], r["at"]], r["sum"], r["sum_all"]) for r in got.collect()} == want
+        assert got.columns == ["k", "at", "n", "sum", "sum_all"]
+    assert running(df.limit(0), ["k"], ["at"], 0, sum=F.col("n")).count() == 0
+
+
+def test_walks_and_budgets_in_ranges(spark, monkeypatch):
+    from quarry.functions import running as r
+    from quarry.plans import registry
+
+    for name in ("list_files", "budget_prefix", "budget_slice", "sample_commits", "landmarks", "read_commit_log", "surface_files", "budget_fair_share"):
+        ask = lambda: sorted(map(str, registry.queries()[name](spark, "/root/testdata/sf0.001").collect()))  # noqa: B023, E731
+        whole = ask()
+        with monkeypatch.context() as m:
+            m.setattr(r, "FEW", 0)
+            assert ask() == whole, name
+
+
 def test_links_of_a_tree(spark, tmp_path):
     (tmp_path / "r" / "src").mkdir(parents=True)
     for name in ("a.py", "b.py", "c.py"):
