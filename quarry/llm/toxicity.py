@@ -58,16 +58,19 @@ def together(rows: list[np.ndarray], y: np.ndarray, counts: np.ndarray, toxic: n
         marks[r] += mark
     able = np.flatnonzero((counts >= 2 * cell) & (counts <= n - 2 * cell))
     asked, first = able[(of_mark := np.unique(marks[able], return_index=True, return_inverse=True))[1]], of_mark[2]
-    place = np.full(len(counts), -1, np.int64)
+    place = np.full(len(counts), -1, np.int32)
     place[asked] = np.arange(len(asked))
     order = np.argsort(-y, kind="stable")  # toxic rows first: their part of a product is its head
     at = [p[p >= 0] for p in (place[rows[i]] for i in order)]
-    row, col = np.repeat(np.arange(n), [len(p) for p in at]), np.concatenate(at) if n else np.zeros(0, np.int64)
-    by = np.argsort(col // tile, kind="stable")
-    ends = np.searchsorted(col[by] // tile, np.arange(-(-len(asked) // tile) + 1))
+    row, col = np.repeat(np.arange(n, dtype=np.int32), [len(p) for p in at]), np.concatenate(at) if n else np.zeros(0, np.int32)
+    del at
+    by = np.argsort((col // tile).astype(np.int16), kind="stable")  # BUCKETS / tile numbers at most
+    row, col = row[by], col[by]
+    del by
+    ends = np.searchsorted(col // tile, np.arange(-(-len(asked) // tile) + 1))
 
     def matrix(k):
-        part = by[ends[k] : ends[k + 1]]
+        part = slice(ends[k], ends[k + 1])
         out = np.zeros((n, min(tile, len(asked) - k * tile)), np.float32)
         out[row[part], col[part] - k * tile] = 1
         return out
@@ -172,7 +175,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     if not len(got):
         return None
     n, pos = sum(counts.values()), counts.get(1, 0)
-    return Machine(got.t.to_list(), got.y.to_numpy(dtype=float), pos / n)
+    sampled, y = got.t.to_list(), got.y.to_numpy(dtype=float)
+    del got
+    return Machine(sampled, y, pos / n)
 
 
 def score(docs: DataFrame, machine: Machine | None, text: str = "text", doc_id: str = "doc_id", limit: float = 0.3) -> DataFrame:
