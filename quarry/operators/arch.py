@@ -27,46 +27,59 @@ def env_names(files: DataFrame) -> DataFrame:
     return of_kind(files, "env").select("repo_id", F.explode(F.regexp_extract_all(text, F.lit(r"(?m)^[ \t]*(?:export[ \t]+)?([A-Z][A-Z0-9_]+)[ \t]*="), F.lit(1))).alias("name")).distinct()
 
 
+def _strip(text: str | Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def pep508(spec: Column) -> tuple[Column, Column]:
     """(name, constraint) of a requirement; null for URLs, paths and direct references."""
-    spec = F.trim(spec)
+    spec = _strip(spec)
     name = F.regexp_extract(spec, r"^[A-Za-z0-9][A-Za-z0-9._-]*", 0)
     rest = F.substr(spec, F.length(name) + 1)
     ok = (name != "") & rest.rlike(r"^($|[ \t\[<>=!~;])") & ~rest.rlike(r"^\s*@") & ~rest.rlike(r"^\[[^\]]*$")
-    constraint = F.trim(F.regexp_extract(F.regexp_replace(rest, r"^\[[^\]]*\]", ""), r"^[^;]*", 0))
+    constraint = _strip(F.regexp_extract(F.regexp_replace(rest, r"^\[[^\]]*\]", ""), r"^[^;]*", 0))
     return F.when(ok, name), F.when(ok, constraint)
 
 
+def _last_of_name(rows: DataFrame, kind: str) -> DataFrame:
+    """One version of each name of a manifest, from (repo_id, path, at, name, version): the last in the text wins."""
+    per = rows.where("name is not null").groupBy("repo_id", "path", "name").agg(F.max_by("version", "at").alias("version"))
+    return per.select("repo_id", F.col("path").alias("manifest_path"), F.lit(kind).alias("kind"), "name", "version")
+
+
 def deps_package_json(files: DataFrame) -> DataFrame:
-    """Runtime, then development dependencies of package.json; the later of one name wins."""
+    """Runtime, then development dependencies of package.json; the last of one name wins, also where a key is repeated."""
     parsed = F.from_json(F.substring("content", 1, READ_LIMIT), "dependencies map<string,string>, devDependencies map<string,string>")
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    run, dev = F.coalesce("p.dependencies", empty), F.coalesce("p.devDependencies", empty)
-    both = F.map_concat(F.map_filter(run, lambda k, v: ~F.map_contains_key(dev, k)), dev)
-    return of_kind(files, "package").select("repo_id", "path", parsed.alias("p")).select("repo_id", F.col("path").alias("manifest_path"), F.lit("package").alias("kind"), F.explode(both).alias("name", "version"))
+    empty = F.array().cast("array<struct<key:string,value:string>>")
+    # entries, not maps: a map of repeated keys is an error
+    both = F.concat(F.coalesce(F.map_entries("p.dependencies"), empty), F.coalesce(F.map_entries("p.devDependencies"), empty))
+    rows = of_kind(files, "package").select("repo_id", "path", parsed.alias("p")).select("repo_id", "path", F.posexplode(both).alias("at", "e"))
+    return _last_of_name(rows.select("repo_id", "path", "at", F.col("e.key").alias("name"), F.col("e.value").alias("version")), "package")
 
 
 def deps_go_mod(files: DataFrame) -> DataFrame:
-    """Direct requirements of go.mod, in blocks and alone; those whose comment is exactly ``indirect`` are left out."""
-    lines = of_kind(files, "go_mod").select("repo_id", "path", F.posexplode(F.split(F.substring("content", 1, READ_LIMIT), "\n")).alias("pos", "raw"))
-    lines = lines.select("repo_id", "path", "pos", F.regexp_replace("raw", r"//.*$", "").alias("line"), F.trim(F.regexp_extract("raw", r"//(.*)$", 1)).alias("note"))
-    opened = F.col("line").rlike(r"^\s*require\s*\(").cast("int")
-    closed = F.col("line").rlike(r"^\s*\)").cast("int")
-    w = Window.partitionBy("repo_id", "path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("inside", F.sum(opened).over(w) - F.sum(closed).over(w))
-    one, block = r"^\s*require\s+([^\s(]+)\s+(v\S+)\s*$", r"^\s*([^\s(]+)\s+(v\S+)\s*$"
-    pick = lambda k: F.when(F.col("inside") > 0, F.regexp_extract("line", block, k)).otherwise(F.regexp_extract("line", one, k))
-    return lines.where((opened == 0) & (F.col("note") != "indirect")).select("repo_id", F.col("path").alias("manifest_path"), F.lit("go_mod").alias("kind"), pick(1).alias("name"), pick(2).alias("version")).where("name <> '' and name <> 'require'")
+    """Direct requirements of go.mod, in blocks and alone; those whose comment is exactly ``indirect`` are left out.
+
+    Only a require block opens; what closes blocks of other kinds changes nothing.
+    """
+    lines = of_kind(files, "go_mod").select("repo_id", "path", F.posexplode(F.split(F.substring("content", 1, READ_LIMIT), "\n")).alias("at", "raw"))
+    lines = lines.select("repo_id", "path", "at", _strip(F.regexp_replace("raw", r"//.*$", "")).alias("line"), _strip(F.regexp_extract("raw", r"//(.*)$", 1)).alias("note"))
+    opened, closed = F.col("line").rlike(r"^require\s*\($"), F.col("line") == ")"
+    w = Window.partitionBy("repo_id", "path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("inside", F.coalesce(F.last(F.when(opened, True).when(closed, False), ignorenulls=True).over(w), F.lit(False)))
+    one, block = r"^require\s+(?!\()(\S+)\s+(\S+)$", r"^(\S+)\s+(\S+)$"
+    pick = lambda k: F.when(F.col("inside"), F.regexp_extract("line", block, k)).otherwise(F.regexp_extract("line", one, k))
+    rows = lines.where(~opened & (F.col("note") != "indirect")).select("repo_id", "path", "at", pick(1).alias("name"), pick(2).alias("version"))
+    return _last_of_name(rows.where("name <> ''"), "go_mod")
 
 
 def deps_requirements(files: DataFrame) -> DataFrame:
     """Requirements with comments stripped, continued lines joined, options and references left out."""
-    text = F.regexp_replace(F.regexp_replace("content", r"(?m)(^|[ \t])#[^\n]*", "$1"), r"\\[ \t]*\n", " ")
-    lines = of_kind(files, "requirements").select("repo_id", "path", F.explode(F.split(text, "\n")).alias("line"))
-    spec = F.trim(F.regexp_replace("line", r"\s--.*$", ""))
-    name, version = pep508(F.col("spec"))
-    rows = lines.select("repo_id", "path", spec.alias("spec")).where(~F.col("spec").rlike(r"^(-r|-e|-c|--|\.|/)") & (F.col("spec") != ""))
-    return rows.select("repo_id", F.col("path").alias("manifest_path"), F.lit("requirements").alias("kind"), name.alias("name"), version.alias("version")).where("name is not null")
+    text = F.regexp_replace(F.regexp_replace(F.substring("content", 1, READ_LIMIT), r"#[^\r\n]*", ""), r"\\[ \t]*\r?\n", "")
+    lines = of_kind(files, "requirements").select("repo_id", "path", F.posexplode(F.split(text, r"\r?\n|\r")).alias("at", "line"))
+    lines = lines.withColumn("line", _strip("line")).where("line <> ''").where(~F.col("line").rlike(r"^(-r|-e|-c|--|\.|/)"))
+    name, version = pep508(F.regexp_replace("line", r"\s+-.*$", ""))
+    return _last_of_name(lines.select("repo_id", "path", "at", name.alias("name"), version.alias("version")), "requirements")
 
 
 def _toml_specs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -86,10 +99,10 @@ def _toml_specs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def deps_pyproject(files: DataFrame) -> DataFrame:
     """Requirements of [project] and its optional groups; unparsable files give none."""
-    specs = pandas_udf(_toml_specs, "array<string>")("content")
+    specs = pandas_udf(_toml_specs, "array<string>")(F.substring("content", 1, READ_LIMIT))
     name, version = pep508(F.col("spec"))
-    rows = of_kind(files, "pyproject").select("repo_id", "path", F.explode(specs).alias("spec"))
-    return rows.select("repo_id", F.col("path").alias("manifest_path"), F.lit("pyproject").alias("kind"), name.alias("name"), version.alias("version")).where("name is not null")
+    rows = of_kind(files, "pyproject").select("repo_id", "path", F.posexplode(specs).alias("at", "spec"))
+    return _last_of_name(rows.select("repo_id", "path", "at", name.alias("name"), version.alias("version")), "pyproject")
 
 
 def all_deps(files: DataFrame) -> DataFrame:
@@ -134,7 +147,7 @@ def manifest_problems(files: DataFrame) -> DataFrame:
     rows = files.where(~under_skip_dir("path", C.ARCH_SKIP_DIRS)).select("repo_id", arch_source_kind("path").alias("kind"), "content").where("kind in ('package', 'go_mod', 'pyproject', 'requirements')")
     rows = rows.select("repo_id", "kind", F.col("content").isNull().alias("unreadable"), F.coalesce(F.length("content") > READ_LIMIT, F.lit(False)).alias("long"), F.coalesce(F.substring("content", 1, READ_LIMIT), F.lit("")).alias("cut"))
     toml = rows.where("kind = 'pyproject'").withColumn("bad", pandas_udf(_bad_toml, "boolean")("cut"))
-    rest = rows.where("kind <> 'pyproject'").withColumn("bad", (F.col("kind") == "package") & F.try_parse_json(F.col("cut")).isNull())
+    rest = rows.where("kind <> 'pyproject'").withColumn("bad", (F.col("kind") == "package") & F.get_json_object("cut", "$").isNull())
     rows = rest.unionByName(toml).withColumn("bad", F.col("bad") & ~F.col("unreadable"))
     per = rows.groupBy("repo_id", "kind").agg(
         F.count("*").alias("manifests"), F.count_if("unreadable").alias("unreadable"), F.count_if(F.col("bad") & ~F.col("long")).alias("malformed"),

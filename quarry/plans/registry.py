@@ -460,14 +460,25 @@ def env_names(spark, d):
     return arch.env_names(v.files(spark, d))
 
 
-_PKG = "SELECT repo_id, path AS manifest_path, 'package' AS kind, u.name, u.version FROM (SELECT repo_id, path, doc_id FROM files_v WHERE path LIKE 'm%/package.json'), LATERAL (SELECT unnest(['react', 'lib' || doc_id, 'jest']) AS name, unnest(['^19.0', '1.0', '29']) AS version) u"
-_GOM = r"""SELECT repo_id, manifest_path, 'go_mod' AS kind, CASE WHEN inside > 0 THEN regexp_extract(line, '^\s*([^\s(]+)\s+(v\S+)\s*$', 1) ELSE regexp_extract(line, '^\s*require\s+([^\s(]+)\s+(v\S+)\s*$', 1) END AS name,
-  CASE WHEN inside > 0 THEN regexp_extract(line, '^\s*([^\s(]+)\s+(v\S+)\s*$', 2) ELSE regexp_extract(line, '^\s*require\s+([^\s(]+)\s+(v\S+)\s*$', 2) END AS version
-  FROM (SELECT *, sum(regexp_matches(line, '^\s*require\s*\(')::int - regexp_matches(line, '^\s*\)')::int) OVER (PARTITION BY repo_id, manifest_path ORDER BY pos) AS inside
-    FROM (SELECT *, regexp_replace(raw, '//.*$', '') AS line, trim(regexp_extract(raw, '//(.*)$', 1)) AS note FROM (SELECT repo_id, path AS manifest_path, unnest(string_split(content, chr(10))) AS raw, generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM files_v WHERE path LIKE '%/go.mod')))
-  WHERE note <> 'indirect' AND NOT regexp_matches(line, '^\s*require\s*\(') AND name NOT IN ('', 'require')"""
-_PYP = "SELECT repo_id, path AS manifest_path, 'pyproject' AS kind, u.name, u.version FROM (SELECT repo_id, path, doc_id FROM files_v WHERE path LIKE 'p%/pyproject.toml'), LATERAL (SELECT unnest(['numpy', 'lib' || doc_id, 'pytest']) AS name, unnest(['>=2', '==2', '']) AS version) u"
-_REQ = "SELECT repo_id, path AS manifest_path, 'requirements' AS kind, u.name, u.version FROM (SELECT repo_id, path, doc_id FROM files_v WHERE path LIKE 'r%/requirements.txt'), LATERAL (SELECT unnest(['requests', 'numpy', 'lib' || doc_id]) AS name, unnest(['>=2.0', '==1.26', '~=1.0']) AS version) u"
+_PKG = """SELECT repo_id, path AS manifest_path, 'package' AS kind, name, arg_max(json_extract_string(j, '$.' || g || '."' || name || '"'), g) AS version FROM (SELECT repo_id, path, j, g, unnest(json_keys(j, '$.' || g)) AS name
+  FROM (SELECT repo_id, path, CASE WHEN json_valid(content) THEN content::json END AS j, unnest(['dependencies', 'devDependencies']) AS g FROM files_v WHERE path LIKE '%/package.json')) GROUP BY repo_id, path, name"""
+_GOM = r"""SELECT repo_id, path AS manifest_path, 'go_mod' AS kind, name, arg_max(version, pos) AS version FROM (SELECT repo_id, path, pos, regexp_extract(line, CASE WHEN inside THEN '^(\S+)\s+(\S+)$' ELSE '^require\s+([^\s(]\S*)\s+(\S+)$' END, 1) AS name, regexp_extract(line, CASE WHEN inside THEN '^(\S+)\s+(\S+)$' ELSE '^require\s+([^\s(]\S*)\s+(\S+)$' END, 2) AS version
+  FROM (SELECT *, coalesce(last_value(CASE WHEN regexp_matches(line, '^require\s*\($') THEN true WHEN line = ')' THEN false END IGNORE NULLS) OVER (PARTITION BY repo_id, path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS inside
+    FROM (SELECT *, regexp_replace(regexp_replace(raw, '//.*$', ''), '^\s+|\s+$', '', 'g') AS line, trim(regexp_extract(raw, '//(.*)$', 1)) AS note FROM (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS raw, generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM files_v WHERE path LIKE '%/go.mod')))
+  WHERE note <> 'indirect' AND NOT regexp_matches(line, '^require\s*\($')) WHERE name <> '' GROUP BY repo_id, path, name"""
+
+
+def _pep508(kind: str, specs: str) -> str:
+    """Names and constraints of ``specs``, SQL for (repo_id, path, spec, pos)."""
+    return rf"""SELECT repo_id, path AS manifest_path, '{kind}' AS kind, name, arg_max(trim(regexp_extract(regexp_replace(rest, '^\[[^\]]*\]', ''), '^[^;]*')), pos) AS version
+  FROM (SELECT *, substr(spec, length(name) + 1) AS rest FROM (SELECT *, regexp_extract(spec, '^[A-Za-z0-9][A-Za-z0-9._-]*') AS name FROM ({specs})))
+  WHERE name <> '' AND regexp_matches(rest, '^($|[ \t\[<>=!~;])') AND NOT regexp_matches(rest, '^\s*@') AND NOT regexp_matches(rest, '^\[[^\]]*$') GROUP BY repo_id, path, name"""
+
+
+#: The stand-in's arrays of TOML stand on one line each.
+_PYP = _pep508("pyproject", r"""SELECT repo_id, path, unnest(ss) AS spec, generate_subscripts(ss, 1) AS pos FROM (SELECT repo_id, path, regexp_extract_all(array_to_string(regexp_extract_all(content, '(?m)^\w+ = \[(.*)\]$', 1), ','), '"([^"]*)"', 1) AS ss FROM files_v WHERE path LIKE '%/pyproject.toml' AND regexp_matches(content, '(?m)^\[project\]$'))""")
+_REQ = _pep508("requirements", r"""SELECT repo_id, path, trim(regexp_replace(trim(raw), '\s+-.*$', '')) AS spec, pos FROM (SELECT repo_id, path, unnest(ls) AS raw, generate_subscripts(ls, 1) AS pos FROM (SELECT repo_id, path, string_split(regexp_replace(regexp_replace(content, '#[^\n]*', '', 'g'), '\\[ \t]*\n', '', 'g'), chr(10)) AS ls FROM files_v WHERE path LIKE '%/requirements.txt'))
+  WHERE NOT regexp_matches(trim(raw), '^(-r|-e|-c|--|\.|/)')""")
 _DEPS = f"deps AS ({_PKG} UNION ALL {_GOM} UNION ALL {_REQ} UNION ALL {_PYP})"
 
 
@@ -547,7 +558,8 @@ def extract_imports(spark, d):
     return imports.extract_imports(v.files(spark, d))
 
 
-_PYSPECS = "specs AS (SELECT repo_id, path, unnest(['os', 'pkg.m' || (doc_id % 200), 'stripe']) AS spec FROM files_v WHERE path LIKE 'src/app/views/%' UNION ALL SELECT repo_id, path, unnest(['pkg.m' || (doc_id % 200), 'app.models']) FROM files_v WHERE path LIKE 'pkg/m%')"
+#: Statements at the start of a line; one import each, as in the stand-in.
+_PYSPECS = r"specs AS (SELECT repo_id, path, unnest(regexp_extract_all(content, '(?m)^[ \t]*(?:import|from)[ \t]+([A-Za-z_][\w.]*)', 1)) AS spec FROM files_v WHERE path LIKE '%.py')"
 
 
 _PYEDGE = f"{_PYSPECS}, c AS (SELECT repo_id, path, spec, unnest([replace(spec, '.', '/') || '.py', replace(spec, '.', '/') || '/__init__.py']) AS to_path FROM specs), h AS (SELECT DISTINCT c.* FROM c JOIN files_v f ON f.repo_id = c.repo_id AND f.path = c.to_path), pyedge AS (SELECT DISTINCT repo_id, path AS from_path, min(to_path) AS to_path FROM h GROUP BY repo_id, path, spec HAVING count(*) = 1 AND path <> min(to_path))"

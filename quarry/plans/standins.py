@@ -17,8 +17,8 @@ TEMPLATES = (
     ("web/pages/api/p§.ts", "import x from '../../src/lib¤'\n", True),
     ("m§/package.json", '{"dependencies": {"react": "^18.0", "lib§": "1.0"}, "devDependencies": {"react": "^19.0", "jest": "29"}}', False),
     ("n§/package.json", '{"dependencies": {broken', False),
-    ("g§/go.mod", "module example.org/g§\n\nrequire github.com/solo/one v1.2.3\nrequire (\n\tgithub.com/a/b v0.1.0\n\tgithub.com/c/d v0.2.0 // indirect\n\tgithub.com/e/f v0.3.0 // pinned§\n\t// github.com/no/no v9.9.9\n)\nrequire github.com/k/l v1.4.0 // keep\n", False),
-    ("r§/requirements.txt", "requests[socks]>=2.0  # http\nnumpy==1.26 \\\n  --hash=sha256:aa\n-r other.txt\ngit+https://x/y.git\nlib§~=1.0; python_version > '3'\n", False),
+    ("g§/go.mod", "module example.org/g§\n\nreplace (\n\tgithub.com/c/d => ../d\n)\nrequire github.com/solo/one v1.2.3\nrequire (\n\tgithub.com/a/b v0.1.0\n\tgithub.com/c/d v0.2.0 // indirect\n\tgithub.com/e/f v0.3.0 // pinned§\n\t// github.com/no/no v9.9.9\n)\nrequire github.com/k/l v1.4.0 // keep\n", False),
+    ("r§/requirements.txt", "requests[socks]>=2.0  # http\nnumpy==1.26 \\\n  --hash=sha256:aa\n-r other.txt\ngit+https://x/y.git\nlib§~=1.0; python_version > '3'\npandas==2#pin\nrequests>=3 -i x\n", False),
     ("deploy§/.env.example", "STRIPE_SECRET_KEY=x\nexport DATABASE_URL=y\nlower=z\nKEY_§=1\n", False),
     ("infra/k8s/d§.yaml", "kind: Secret\ndata:\n  password: aGVsbG8=\nurl: http://user:pw@host/x\n", False),
     ("db/migrations/000¤_m§.up.sql", "CREATE TABLE IF NOT EXISTS public.t¤ (id int);\n", True),

@@ -176,6 +176,20 @@ def test_go_mod_comments(spark):
     assert sorted((r["name"], r["version"]) for r in arch.deps_go_mod(df).collect()) == [("github.com/a/b", "v1.0.0"), ("github.com/g/h", "v4.0.0")]
 
 
+def test_blocks_repeated_keys_and_last_versions(spark):
+    rows = [
+        ("r", "a/package.json", '{"dependencies": {"x": "1", "x": "2", "n": null, "y": "0"}, "devDependencies": {"y": "1", "y": "3"}}'), ("r", "b/package.json", '{"dependencies": [1], "devDependencies": {"y": "1"}}'),
+        ("r", "c/package.json", "[1]"), ("r", "d/package.json", None), ("r", "e/package.json", ""),
+        ("r", "g/go.mod", "module m\r\nreplace (\r\n\ta => b v1\r\n)\r\nrequire (\r\n\tk v1.0.0\r\n\tk v1.1.0\r\n)\r\nexclude (\r\n\tq v2.0.0\r\n)\r\nrequire z v1.0.0\r\nrequire(\r\n\tl v3.0.0\r\n)\r\n"),
+        ("r", "q/requirements.txt", "a==1#c\r\nb\\\r\n==2\r\nc==3 -i x\r\na==9\r\n\r\n# d==4\r\n--no-index\r\ne @ http://x\r\n")]
+    df = spark.createDataFrame(rows, "repo_id string, path string, content string")
+    got = lambda f: sorted((r["manifest_path"][0], r["name"], r["version"]) for r in f(df).collect())
+    assert got(arch.deps_package_json) == [("a", "n", None), ("a", "x", "2"), ("a", "y", "3"), ("b", "y", "1")]
+    assert got(arch.deps_go_mod) == [("g", "k", "v1.1.0"), ("g", "l", "v3.0.0"), ("g", "z", "v1.0.0")]
+    assert got(arch.deps_requirements) == [("q", "a", "==9"), ("q", "b", "==2"), ("q", "c", "==3")]
+    assert {r["kind"]: r["malformed"] for r in arch.manifest_problems(df).collect()} == {"package": 1, "go_mod": 0, "requirements": 0}
+
+
 def test_dependency_union_has_every_manifest(spark):
     rows = [("r", "pyproject.toml", '[project]\ndependencies = ["numpy>=1"]\n[project.optional-dependencies]\nx = ["b @ http://x"]\n'), ("r", "requirements.txt", "numpy==2\n"), ("r", "docs/package.json", '{"dependencies": {"c": "1"}}'), ("r", "vendor/package.json", '{"dependencies": {"no": "1"}}')]
     df = spark.createDataFrame(rows, "repo_id string, path string, content string")
