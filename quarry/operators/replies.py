@@ -26,6 +26,7 @@ def reply_fences(replies: DataFrame) -> DataFrame:
     return rows.select(*KEY, "pos", F.col("f.kind").alias("kind"), F.trim(F.regexp_replace("f.body", r"^\s+|\s+$", "")).alias("body"), "rest")
 
 
+JSON = re.compile(r"```json[ \t]*\n")
 YAML = re.compile(r"(?s)```yaml\s*\n(.*?)```")
 
 
@@ -43,19 +44,19 @@ def _values(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
     def one(text):
         text = text or ""
-        at = text.find("```json")
-        fence = YAML.search(text) if at < 0 else None
+        mark = JSON.search(text)
+        fence = None if mark else YAML.search(text)
         if fence:
             try:
                 return json.dumps(_plain(yaml.safe_load(fence[1]))), None
             except (yaml.YAMLError, ValueError, TypeError, AttributeError, KeyError, RecursionError):
                 return None, "no decodable value"
-        text = text[at + 7 :] if at >= 0 else text
+        text = text[mark.end() :] if mark else text
         k = min((x for x in (text.find("{"), text.find("[")) if x >= 0), default=-1)
         while k >= 0:
             try:
                 return json.dumps(read.raw_decode(text, k)[0]), None
-            except ValueError:
+            except (ValueError, RecursionError):
                 k = min((x for x in (text.find("{", k + 1), text.find("[", k + 1)) if x >= 0), default=-1)
         return None, "no decodable value"
 
@@ -69,8 +70,8 @@ def reply_values(replies: DataFrame) -> DataFrame:
 
 
 def _sections(replies: DataFrame, mark: str) -> DataFrame:
-    rows = replies.select(*KEY, F.posexplode(F.split("text", rf"(?m)(?=^{mark} )")).alias("pos", "part")).where(F.col("part").startswith(mark + " "))
-    title = F.trim(F.regexp_extract("part", rf"^{mark} ([^\n]*)", 1))
+    rows = replies.select(*KEY, F.posexplode(F.split("text", rf"(?m)(?=^{mark}[ \t])")).alias("pos", "part")).where(F.col("part").rlike(rf"^{mark}[ \t]"))
+    title = F.regexp_replace(F.regexp_extract("part", rf"^{mark}([^\n]*)", 1), r"^\s+|\s+$", "")
     return rows.select(*KEY, "pos", title.alias("title"), F.regexp_replace(F.regexp_extract("part", r"(?s)^[^\n]*\n?(.*)$", 1), r"^\s+|\s+$", "").alias("body"))
 
 
@@ -81,15 +82,15 @@ def split_cards(replies: DataFrame) -> DataFrame:
 
 
 def split_sections(replies: DataFrame) -> DataFrame:
-    """Body of each ## section by lower-case title; a reply without any is its own gist."""
-    rows = _sections(replies, "##").select(*KEY, F.lower("title").alias("section"), "body")
-    gist = replies.where(~F.col("text").rlike(r"(?m)^## ")).select(*KEY, F.lit("gist").alias("section"), F.regexp_replace("text", r"^\s+|\s+$", "").alias("body"))
+    """Body of each ## section by lower-case title, the last one of a title; a reply without any is its own gist."""
+    rows = _sections(replies, "##").where("title <> ''").groupBy(*KEY, F.lower("title").alias("section")).agg(F.max_by("body", "pos").alias("body"))
+    gist = replies.where(~F.col("text").rlike(r"(?m)^##[ \t]")).select(*KEY, F.lit("gist").alias("section"), F.regexp_replace("text", r"^\s+|\s+$", "").alias("body"))
     return rows.unionByName(gist)
 
 
 def labelled_field(text: str | Column, label: str) -> Column:
-    """The rest of the line after **label:**, '' where there is none."""
-    return F.trim(F.regexp_extract(text, rf"\*\*{label}:\*\*[ \t]*([^\n]*)", 1))
+    """The first line with any text after **label:**, '' where there is none."""
+    return F.regexp_replace(F.regexp_extract(text, rf"\*\*{label}:\*\*\s*([^\n]+)", 1), r"^\s+|\s+$", "")
 
 
 def feature_group_sizes(cards: DataFrame) -> DataFrame:

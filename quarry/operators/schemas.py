@@ -56,7 +56,10 @@ def find_schema(files: DataFrame, budget: int = BUDGET, max_files: int = 40, emb
     rows = files.where(~under_skip_dir("path")).select("repo_id", "path", "size", F.length("content").cast("long").alias("len"), schema_kind().alias("k")).where("k is not null")
     rows = rows.withColumn("first_kind", F.min("k").over(Window.partitionBy("repo_id"))).where("k = first_kind")
     w = Window.partitionBy("repo_id").orderBy(F.when(F.col("k") == 1, F.lit(0)).otherwise(-F.col("size")), F.when(F.col("k") == 1, walk_key("path")), "path")
-    rows = rows.withColumn("r", F.row_number().over(w)).withColumn("upto", F.sum(F.coalesce("len", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # a block is a heading and the file, which is cut at the budget with a mark
+    mark = len(f"\n\n{C.TRUNCATION_MARK} at {budget:,} chars =====\n")
+    block = F.length(F.concat(F.lit("# ===== "), "path", F.lit(" =====\n"))) + F.when(F.col("len") > budget, budget + mark).otherwise(F.coalesce("len", F.lit(0)))
+    rows = rows.withColumn("r", F.row_number().over(w)).withColumn("upto", F.sum(block).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     kept = (F.col("r") == 1) | ((F.col("k") == 3) & (F.col("upto") <= budget) & (F.col("r") <= max_files))
     names = F.array(*map(F.lit, KINDS))
     found = rows.select("repo_id", F.get(names, F.col("k")).alias("kind"), "path", F.when(kept, "kept").otherwise("dropped").alias("state"), (F.col("len") > budget).alias("cut"))
@@ -95,13 +98,17 @@ def reply_tables(replies: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def find_migrations(files: DataFrame, floor: int = 4) -> DataFrame:
-    """Migrations of the migrations directory that holds most, of equal ones the first in walk order, with a flag where they are few."""
+    """Migrations of the migrations directory that holds most, of equal ones the first in walk order, with a flag where they are few.
+
+    An entry of the directory, file or directory, is a migration; two entries may have one name.
+    """
     found = F.col("path")
     d = F.regexp_extract(found, r"^((?:.*/)?(?:migrations|migrate))/([^/]+)", 1)
     child = F.regexp_extract(found, r"^(?:.*/)?(?:migrations|migrate)/([^/]+)", 1)
     name = F.regexp_replace(F.regexp_replace(child, r"\.[^.]*$", ""), r"\.up$", "")
-    rows = files.select("repo_id", d.alias("dir"), child.alias("child"), name.alias("name")).where(F.col("child").rlike(r"^\d{4,}[_-]") & ~F.col("name").endswith(".down")).select("repo_id", "dir", "name").distinct()
-    per = rows.groupBy("repo_id", "dir").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("name")).alias("names"))
+    rows = files.where(~under_skip_dir("path")).select("repo_id", d.alias("dir"), child.alias("child"), name.alias("name")).where(F.col("child").rlike(r"^\d{4,}[_-]") & ~F.col("name").endswith(".down")).distinct()
+    entries = F.sort_array(F.collect_list(F.struct("child", "name")))
+    per = rows.groupBy("repo_id", "dir").agg(F.count("*").alias("n"), F.transform(entries, lambda e: e["name"]).alias("names"))
     walk = F.transform(F.split("dir", "/"), lambda x: x)  # a directory comes before its sub-directories, each level sorted
     best = per.groupBy("repo_id").agg(F.min_by(F.struct("dir", "n", "names"), F.struct((-F.col("n")).alias("n"), walk.alias("walk"))).alias("b"))
     return best.select("repo_id", "b.dir", "b.n", F.array_join("b.names", ",").alias("names"), (F.col("b.n") < floor).alias("too_few"))

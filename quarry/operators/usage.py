@@ -18,9 +18,15 @@ def price_table(spark: SparkSession) -> DataFrame:
 
 
 def override_table(spark: SparkSession, text: str) -> DataFrame:
-    """Prices of a JSON text {"provider:model": {field: $ per million}}; a missing field is 0, a malformed entry is left out."""
-    one = spark.range(1).select(F.explode(F.from_json(F.lit(text), "map<string,map<string,string>>")).alias("k", "v")).where("k like '%:%' and v is not null")
-    price = [F.coalesce(F.element_at("v", f).try_cast("double"), F.lit(0.0)) / 1e6 for f in FIELDS]
+    """Prices of a JSON text {"provider:model": {field: $ per million}}; a missing or empty field is 0, an entry that is no object or has a field that is no number is left out, the last of one name wins."""
+    parsed = F.from_json(F.lit(text), "map<string,string>")  # entries of any kind: a wrong one must not spoil the others
+    last = spark.range(1).select(F.posexplode(F.map_entries(parsed)).alias("at", "e")).groupBy("e.key").agg(F.max_by("e.value", "at").alias("v"))
+    one = last.select(F.col("key").alias("k"), F.from_json("v", "map<string,string>").alias("v")).where("k like '%:%' and v is not null")
+    last_of = lambda f: F.try_element_at(F.filter(F.map_entries("v"), lambda e: e["key"] == f)["value"], F.lit(-1))
+    field = {f: F.nullif(last_of(f), F.lit("")) for f in FIELDS}
+    for raw in field.values():
+        one = one.where(raw.isNull() | raw.try_cast("double").isNotNull())
+    price = [F.coalesce(raw.try_cast("double"), F.lit(0.0)) / 1e6 for raw in field.values()]
     return one.select(F.substring_index("k", ":", 1).alias("provider"), F.expr("substring(k, instr(k, ':') + 1)").alias("model"), *(p.alias(f) for p, f in zip(price, FIELDS)))
 
 

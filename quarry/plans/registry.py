@@ -637,8 +637,9 @@ _SK = f"CASE WHEN {_BASE} = 'schema.prisma' THEN 0 WHEN ends_with('/' || path, '
 _DDL = f"""ddl AS (SELECT repo_id, path, list_filter(regexp_extract_all({_BARE_GO}, '"((?:[^"\\\\\n]|\\\\.)*)"', 1), lambda x: regexp_matches(x, {v._lit(C.DDL_STATEMENT)})) AS ss FROM files_v WHERE path LIKE '%.go'),
 embedded AS (SELECT repo_id, path, len(ss)::int AS n_ddl, len(regexp_extract_all(array_to_string(ss, chr(10)), '(?i)\\bCREATE\\s+TABLE\\b'))::int AS tables, ss FROM ddl WHERE len(ss) > 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY tables DESC, path) AS ddl_rank FROM embedded)"""
+_CUT = f"\n\n{C.TRUNCATION_MARK} at 600,000 chars =====\n"
 _SCHEMA = f"""s AS (SELECT repo_id, path, size, length(content) AS len, {_SK} AS k FROM files_v WHERE NOT {_SKIP} AND {_SK} IS NOT NULL), f AS (SELECT * FROM s QUALIFY k = min(k) OVER (PARTITION BY repo_id)),
-r AS (SELECT *, row_number() OVER w AS r, sum(len) OVER w AS upto FROM f WINDOW w AS (PARTITION BY repo_id ORDER BY -size, path)), {_DDL},
+r AS (SELECT *, row_number() OVER w AS r, sum(length('# ===== ' || path || ' =====' || chr(10)) + CASE WHEN len > 600000 THEN 600000 + {len(_CUT)} ELSE coalesce(len, 0) END) OVER w AS upto FROM f WINDOW w AS (PARTITION BY repo_id ORDER BY -size, path)), {_DDL},
 e AS (SELECT *, sum(length('-- ===== ' || path || ' =====' || chr(10)) + length(array_to_string(list_transform(ss, lambda x: trim(x)), chr(10)))) OVER (PARTITION BY repo_id ORDER BY ddl_rank) AS upto FROM ranked WHERE repo_id NOT IN (SELECT repo_id FROM s)),
 schema AS (SELECT repo_id, (['prisma', 'rails', 'sql', 'models'])[k + 1] AS kind, path, CASE WHEN r = 1 OR (k = 3 AND upto <= 600000 AND r <= 40) THEN 'kept' ELSE 'dropped' END AS state, len > 600000 AS cut FROM r
   UNION ALL SELECT repo_id, 'embedded-sql', path, CASE WHEN ddl_rank = 1 OR (upto <= 600000 AND ddl_rank <= 40) THEN 'kept' ELSE 'dropped' END, false FROM e)"""
@@ -724,7 +725,7 @@ def split_sections(spark, d):
     return replies.split_sections(v.replies(spark, d)).select("repo_id", "prompt_id", "section", F.md5("body").alias("body_md5"))
 
 
-@query(r"SELECT repo_id, prompt_id, trim(regexp_extract(text, '\*\*Owner:\*\*[ \t]*([^\n]*)', 1)) AS owner, trim(regexp_extract(text, '\*\*Nobody:\*\*[ \t]*([^\n]*)', 1)) AS missing FROM replies_v")
+@query(r"SELECT repo_id, prompt_id, trim(regexp_extract(text, '\*\*Owner:\*\*\s*([^\n]+)', 1)) AS owner, trim(regexp_extract(text, '\*\*Nobody:\*\*\s*([^\n]+)', 1)) AS missing FROM replies_v")
 def labelled_field(spark, d):
     return v.replies(spark, d).select("repo_id", "prompt_id", replies.labelled_field("text", "Owner").alias("owner"), replies.labelled_field("text", "Nobody").alias("missing"))
 

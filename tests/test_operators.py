@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarry.operators import arch, budget, classify, history, imports, replies, schemas
+from quarry.operators import arch, budget, classify, history, imports, replies, schemas, usage
 from quarry.operators import files as fs
 from quarry.sources import readers
 
@@ -190,6 +190,37 @@ def test_blocks_repeated_keys_and_last_versions(spark):
     assert {r["kind"]: r["malformed"] for r in arch.manifest_problems(df).collect()} == {"package": 1, "go_mod": 0, "requirements": 0}
 
 
+def test_overrides_are_left_out_whole(spark):
+    text = '{"a:b": {"input": "1", "output": "x"}, "c:d": {"input": 2, "output": null, "cache_read": ""}, "e:f": 5, "g:h": [1], "c:d:e": {"input": "3", "input": "4"}, "no": {"input": 1}}'
+    got = {(r["provider"], r["model"]): tuple(round(r[f] * 1e6, 6) for f in usage.FIELDS) for r in usage.override_table(spark, text).collect()}
+    assert got == {("c", "d"): (2, 0, 0, 0), ("c", "d:e"): (4, 0, 0, 0)}
+
+
+def test_models_within_the_budget_with_their_headings(spark):
+    head = len("# ===== a/models.py =====\n")
+    rows = [("r", f"{x}/models.py", n, "x" * n) for x, n in (("a", 50), ("b", 40), ("c", 10))]
+    df = spark.createDataFrame(rows, "repo_id string, path string, size long, content string")
+    kept = lambda budget: sorted(r["path"][0] for r in schemas.find_schema(df, budget, embedded=False).where("state = 'kept'").collect())
+    assert kept(90 + 2 * head) == ["a", "b"] and kept(89 + 2 * head) == ["a"] and kept(100 + 3 * head) == ["a", "b", "c"]
+
+
+def test_entries_of_migrations(spark):
+    paths = ["vendor/migrations/0001_a.sql", "vendor/migrations/0002_b.sql", "vendor/migrations/0003_c.sql", "db/migrations/0001_a.sql", "db/migrations/0001_a.up.sql", "db/migrations/0001_a.down.sql", "x/migrations/0001_a/one.sql", "x/migrations/0001_a/two.sql"]
+    df = spark.createDataFrame([("r", p) for p in paths], "repo_id string, path string")
+    assert [tuple(r) for r in schemas.find_migrations(df).collect()] == [("r", "db/migrations", 2, "0001_a,0001_a", True)]
+
+
+def test_marks_of_replies(spark):
+    texts = ["see ```json inline\n[1] then ```json\n{\"a\": 2}\n```", "[" * 3000 + ' {"b": 1}', "## A\nx\n##\tB \ny\n## a\nz\n##\t\nno\n###\tc (2 endpoints)\nbody\n**Owner:**\n\n  dev \nrest"]
+    df = spark.createDataFrame([("r", i, t) for i, t in enumerate(texts)], "repo_id string, prompt_id long, text string")
+    got = {r["prompt_id"]: r["value"] for r in replies.reply_values(df).collect()}
+    assert got == {0: '{"a": 2}', 1: '{"b": 1}', 2: None}
+    last = df.where("prompt_id = 2")
+    assert {(r["section"], r["body"][:1]) for r in replies.split_sections(last).collect()} == {("a", "z"), ("b", "y")}
+    assert [(r["title"], r["body"][:4]) for r in replies.split_cards(last).collect()] == [("c (2 endpoints)", "body")]
+    assert last.select(replies.labelled_field("text", "Owner").alias("o")).first()["o"] == "dev"
+
+
 def test_dependency_union_has_every_manifest(spark):
     rows = [("r", "pyproject.toml", '[project]\ndependencies = ["numpy>=1"]\n[project.optional-dependencies]\nx = ["b @ http://x"]\n'), ("r", "requirements.txt", "numpy==2\n"), ("r", "docs/package.json", '{"dependencies": {"c": "1"}}'), ("r", "vendor/package.json", '{"dependencies": {"no": "1"}}')]
     df = spark.createDataFrame(rows, "repo_id string, path string, content string")
