@@ -71,8 +71,14 @@ def ignore_regex(pattern: str) -> str:
     rooted = "/" in p
     p = p.lstrip("/")
     out = ""
-    for part in re.split(r"(\*\*/|/\*\*|\*|\?|\[[^\]]*\])", p):
-        out += {"**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}.get(part) or (part if part.startswith("[") else re.escape(part))
+    for part in re.split(r"(/\*\*/|^\*\*/|/\*\*$|\*+|\?|\[!?\]?[^\]]*\])", p):
+        if part.startswith("[") and part.endswith("]"):
+            negated = part.startswith("[!") or part.startswith("[^")
+            members = re.sub(r"([\[\]&^\\])", r"\\\1", part[1 + negated : -1])
+            out += f"[^/{members}]" if negated else f"[{members}]"
+        else:
+            known = {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "?": "[^/]"}
+            out += known.get(part) or ("[^/]*" if part.startswith("*") else re.escape(part))
     return ("^" if rooted else "^(?:.*/)?") + out + ("/.*$" if pattern.endswith("/") else "(?:/.*)?$")
 
 

@@ -47,25 +47,28 @@ def top_dirs(counts: DataFrame, k: int = 25) -> DataFrame:
     return totals.withColumn("dir_rank", rank).where(F.col("dir_rank") <= k)
 
 
-def dir_activity(counts: DataFrame, k: int = 25) -> DataFrame:
-    """What both summaries say of the top directories: one aggregate, and windows over its few columns."""
+def dir_activity(counts: DataFrame, commits: DataFrame, k: int = 25) -> DataFrame:
+    """What both summaries say of the top directories: one aggregate, and a window over its few columns.
+
+    A directory is silent if the repository has any later commit, in a counted directory or not.
+    """
     agg = counts.groupBy("repo_id", "dir").agg(
         F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.max_by("month", F.struct("n", "month")).alias("peak_month"),
         F.max("n").alias("peak_n"), F.sum("n").alias("total"),
     )
-    repo = Window.partitionBy("repo_id")
-    rows = agg.withColumn("repo_last", F.max("last_month").over(repo)).withColumn("dir_rank", F.row_number().over(repo.orderBy(F.desc("total"), "dir"))).where(F.col("dir_rank") <= k)
+    rows = agg.withColumn("dir_rank", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("total"), "dir"))).where(F.col("dir_rank") <= k)
+    rows = rows.join(commits.groupBy("repo_id").agg(F.max("month").alias("repo_last")), "repo_id")
     return rows.select("*", F.col("first_month").alias("born"), F.col("last_month").alias("last_active"), (F.col("last_month") < F.col("repo_last")).alias("silent")).drop("repo_last")
 
 
-def heatmap_summary(counts: DataFrame, k: int = 25) -> DataFrame:
+def heatmap_summary(counts: DataFrame, commits: DataFrame, k: int = 25) -> DataFrame:
     """First, last and peak month of each top directory; of equal peaks the newest."""
-    return dir_activity(counts, k).drop("born", "last_active", "silent")
+    return dir_activity(counts, commits, k).drop("born", "last_active", "silent")
 
 
-def pivots_summary(counts: DataFrame, k: int = 25) -> DataFrame:
+def pivots_summary(counts: DataFrame, commits: DataFrame, k: int = 25) -> DataFrame:
     """When each top directory began and was last active, and whether it has gone silent."""
-    return dir_activity(counts, k).select("repo_id", "dir", "born", "last_active", "silent")
+    return dir_activity(counts, commits, k).select("repo_id", "dir", "born", "last_active", "silent")
 
 
 def unrenamed(changes: DataFrame) -> DataFrame:
@@ -87,7 +90,8 @@ def bulk_changes(changes: DataFrame, commits: DataFrame, status: str, min_files:
 def top_changes(bulk: DataFrame, k: int = 20) -> DataFrame:
     """The biggest changes; of equal ones the newest first."""
     rank = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("n_files"), F.desc("ts"), "hash"))
-    line = F.concat_ws(" | ", "month", F.concat("n_files", F.lit(" files")), F.concat(F.col("scope"), F.lit("/")), "subject")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("ts") / 86400).cast("int")).cast("string")  # in UTC, whatever the session's zone
+    line = F.concat_ws("  ", "hash", day, F.concat("n_files", F.lit(" files")), F.concat(F.col("scope"), F.lit("/")), "subject")
     return bulk.withColumn("change_rank", rank).where(F.col("change_rank") <= k).select("repo_id", "hash", "n_files", "change_rank", line.alias("line"))
 
 

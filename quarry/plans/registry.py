@@ -63,20 +63,20 @@ def top_dirs(spark, d):
 
 @query(_COUNTS + _PER + " SELECT * FROM top")
 def heatmap_summary(spark, d):
-    return history.heatmap_summary(_counts(spark, d))
+    return history.heatmap_summary(_counts(spark, d), v.commits(spark, d))
 
 
-_PIVOTS = ", last AS (SELECT repo_id, max(month) AS repo_last FROM counts GROUP BY 1), pivots AS (SELECT repo_id, dir, first_month AS born, last_month AS last_active, last_month < repo_last AS silent FROM top JOIN last USING (repo_id))"
+_PIVOTS = ", last AS (SELECT repo_id, max(month) AS repo_last FROM commits_v GROUP BY 1), pivots AS (SELECT repo_id, dir, first_month AS born, last_month AS last_active, last_month < repo_last AS silent FROM top JOIN last USING (repo_id))"
 
 
 @query(_COUNTS + _PER + _PIVOTS + " SELECT * FROM pivots")
 def pivots_summary(spark, d):
-    return history.pivots_summary(_counts(spark, d))
+    return history.pivots_summary(_counts(spark, d), v.commits(spark, d))
 
 
 @query(_COUNTS + _PER + _PIVOTS + " SELECT top.*, born, last_active, silent FROM top JOIN pivots USING (repo_id, dir)")
 def heatmap_pivots(spark, d):
-    return history.dir_activity(_counts(spark, d))
+    return history.dir_activity(_counts(spark, d), v.commits(spark, d))
 
 
 _SCOPE = """list_aggregate(list_transform(range(1, 3), lambda k: CASE WHEN len(lo) >= k AND len(hi) >= k AND lo[:k] = hi[:k] THEN lo[k] END), 'string_agg', '/')"""
@@ -110,7 +110,7 @@ def scope_of(spark, d):
     return _bulk(spark, d).select("repo_id", "hash", history.scope_of(F.col("files")).alias("scope"))
 
 
-@query("WITH " + _bulk_sql("D", 3) + " SELECT repo_id, hash, n_files, row_number() OVER (PARTITION BY repo_id ORDER BY n_files DESC, ts DESC, hash) AS change_rank, concat_ws(' | ', month, n_files || ' files', scope || '/', subject) AS line FROM bulk QUALIFY change_rank <= 20")
+@query("WITH " + _bulk_sql("D", 3) + " SELECT repo_id, hash, n_files, row_number() OVER (PARTITION BY repo_id ORDER BY n_files DESC, ts DESC, hash) AS change_rank, concat_ws('  ', hash, (DATE '1970-01-01' + (ts // 86400)::int)::varchar, n_files || ' files', scope || '/', subject) AS line FROM bulk QUALIFY change_rank <= 20")
 def top_changes(spark, d):
     return history.top_changes(_bulk(spark, d))
 

@@ -1,5 +1,7 @@
 """Small cases of the rules that the stand-in tables do not reach."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from quarry.operators import arch, budget, classify, history, imports, replies, schemas, usage
@@ -40,6 +42,13 @@ def test_ignore_patterns(spark):
     assert column(spark, ["a/b.py", "b.pyc", "docs/x.md", "a/docs/x.md"], lambda p: fs.path_match(p, ("*.py", "docs/"), ("a/docs/",))) == [True, False, True, False]
 
 
+def test_ignore_regex_by_hand():
+    hit = lambda pattern, path: re.search(fs.ignore_regex(pattern), path) is not None
+    yes = {"a/**/b": ["a/b", "a/x/b", "a/x/y/b/c"], "x[!a]y": ["xby", "d/xcy"], "[a-c].py": ["b.py"], "src/**": ["src/a/b.go"], "**/t.go": ["t.go", "q/r/t.go"], "*.go": ["x/y.go"], "/z.c": ["z.c"], "a[[]b": ["a[b"]}
+    no = {"a/**/b": ["ab/b", "a/xb"], "x[!a]y": ["xay", "x/y"], "[a-c].py": ["d.py"], "src/**": ["src", "x/src/a"], "**/t.go": ["qt.go"], "*.go": ["y.gob"], "/z.c": ["d/z.c"], "a[[]b": ["ab"]}
+    assert all(hit(p, x) for p, xs in yes.items() for x in xs) and not any(hit(p, x) for p, xs in no.items() for x in xs)
+
+
 def test_go_scanner():
     text = 'g := gin.Default()\n// g.GET("/no", x)\ng.GET("/ping", ping)\nu := "http://x" /* .Get("/no") */\n'
     clean = classify.go_without_comments(text)
@@ -221,6 +230,13 @@ def test_marks_of_replies(spark):
     assert last.select(replies.labelled_field("text", "Owner").alias("o")).first()["o"] == "dev"
 
 
+def test_silent_after_a_commit_of_root_files(spark):
+    commits = spark.createDataFrame([("r", "a", "2020-01"), ("r", "b", "2020-02")], "repo_id string, hash string, month string")
+    changes = spark.createDataFrame([("r", "a", "src/x/y.py"), ("r", "b", "README.md")], "repo_id string, hash string, path string")
+    got = history.pivots_summary(history.dir_month_counts(changes, commits), commits).collect()
+    assert [tuple(r) for r in got] == [("r", "src/x", "2020-01", "2020-01", True)]
+
+
 def test_dependency_union_has_every_manifest(spark):
     rows = [("r", "pyproject.toml", '[project]\ndependencies = ["numpy>=1"]\n[project.optional-dependencies]\nx = ["b @ http://x"]\n'), ("r", "requirements.txt", "numpy==2\n"), ("r", "docs/package.json", '{"dependencies": {"c": "1"}}'), ("r", "vendor/package.json", '{"dependencies": {"no": "1"}}')]
     df = spark.createDataFrame(rows, "repo_id string, path string, content string")
