@@ -572,7 +572,7 @@ def resolve_python(spark, d):
 
 
 _JSEDGE = """jsedge AS (SELECT DISTINCT a.repo_id, a.path AS from_path, b.path AS to_path FROM files_v a JOIN files_v b ON a.repo_id = b.repo_id AND a.path <> b.path AND b.path = CASE
-  WHEN regexp_matches(a.path, '^web/src/lib\\d+\\.ts$') OR regexp_matches(a.path, '^web/pages/api/p\\d+\\.ts$') THEN 'web/src/lib' || (a.doc_id % 200) || '.ts' WHEN regexp_matches(a.path, '^src/middleware/auth\\d+\\.js$') THEN 'src/middleware/auth' || (a.doc_id % 200) || '.js' END)"""
+  WHEN regexp_matches(a.path, '^web/src/lib\\d+\\.ts$') OR regexp_matches(a.path, '^web/pages/api/p\\d+\\.ts$') THEN 'web/src/lib' || (a.doc_id % 270) || '.ts' WHEN regexp_matches(a.path, '^src/middleware/auth\\d+\\.js$') THEN 'src/middleware/auth' || (a.doc_id % 270) || '.js' END)"""
 
 
 @query(f"WITH {_JSEDGE} SELECT * FROM jsedge")
@@ -656,7 +656,7 @@ def embedded_ddl(spark, d):
 
 
 _TABLES = """tables AS (SELECT DISTINCT repo_id, lower(name) AS name FROM (
-SELECT repo_id, 'orders' || doc_id AS name FROM files_v WHERE path LIKE 'db%/schema.sql' UNION ALL SELECT repo_id, 'users' FROM files_v WHERE path LIKE 'db%/schema.sql' UNION ALL SELECT repo_id, 't' || (doc_id % 200) FROM files_v WHERE path LIKE 'db/migrations/%' UNION ALL SELECT repo_id, 'order' || doc_id FROM files_v WHERE path LIKE 'app%/models.py'))"""
+SELECT repo_id, 'orders' || doc_id AS name FROM files_v WHERE path LIKE 'db%/schema.sql' UNION ALL SELECT repo_id, 'users' FROM files_v WHERE path LIKE 'db%/schema.sql' UNION ALL SELECT repo_id, 't' || (doc_id % 270) FROM files_v WHERE path LIKE 'db/migrations/%' UNION ALL SELECT repo_id, 'order' || doc_id FROM files_v WHERE path LIKE 'app%/models.py'))"""
 
 
 def _tables(spark, d):

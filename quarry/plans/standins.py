@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import usage
 
-#: (path, head, whether the document's text follows). § is the document's number, ¤ the number modulo 200.
+#: (path, head, whether the document's text follows). § is the document's number, ¤ the number modulo 270, ten times the number of templates, so that what it names exists.
 TEMPLATES = (
     ("src/app/views/page§.py", "import os\nfrom pkg.m¤ import thing\nimport stripe\n", True),
     ("pkg/m§.py", "import pkg.m¤\nfrom app.models import User\n", True),
@@ -76,7 +76,7 @@ def files(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
     k = (F.col("doc_id") % N).cast("int")
     of = lambda i: F.get(F.array(*(F.lit(t[i]) for t in TEMPLATES)), k)
-    fill = lambda c: F.replace(F.replace(c, F.lit("§"), F.col("doc_id").cast("string")), F.lit("¤"), (F.col("doc_id") % 200).cast("string"))
+    fill = lambda c: F.replace(F.replace(c, F.lit("§"), F.col("doc_id").cast("string")), F.lit("¤"), (F.col("doc_id") % 270).cast("string"))
     rows = docs.select(F.col("source").alias("repo_id"), "doc_id", fill(of(0)).alias("path"), F.concat(fill(of(1)), F.when(of(2), F.coalesce("text", F.lit(""))).otherwise("")).alias("content"))
     return rows.select("repo_id", "path", F.octet_length("content").cast("long").alias("size"), F.lit(None).cast("string").alias("link_target"), "content", "doc_id")
 
@@ -116,7 +116,7 @@ def _list(values) -> str:
 
 
 def _fill(i: int) -> str:
-    return f"replace(replace(({_list([t[i] for t in TEMPLATES])})[doc_id % {N} + 1], '§', doc_id::varchar), '¤', (doc_id % 200)::varchar)"
+    return f"replace(replace(({_list([t[i] for t in TEMPLATES])})[doc_id % {N} + 1], '§', doc_id::varchar), '¤', (doc_id % 270)::varchar)"
 
 
 #: DuckDB SQL of the views; each may use those before it.
