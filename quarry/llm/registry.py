@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, language, licenses, mixing, neardup, quality, secrets, topk, toxicity, urls
+from quarry.llm import bpe, language, lexical, licenses, mixing, neardup, packing, periodic, quality, secrets, topk, toxicity, urls
 from quarry.llm.sql import SQL
 
 
@@ -58,7 +58,37 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_quality_rules, op2_url_filters, op3_license_scans, op4_language_id, op5_byte_bpe, op6_toxicity, op7_mixing, op8_exact_topk, op9_minhash_near_dedup, op10_secret_scans)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text in ten is given a periodic end: its words from ``a`` on become a repeated block of ``p`` words."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    chosen = F.col("h") % 10 == 0
+    docs = docs.withColumn("w", F.when(chosen, F.regexp_extract_all("text", F.lit(periodic.WORD), F.lit(0)))).withColumn("n", F.size("w"))
+    docs = docs.withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", (F.col("g") % F.greatest("n", F.lit(1))).cast("int"))
+    docs = docs.withColumn("p", (F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)) + 1).cast("int"))
+    block = F.slice("w", F.col("a") + 1, F.col("p"))
+    again = F.slice(F.flatten(F.array_repeat(block, F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))), F.lit(1), F.col("n") - F.col("a"))
+    ended = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ")
+    out = periodic.runs(docs.select("doc_id", F.when(chosen & (F.col("n") > 0), ended).otherwise(F.col("text")).alias("text")))
+    line = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    best = F.col("strongest")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"), F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+OPERATORS = (op1_quality_rules, op2_url_filters, op3_license_scans, op4_language_id, op5_byte_bpe, op6_toxicity, op7_mixing, op8_exact_topk, op9_minhash_near_dedup, op10_secret_scans, op11_lexical_search, op12_packing, op13_periodic_runs)
 
 
 def queries() -> dict:

@@ -67,4 +67,12 @@ q AS (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.v, v.v), lambda p: p[1] * p[2]))::bigint AS score FROM q, v WHERE q.vec_id <> v.vec_id AND len(q.v) = len(v.v))
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
 
-SQL: dict[str, str] = {"op1_quality_rules": _op1(), "op2_url_filters": _op2(), "op7_mixing": _OP7, "op8_exact_topk": _OP8}
+_OP11 = r"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+z AS (SELECT count(*) FILTER (len(ts) > 0) AS n_all, sum(len(ts))::bigint AS l_all FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+p AS (SELECT k, t, count(*) AS tf FROM (SELECT k, unnest(ts) AS t FROM d) GROUP BY k, t),
+w AS (SELECT t, floor(1000 * ln((2 * n_all + 2) / (2 * count(*) + 1)::double))::bigint AS w FROM p, z GROUP BY t, n_all),
+s AS (SELECT item_id, k, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(ts) * n_all) // l_all))))::bigint AS score FROM q JOIN w USING (t) JOIN p USING (t) JOIN d USING (k), z GROUP BY item_id, k)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::int AS rank, doc_id, score FROM s JOIN d USING (k) WHERE score > 0 QUALIFY rank <= 50"""
+
+SQL: dict[str, str] = {"op1_quality_rules": _op1(), "op2_url_filters": _op2(), "op7_mixing": _OP7, "op8_exact_topk": _OP8, "op11_lexical_search": _OP11}
