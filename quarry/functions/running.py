@@ -7,27 +7,28 @@ from pyspark.sql import functions as F
 
 from quarry.functions.shared import materialize
 
-#: Rows of a whole table up to which one window task may hold a group; they are counted first.
+#: Rows of a whole table up to which one window task may hold a group; they are counted where they are stored.
 FEW = 1_000_000
 
 
-def running(df: DataFrame, keys: list[str], order: list, few: int | None = None, **sums: Column) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list, few: int | None = None, at_most: int | None = None, **sums: Column) -> DataFrame:
     """Adds each of ``sums`` (name=expression) over the key's rows before this one in ``order``, and as name_all over all of the key's rows.
 
-    A table of more than ``few`` rows is dealt into ranges of key and order, so a
-    key with a third of all rows is the work of many tasks; only the ranges'
-    totals, at most one for each key and range, are summed across ranges. The
-    narrow rows of ``df`` are stored on the way, so its plan runs once. Null keys
-    are a group; rows alike in ``order`` follow each other in any way.
+    The narrow rows of ``df`` are stored and counted first, so its plan runs once
+    (not if the caller knows that there are ``at_most`` so few). A table of more than ``few`` rows is dealt into ranges of key and
+    order, so a key with a third of all rows is the work of many tasks; only the
+    ranges' totals, at most one for each key and range, are summed across ranges.
+    Null keys are a group; rows alike in ``order`` follow each other in any way.
     """
     few = FEW if few is None else few
     earlier = (Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    if df.limit(few + 1).count() <= few:
+    small = at_most is not None and at_most <= few
+    rows = df if small else materialize(df, "narrow")
+    if small or rows.count() <= few:
         whole = Window.partitionBy(*keys)
         at = whole.orderBy(*order).rowsBetween(*earlier)
-        return df.select("*", *(zero(F.sum(e).over(at)).alias(n) for n, e in sums.items()), *(zero(F.sum(e).over(whole)).alias(f"{n}_all") for n, e in sums.items()))
-    rows = materialize(df, "narrow")
+        return rows.select("*", *(zero(F.sum(e).over(at)).alias(n) for n, e in sums.items()), *(zero(F.sum(e).over(whole)).alias(f"{n}_all") for n, e in sums.items()))
     # sampling makes the ranges anew for each plan, so a row's range is stored with it
     dealt = materialize(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     totals = dealt.groupBy(*keys, "_range").agg(*(F.sum(e).alias(n) for n, e in sums.items()))

@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 
 from quarry.functions import constants as C
 from quarry.functions.running import numbered
-from quarry.operators.files import _col, any_of, basename, ends_any, is_test_file, under_skip_dir
+from quarry.operators.files import _col, any_of, basename, ends_any, is_test_file, kept, under_skip_dir, with_real_paths
 
 
 def backend_layer(path) -> Column:
@@ -36,10 +36,15 @@ def backend_layer(path) -> Column:
     return out
 
 
+def backend_kept() -> Column:
+    """Of files with ``real_path``: source files that the walk keeps, links by what they lead to."""
+    return kept(keep_ext=C.SOURCE_EXT, keep_names=(), skip=C.BACKEND_SKIP_DIRS)
+
+
 def layer_counts(files: DataFrame) -> DataFrame:
-    """Files of each layer and repository outside of the skipped directories; every layer is a column."""
-    layer = backend_layer("path")
-    return files.where(~under_skip_dir("path", C.BACKEND_SKIP_DIRS)).select("repo_id", layer.alias("layer")).groupBy("repo_id").agg(*(F.count_if(F.col("layer") == x).alias(x) for x in C.LAYERS))
+    """Kept source files of each layer and repository; every layer is a column."""
+    rows = with_real_paths(files).select("repo_id", F.when(backend_kept(), backend_layer("path")).alias("layer"))
+    return rows.groupBy("repo_id").agg(*(F.count_if(F.col("layer") == x).alias(x) for x in C.LAYERS))
 
 
 def arch_source_kind(path) -> Column:
@@ -104,20 +109,22 @@ def go_route_registrations(content) -> Column:
 def surface_files(files: DataFrame) -> DataFrame:
     """Files that declare entry points, ranked: named manifests, Go manifests by registrations, handlers.
 
-    Go files are scanned only where a cheap pattern of the text says a call may
-    be there. Repositories without a Go hit get their serving cmd main.go.
+    A named file is a surface file at any size. Other Go files are scanned up to
+    the size cap, and only where a cheap pattern of the text says a call may be
+    there. Repositories without a Go hit get their serving cmd main.go.
     """
     base = basename("path")
-    seen = files.where(~under_skip_dir("path", C.INTERFACES_SKIP_DIRS) & ~is_test_file("path") & (F.col("size") <= C.MAX_FILE_BYTES))
+    seen = files.where(~under_skip_dir("path", C.INTERFACES_SKIP_DIRS) & ~is_test_file("path"))
     named = seen.where(is_route_file("path")).select("repo_id", "path", F.when(is_manifest_name(base), 0).otherwise(2).alias("tier"), F.lit(0).alias("weight"))
-    go = seen.where(base.endswith(".go") & F.col("content").rlike(C.GO_REGISTRATION)).select("repo_id", "path", go_route_registrations("content").alias("g"))
+    scanned = seen.where(base.endswith(".go") & ~is_route_file("path") & (F.col("size") <= C.MAX_FILE_BYTES))
+    go = scanned.where(F.col("content").rlike(C.GO_REGISTRATION)).select("repo_id", "path", go_route_registrations("content").alias("g"))
     go = go.where("g.n > 0").select("repo_id", "path", F.when((F.col("g.n") >= 5) & F.col("g.builds"), 1).otherwise(2).alias("tier"), F.col("g.n").alias("weight"))
-    mains = seen.where(F.col("path").rlike(r"(^|/)cmd/(.*/)?main\.go$") & F.col("content").rlike(C.GO_SERVES)).select("repo_id", "path", F.lit(2).alias("tier"), F.lit(0).alias("weight"))
+    mains = scanned.where(F.col("path").rlike(r"(^|/)cmd/(.*/)?main\.go$") & F.col("content").rlike(C.GO_SERVES)).select("repo_id", "path", F.lit(2).alias("tier"), F.lit(0).alias("weight"))
     out = named.unionByName(go).unionByName(mains.join(go.select("repo_id").distinct(), "repo_id", "left_anti"))
     return numbered(out, ["repo_id"], ["tier", F.when(F.col("tier") == 1, -F.col("weight")).otherwise(0), "path"], "surface_rank")
 
 
-def integration_dirs(files: DataFrame, candidates=("integrations", "src/integrations", "app/integrations", "packages/integrations")) -> DataFrame:
+def integration_dirs(files: DataFrame, candidates=C.INTEGRATION_DIRS) -> DataFrame:
     """Sub-directories of the first candidate directory that has any, sorted."""
     rows = None
     for k, d in enumerate(candidates):

@@ -208,13 +208,24 @@ def sent_commits(listed: DataFrame, used: DataFrame) -> DataFrame:
 HEADER = r"(?m)(?=^diff --(?:git|cc|combined) )"
 
 
+def _plain(token: Column) -> Column:
+    """A path of a header without the quotes around it and one prefix of each side."""
+    return F.regexp_replace(F.regexp_replace(token, r'^"+|"+$', ""), "^(a/)?(b/)?", "")
+
+
 def split_diff(diffs: DataFrame) -> DataFrame:
-    """One row for each file of a diff, with all the paths that its header names."""
+    """One row for each file of a diff, with all the paths that its header may name.
+
+    Both sides where the header has the prefixes a/ and b/, the one path of a
+    combined header, and each word: prefixes may be others or none, and names
+    may hold blanks.
+    """
     rows = diffs.select("repo_id", "hash", F.posexplode(F.split("diff", HEADER)).alias("pos", "hunk"))
-    head = F.regexp_extract("hunk", r"^diff --(?:git|cc|combined) ([^\n]*)", 1)
-    rows = rows.withColumn("head", F.regexp_replace(head, '"', ""))
-    two = F.when(F.col("hunk").startswith("diff --git "), F.array(F.regexp_extract("head", r"^a/(.*) b/", 1), F.regexp_extract("head", r" b/(.*)$", 1))).otherwise(F.array("head"))
-    return rows.select("repo_id", "hash", "pos", "hunk", F.when(F.col("head") == "", F.array().cast("array<string>")).otherwise(two).alias("paths"))
+    rows = rows.withColumn("head", F.regexp_extract("hunk", r"^diff --(?:git|cc|combined) ([^\n]*)", 1))
+    side = lambda k: F.regexp_extract("head", r"^(.*) b/(.*)$", k)
+    whole = F.when(~F.col("hunk").startswith("diff --git "), F.array("head")).when(F.col("head").contains(" b/"), F.array(side(1), side(2))).otherwise(F.array().cast("array<string>"))
+    paths = F.transform(F.concat(whole, F.split("head", r"\s+")), _plain)
+    return rows.select("repo_id", "hash", "pos", "hunk", F.array_distinct(F.filter(paths, lambda p: p != "")).alias("paths"))
 
 
 def redact_diff(diffs: DataFrame, max_chars: int) -> DataFrame:

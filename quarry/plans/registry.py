@@ -223,22 +223,28 @@ def read_commit_log(spark, d):
     return readers.parse_commit_log(c.select("repo_id", good.alias("record")).unionByName(c.select("repo_id", bad.alias("record")))).select("repo_id", "hash", "ts", "author", "subject", "month", "date", F.size("files").alias("n_files"), "seq")
 
 
-def _diffs(spark, d):
-    parts = F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\n+"), "status", F.lit("\ndiff --git a/.env b/.env\n+SECRET\n"))
-    return v.changes(spark, d).groupBy("repo_id", "hash").agg(F.array_join(F.array_sort(F.collect_list(parts)), "").alias("diff"))
+#: Headers of a file with secrets: usual and other prefixes, none, quoted, combined, blanks in names, one side alone.
+_HEADERS = ("--git a/.env b/.env", "--git .env .env", "--git i/conf dir/.env w/conf dir/.env", '--git "a/c\\303\\251/key.pem" "b/c\\303\\251/key.pem"', "--cc my conf/.netrc", "--combined id_rsa", "--git a/.env b/settings.py", "--git a/.env.example b/.env.example")
 
 
-_DIFFS = "diffs AS (SELECT repo_id, hash, string_agg('diff --git a/' || path || ' b/' || path || chr(10) || '+' || status || chr(10) || 'diff --git a/.env b/.env' || chr(10) || '+SECRET' || chr(10), '' ORDER BY path, status) AS diff FROM changes_v GROUP BY 1, 2)"
+def _diffs(spark, d):
+    head = F.get(F.array(*map(F.lit, _HEADERS)), F.length("path") % len(_HEADERS))
+    parts = F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\n+"), "status", F.lit("\ndiff "), head, F.lit("\n-diff --git a/x.py b/x.py\n+SECRET\n"))
+    return v.changes(spark, d).groupBy("repo_id", "hash").agg(F.concat(F.lit(" x | 2 +\n\n"), F.array_join(F.array_sort(F.collect_list(parts)), "")).alias("diff"))
 
 
-@query("WITH x AS (SELECT repo_id, hash, path FROM changes_v UNION ALL SELECT repo_id, hash, '.env' FROM changes_v) SELECT repo_id, hash, path AS first_path, count(*) AS hunks FROM x GROUP BY 1, 2, 3")
-def split_diff(spark, d):
-    return history.split_diff(_diffs(spark, d)).groupBy("repo_id", "hash", F.get("paths", F.lit(0)).alias("first_path")).agg(F.count("*").alias("hunks"))
+_HEAD_OF = f"({v._list(_HEADERS)})[length(path) % {len(_HEADERS)} + 1]"
+_DIFFS = f"diffs AS (SELECT repo_id, hash, ' x | 2 +' || chr(10) || chr(10) || string_agg(p, '' ORDER BY p) AS diff FROM (SELECT repo_id, hash, 'diff --git a/' || path || ' b/' || path || chr(10) || '+' || status || chr(10) || 'diff ' || {_HEAD_OF} || chr(10) || '-diff --git a/x.py b/x.py' || chr(10) || '+SECRET' || chr(10) AS p FROM changes_v) GROUP BY 1, 2)"
+#: Lines of the diffs, numbered, each with the number of its file's part; the heads of the parts and the paths that they may name.
+_HUNKS = rf"""{_DIFFS}, lined AS (SELECT repo_id, hash, line, n, sum(CASE WHEN regexp_matches(line, '^diff --(git|cc|combined) ') THEN 1 ELSE 0 END) OVER (PARTITION BY repo_id, hash ORDER BY n) AS pos FROM (SELECT repo_id, hash, unnest(string_split(diff, chr(10))) AS line, generate_subscripts(string_split(diff, chr(10)), 1) AS n FROM diffs)),
+heads AS (SELECT repo_id, hash, pos, regexp_extract(line, '^diff --(git|cc|combined) (.*)$', 1) AS kind, regexp_extract(line, '^diff --(git|cc|combined) (.*)$', 2) AS head FROM lined WHERE regexp_matches(line, '^diff --(git|cc|combined) ')),
+said AS (SELECT repo_id, hash, pos, unnest(CASE WHEN kind <> 'git' THEN [head] WHEN contains(head, ' b/') THEN [regexp_extract(head, '^(.*) b/', 1), regexp_extract(head, '^.* b/(.*)$', 1)] ELSE [] END || regexp_split_to_array(head, '\s+')) AS word FROM heads),
+paths AS (SELECT DISTINCT repo_id, hash, pos, regexp_replace(trim(word, '"'), '^(a/)?(b/)?', '') AS path FROM said)"""
 
 
-@query(f"WITH {_DIFFS}, r AS (SELECT repo_id, hash, replace(diff, 'diff --git a/.env b/.env' || chr(10) || '+SECRET' || chr(10), 'diff --git a/.env b/.env' || chr(10) || '[contents omitted: credential-bearing file]' || chr(10)) AS diff FROM diffs) SELECT repo_id, hash, md5(CASE WHEN length(diff) > 300 THEN substr(diff, 1, 300) || chr(10) || '... [diff truncated]' ELSE diff END) AS diff_md5 FROM r")
-def redact_diff(spark, d):
-    return history.redact_diff(_diffs(spark, d), 300).select("repo_id", "hash", F.md5("diff").alias("diff_md5"))
+@query(f"WITH {_HUNKS}, x AS (SELECT DISTINCT l.repo_id, l.hash, l.pos, string_agg(DISTINCT p.path, ',' ORDER BY p.path) AS paths FROM lined l LEFT JOIN paths p ON p.repo_id = l.repo_id AND p.hash = l.hash AND p.pos = l.pos AND p.path <> '' GROUP BY l.repo_id, l.hash, l.pos) SELECT repo_id, hash, coalesce(paths, '') AS paths, count(*) AS hunks FROM x GROUP BY 1, 2, 3")
+def split_diff(spark, d):
+    return history.split_diff(_diffs(spark, d)).groupBy("repo_id", "hash", F.array_join(F.array_sort("paths"), ",").alias("paths")).agg(F.count("*").alias("hunks"))
 
 
 # ---- files and classes
@@ -256,6 +262,16 @@ def _has(c, xs):
 
 
 _CRED = f"CASE WHEN starts_with({_LB}, '.env') THEN {_LB} NOT IN {_in(C.DOTENV_TEMPLATES)} ELSE {_LB} IN {_in(C.CREDENTIAL_NAMES)} OR {_ends(_LB, C.CREDENTIAL_SUFFIXES)} END"
+_SECRET_PARTS = f"{_HUNKS}, secret AS (SELECT DISTINCT repo_id, hash, pos FROM paths WHERE {_CRED})"
+
+
+@query(f"""WITH {_SECRET_PARTS}, last AS (SELECT repo_id, hash, max(pos) AS last FROM lined GROUP BY 1, 2),
+part AS (SELECT l.repo_id, l.hash, l.pos, CASE WHEN bool_or(s.pos IS NOT NULL) THEN min(l.line) FILTER (starts_with(l.line, 'diff --')) || chr(10) || '[contents omitted: credential-bearing file]' || chr(10) ELSE string_agg(l.line, chr(10) ORDER BY n) || CASE WHEN l.pos < max(last) THEN chr(10) ELSE '' END END AS part FROM lined l JOIN last ON last.repo_id = l.repo_id AND last.hash = l.hash LEFT JOIN secret s ON s.repo_id = l.repo_id AND s.hash = l.hash AND s.pos = l.pos GROUP BY l.repo_id, l.hash, l.pos),
+r AS (SELECT repo_id, hash, string_agg(part, '' ORDER BY pos) AS diff FROM part GROUP BY 1, 2) SELECT repo_id, hash, md5(CASE WHEN length(diff) > 700 THEN substr(diff, 1, 700) || chr(10) || '... [diff truncated]' ELSE diff END) AS diff_md5 FROM r""")
+def redact_diff(spark, d):
+    return history.redact_diff(_diffs(spark, d), 700).select("repo_id", "hash", F.md5("diff").alias("diff_md5"))
+
+
 _WANT = f"(NOT ({_CRED}) AND ({_BASE} IN {_in(C.KEEP_NAMES)} OR regexp_extract({_LB}, '^\\.*[^.].*?(\\.[^.]*)$', 1) IN {_in(C.KEEP_EXT)}))"
 _SKIP = f"list_has_any(string_split(path, '/')[:-2], {v._list(C.SKIP_DIRS)})"
 _TEST = f"({_has(_LB, C.TEST_MARKERS)} OR ends_with({_LB}, '_spec.rb') OR (ends_with({_LB}, '.go') AND ({' OR '.join(f'starts_with({_LB}, {v._lit(p)})' for p in C.GO_TEST_PREFIXES)})))"
@@ -289,15 +305,31 @@ def under_skip_dir(spark, d):
     return v.files(spark, d).select("repo_id", "path", *(fs.under_skip_dir("path", x).alias(n) for n, x in sets.items()))
 
 
-@query("SELECT repo_id, path, (regexp_matches(path, '^(?:.*/)?[^/]*\\.py(?:/.*)?$') OR regexp_matches(path, '^web/.*$')) AND NOT (regexp_matches(path, '^(?:.*/)?models\\.py(?:/.*)?$') AND NOT regexp_matches(path, '^app1[^/]*/models\\.py(?:/.*)?$')) AS matched FROM files_v")
+@query(f"SELECT repo_id, path, (ends_with(path, '.py') OR starts_with(path, 'web/')) AND NOT (starts_with(path, 'src/app/') OR ({_BASE} = 'models.py' AND NOT regexp_matches(path, '^app1[^/]*/models.py$')) OR regexp_matches(path, '(^|/)m[0-3][0-9]*[.]py$')) AS matched FROM files_v")
 def path_match(spark, d):
-    return v.files(spark, d).select("repo_id", "path", fs.path_match("path", ("*.py", "/web/"), ("models.py", "!app1*/models.py")).alias("matched"))
+    include = ("*.py", "# a comment", "", "/web/  ", "!web/pages/**")
+    exclude = ("models.py", "!app1*/models.py", "src/app/", "!src/app/views/page1*.py", "m[0-3]*.py", "!\\m9*.p\\y", "**/m[0-3]*.py")
+    return v.files(spark, d).select("repo_id", "path", fs.path_match("path", include, exclude).alias("matched"))
 
 
-@query("SELECT repo_id, path, NOT starts_with(t, '../') AND NOT (ends_with(t, '.env')) AS contained FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN '../out.py' WHEN doc_id % 3 = 1 THEN 'a/.env' ELSE 'a/b.py' END AS t FROM files_v)")
+_REAL = """steps AS (SELECT repo_id, path, string_split(path, '/')[:-2] AS base, string_split(link_target, '/') AS rest, 1 AS hops FROM links_v WHERE NOT starts_with(link_target, '/') UNION ALL
+  SELECT s.repo_id, s.path, CASE WHEN s.rest[1] IN ('', '.') THEN s.base WHEN s.rest[1] = '..' THEN s.base[:len(s.base) - 1] WHEN l.path IS NULL THEN list_append(s.base, s.rest[1]) ELSE s.base END,
+    CASE WHEN l.path IS NULL THEN s.rest[2:] ELSE list_concat(string_split(l.link_target, '/'), s.rest[2:]) END, s.hops + (l.path IS NOT NULL)::int
+  FROM steps s LEFT JOIN links_v l ON l.repo_id = s.repo_id AND l.path = array_to_string(list_append(s.base, s.rest[1]), '/') AND s.rest[1] NOT IN ('', '.', '..')
+  WHERE len(s.rest) > 0 AND NOT (s.rest[1] = '..' AND len(s.base) = 0) AND s.hops <= 40 AND NOT starts_with(coalesce(l.link_target, ''), '/')),
+real AS (SELECT DISTINCT s.repo_id, s.path AS link, f.path AS path FROM steps s JOIN files_v f ON f.repo_id = s.repo_id AND f.path = array_to_string(s.base, '/') WHERE len(s.rest) = 0)"""
+
+
+@query(f"WITH RECURSIVE {_REAL} SELECT l.repo_id, l.path, r.path AS real_path, coalesce(r.wanted, false) AS contained FROM links_v l LEFT JOIN (SELECT repo_id, link, path, {_WANT} AS wanted FROM real) r ON r.repo_id = l.repo_id AND r.link = l.path UNION ALL SELECT repo_id, path, path, true FROM files_v")
 def link_contained(spark, d):
-    t = F.when(F.col("doc_id") % 3 == 0, "../out.py").when(F.col("doc_id") % 3 == 1, "a/.env").otherwise("a/b.py")
-    return v.files(spark, d).withColumn("link_target", t).select("repo_id", "path", fs.link_contained().alias("contained"))
+    files = v.files(spark, d).unionByName(v.links(spark, d))
+    return fs.with_real_paths(files).select("repo_id", "path", "real_path", fs.link_contained().alias("contained"))
+
+
+@query(f"WITH RECURSIVE {_REAL} SELECT repo_id, path, size, md5(content) AS content_md5 FROM files_v UNION ALL SELECT r.repo_id, link, size, md5(content) FROM (SELECT *, {_WANT} AS wanted FROM real) r JOIN files_v f ON f.repo_id = r.repo_id AND f.path = r.path WHERE wanted")
+def follow_links(spark, d):
+    files = v.files(spark, d).unionByName(v.links(spark, d))
+    return fs.follow_links(files).select("repo_id", "path", "size", F.md5("content").alias("content_md5"))
 
 
 _WALK = "list_transform(string_split(path, '/'), lambda x, i: (CASE WHEN i < len(string_split(path, '/')) THEN '1' ELSE '0' END) || x)"
@@ -329,7 +361,11 @@ def backend_layer(spark, d):
     return v.files(spark, d).select("repo_id", "path", classify.backend_layer("path").alias("layer"))
 
 
-@query(f"WITH x AS (SELECT repo_id, {_LAYER} AS layer FROM files_v WHERE NOT list_has_any(string_split(path, '/')[:-2], {v._list(C.BACKEND_SKIP_DIRS)})) SELECT repo_id, " + ", ".join(f"count(*) FILTER (layer = '{x}') AS {x}" for x in C.LAYERS) + " FROM x GROUP BY 1")
+_BACKEND = f"(NOT ({_CRED}) AND regexp_extract({_LB}, '^\\.*[^.].*?(\\.[^.]*)$', 1) IN {_in(C.SOURCE_EXT)} AND NOT list_has_any(string_split(path, '/')[:-2], {v._list(C.BACKEND_SKIP_DIRS)}) AND size <= {C.MAX_FILE_BYTES})"
+_LAYER_COUNTS = f"layered AS (SELECT repo_id, path, content, CASE WHEN {_BACKEND} THEN {_LAYER} END AS layer FROM files_v), layer_counts AS (SELECT repo_id, " + ", ".join(f"count(*) FILTER (layer = '{x}') AS {x}" for x in C.LAYERS) + " FROM layered GROUP BY 1)"
+
+
+@query(f"WITH {_LAYER_COUNTS} SELECT * FROM layer_counts")
 def layer_counts(spark, d):
     return classify.layer_counts(v.files(spark, d))
 
@@ -361,10 +397,11 @@ def go_route_registrations(spark, d):
 
 _MANIFEST_NAME = f"({_BASE} IN {_in(C.ROUTE_NAMES)} OR {_ends(_BASE, ('_router.ts', '.proto', '.graphql'))})"
 _ROUTE_FILE = f"(NOT {_TEST} AND ({_MANIFEST_NAME} OR (contains('/' || path, '/pages/api/') AND {_ends('path', ('.ts', '.js', '.tsx'))}) OR (contains('/' || path, '/app/') AND {_BASE} IN ('route.ts', 'route.js', 'route.tsx'))))"
-_SURFACE = f"""seen AS (SELECT * FROM files_v WHERE NOT list_has_any(string_split(path, '/')[:-2], {v._list(C.INTERFACES_SKIP_DIRS)}) AND NOT {_TEST} AND size <= {C.MAX_FILE_BYTES}),
-go AS (SELECT repo_id, path, CASE WHEN n >= 5 AND builds THEN 1 ELSE 2 END AS tier, n AS weight FROM (SELECT repo_id, path, {_N_REG} AS n, {_BUILDS} AS builds FROM seen WHERE path LIKE '%.go') WHERE n > 0),
+_SURFACE = f"""seen AS (SELECT * FROM files_v WHERE NOT list_has_any(string_split(path, '/')[:-2], {v._list(C.INTERFACES_SKIP_DIRS)}) AND NOT {_TEST}),
+scanned AS (SELECT * FROM seen WHERE ends_with(path, '.go') AND NOT {_ROUTE_FILE} AND size <= {C.MAX_FILE_BYTES}),
+go AS (SELECT repo_id, path, CASE WHEN n >= 5 AND builds THEN 1 ELSE 2 END AS tier, n AS weight FROM (SELECT repo_id, path, {_N_REG} AS n, {_BUILDS} AS builds FROM scanned) WHERE n > 0),
 surface AS (SELECT repo_id, path, CASE WHEN {_MANIFEST_NAME} THEN 0 ELSE 2 END AS tier, 0 AS weight FROM seen WHERE {_ROUTE_FILE} UNION ALL SELECT * FROM go
-  UNION ALL SELECT repo_id, path, 2, 0 FROM seen WHERE regexp_matches(path, '(^|/)cmd/(.*/)?main\\.go$') AND regexp_matches(content, {v._lit(C.GO_SERVES)}) AND repo_id NOT IN (SELECT repo_id FROM go))"""
+  UNION ALL SELECT repo_id, path, 2, 0 FROM scanned WHERE regexp_matches(path, '(^|/)cmd/(.*/)?main\\.go$') AND regexp_matches(content, {v._lit(C.GO_SERVES)}) AND repo_id NOT IN (SELECT repo_id FROM go))"""
 
 
 @query(f"WITH {_SURFACE} SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY tier, CASE WHEN tier = 1 THEN -weight ELSE 0 END, path) AS surface_rank FROM surface")
@@ -372,13 +409,18 @@ def surface_files(spark, d):
     return classify.surface_files(v.files(spark, d))
 
 
-@query("SELECT repo_id, 'integrations' AS dir, string_agg(DISTINCT string_split(path, '/')[2], ',' ORDER BY string_split(path, '/')[2]) AS names FROM files_v WHERE starts_with(path, 'integrations/') GROUP BY 1")
+_DIRS = f"""subs AS (SELECT DISTINCT f.repo_id, k, c AS dir, string_split(substr(path, length(c) + 2), '/')[1] AS name FROM files_v f, (SELECT unnest({v._list(C.INTEGRATION_DIRS)}) AS c, generate_subscripts({v._list(C.INTEGRATION_DIRS)}, 1) AS k) WHERE starts_with(path, c || '/') AND contains(substr(path, length(c) + 2), '/')),
+dirs AS (SELECT repo_id, dir, string_agg(name, ',' ORDER BY name) AS names, count(*) AS n FROM subs s WHERE NOT regexp_matches(name, '^[_.]') AND k = (SELECT min(k) FROM subs t WHERE t.repo_id = s.repo_id AND NOT regexp_matches(name, '^[_.]')) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_DIRS} SELECT repo_id, dir, names FROM dirs")
 def integration_dirs(spark, d):
     return classify.integration_dirs(v.files(spark, d))
 
 
 # ---- budgets
 
+_BLOCK = {"selected": 129, "whole": 131, "routes": 130}  # characters of a block besides its path and text
 _WALKED = f"walked AS (SELECT repo_id, path, length(content) AS len, row_number() OVER (PARTITION BY repo_id ORDER BY {_WALK}) AS ord, content FROM files_v)"
 
 
@@ -388,24 +430,49 @@ def preview_manifest(spark, d):
     return budget.preview_manifest(v.files(spark, d), 9_600)
 
 
-@query(f"WITH {_WALKED}, b AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY repo_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS before FROM walked) SELECT repo_id, path, len, ord, before FROM b WHERE before < 20000")
+_BEFORE = f"b AS (SELECT *, coalesce(sum(len + length(path) + {_BLOCK['selected']}) OVER (PARTITION BY repo_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS before FROM walked)"
+
+
+@query(f"WITH {_WALKED}, {_BEFORE} SELECT repo_id, path, len, ord, before FROM b WHERE before < 20000")
 def budget_prefix(spark, d):
     return budget.budget_prefix(budget.walked(v.files(spark, d)), 20_000)
 
 
-@query(f"WITH {_WALKED}, b AS (SELECT *, sum(len) OVER (PARTITION BY repo_id ORDER BY ord)::bigint AS upto FROM walked) SELECT repo_id, path, len, ord FROM b WHERE (upto <= 20000 OR ord = 1) AND ord <= 40")
+@query(f"WITH {_WALKED}, b AS (SELECT *, sum(length('-- ===== ' || path || ' =====' || chr(10)) + len) OVER (PARTITION BY repo_id ORDER BY ord)::bigint AS upto FROM walked) SELECT repo_id, path, len, ord FROM b WHERE (upto <= 20000 OR ord = 1) AND ord <= 40")
 def budget_prefix_min1(spark, d):
     return budget.budget_prefix_min1(budget.walked(v.files(spark, d)), 20_000).select("repo_id", "path", "len", "ord")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_WALKED}, fit AS (SELECT repo_id, 0::bigint AS n, 20000::bigint AS rest, false AS taken FROM walked GROUP BY 1 UNION ALL
+  SELECT f.repo_id, w.ord, f.rest - CASE WHEN w.len + length(w.path) + {_BLOCK['whole']} <= f.rest THEN w.len + length(w.path) + {_BLOCK['whole']} ELSE 0 END, w.len + length(w.path) + {_BLOCK['whole']} <= f.rest FROM fit f JOIN walked w ON w.repo_id = f.repo_id AND w.ord = f.n + 1)
+SELECT w.repo_id, w.path, w.len, w.ord FROM walked w JOIN fit f ON f.repo_id = w.repo_id AND f.n = w.ord WHERE f.taken""")
 def budget_greedy(spark, d):
     return budget.budget_greedy(budget.walked(v.files(spark, d)), 20_000)
 
 
-@query()
+#: One file after the other, as the rule says: shares first, then the turns of what was set aside.
+_FAIR = f"""{_LAYER_COUNTS}, queue AS (SELECT repo_id, layer, path, length(content) AS len, NOT regexp_matches(content, '[^ \\t\\n\\r\\f\\v]') AS blank, list_position({v._list(C.BUNDLE_ORDER)}, layer) AS turn, layer IN {_in(C.SAMPLED_LAYERS)} AS sampled,
+  row_number() OVER (PARTITION BY repo_id, layer ORDER BY CASE WHEN layer IN {_in(C.SAMPLED_LAYERS)} THEN CASE WHEN regexp_matches({_LB}, {v._lit('|'.join(C.CORE_HINTS))}) THEN 0 ELSE 1 END WHEN ends_with(path, 'main.go') THEN 1 ELSE 0 END, path) AS ord FROM layered WHERE layer IS NOT NULL),
+populated AS (SELECT repo_id, turn, count(*) OVER (PARTITION BY repo_id ORDER BY turn DESC) AS to_come FROM (SELECT DISTINCT repo_id, turn FROM queue)),
+todo AS (SELECT repo_id, layer, path, len, ord, turn, sampled, to_come, len + length(chr(10) || '===== LAYER ' || upper(layer) || ': ' || path || ' =====' || chr(10) || chr(10)) AS cost, row_number() OVER (PARTITION BY repo_id ORDER BY turn, ord) AS n FROM queue JOIN populated USING (repo_id, turn) WHERE NOT blank),
+start AS (SELECT repo_id, 60000 - length('===== LAYER FILE COUNTS (whole repo) =====' || chr(10) || {" || ".join(f"'{x}: ' || {x} || ' files' || chr(10)" for x in C.LAYERS)}) AS rest FROM layer_counts),
+first AS (SELECT repo_id, 0::bigint AS n, 0::bigint AS turn, rest::bigint AS rest, 0::bigint AS room, 0::bigint AS had, '' AS verdict FROM start UNION ALL
+  SELECT repo_id, n, turn, rest - CASE WHEN verdict = 'taken' THEN cost ELSE 0 END, room - CASE WHEN verdict = 'taken' THEN cost ELSE 0 END, had + CASE WHEN verdict = 'taken' THEN 1 ELSE 0 END, verdict FROM (
+    SELECT *, CASE WHEN sampled AND had >= 18 THEN 'over' WHEN cost <= room THEN 'taken' ELSE 'aside' END AS verdict FROM (
+      SELECT t.repo_id, t.n, t.turn::bigint AS turn, t.sampled, t.cost, f.rest, CASE WHEN t.turn = f.turn THEN f.room ELSE floor(f.rest / t.to_come::double)::bigint END AS room, CASE WHEN t.turn = f.turn THEN f.had ELSE 0 END AS had FROM first f JOIN todo t ON t.repo_id = f.repo_id AND t.n = f.n + 1))),
+done AS (SELECT repo_id, min(rest) AS rest FROM first GROUP BY 1), filled AS (SELECT repo_id, turn, count(*) AS had FROM first WHERE verdict = 'taken' GROUP BY 1, 2),
+turns AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY round, turn) AS k FROM (SELECT t.repo_id, t.turn, t.n, t.cost, t.sampled, row_number() OVER (PARTITION BY t.repo_id, t.turn ORDER BY t.ord) AS round FROM todo t JOIN first f ON f.repo_id = t.repo_id AND f.n = t.n WHERE f.verdict = 'aside')),
+counted AS (SELECT d.repo_id, d.rest, list(coalesce(c.had, 0)::bigint ORDER BY x) AS had FROM done d CROSS JOIN range(1, 7) r(x) LEFT JOIN filled c ON c.repo_id = d.repo_id AND c.turn = x GROUP BY 1, 2),
+later AS (SELECT repo_id, 0::bigint AS k, rest, had, false AS taken FROM counted UNION ALL
+  SELECT repo_id, k, rest - CASE WHEN ok THEN cost ELSE 0 END, list_transform(had, lambda x, i: x + CASE WHEN ok AND i = turn THEN 1 ELSE 0 END), ok FROM (
+    SELECT l.repo_id, t.k, l.rest, l.had, t.cost, t.turn, t.cost <= l.rest AND NOT (t.sampled AND l.had[t.turn] >= 18) AS ok FROM later l JOIN turns t ON t.repo_id = l.repo_id AND t.k = l.k + 1)),
+chosen AS (SELECT repo_id, n FROM first WHERE verdict = 'taken' UNION ALL SELECT t.repo_id, t.n FROM later l JOIN turns t USING (repo_id, k) WHERE taken), fair AS (SELECT repo_id, layer, path, len, ord FROM todo JOIN chosen USING (repo_id, n))"""
+
+
+@query(f"WITH RECURSIVE {_FAIR} SELECT * FROM fair")
 def budget_fair_share(spark, d):
-    return budget.budget_fair_share(budget.layer_queue(v.files(spark, d)), 60_000)
+    f = v.files(spark, d)
+    return budget.budget_fair_share(budget.layer_queue(f), 60_000, headers=budget.counts_header(classify.layer_counts(f)))
 
 
 @query(f"""WITH {_WALKED}, b AS (SELECT *, coalesce(sum(len + 1) OVER (PARTITION BY repo_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start, sum(len + 1) OVER (PARTITION BY repo_id) - 1 > 20000 AS truncated FROM walked)
@@ -414,30 +481,35 @@ def budget_slice(spark, d):
     return budget.budget_slice(budget.walked(v.files(spark, d)), 20_000)
 
 
-@query(f"""WITH {_WALKED}, b AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY repo_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM walked)
+@query(f"""WITH {_WALKED}, {_BEFORE}
 SELECT repo_id, count(*)::int AS n_files, md5(string_agg(repeat('=', 60) || chr(10) || 'File: ' || path || chr(10) || repeat('=', 60) || chr(10) || content || chr(10), chr(10) ORDER BY ord)) AS bundle_md5 FROM b WHERE before < 20000 GROUP BY 1""")
 def bundle_text(spark, d):
     f = v.files(spark, d)
     return budget.bundle_text(budget.budget_prefix(budget.walked(f), 20_000), f).select("repo_id", "n_files", F.md5("bundle").alias("bundle_md5"))
 
 
-@query(f"WITH {_WALKED}, b AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY repo_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM walked) SELECT repo_id, path, len, ord FROM b WHERE before >= 20000")
+@query(f"WITH {_WALKED}, {_BEFORE} SELECT repo_id, path, len, ord FROM b WHERE before >= 20000")
 def included_dropped(spark, d):
     rows = budget.walked(v.files(spark, d))
     return budget.included_dropped(rows, budget.budget_prefix(rows, 20_000)).select("repo_id", "path", "len", "ord")
 
 
-@query(f"""WITH named AS (SELECT repo_id, doc_id AS ord, array_to_string(string_split(path, '/')[-2:], '/') AS name FROM files_v), names AS (SELECT repo_id, ord, name AS path FROM named),
-good AS (SELECT repo_id, ord, path AS name FROM names WHERE NOT ({_CRED})),
-sized AS (SELECT repo_id, path, length(content) AS len FROM files_v), suffixes AS (SELECT repo_id, path, len, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[i:], '/'))) AS name FROM sized),
-hit AS (SELECT n.repo_id, n.ord, arg_min(f.path, (f.path <> n.name, f.path)) AS path, arg_min(f.len, (f.path <> n.name, f.path)) AS len FROM good n JOIN suffixes f USING (repo_id, name) GROUP BY 1, 2),
-r AS (SELECT repo_id, ord, path, least(len, 40000) AS chars, row_number() OVER w AS r, sum(least(len, 40000)) OVER w AS upto FROM hit WINDOW w AS (PARTITION BY repo_id ORDER BY ord)),
-taken AS (SELECT repo_id, ord, path, chars FROM r WHERE r <= 8 AND upto <= 120000)
-SELECT repo_id, ord, name, path, chars, path IS NULL AS skipped FROM named LEFT JOIN taken USING (repo_id, ord)""")
+#: Names of a reply: a path's last two segments, also with blanks and backticks around them, slashes before them, as a path with steps, beyond the root, and the last segment alone.
+_NAMED = """named AS (SELECT repo_id, doc_id AS ord, CASE doc_id % 7 WHEN 0 THEN ' `' || path || '` ' WHEN 1 THEN '//' || array_to_string(string_split(path, '/')[-2:], '/') WHEN 2 THEN './x/../' || path WHEN 3 THEN '../' || path WHEN 4 THEN string_split(path, '/')[-1] WHEN 5 THEN 'foo..bar.py' ELSE array_to_string(string_split(path, '/')[-2:], '/') END AS raw FROM files_v),
+asked AS (SELECT repo_id, ord, ltrim(trim(trim(raw), '`'), '/') AS name, row_number() OVER (PARTITION BY repo_id ORDER BY ord) AS n FROM named)"""
+
+
+@query(f"""WITH {_NAMED}, {_WALKED}, met AS (SELECT a.repo_id, a.n, w.path, w.len, w.content, w.path <> regexp_replace(a.name, '^[.]/x/[.][.]/', '') AS d, w.ord FROM asked a JOIN walked w ON w.repo_id = a.repo_id AND a.n <= 8 AND (w.path = regexp_replace(a.name, '^[.]/x/[.][.]/', '') OR (ends_with('/' || w.path, '/' || a.name) AND NOT list_has_any(string_split(w.path, '/')[:-2], {v._list(C.INTERFACES_SKIP_DIRS)})))),
+hit AS (SELECT repo_id, n, path, least(len, 40000) AS chars FROM (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY repo_id, n ORDER BY d, ord) = 1) WHERE regexp_matches(content, '[^ \\t\\n\\r\\f\\v]') AND NOT ({_CRED})),
+taken AS (SELECT repo_id, n, path, chars FROM (SELECT *, sum(chars + length(path) + {_BLOCK['routes']}) OVER (PARTITION BY repo_id ORDER BY n) AS upto FROM hit) WHERE upto <= 9000)
+SELECT repo_id, ord, name, path, chars, path IS NULL AS skipped FROM asked LEFT JOIN taken USING (repo_id, n)""")
 def resolve_named_paths(spark, d):
     f = v.files(spark, d)
-    named = f.select("repo_id", F.col("doc_id").alias("ord"), F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("name"))
-    return budget.resolve_named_paths(named, f)
+    tail = lambda k: F.array_join(F.slice(F.split("path", "/"), -k, k), "/")
+    short = F.when(F.size(F.split("path", "/")) > 1, tail(2)).otherwise(F.col("path"))
+    kinds = [F.concat(F.lit(" `"), "path", F.lit("` ")), F.concat(F.lit("//"), short), F.concat(F.lit("./x/../"), "path"), F.concat(F.lit("../"), "path"), tail(1), F.lit("foo..bar.py"), short]
+    named = f.select("repo_id", F.col("doc_id").alias("ord"), F.get(F.array(*kinds), (F.col("doc_id") % 7).cast("int")).alias("name"))
+    return budget.resolve_named_paths(named, f, max_chars=9_000)
 
 
 @query("SELECT repo_id, arg_max(path, (contains('/' || path, '/pages/api/'), size, path)) AS path, arg_max(size, (contains('/' || path, '/pages/api/'), size, path)) AS size FROM files_v GROUP BY 1")

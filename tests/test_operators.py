@@ -38,15 +38,83 @@ def test_walk_order(spark):
     assert got == ["b.py", "z.py", "a/z.py", "a/b/c.py"]
 
 
-def test_ignore_patterns(spark):
-    assert column(spark, ["a/b.py", "b.pyc", "docs/x.md", "a/docs/x.md"], lambda p: fs.path_match(p, ("*.py", "docs/"), ("a/docs/",))) == [True, False, True, False]
-
+def test_ignore_lists_by_hand(spark):
+    cases = [
+        (["*.py", "docs/"], {"a/b.py": True, "b.pyc": False, "docs/x.md": True, "a/docs/x.md": True, "docs": False}),
+        (["a/docs/"], {"a/docs/x.md": True, "b/a/docs/x.md": False}),
+        (["a/**/b"], {"a/b": True, "a/x/b": True, "a/x/y/b/c": True, "ab/b": False, "a/xb": False}),
+        (["x[!a]y"], {"xby": True, "d/xcy": True, "xay": False, "x/y": False}),
+        (["[a-c].py", "[]x].c", "a[[]b"], {"b.py": True, "d.py": False, "].c": True, "x.c": True, "a[b": True, "ab": False}),
+        (["src/**"], {"src/a/b.go": True, "src": False, "x/src/a": False}),
+        (["**/t.go", "/z.c"], {"t.go": True, "q/r/t.go": True, "qt.go": False, "z.c": True, "d/z.c": False}),
+        (["build/", "!build/keep.txt"], {"build/keep.txt": True, "build/x/y": True, "keep.txt": False}),
+        (["*", "!src/", "!*.md"], {"src/a.md": False, "src/a.py": True, "b/a.md": True, "c.md": False}),
+        (["*.log", "!keep.log"], {"a.log": True, "d/keep.log": False}),
+        (["!a.py", "*.py"], {"a.py": True}),
+        (["# note", "", "  ", "\\#x", "\\!y", "a b\\ ", "c \t", "q\\*"], {"# note": False, "#x": True, "!y": True, "a b ": True, "a b": False, "c": True, "q*": True, "qz": False}),
+        (["foo**bar", "**"], {"any": True}),
+        (["foo**bar"], {"foo1bar": True, "foo/bar": False}),
+        (["a?c", "/"], {"abc": True, "a/c": False, "ac": False}),
+    ]
+    for patterns, paths in cases:
+        got = column(spark, list(paths), lambda p: fs.matches_list(p, patterns))  # noqa: B023
+        assert dict(zip(paths, got)) == paths, patterns
+    assert column(spark, ["a.py", "b/a.py", "c.go"], lambda p: fs.path_match(p, ("*.py", "c.go"), ("b/",))) == [True, False, True]
+    assert column(spark, ["a.py"], lambda p: fs.path_match(p, ("# only a comment",))) == [True]
+
+
+def test_links_by_steps(spark):
+    """Links against a walk of each target, one segment after the other."""
+    import random
 
-def test_ignore_regex_by_hand():
-    hit = lambda pattern, path: re.search(fs.ignore_regex(pattern), path) is not None
-    yes = {"a/**/b": ["a/b", "a/x/b", "a/x/y/b/c"], "x[!a]y": ["xby", "d/xcy"], "[a-c].py": ["b.py"], "src/**": ["src/a/b.go"], "**/t.go": ["t.go", "q/r/t.go"], "*.go": ["x/y.go"], "/z.c": ["z.c"], "a[[]b": ["a[b"]}
-    no = {"a/**/b": ["ab/b", "a/xb"], "x[!a]y": ["xay", "x/y"], "[a-c].py": ["d.py"], "src/**": ["src", "x/src/a"], "**/t.go": ["qt.go"], "*.go": ["y.gob"], "/z.c": ["d/z.c"], "a[[]b": ["ab"]}
-    assert all(hit(p, x) for p, xs in yes.items() for x in xs) and not any(hit(p, x) for p, xs in no.items() for x in xs)
+    def real(path, links, files):
+        base, rest, hops = path.split("/")[:-1], links[path].split("/"), 1
+        if links[path].startswith("/"):
+            return None
+        while rest:
+            part, *rest = rest
+            if part in ("", "."):
+                continue
+            if part == "..":
+                if not base:
+                    return None
+                base = base[:-1]
+                continue
+            at = "/".join([*base, part])
+            if at not in links:
+                base = [*base, part]
+                continue
+            hops += 1
+            if hops > 40 or links[at].startswith("/"):
+                return None
+            rest = [*links[at].split("/"), *rest]
+        return "/".join(base) if "/".join(base) in files else None
+
+    rng, rows, want = random.Random(2), [], {}
+    for repo in range(60):
+        dirs = ["", "a/", "a/b/", "c/"]
+        files = {d + n for d in dirs for n in ("x.py", "y.py", ".env") if rng.random() < 0.8}
+        links = {}
+        for n in ("l1.py", "l2.py", "l3", "l4"):
+            target = "/".join(rng.choice(["..", ".", "a", "b", "c", "l3", "l4", "l1.py"]) for _ in range(rng.randint(0, 3)))
+            links[rng.choice(dirs) + n] = f"{target}/{rng.choice(['x.py', 'y.py', '.env', 'l2.py', 'l3'])}".lstrip("/") if rng.random() < 0.9 else "/etc/x"
+        rows += [(f"r{repo}", p, 1, None, p) for p in files] + [(f"r{repo}", p, 0, t, None) for p, t in links.items()]
+        want |= {(f"r{repo}", p): real(p, links, files) for p in links}
+    df = spark.createDataFrame(rows, "repo_id string, path string, size long, link_target string, content string")
+    got = {(r["repo_id"], r["path"]): r["real_path"] for r in fs.real_paths(df).collect()}
+    assert got == want and sum(x is not None for x in want.values()) > 30
+    taken = {(r["repo_id"], r["path"]): r["content"] for r in fs.follow_links(df).where("link_target is not null").collect()}
+    assert taken == {k: p for k, p in want.items() if p and not p.endswith(".env")}
+
+
+def test_link_shapes(spark):
+    files = {"src/y.py": None, "src/deep/z.py": None, ".env": None, "src/deep/up.py": "../y.py", "out.py": "./../x.py", "e1.py": "e2.py", "e2.py": ".env", "c1.py": "c2.py", "c2.py": "c1.py", "self.py": "self.py", "ok.py": "src/deep/up.py"}
+    df = spark.createDataFrame([("r", p, 1, t, None if t else p) for p, t in files.items()], "repo_id string, path string, size long, link_target string, content string")
+    got = [r["path"] for r in fs.list_files(df).orderBy("walk_rank").collect()]
+    assert got == ["ok.py", "src/y.py", "src/deep/up.py", "src/deep/z.py"]
+    long = [("r", f"l{i}.py", 1, f"l{i + 1}.py", None) for i in range(50)] + [("r", "l50.py", 1, None, "x")]
+    df = spark.createDataFrame(long, "repo_id string, path string, size long, link_target string, content string")
+    assert {r["path"] for r in fs.real_paths(df).where("real_path is not null").collect()} == {f"l{i}.py" for i in range(10, 50)}  # forty hops
 
 
 def test_go_scanner():
@@ -64,9 +132,9 @@ def test_scope(spark):
 def test_budgets(spark):
     rows = spark.createDataFrame([("r", f"p{i}", n, i) for i, n in enumerate([60, 50, 30, 20])], "repo_id string, path string, len long, ord int")
     names = lambda df: sorted(r["path"] for r in df.collect())
-    assert names(budget.budget_prefix(rows, 100)) == ["p0", "p1"]
-    assert names(budget.budget_prefix_min1(rows, 50)) == ["p0"]
-    assert names(budget.budget_greedy(rows, 100)) == ["p0", "p2"]
+    assert names(budget.budget_prefix(rows, 191)) == ["p0"] and names(budget.budget_prefix(rows, 192)) == ["p0", "p1"]  # a block of p0 has 60 + 131
+    assert names(budget.budget_prefix_min1(rows, 50)) == ["p0"] and names(budget.budget_prefix_min1(rows, 146)) == ["p0", "p1"]
+    assert names(budget.budget_greedy(rows, 193 + 163)) == ["p0", "p2"]
 
 
 def test_fair_share(spark):
@@ -362,12 +430,12 @@ def test_budgets_by_brute_force(spark):
     got = budget.budget_fair_share(spark.createDataFrame(queue, "repo_id string, layer string, path string, len long, ord int, blank boolean"), 9000).collect()
     for repo in {q[0] for q in queue}:
         assert sorted(r["path"] for r in got if r["repo_id"] == repo) == fair_share_by_turns([(q[1], q[2], q[3], q[5] or q[3] is None) for q in queue if q[0] == repo], 9000)
-    got = budget.budget_greedy(spark.createDataFrame(rows, "repo_id string, path string, len long, ord int"), 700).collect()
+    got = budget.budget_greedy(spark.createDataFrame(rows, "repo_id string, path string, len long, ord int"), 2700).collect()
     for repo in {r[0] for r in rows}:
-        left, want = 700, []
+        left, want = 2700, []
         for _, p, n, _ in (r for r in rows if r[0] == repo):
-            if n <= left:
-                left, want = left - n, [*want, p]
+            if n + len(p) + 131 <= left:
+                left, want = left - n - len(p) - 131, [*want, p]
         assert sorted(r["path"] for r in got if r["repo_id"] == repo) == sorted(want)
 
 
@@ -411,6 +479,53 @@ def test_links_of_a_tree(spark, tmp_path):
     (tmp_path / "r" / "src").mkdir(parents=True)
     for name in ("a.py", "b.py", "c.py"):
         (tmp_path / "r" / "src" / name).write_text("x")
-    links = spark.createDataFrame([("r", "src/b.py", "../../etc/passwd"), ("r", "src/c.py", "src/a.py")], "repo_id string, path string, link_target string")
+    links = spark.createDataFrame([("r", "src/b.py", "../../etc/passwd"), ("r", "src/c.py", "a.py")], "repo_id string, path string, link_target string")
     got = fs.list_files(readers.read_repo_files(spark, str(tmp_path), links=links)).orderBy("walk_rank").collect()
     assert [r["path"] for r in got] == ["src/a.py", "src/c.py"]
+
+
+def test_headers_of_secrets(spark):
+    heads = {
+        "--git .env .env": True, "--git i/.env w/.env": True, "--git a/x/.env b/x/.env": True, '--git "a/d\\303/key.pem" "b/d\\303/key.pem"': True, "--git i/my dir/.env w/my dir/.env": True, "--cc dir with blank/.netrc": True,
+        "--combined id_rsa": True, "--git a/.env b/settings.py": True, "--git a/settings.py b/.env": True, "--git a/.env.example b/.env.example": False, "--git a/env.py b/env.py": False, "--git a/x y b/x y": False, "--git src/app.py src/app.py": False,
+    }
+    body = "index 1..2\n-diff --git a/q b/q\n+SECRET=1\n"
+    df = spark.createDataFrame([("r", str(i), f" stat\n\ndiff {h}\n{body}diff --git a/z.py b/z.py\n+shown\n") for i, h in enumerate(heads)], "repo_id string, hash string, diff string")
+    got = {int(r["hash"]): r["diff"] for r in history.redact_diff(df, 10_000).collect()}
+    for i, (h, secret) in enumerate(heads.items()):
+        hidden = f" stat\n\ndiff {h}\n[contents omitted: credential-bearing file]\ndiff --git a/z.py b/z.py\n+shown\n"
+        assert got[i] == (hidden if secret else f" stat\n\ndiff {h}\n{body}diff --git a/z.py b/z.py\n+shown\n"), h
+
+
+def test_large_manifests_stay_on_the_surface(spark):
+    rows = [("r", "config/routes.rb", 600_000, "x"), ("r", "a/api.go", 600_000, 'r.Get("/a", x)'), ("r", "b/api.go", 100, 'r.Get("/a", x)')]
+    df = spark.createDataFrame(rows, "repo_id string, path string, size long, content string")
+    assert {r["path"] for r in classify.surface_files(df).collect()} == {"config/routes.rb", "b/api.go"}
+
+
+def test_layers_of_kept_files_only(spark):
+    rows = [("r", p, n, None, "x") for p, n in (("node_modules/x/routes/a.js", 1), ("routes/a.js", 1), ("routes/big.js", 900_000), ("routes/.env.js", 1), ("routes/notes.md", 1))]
+    df = spark.createDataFrame([*rows, ("r", "routes/l.js", 1, "notes.md", "x"), ("empty", "README.md", 1, None, "x")], "repo_id string, path string, size long, link_target string, content string")
+    assert {r["repo_id"]: r["route"] for r in classify.layer_counts(df).collect()} == {"r": 1, "empty": 0}
+    assert [r["path"] for r in budget.layer_queue(df).collect()] == ["routes/a.js"]
+
+
+def test_first_integration_directory(spark):
+    paths = ["integrations/a/x.py", "packages/integrations/b/x.py", "packages/app-store/_c/x.py", "packages/app-store/d.py", "src/integrations/e/x.py"]
+    df = spark.createDataFrame([("r", p) for p in paths] + [("s", "app-store/z/i.ts"), ("s", "app-store/y/i.ts"), ("s", "integrations/q/i.ts")], "repo_id string, path string")
+    assert sorted(tuple(r) for r in classify.integration_dirs(df).collect()) == [("r", "packages/integrations", "b"), ("s", "app-store", "y,z")]
+
+
+def test_named_paths_by_rule(spark):
+    text = {"src/a.py": "aa", "src/blank.py": " \n", "lib/deep/a.py": "b", "node_modules/only.js": "c", ".env": "S=1", "conf/.env": "S=2", "foo..bar.py": "d", "z/env": "e", "big.py": "x" * 50_000, "big2.py": "y" * 50_000, "big3.py": "z" * 39_000}
+    df = spark.createDataFrame([("r", p, t) for p, t in text.items()], "repo_id string, path string, content string")
+
+    def ask(names, **caps):
+        named = spark.createDataFrame([("r", i, n) for i, n in enumerate(names)], "repo_id string, ord int, name string")
+        return [r["path"] for r in budget.resolve_named_paths(named, df, **caps).orderBy("ord").collect()]
+
+    assert ask([" `src/a.py` ", "/deep/a.py", "a.py", "blank.py", "only.js", "node_modules/only.js"]) == ["src/a.py", "lib/deep/a.py", "lib/deep/a.py", None, None, "node_modules/only.js"]
+    assert ask([".env", "conf/.env", "../src/a.py", "src/../src/a.py", "foo..bar.py", "env", "nv", "``"]) == [None, None, None, "src/a.py", "foo..bar.py", "z/env", None, None]
+    assert ask(["no"] * 8 + ["src/a.py"]) == [None] * 9 and ask(["no"] * 7 + ["src/a.py"])[-1] == "src/a.py"  # the cap counts names
+    assert ask(["big.py", "src/a.py", "big2.py", "big3.py", "foo..bar.py"]) == ["big.py", "src/a.py", "big2.py", "big3.py", "foo..bar.py"]
+    assert ask(["big.py", "big2.py", "big.py", "src/a.py"]) == ["big.py", "big2.py", None, None]  # after the first overrun none is read
