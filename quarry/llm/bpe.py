@@ -145,7 +145,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id:
     Digests are of the decimal ids joined by commas, and of the bytes that the
     ids decode to. Null and empty texts have no tokens; lone surrogates cannot
     come from Spark strings; texts of any length are encoded whole; repeated rows
-    each get a row; other columns are not read. The vocabulary is sent to each executor once: its size is fixed.
+    each get a row; an empty table gives none; other columns are not read. The vocabulary is sent to each executor once: its size is fixed.
     """
     spark = docs.sparkSession
     ranks = load_ranks(spark, path)

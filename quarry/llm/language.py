@@ -49,10 +49,15 @@ def grams(text: str, step: int = 1 << 20) -> np.ndarray:
     return (v / (np.linalg.norm(v) or 1.0)).astype(np.float32)
 
 
+def row_costs(y: np.ndarray, c: float = 10.0) -> np.ndarray:
+    """What a row's hinge loss costs: ``c`` on average, and as much for all rows of one side as for the other."""
+    return np.where(y > 0, c * len(y) / (2 * max((y > 0).sum(), 1)), c * len(y) / (2 * max((y < 0).sum(), 1)))
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 15) -> np.ndarray:
     """Weights (the last one is the bias) of a linear SVM, y in (-1, 1), by dual coordinate descent."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    cost = np.where(y > 0, c * len(y) / (2 * max((y > 0).sum(), 1)), c * len(y) / (2 * max((y < 0).sum(), 1)))
+    cost = row_costs(y, c)
     w, alpha, norm = np.zeros(x.shape[1], np.float64), np.zeros(len(x)), (x.astype(np.float64) ** 2).sum(1)
     rng = np.random.default_rng(7)
     for _ in range(rounds):
@@ -112,16 +117,20 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 500) -> Model | None:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 500, most_languages: int = 200) -> Model | None:
     """Fit on about ``per_language`` labelled rows of each language that aren't held out.
 
     The rows are chosen by a hash of the id; their vectors (8 KB each) come to
     the driver, at most 2 * per_language a language. None where no row is labelled.
+    ``most_languages`` bounds what the driver gathers and fits; a table with more
+    values of lang is refused, as none of them can be left out.
     """
     bounded_batches(docs.sparkSession)
     known = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     known = known.where(F.col("lang").isNotNull() & F.coalesce(~held_out("id"), F.lit(True)) & F.rlike("text", F.lit(r"\p{L}")))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages: raise most_languages or map the labels first")
     if not counts:
         return None
     unit = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
@@ -142,8 +151,10 @@ def held_out(doc_id: str | Column) -> Column:
 def identify(docs: DataFrame, model: Model | None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score.
 
-    ``und`` with score 0 where the text is null or has no letter, or where
-    nothing was learned; texts of any length are read whole. Rows without an id are not held out; repeated rows each
+    The family of the greatest margin, its first by name among equals; in it the
+    language with most votes of the pairs' machines, then the greatest sum of
+    margins, then the first by name. ``und`` with score 0 where the text is null or has no letter, or where
+    nothing was learned; an empty table gives no rows; texts of any length are read whole. Rows without an id are not held out; repeated rows each
     get a row; only id and text are read.
     """
     bounded_batches(docs.sparkSession)

@@ -130,7 +130,8 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates=
     rarest words point to. score is the share of a found
     template's words that stand at its place (the best of them), at least 0.5
     where a phrase stands, else 0. Null and empty texts have no words and no
-    labels; repeated rows each get a row; other columns are not read.
+    labels; texts of any length are scanned whole; repeated rows each get a row;
+    an empty table gives none; other columns are not read.
     """
     parsed = parse(templates)
     base = docs.select(F.col(doc_id).alias("doc_id"), words_of(text).alias("ws"))

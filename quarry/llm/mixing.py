@@ -1,7 +1,7 @@
 """Mixing sources to target weights along a time-varying curriculum.
 
 Method: each source has a weight schedule over the training run, linear from
-``1 - tilt`` to ``1 + tilt`` of its mean weight. Its integral is the source's
+``1 - slope`` to ``1 + slope`` of its mean weight. Its integral is the source's
 cumulative token demand; inverting that at the tokens which stand before a
 document gives the document's training position, and the documents are
 range-sorted by position.
@@ -12,8 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.running import numbered
 from quarry.functions.shared import materialize
 
+#: Copies of a row that one value lists at most.
+STEP = 65_536
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -22,13 +25,13 @@ def text_size(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, per_bucket: int = 20_000) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, per_bucket: int = 20_000) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over the key's rows before this one in ``order``.
 
     ``order[0]`` is a hexadecimal digest, whose first digits deal each key's rows
     into ranges of about ``per_bucket`` rows or fewer: only range totals are
-    summed across ranges, so no task holds a whole key. ``df`` must be a stored
-    table: it is read twice.
+    summed across ranges, so no task holds a whole key. Digests must not repeat
+    without bound. ``df`` must be a stored table: it is read twice.
     """
     rows = df.count()
     digits = 2
@@ -44,13 +47,17 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
     return df.join(totals, [*keys, "_b"]).withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_b", "_before", "_inside")
 
 
-def source_targets(sizes: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
-    """(key, turn, source_size, target) of each source of ``sizes`` (key, size); turn numbers them from 0.
+def source_targets(sizes: DataFrame, weights=(1, 2, 3), most: int = 3, tilt: float = 0.5) -> DataFrame:
+    """(key, turn, source_size, target, slope) of each source of ``sizes`` (key, size); turn numbers them from 0.
 
     Sources take the weights in turn, by code point and null last, and share the
     words of all; a target stops at ``most`` times its source's words and the
     excess goes to the others by weight. Each round is one small aggregate over
     the sources; rounds end when no further source is above.
+
+    The schedules of even turns rise by ``slope`` and the others fall, by ``tilt``
+    on the side of fewer words and by less on the other, so that the demands of
+    all sources at x sum to x times the total.
     """
     sources = sizes.groupBy("key").agg(F.sum("size").alias("source_size"))
     dealt = materialize(sources.repartitionByRange("key").withColumn("_p", F.spark_partition_id()), "sources")
@@ -71,7 +78,12 @@ def source_targets(sizes: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFr
             break
         capped, level = got["n"], (total - got["c"]) / got["w"]
     share = cap.cast("double") if level is None else F.when(cap <= F.col("weight") * F.lit(level), cap.cast("double")).otherwise(F.col("weight") * F.lit(level))
-    return dealt.select("key", "turn", "source_size", share.alias("target"))
+    rows = dealt.select("key", "turn", "source_size", share.alias("target"))
+    even = F.col("turn") % 2 == 0
+    sides = rows.agg(F.sum(F.when(even, F.col("target"))).alias("e"), F.sum(F.when(~even, F.col("target"))).alias("o")).first()
+    e, o = sides["e"] or 0.0, sides["o"] or 0.0
+    up, down = (tilt * min(1.0, o / e) if e else 0.0), (tilt * min(1.0, e / o) if o else 0.0)
+    return rows.withColumn("slope", F.when(even, F.lit(up)).otherwise(F.lit(-down)))
 
 
 def _key(source: str | Column) -> Column:
@@ -80,8 +92,13 @@ def _key(source: str | Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("t"))
 
 
+def identity(doc_id: str, text: str | Column) -> Column:
+    """A digest of a row's id and text, by which the rows of a source are put in order."""
+    return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
+
+
 def plan(rows: DataFrame, weights=(1, 2, 3), most: int = 3, tilt: float = 0.5) -> DataFrame:
-    """(id, size, key, digest, source_size, target, taken, copies, position) for rows of (id, size, key, digest).
+    """(id, size, key, digest, n, nth, source_size, target, taken, copies, start, position) for rows of (id, size, key, digest).
 
     A source's words are taken in the order of the digest, round after round until
     the target is met. ``taken`` counts the words up to there, ``copies`` whole
@@ -89,41 +106,47 @@ def plan(rows: DataFrame, weights=(1, 2, 3), most: int = 3, tilt: float = 0.5) -
     the round's end. ``position``
     (0 to 1) is where its first copy comes in training; the schedules of every
     other source rise and the others fall, so the mix changes over time while
-    totals stay.
+    totals stay. The ``n`` rows that are alike in all four columns are one node
+    until their places are known, so no copies of any number meet in a task;
+    ``nth`` counts them from 0.
     """
-    rows = materialize(rows, "sizes")
-    targets = materialize(source_targets(rows.select("key", "size"), weights, most), "targets")
-    rows = running_total(rows, ["key"], ["digest", "id", "size"], "size", "start").join(targets, "key", "left")
+    nodes = materialize(rows.groupBy("id", "size", "key", "digest").agg(F.count("*").alias("n")), "sizes")
+    words = F.col("size") * F.col("n")
+    targets = materialize(source_targets(nodes.select("key", words.alias("size")), weights, most, tilt), "targets")
+    nodes = running_total(nodes, ["key"], ["digest", "id", "size"], words, "start").join(targets, "key", "left")
+    # copies come out of their node again in steps, as no value may hold all of them
+    steps = nodes.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(STEP).cast("long"))))
+    rows = steps.withColumn("nth", F.explode(F.sequence(F.col("step"), F.least(F.col("step") + STEP, F.col("n")) - 1))).drop("step").withColumn("start", F.col("start") + F.col("nth") * F.col("size"))
     whole = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
     rest = F.col("target") - whole * F.col("source_size")
     part = (F.col("size") > 0) & (2 * F.col("start") + F.col("size") < 2 * rest)
     last = F.least(F.greatest(F.floor(rest) - F.col("start"), F.lit(0)), F.col("size"))
     rows = rows.withColumn("taken", (F.col("size") * whole + last).cast("long"))
     rows = rows.withColumn("copies", F.when(F.col("size") > 0, whole + part.cast("long")).otherwise(0))
-    return rows.withColumn("position", position(F.col("start"), F.col("target"), F.col("turn"), tilt))
+    return rows.withColumn("position", position(F.col("start"), F.col("target"), F.col("slope")))
 
 
-def position(tokens: Column, target: Column, turn: Column, tilt: float) -> Column:
+def position(tokens: Column, target: Column, slope: Column) -> Column:
     """Training position at which the source's cumulative demand reaches ``tokens``.
 
-    Demand at x is target * (x + a (x^2 - x)), the integral of the schedule
-    1 + a (2x - 1) with a = tilt for sources of even turns and -tilt for others.
+    Demand at x is target * (x + slope (x^2 - x)), the integral of the schedule
+    1 + slope (2x - 1).
     """
-    a = F.when(turn % 2 == 0, F.lit(tilt)).otherwise(F.lit(-tilt))
     y = F.least(F.coalesce(tokens / F.when(target > 0, target), F.lit(0.0)), F.lit(1.0))
-    b = 1 - a
-    return (F.sqrt(b * b + 4 * a * y) - b) / (2 * a)
+    b = 1 - slope
+    return F.round(2 * y / (b + F.sqrt(b * b + 4 * slope * y)), 9)
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=(1, 2, 3), most: int = 3, tilt: float = 0.5) -> DataFrame:
     """One row per input row in training order: doc_id, size, source_size, target, taken, position.
 
     Null texts have size 0 and are never taken; null sources are one source, the
-    last; rows alike in doc_id and size are told apart by nothing, so which of
-    them is taken does not show; an empty table gives none. Only the three
+    last; texts of any length count whole; rows alike in doc_id and text are
+    told apart by nothing, so which of them is taken does not show; rows without
+    an id are ordered by their texts; an empty table gives none. Only the three
     columns are read.
     """
-    rows = docs.select(F.col(doc_id).alias("id"), text_size(text).alias("size"), _key(source).alias("key"), F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("digest"))
+    rows = docs.select(F.col(doc_id).alias("id"), text_size(text).alias("size"), _key(source).alias("key"), identity(doc_id, F.col(text)).alias("digest"))
     out = plan(rows, weights, most, tilt)
     out = out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "position")
     return materialize(out, "mix").orderBy("position", "doc_id")
@@ -134,27 +157,22 @@ def apply(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
 
     Null texts are of size 0 and never taken; null sources are one source; texts
     of any length count whole; an empty table gives none; extra columns stay.
-    Repeated input rows of one doc_id and size are planned together and each
-    gets its copies: the plan is joined on (doc_id, size, source) and the k-th
-    of such rows.
+    The plan is joined on id, size, source and the digest of id and text; rows
+    that repeat these are numbered, in ranges if they are many, and the k-th
+    gets the copies of the k-th.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), text_size(text).alias("size"), _key(source).alias("key"))
-    planned = plan(rows.select("id", "size", "key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")).alias("digest")), weights, most, tilt)
-    planned = materialize(planned.where("copies > 0"), "plan")
-    repeated = materialize(planned.groupBy("id", "size", "key").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
-    alike = ["id", "size", "key"]
-    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["size"] == b["size"]) & (a["key"] == b["key"])
-    cols = ["row", "copies", "start", "target", "turn"]
-    single = planned.join(repeated.select(*alike), same(planned, repeated), "left_anti")
-    r, p = rows.alias("r"), single.alias("p")
-    match = F.col("r.id").eqNullSafe(F.col("p.id")) & (F.col("r.size") == F.col("p.size")) & (F.col("r.key") == F.col("p.key"))
-    out = r.join(p, match).select("r.row", *(f"p.{c}" for c in cols[1:]), "p.source_size")
+    alike = ["id", "size", "key", "digest"]
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), text_size(text).alias("size"), _key(source).alias("key"), identity(doc_id, F.col(text)).alias("digest"))
+    planned = materialize(plan(rows.select(*alike), weights, most, tilt).where("copies > 0").select(*alike, "n", "nth", "copies", "start", "target", "slope", "source_size"), "plan")
+    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.size") == F.col(f"{b}.size")) & (F.col(f"{a}.key") == F.col(f"{b}.key")) & (F.col(f"{a}.digest") == F.col(f"{b}.digest"))
+    cols = ["row", "copies", "start", "target", "slope", "source_size"]
+    out = rows.alias("r").join(planned.where("n = 1").alias("p"), same("r", "p")).select("r.row", *(f"p.{c}" for c in cols[1:]))
+    repeated = planned.where("n > 1")
     if repeated.take(1):
-        k = F.row_number().over(Window.partitionBy(*alike).orderBy("start"))
-        left = planned.join(repeated.select(*alike), same(planned, repeated), "left_semi").withColumn("k", k).alias("p")
-        again = rows.join(repeated.select(*alike), same(rows, repeated), "left_semi").withColumn("k", F.row_number().over(Window.partitionBy(*alike).orderBy(F.xxhash64("row")))).alias("r")
-        out = out.unionByName(again.join(left, match & (F.col("r.k") == F.col("p.k"))).select("r.row", *(f"p.{c}" for c in cols[1:]), "p.source_size"))
+        again = rows.alias("r").join(repeated.select(*alike).distinct().alias("p"), same("r", "p"), "left_semi").select("r.*")
+        again = numbered(again, alike, [F.xxhash64("row")], "k")
+        out = out.unionByName(again.alias("r").join(repeated.alias("p"), same("r", "p") & (F.col("r.k") == F.col("p.nth") + 1)).select("r.row", *(f"p.{c}" for c in cols[1:])))
     copy = out.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
-    at = position(F.col("start") + F.col("copy") * F.col("source_size"), F.col("target"), F.col("turn"), tilt)
+    at = position(F.col("start") + F.col("copy") * F.col("source_size"), F.col("target"), F.col("slope"))
     placed = materialize(copy.select("row", at.alias("_at"), "copy"), "placed")
     return placed.orderBy("_at", f"row.{doc_id}", "copy").select("row.*")

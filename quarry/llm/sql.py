@@ -52,15 +52,17 @@ SELECT page_id, host, path, CASE{rule} END AS rule, coalesce(CASE{verdict} END,
 
 
 #: The level of the targets is found by trying each number of sources at their cap, in the order in which they reach it.
-_OP7 = r"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce('s' || source, 't') AS key, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint AS size, md5(coalesce(doc_id::varchar, '')) AS digest FROM documents),
+_OP7 = r"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce('s' || source, 't') AS key, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint AS size, md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) AS digest FROM documents),
 s AS (SELECT key, sum(size)::bigint AS source_size FROM d GROUP BY key), w AS (SELECT *, row_number() OVER (ORDER BY key) - 1 AS turn, (row_number() OVER (ORDER BY key) - 1) % 3 + 1 AS weight FROM s),
 o AS (SELECT *, 3 * source_size / weight::double AS at_level FROM w),
 c AS (SELECT a.at_level, coalesce(sum(3 * b.source_size) FILTER (b.at_level < a.at_level), 0) AS capped, sum(b.weight) FILTER (b.at_level >= a.at_level) AS open FROM (SELECT DISTINCT at_level FROM o) a, o b GROUP BY a.at_level),
 l AS (SELECT arg_min(((SELECT sum(source_size) FROM s) - capped) / open, at_level) AS level FROM c WHERE ((SELECT sum(source_size) FROM s) - capped) / open < at_level),
-t AS (SELECT key, source_size, CASE WHEN turn % 2 = 0 THEN 0.5::double ELSE -0.5::double END AS a, CASE WHEN 3 * source_size <= weight * level THEN (3 * source_size)::double ELSE weight * level END AS target FROM w, l),
+g AS (SELECT key, source_size, turn, CASE WHEN 3 * source_size <= weight * level THEN (3 * source_size)::double ELSE weight * level END AS target FROM w, l),
+e AS (SELECT coalesce(sum(target) FILTER (turn % 2 = 0), 0) AS even, coalesce(sum(target) FILTER (turn % 2 = 1), 0) AS odd FROM g),
+t AS (SELECT *, CASE WHEN turn % 2 = 0 THEN 0.5::double * least(1.0::double, odd / nullif(even, 0)) ELSE -0.5::double * least(1.0::double, even / nullif(odd, 0)) END AS a FROM g, e),
 r AS (SELECT doc_id, size, source_size, target, a, floor(target / greatest(source_size, 1)) AS whole, coalesce(sum(size) OVER (PARTITION BY key ORDER BY digest, doc_id, size, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN t USING (key)),
 p AS (SELECT *, least(coalesce(start / nullif(target, 0), 0), 1.0::double) AS y, 1 - a AS b FROM r)
-SELECT doc_id, size, source_size, target, (sqrt(b * b + 4 * a * y) - b) / (2 * a) AS position, (size * whole + least(greatest(floor(target - whole * source_size) - start, 0), size))::bigint AS taken FROM p"""
+SELECT doc_id, size, source_size, target, round(2 * y / (b + sqrt(b * b + 4 * a * y)), 9) AS position, (size * whole + least(greatest(floor(target - whole * source_size) - start, 0), size))::bigint AS taken FROM p"""
 
 _OP8 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 q AS (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id),

@@ -186,7 +186,7 @@ def score(docs: DataFrame, machine: Machine | None, text: str = "text", doc_id:
     Null and empty texts have no terms and score as the bias says; texts of any
     length are read whole, each term counts once; all rows score 0 where nothing
     was learned. Rows without an id are not held out;
-    repeated rows each get a row; only id and text are read.
+    repeated rows each get a row; an empty table gives none; only id and text are read.
     """
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(machine)

@@ -435,14 +435,18 @@ def test_letters_decide_und(spark):
 
 def test_schedule_by_integration(spark, docs):
     """Each position is where the integral of the source's weight schedule has the tokens before it, and tenths of training hold its share."""
-    out = mixing.plan(docs.select(F.col("doc_id").alias("id"), mixing.text_size("text").alias("size"), mixing._key("source").alias("key"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("digest")))
+    out = mixing.plan(docs.select(F.col("doc_id").alias("id"), mixing.text_size("text").alias("size"), mixing._key("source").alias("key"), mixing.identity("doc_id", F.col("text")).alias("digest")))
     turns = {}
     x = np.linspace(0, 1, 20_001)
     for r in out.collect():
-        a = 0.5 if r["turn"] % 2 == 0 else -0.5
+        a = r["slope"]
+        assert abs(a) <= 0.5 and (a >= 0) == (r["turn"] % 2 == 0)
         demand = r["target"] * np.concatenate([[0], np.cumsum((1 + a * (2 * (x[1:] + x[:-1]) / 2 - 1)) * np.diff(x))])
         assert abs(np.interp(r["position"], x, demand) - min(r["start"], r["target"])) <= 1e-6 * max(r["target"], 1)
         turns.setdefault((r["turn"], a, r["target"], r["source_size"]), []).append((r["position"], r["size"]))
+    total = sum(t for _, _, t, _ in turns)  # what all sources are due at any point is that share of the whole
+    for at in (0.1, 0.5, 0.8):
+        assert abs(sum(t * (at + a * (at * at - at)) for _, a, t, _ in turns) - at * total) <= 1e-6 * total
     for (_, a, target, whole), rows in turns.items():
         if target >= whole:  # every word comes once at least: tenths of the first round follow the schedule
             end = np.interp(whole, target * (x + a * (x * x - x)), x)
@@ -453,6 +457,73 @@ def test_schedule_by_integration(spark, docs):
     assert [r["position"] for r in mixed] == sorted(r["position"] for r in mixed) and len(mixed) == docs.count()
 
 
+def test_mixing_of_rows_without_ids(spark, monkeypatch):
+    """Rows without an id, and copies of one row, are spread over the ranges and taken like others."""
+    monkeypatch.setattr(mixing, "STEP", 100)
+    rows = [(None, f"{i} a b", "s", i % 3) for i in range(900)] + [(7, "x y z", "s", 0)] * 450 + [(100 + i, f"w {i}", "t", 0) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    digests = docs.select(F.substring(mixing.identity("doc_id", F.col("text")), 1, 1).alias("b")).where("doc_id is null").groupBy("b").count().collect()
+    assert max(r["count"] for r in digests) < 120
+    planned = mixing.plan(docs.select(F.col("doc_id").alias("id"), mixing.text_size("text").alias("size"), mixing._key("source").alias("key"), mixing.identity("doc_id", F.col("text")).alias("digest"))).collect()
+    assert len(planned) == 1400 and sorted(r["nth"] for r in planned if r["id"] == 7) == list(range(450))
+    starts = sorted((r["start"], r["size"]) for r in planned if r["key"] == "ss")
+    assert [s for s, _ in starts] == np.cumsum([0, *(n for _, n in starts[:-1])]).tolist()
+    taken = Counter((r["doc_id"], r["text"], r["n"]) for r in mixing.apply(docs).collect())
+    copies = Counter()
+    for r in planned:
+        copies[r["id"], r["digest"]] += r["copies"]
+    digest = {(r["doc_id"], r["text"]): r["d"] for r in docs.select("doc_id", "text", mixing.identity("doc_id", F.col("text")).alias("d")).collect()}
+    got = Counter()
+    for (i, t, _), c in taken.items():
+        got[i, digest[i, t]] += c
+    assert got == +copies
+
+
+def test_votes_by_a_loop_over_all_machines():
+    """Machines against a plain solver of the same objective; families and pairs against a loop over every machine."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 6)).astype(np.float32)
+    langs = np.array([["aa", "ab", "ac", "ba", "bb", "c"][i % 6] for i in range(120)], dtype=object)
+    x += np.array([[ord(c) % 7 for c in (lang * 6)[:6]] for lang in langs], np.float32) / 3
+    families = {"A": ("aa", "ab", "ac"), "B": ("ba", "bb")}
+    model = language.Model(x, langs, families)
+    assert model.families == ["=c", "A", "B"] and sorted(model.pairs) == [("aa", "ab"), ("aa", "ac"), ("ab", "ac"), ("ba", "bb")]
+    for v in rng.normal(size=(200, 6)).astype(np.float32) * 2:
+        one = np.append(v, np.float32(1))
+        margins = [float(m @ one) for m in model.top]
+        f = model.families[margins.index(max(margins))]
+        ls = model.members[f]
+        votes = {a: sum((model.pairs[a, b] @ one > 0) if (a, b) in model.pairs else (model.pairs[b, a] @ one <= 0) for b in ls if b != a) for a in ls}
+        sums = {a: sum(float(model.pairs[a, b] @ one) if (a, b) in model.pairs else -float(model.pairs[b, a] @ one) for b in ls if b != a) for a in ls}
+        best = max(votes.values())
+        assert model.predict(v)[0] in [a for a in ls if votes[a] == best] and model.predict(v)[0] == max(ls, key=lambda a: (votes[a], round(sums[a], 4)))
+    tied = language.Model(np.eye(3, dtype=np.float32)[[0, 1, 2] * 4], np.array(["aa", "ab", "ac"] * 4, dtype=object), families)
+    assert tied.predict(np.zeros(3, np.float32))[0] == "aa" and 0 <= tied.predict(np.zeros(3, np.float32))[1] <= 1
+
+
+def test_svm_objective_by_a_plain_solver():
+    """Subgradient steps on half the squared norm and the weighted hinge losses come no lower than the machine."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(80, 5)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] + 0.3 * rng.normal(size=80) > 0, 1.0, -1.0)
+    w = language.fit_svm(x, y, rounds=400)
+    xs = np.hstack([x, np.ones((80, 1), np.float32)]).astype(float)
+    cost = language.row_costs(y)
+    value = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - y * (xs @ v))).sum()
+    v, best = np.zeros(6), np.inf
+    for k in range(40_000):
+        on = y * (xs @ v) < 1
+        v = v - (v - (cost[on] * y[on]) @ xs[on]) / (k + 10)
+        best = min(best, value(v))
+    assert value(w.astype(float)) <= best * 1.01
+
+
+def test_too_many_languages_are_refused(spark):
+    docs = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(30)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        language.train(docs, most_languages=5)
+
+
 def test_machine_by_double_loop():
     rng = np.random.default_rng(2)
     rows = [np.unique(rng.integers(0, 300, 25)) for _ in range(600)]
