@@ -12,7 +12,8 @@ from pyspark.sql.functions import pandas_udf
 
 from quarry.functions import constants as C
 from quarry.operators.classify import arch_source_kind, integration_dirs
-from quarry.operators.files import basename, under_skip_dir, walk_key
+from quarry.operators.files import under_skip_dir, walk_key
+from quarry.operators.imports import go_module
 
 READ_LIMIT, ENV_LIMIT = 200_000, 40_000
 
@@ -269,8 +270,8 @@ def sdk_imports(files: DataFrame, cap: int = 400) -> DataFrame:
     js = js.select("repo_id", "path", (F.col("pos") + 1).alias("line"), name.alias("sdk"), F.lit(0).alias("part"))
     go = files.where((ext == "go") & ~F.col("path").rlike(r"(^|/)vendor/") & F.col("content").rlike("(?m)" + C.GO_PATH)).select("repo_id", "path", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
     go = go.withColumn("module", F.regexp_extract("text", C.GO_PATH, 1)).where("module <> ''")
-    own = files.where(basename("path") == "go.mod").groupBy("repo_id").agg(F.min_by(F.regexp_extract("content", r"(?m)^module\s+(\S+)", 1), F.struct(F.length("path"), "path")).alias("own"))
-    go = go.join(own, "repo_id", "left").where("own is null or own = '' or not (module = own or startswith(module, own || '/'))")
+    own = files.where("path = 'go.mod'").select("repo_id", go_module("content").alias("own")).where("own is not null").dropDuplicates(["repo_id"])
+    go = go.join(own, "repo_id", "left").where("own is null or not (module = own or startswith(module, own || '/'))").where(go_sdk_name(F.col("module")).rlike(r"^[A-Za-z0-9._-]+$"))
     go = go.select("repo_id", "path", (F.col("pos") + 1).alias("line"), go_sdk_name(F.col("module")).alias("sdk"), F.lit(1).alias("part"))
     rows = js.unionByName(go).dropDuplicates(["repo_id", "path", "line", "sdk"])
     w = Window.partitionBy("repo_id")

@@ -625,34 +625,45 @@ def arch_stats(spark, d):
 
 # ---- imports
 
-@query()
-def extract_imports(spark, d):
-    return imports.extract_imports(v.files(spark, d))
+#: Specifiers from the texts: joined lines, several statements and names on a line, comments apart.
+_SPECS = r"""stmts AS (SELECT repo_id, path, unnest(string_split(replace(replace(regexp_replace(content, '#[^\n]*', '', 'g'), '\' || chr(10), ' '), ';', chr(10)), chr(10))) AS s FROM sources_v WHERE path LIKE '%.py'),
+pyspecs AS (SELECT DISTINCT repo_id, path, spec FROM (SELECT repo_id, path, regexp_extract(s, '^\s*from\s+([A-Za-z_][\w.]*)\s+import\b', 1) AS spec FROM stmts UNION ALL SELECT repo_id, path, trim(unnest(string_split(regexp_extract(s, '^\s*import\s+(.*)$', 1), ','))) FROM stmts) WHERE regexp_full_match(spec, '[A-Za-z_][\w.]*')),
+jsspecs AS (SELECT DISTINCT repo_id, path, unnest(regexp_extract_all(regexp_replace(content, '//[^\n]*', '', 'g'), '\bimport\s+(?:[\w{}*,\s]+\sfrom\s+)?[''"]([^''"]+)[''"]', 1)) AS spec FROM sources_v WHERE regexp_matches(path, '\.(js|mjs|cjs|jsx|ts|tsx)$')),
+gospecs AS (SELECT DISTINCT repo_id, path, unnest(list_concat(regexp_extract_all(content, '(?m)^import\s+"([^"]+)"', 1), regexp_extract_all(regexp_extract(content, '(?m)^import\s*\(([^)]*)\)', 1), '["`]([^"`]+)["`]', 1))) AS spec FROM sources_v WHERE path LIKE '%.go'),
+specs AS (SELECT repo_id, path, 'py' AS lang, spec FROM pyspecs UNION ALL SELECT repo_id, path, CASE WHEN regexp_matches(path, '\.tsx?$') THEN 'ts' ELSE 'js' END, spec FROM jsspecs UNION ALL SELECT repo_id, path, 'go', spec FROM gospecs)"""
 
 
-#: Statements at the start of a line; one import each, as in the stand-in.
-_PYSPECS = r"specs AS (SELECT repo_id, path, unnest(regexp_extract_all(content, '(?m)^[ \t]*(?:import|from)[ \t]+([A-Za-z_][\w.]*)', 1)) AS spec FROM files_v WHERE path LIKE '%.py')"
+@query(f"WITH {_SPECS} SELECT * FROM specs")
+def extract_imports(spark, d):
+    return imports.extract_imports(v.sources(spark, d))
 
 
-_PYEDGE = f"{_PYSPECS}, c AS (SELECT repo_id, path, spec, unnest([replace(spec, '.', '/') || '.py', replace(spec, '.', '/') || '/__init__.py']) AS to_path FROM specs), h AS (SELECT DISTINCT c.* FROM c JOIN files_v f ON f.repo_id = c.repo_id AND f.path = c.to_path), pyedge AS (SELECT DISTINCT repo_id, path AS from_path, min(to_path) AS to_path FROM h GROUP BY repo_id, path, spec HAVING count(*) = 1 AND path <> min(to_path))"
+_PYEDGE = "c AS (SELECT repo_id, path, spec, unnest([replace(spec, '.', '/') || '.py', replace(spec, '.', '/') || '/__init__.py']) AS to_path FROM pyspecs), h AS (SELECT DISTINCT c.* FROM c JOIN files_v f ON f.repo_id = c.repo_id AND f.path = c.to_path), pyedge AS (SELECT DISTINCT repo_id, path AS from_path, min(to_path) AS to_path FROM h GROUP BY repo_id, path, spec HAVING count(*) = 1)"
 
 
-@query(f"WITH {_PYEDGE} SELECT * FROM pyedge")
+@query(f"WITH {_SPECS}, {_PYEDGE} SELECT * FROM pyedge")
 def resolve_python(spark, d):
     f = v.files(spark, d)
     return imports.resolve_python(imports.extract_imports(f), f)
 
 
-_JSEDGE = """jsedge AS (SELECT DISTINCT a.repo_id, a.path AS from_path, b.path AS to_path FROM files_v a JOIN files_v b ON a.repo_id = b.repo_id AND a.path <> b.path AND b.path = CASE
-  WHEN regexp_matches(a.path, '^web/src/lib\\d+\\.ts$') OR regexp_matches(a.path, '^web/pages/api/p\\d+\\.ts$') THEN 'web/src/lib' || (a.doc_id % 270) || '.ts' WHEN regexp_matches(a.path, '^src/middleware/auth\\d+\\.js$') THEN 'src/middleware/auth' || (a.doc_id % 270) || '.js' END)"""
+_JSEDGE = r"""jsbase AS (SELECT *, array_to_string(list_append(dirs[:len(dirs) - up], rest), '/') AS base FROM (SELECT *, string_split(path, '/')[:-2] AS dirs, len(regexp_extract_all(spec, '\.\./')) AS up, regexp_replace(spec, '^(\.{1,2}/)+', '') AS rest FROM specs WHERE lang IN ('js', 'ts') AND starts_with(spec, '.'))),
+jscand AS (SELECT repo_id, path, spec, base, base AS to_path FROM jsbase UNION ALL SELECT repo_id, path, spec, base, base || unnest(CASE lang WHEN 'js' THEN ['.js', '.mjs', '.cjs', '.jsx', '/index.js', '/index.jsx'] ELSE ['.ts', '.tsx', '/index.ts', '/index.tsx'] END) FROM jsbase WHERE NOT contains(string_split(base, '/')[-1], '.')),
+jshit AS (SELECT c.repo_id, path, spec, c.to_path, c.to_path = base AS same, count(*) OVER (PARTITION BY c.repo_id, path, spec) AS n FROM jscand c JOIN (SELECT DISTINCT repo_id, path AS to_path FROM files_v) f ON f.repo_id = c.repo_id AND f.to_path = c.to_path),
+jsedge AS (SELECT DISTINCT repo_id, path AS from_path, to_path FROM jshit WHERE same OR n = 1)"""
 
 
-@query(f"WITH {_JSEDGE} SELECT * FROM jsedge")
+@query(f"WITH {_SPECS}, {_JSEDGE} SELECT * FROM jsedge")
 def resolve_relative_js(spark, d):
     f = v.files(spark, d)
     return imports.resolve_relative_js(imports.extract_imports(f), f)
 
 
+_GOEDGE = rf"""mods AS (SELECT repo_id, regexp_extract(regexp_replace(replace(content, '"', ''), '//[^\n]*', '', 'g'), 'module\s*\(?\s*([^\s()]+)', 1) AS module FROM sources_v WHERE path = 'go.mod'),
+gofile AS (SELECT repo_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir FROM files_v WHERE ends_with(path, '.go') AND NOT {_TEST}),
+goedge AS (SELECT DISTINCT s.repo_id, s.path AS from_path, g.path AS to_path FROM gospecs s JOIN mods m USING (repo_id) JOIN gofile g ON g.repo_id = s.repo_id AND s.spec || '/' = m.module || '/' || CASE WHEN g.dir = '' THEN '' ELSE g.dir || '/' END WHERE g.dir <> regexp_replace(s.path, '/?[^/]*$', ''))"""
+
+
 def _go_repo(spark, d):
     """Go files of one module a repository, each importing the package of its neighbours."""
     base = v.files(spark, d).select("repo_id", "doc_id")
@@ -661,15 +672,15 @@ def _go_repo(spark, d):
     return go.unionByName(mod)
 
 
-@query("WITH g AS (SELECT repo_id, doc_id, 'p' || (doc_id % 9) AS dir, 'p' || ((doc_id + 1) % 9) AS want, 'p' || (doc_id % 9) || '/f' || doc_id || '.go' AS path FROM files_v) SELECT DISTINCT a.repo_id, a.path AS from_path, b.path AS to_path FROM g a JOIN g b ON a.repo_id = b.repo_id AND a.want = b.dir")
+@query(f"WITH {_SPECS}, {_GOEDGE} SELECT * FROM goedge")
 def resolve_go_packages(spark, d):
-    f = _go_repo(spark, d)
+    f = v.sources(spark, d)
     return imports.resolve_go_packages(imports.extract_imports(f), f)
 
 
-@query(f"WITH {_PYEDGE}, {_JSEDGE} SELECT DISTINCT *, 'imports' AS kind FROM (SELECT * FROM pyedge UNION ALL SELECT * FROM jsedge)")
+@query(f"WITH {_SPECS}, {_PYEDGE}, {_JSEDGE}, {_GOEDGE} SELECT DISTINCT *, 'imports' AS kind FROM (SELECT * FROM pyedge UNION ALL SELECT * FROM jsedge UNION ALL SELECT * FROM goedge)")
 def import_edges(spark, d):
-    return imports.import_edges(v.files(spark, d))
+    return imports.import_edges(v.sources(spark, d))
 
 
 @query(f"SELECT repo_id, count(*) FILTER (regexp_matches(path, '\\.(py|js|mjs|cjs|jsx|ts|tsx|go)$') AND content IS NOT NULL) AS covered, count(*) AS total FROM files_v GROUP BY 1")

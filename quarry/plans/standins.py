@@ -9,11 +9,11 @@ from quarry.operators import usage
 
 #: (path, head, whether the document's text follows). § is the document's number, ¤ the number modulo 270, ten times the number of templates, so that what it names exists.
 TEMPLATES = (
-    ("src/app/views/page§.py", "import os\nfrom pkg.m¤ import thing\nimport stripe\n", True),
+    ("src/app/views/page§.py", "import os\nfrom pkg.m¤ import thing\nimport stripe\nimport sys, \\\n    app.models as am, pkg; import json # import no.comment\n", True),
     ("pkg/m§.py", "import pkg.m¤\nfrom app.models import User\n", True),
     ("server/handlers/h§_handler.go", 'package h\nimport (\n\t"net/http"\n\t"github.com/stripe/stripe-go/v74"\n)\n// r.GET("/no", x)\nfunc R() { r := http.NewServeMux(); r.Get("/a", x); r.Post("/b", y); r.Put("/c", z); r.Delete("/d", w) }\n', True),
     ("cmd/s§/main.go", 'package main\nimport "net/http"\nfunc main() { http.ListenAndServe(":80", nil) }\n', True),
-    ("web/src/lib§.ts", "import { a } from './lib¤'\nimport Stripe from 'stripe'\nconst s = new Stripe(key)\n", True),
+    ("web/src/lib§.ts", "import { a } from './lib¤'\nimport Stripe from 'stripe'\nconst s = new Stripe(key)\nimport x from '../pages/api/p¤'; import y from './lib¤.ts' // import z from './no'\n", True),
     ("web/pages/api/p§.ts", "import x from '../../src/lib¤'\n", True),
     ("m§/package.json", '{"dependencies": {"react": "^18.0", "lib§": "1.0"}, "devDependencies": {"react": "^19.0", "jest": "29"}}', False),
     ("n§/package.json", '{"dependencies": {broken', False),
@@ -25,7 +25,7 @@ TEMPLATES = (
     ("db§/schema.sql", "CREATE TABLE orders§ (id int);\nCREATE TABLE `users` (id int);\n", True),
     ("app§/models.py", "class Order§(models.Model):\n    pass\n", True),
     ("docs/guide§.md", "# Guide\n", True),
-    ("src/store/s§_store.go", 'package s\nconst q = "CREATE TABLE IF NOT EXISTS items§ (id int)"\n', True),
+    ("src/store/s§_store.go", 'package s\nimport (\n\t"example.org/app/server/handlers" // all\n\tm `example.org/app/cmd/s¤`\n\t"example.org/apple"\n)\nconst q = "CREATE TABLE IF NOT EXISTS items§ (id int)"\n', True),
     ("src/services/user§.rb", "", True),
     ("src/middleware/auth§.js", "import z from './auth¤.js'\n", True),
     ("src/x§.test.ts", "", True),
@@ -90,6 +90,18 @@ def files(spark, d) -> DataFrame:
     return rows.select("repo_id", "path", listed.cast("long").alias("size"), F.lit(None).cast("string").alias("link_target"), "content", "doc_id")
 
 
+#: A go.mod at the root of a repository, in three forms of the same module.
+MODULES = ("module example.org/app // own\n", 'go 1.22\n\nmodule "example.org/app"\n', "// module no\nmodule (\n\texample.org/app\n)\n")
+
+
+def sources(spark, d) -> DataFrame:
+    """The files and each repository's go.mod."""
+    rows = files(spark, d)
+    text = F.get(F.array(*map(F.lit, MODULES)), F.length("repo_id") % 3)
+    mods = rows.select("repo_id").distinct().select("repo_id", F.lit("go.mod").alias("path"), F.length(text).cast("long").alias("size"), F.lit(None).cast("string").alias("link_target"), text.alias("content"), F.lit(None).cast("long").alias("doc_id"))
+    return rows.unionByName(mods)
+
+
 def links(spark, d) -> DataFrame:
     """Links of the stand-in repositories, as rows of their files."""
     each = F.inline(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(t).alias("t")) for p, t in LINKS)))
@@ -147,6 +159,7 @@ VIEWS = {
     "eras_v": "SELECT 'repo' || r AS repo_id, e.* FROM range(7) t(r), (VALUES " + ", ".join(f"({i}, '{n}', '{s}', {_lit(e)})" for i, n, s, e in ERAS) + ") e(era_index, name, start_month, end_month)",
     "files_v": f"""SELECT source AS repo_id, CASE WHEN doc_id % {N} = {INTEGRATION} THEN ({_list(INTEGRATION_PREFIXES)})[doc_id % 4 + 1] ELSE '' END || {_fill(0)} AS path, (strlen(content) + CASE WHEN doc_id % {N} IN {LARGE} AND doc_id % 5 = 0 THEN 600000 ELSE 0 END)::bigint AS size, content, doc_id FROM (
       SELECT source, doc_id, {_fill(1)} || CASE WHEN ({_list([t[2] for t in TEMPLATES])})[doc_id % {N} + 1] THEN coalesce(text, '') ELSE '' END AS content FROM documents)""",
+    "sources_v": f"SELECT repo_id, path, content FROM files_v UNION ALL SELECT DISTINCT repo_id, 'go.mod', ({_list(MODULES)})[length(repo_id) % 3 + 1] FROM files_v",
     "links_v": "SELECT repo_id, replace(l.p, '§', doc_id::varchar) AS path, replace(replace(l.t, '§', doc_id::varchar), '¶', f.path) AS link_target FROM files_v f, (VALUES " + ", ".join(f"({_lit(p)}, {_lit(t)})" for p, t in LINKS) + ") l(p, t)",
     "replies_v": """SELECT source AS repo_id, doc_id AS prompt_id, 'intro
 ## Overview

@@ -529,3 +529,96 @@ def test_named_paths_by_rule(spark):
     assert ask(["no"] * 8 + ["src/a.py"]) == [None] * 9 and ask(["no"] * 7 + ["src/a.py"])[-1] == "src/a.py"  # the cap counts names
     assert ask(["big.py", "src/a.py", "big2.py", "big3.py", "foo..bar.py"]) == ["big.py", "src/a.py", "big2.py", "big3.py", "foo..bar.py"]
     assert ask(["big.py", "big2.py", "big.py", "src/a.py"]) == ["big.py", "big2.py", None, None]  # after the first overrun none is read
+
+
+def test_python_imports_by_the_language_itself():
+    """Generated programs against Python's own parser."""
+    import ast
+    import random
+
+    def wanted(text):
+        out = set()
+        for node in ast.walk(ast.parse(text)):
+            if isinstance(node, ast.Import):
+                out |= {a.name for a in node.names if a.asname is None}
+            elif isinstance(node, ast.ImportFrom) and node.level == 0 and node.module != "__future__":
+                out.add(node.module)
+        return out
+
+    rng = random.Random(6)
+    name = lambda: ".".join(rng.choice(["a", "b1", "_c", "dé", "imports", "from_x"]) for _ in range(rng.randint(1, 3)))
+    simple = [
+        lambda: f"import {name()}", lambda: f"import {name()}, {name()} as z,{name()}", lambda: f"from {name()} import q", lambda: f"from {name()} import (p, # import no\n  q,\n)", lambda: "from . import q", lambda: f"from .{name()} import q as r",
+        lambda: f"import {name()}, \\\n   {name()}", lambda: f"from {name()} \\\n import q", lambda: "x = 'import no'", lambda: 'y = """\nimport no\nfrom no import no\n"""', lambda: "z = [\n  'import', # import no\n  1,\n]", lambda: "w = {1: 2}  # import no",
+        lambda: "t = r'\\\\'", lambda: "u = 'it\\'s; import no'", lambda: 'v = "a\\\\"', lambda: "k = x[1:2]", lambda: "f(lambda q: q,\n  r=1)", lambda: "n: int = 3", lambda: 'h = """a\\\\"""', lambda: "importer = 1", lambda: "pass",
+    ]
+    for _ in range(400):
+        lines = []
+        for _ in range(rng.randint(1, 8)):
+            text = rng.choice(simple)()
+            kind = rng.randint(0, 4)
+            if kind == 0:
+                text = f"if x: {text}"
+            elif kind == 1:
+                text = f"def f(a: int = 1):\n    {text}\n    pass"
+            elif kind == 2 and "#" not in text:
+                text = f"{text}; {rng.choice(simple)()}"
+            lines.append(text)
+        text = "from __future__ import annotations\n" * (rng.random() < 0.2) + "\n".join(lines) + "\n"
+        assert imports.python_imports(text) == wanted(text), text
+
+
+def test_script_imports_by_construction():
+    """Programs whose imports are known as they are put together."""
+    import random
+
+    rng = random.Random(7)
+    q = lambda x: rng.choice([f"'{x}'", f'"{x}"'])
+
+    def statement():
+        spec = rng.choice(["./a", "../b/c.js", "react", "@x/y", "./d e"])
+        clause = rng.choice(["a", "{ a, b as c }", "* as n", "d, { e }", "d, * as f", "type { T }", "{\n  a, // import x from 'no'\n  b,\n}", "from", "{ default as $x }", ""])
+        return f"import {clause} from {q(spec)}" if clause else f"import {q(spec)}", {spec}
+
+    others = [
+        "const a = require('no')", "import('no')", "await import(\n'no')", "export { a } from 'no'", "export * from 'no'", "// import a from 'no'", "/* import a from 'no'\n */", "`import a from 'no'`", "`${ x ? `import a from 'no'` : {a: 1}.a } import b from 'no'`",
+        "const r = /['\"`]/g", "a = b / c; d = 'x' / 2", "o.import('no')", "x = {import: 'no'}", "import.meta.url", "import fs = require('no')", "s = 'import a from \\'no\\''", "return /[/'\"]+/", "y = a++ / b", "<p>it is</p>", "f(x => ({}))",
+    ]
+    for _ in range(500):
+        text, want = "", set()
+        for _ in range(rng.randint(1, 8)):
+            if rng.random() < 0.5:
+                part, specs = statement()
+                want |= specs
+            else:
+                part = rng.choice(others)
+            text += part + ("\n" if part.startswith("//") else rng.choice(["\n", ";", "; ", ";\n"]))
+        assert imports.js_imports(text) == want, text
+
+
+def test_go_modules(spark):
+    cases = {
+        "module example.org/app\n": "example.org/app", 'module "example.org/app" // own\n': "example.org/app", "// module no\n\nmodule example.org/app // x\n": "example.org/app", "module (\n\t// note\n\n\texample.org/app // y\n)\n": "example.org/app",
+        'go 1.22\r\nmodule (\r\n\t"example.org/app"\r\n)\r\n': "example.org/app", "module (\n)\n": None, "modules x\n": None, "": None, "module\n\nexample.org/app\n": "example.org/app",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, content string")
+    assert [r[0] for r in df.orderBy("i").select(imports.go_module("content")).collect()] == list(cases.values())
+    go = 'package a\nimport "example.org/app/pkg"; import (\n\t. "example.org/app/other"\n\t`example.org/apple`\n)\n'
+    for text in (t for t, m in cases.items() if m):
+        rows = [("r", "go.mod", text), ("r", "sub/go.mod", "module example.org/sub\n"), ("r", "cmd/main.go", go), ("r", "pkg/x.go", "package pkg"), ("r", "pkg/x_test.go", "package pkg"), ("r", "other/Y.go", "package other"), ("r", "le/z.go", "package le")]
+        files = spark.createDataFrame(rows, "repo_id string, path string, content string")
+        assert {(r["from_path"], r["to_path"]) for r in imports.import_edges(files).collect()} == {("cmd/main.go", "pkg/x.go"), ("cmd/main.go", "other/Y.go")}, text
+
+
+def test_own_module_is_the_root_one(spark):
+    go = 'package a\nimport (\n\t"github.com/stripe/stripe-go/v74"\n\t"github.com/redis/go-redis/v9"\n)\n'
+    rows = [("r", "go.mod", 'module (\n\t"github.com/redis/go-redis" // own\n)\n'), ("r", "a/go.mod", "module github.com/stripe/stripe-go\n"), ("r", "a.go", go)]
+    files = spark.createDataFrame(rows, "repo_id string, path string, content string")
+    assert [r["sdk"] for r in arch.sdk_imports(files).collect()] == ["stripe-go"]
+
+
+def test_exact_files_and_upper_case_suffixes(spark):
+    rows = [("r", "src/a.JS", "import x from './b'; import y from './c.js'\nimport z from './self'"), ("r", "src/b", "x"), ("r", "src/b.js", "x"), ("r", "src/c.js", ""), ("r", "src/c.js.jsx", ""), ("r", "src/d.ts", "import a from './e'"), ("r", "src/e.ts", ""), ("r", "src/e/index.ts", ""), ("r", "M.PY", "import M")]
+    files = spark.createDataFrame(rows, "repo_id string, path string, content string")
+    assert {(r["from_path"], r["to_path"]) for r in imports.import_edges(files).collect()} == {("src/a.JS", "src/b"), ("src/a.JS", "src/c.js")}
+    assert imports.import_coverage(files).first()["covered"] == 8
