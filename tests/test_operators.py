@@ -182,11 +182,35 @@ def test_commit_log(spark, tmp_path):
 
 
 def test_read_repo_files(spark, tmp_path):
-    (tmp_path / "r1" / "src").mkdir(parents=True)
-    (tmp_path / "r1" / "src" / "a.py").write_text("é")
+    src = tmp_path / "r1" / "src"
+    (src / "deep").mkdir(parents=True)
+    (src / "a.py").write_text("é")
     (tmp_path / "r1" / "bad.bin").write_bytes(b"\xff\xfe")
-    got = {r["path"]: r["content"] for r in readers.read_repo_files(spark, str(tmp_path)).collect()}
-    assert got == {"src/a.py": "é", "bad.bin": None}
+    (tmp_path / "secret").write_text("outside")
+    (src / "out.py").symlink_to("../../secret")
+    (src / "deep" / "up.py").symlink_to("../a.py")
+    (tmp_path / "r1" / "dir").symlink_to("src/deep")
+    (tmp_path / "r1" / "via.py").symlink_to("dir/up.py")
+    (src / "loop.py").symlink_to("loop.py")
+    (tmp_path / "r2").mkdir()
+    want = {"src/a.py": ("é", None, 2), "bad.bin": (None, None, 2), "src/out.py": (None, "../../secret", 0), "src/deep/up.py": (None, "../a.py", 0), "dir": (None, "src/deep", 0), "via.py": (None, "dir/up.py", 0), "src/loop.py": (None, "loop.py", 0)}
+    for partitions in (1, 2, 200):
+        files = readers.read_repo_files(spark, str(tmp_path), partitions)
+        assert {r["path"]: (r["content"], r["link_target"], r["size"]) for r in files.collect()} == want
+    assert [r["path"] for r in fs.list_files(files).orderBy("walk_rank").collect()] == ["via.py", "src/a.py", "src/deep/up.py"]
+    assert {r["path"]: r["content"] for r in fs.follow_links(files).where("link_target is not null").collect()} == {"via.py": "é", "src/deep/up.py": "é"}
+    assert readers.read_repo_files(spark, str(tmp_path / "none")).count() == 0
+    stored = {r["path"]: r["content"] for r in readers.read_stored_files(spark, str(tmp_path), "*.bin").collect()}
+    assert stored == {"bad.bin": None}
+
+
+def test_written_trees_come_back(spark, tmp_path):
+    rows = [("r", "a/b.py", None, "x\r\ny\n"), ("r", "a/l.py", "b.py", None), ("s", "e.txt", None, "")]
+    df = spark.createDataFrame(rows, "repo_id string, path string, link_target string, content string")
+    readers.write_repo_files(df, f"file://{tmp_path}")
+    readers.write_repo_files(df, str(tmp_path))  # again, as a task that is tried twice
+    got = readers.read_repo_files(spark, f"file://{tmp_path}").select("repo_id", "path", "link_target", "content").collect()
+    assert sorted(map(tuple, got)) == sorted(rows)
 
 
 def test_reply_values(spark):
@@ -480,7 +504,7 @@ def test_links_of_a_tree(spark, tmp_path):
     for name in ("a.py", "b.py", "c.py"):
         (tmp_path / "r" / "src" / name).write_text("x")
     links = spark.createDataFrame([("r", "src/b.py", "../../etc/passwd"), ("r", "src/c.py", "a.py")], "repo_id string, path string, link_target string")
-    got = fs.list_files(readers.read_repo_files(spark, str(tmp_path), links=links)).orderBy("walk_rank").collect()
+    got = fs.list_files(readers.read_stored_files(spark, str(tmp_path), links=links)).orderBy("walk_rank").collect()
     assert [r["path"] for r in got] == ["src/a.py", "src/c.py"]
 
 
