@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from quarry.functions import constants as C
+from quarry.functions.running import running
+from quarry.functions.shared import materialize
 from quarry.operators.classify import arch_source_kind, integration_dirs
-from quarry.operators.files import under_skip_dir, walk_key
+from quarry.operators.files import is_credential_named, under_skip_dir, walk_key, with_real_paths
 from quarry.operators.imports import go_module
 
 READ_LIMIT, ENV_LIMIT = 200_000, 40_000
@@ -164,11 +167,27 @@ def manifest_problems(files: DataFrame) -> DataFrame:
     return per.withColumn("note", F.array_join(F.array_compact(F.array(*clauses)), "; "))
 
 
-class _Blocks:
-    """The open keys above a line of one YAML document, and what they say about its value."""
+#: A key with its separator, also as a list item and with a quote before it; the head of a block of text; the password of a URL; a plain name.
+_KEYED = re.compile(r'[ \t]*-?[ \t]*"?([A-Za-z_][\w.-]{0,127})"?\s*[:=]\s*')
+_BLOCK_HEAD = re.compile(r"[|>][-+\d]*\s*(?:#.*)?")
+_USERINFO = re.compile(r"(?<=[\w+.-])(://[^\s:/@]{0,255}:)[^\s/@]{1,255}(?=@)")
+_NAMED = re.compile(r"[\"']?[A-Za-z_][\w.-]*[\"']?\s*")
+
+
+def _keyed(line: str) -> tuple[str, str, str] | None:
+    """(head, key, value) of a line that sets a key; a bare key has an empty value and a colon."""
+    m = _KEYED.match(line)
+    if m is None:
+        return None
+    value = line[m.end() :]
+    return None if not value and m[0].rstrip()[-1] != ":" else (m[0] if value else m[0].rstrip(), m[1], value)
+
+
+class _Scopes:
+    """The open keys above a line of one YAML document, and the secret name that waits for its value."""
 
     def __init__(self, secret: bool):
-        self.secret, self.above, self.named, self.hidden = secret, [], None, 0
+        self.secret, self.above, self.waiting, self.hidden = secret, [], None, 0
 
     def enter(self, depth: int, item: bool) -> str:
         """Leaves the keys that end before this line; 'gone' or 'data' where the line stands under such a key."""
@@ -177,6 +196,13 @@ class _Blocks:
         kinds = {kind for _, kind, _ in self.above}
         return "gone" if "gone" in kinds else "data" if "data" in kinds else ""
 
+    def due(self, depth: int, key: str) -> bool:
+        """Whether this line's value belongs to a secret name; the wait ends at any value, and where the item of the name ends."""
+        hit = key == "value" and self.waiting is not None and depth >= self.waiting
+        if key == "value" or (self.waiting is not None and depth <= self.waiting):
+            self.waiting = None
+        return hit
+
     def hide(self, head: str, value: str, depth: int, item: bool, rest: bool) -> str:
         """The line without its value; ``rest``: nor what is nested under it."""
         self.hidden += 1
@@ -186,26 +212,28 @@ class _Blocks:
         return head + C.REDACTED + quote
 
 
-def _rewritten(blocks: _Blocks, line: str, below: str | None) -> str | None:
+def _rewritten(scopes: _Scopes, line: str, below: str | None) -> str | None:
     """One line without secrets, None where it is part of one; ``below`` is the next line with text if it is deeper."""
     depth, item = len(line) - len(line.lstrip()), line.lstrip().startswith("-")
-    under = blocks.enter(depth, item)
+    under = scopes.enter(depth, item)
     if under == "gone":
         return None
-    if bare := re.match(C.BARE_KEY, line):
-        if blocks.secret and bare["key"] in ("data", "stringData"):
-            blocks.above.append((depth, "data", item))
-        elif under or (re.search(C.SECRET_KEY, bare["key"]) and not (below and (re.match(C.ASSIGNMENT, below) or re.match(C.BARE_KEY, below)))):
-            return blocks.hide(bare["head"] + " ", "", depth, item, True)
+    head, key, value = _keyed(line) or ("", "", "")
+    if key == "name" and not under and _NAMED.fullmatch(value):
+        scopes.waiting = depth if re.search(C.SECRET_KEY, value) else None
         return line
-    if pair := re.match(C.ASSIGNMENT, line):
-        key, value = pair["key"], pair["value"]
-        if key == "name" and not under:
-            blocks.named = depth if re.search(C.SECRET_KEY, value) else None
-        elif under or re.search(C.SECRET_KEY, key) or (key == "value" and blocks.named is not None and depth >= blocks.named):
-            return blocks.hide(pair["head"], value, depth, item, re.match(C.BLOCK_SCALAR, value) is not None)
-    masked, n = re.subn(C.URL_PASSWORD, lambda m: m["scheme"] + C.REDACTED, line)
-    blocks.hidden += n
+    due = scopes.due(depth, key if value else "")
+    secret = bool(under) or bool(key and re.search(C.SECRET_KEY, key))
+    if key and not value:
+        if scopes.secret and key in ("data", "stringData"):
+            scopes.above.append((depth, "data", item))
+        elif under or (secret and not (below and _keyed(below))):
+            return scopes.hide(head + " ", "", depth, item, True)
+        return line
+    if due or (key and secret):
+        return scopes.hide(head, value, depth, item, not due and _BLOCK_HEAD.fullmatch(value) is not None)
+    masked, n = _USERINFO.subn(r"\1" + C.REDACTED, line)
+    scopes.hidden += n
     return masked
 
 
@@ -218,7 +246,7 @@ def redact_text(text: str) -> tuple[str, int]:
     out, hidden = [], 0
     for doc in re.split(r"(?m)^(?=(?:---|\.\.\.)\s*$)", text):
         lines = doc.split("\n")
-        blocks, below, deeper = _Blocks(re.search(C.SECRET_KIND, doc) is not None), None, [None] * len(lines)
+        scopes, below, deeper = _Scopes(re.search(C.SECRET_KIND, doc) is not None), None, [None] * len(lines)
         for k in range(len(lines) - 1, -1, -1):
             deeper[k] = below
             if lines[k].strip():
@@ -227,11 +255,11 @@ def redact_text(text: str) -> tuple[str, int]:
         for line, nxt in zip(lines, deeper):
             if nxt is not None and len(nxt) - len(nxt.lstrip()) <= len(line) - len(line.lstrip()):
                 nxt = None
-            new = _rewritten(blocks, line, nxt) if line.strip() else line
+            new = _rewritten(scopes, line, nxt) if line.strip() else line
             if new is not None:
                 kept.append(new)
         out.append("\n".join(kept))
-        hidden += blocks.hidden
+        hidden += scopes.hidden
     return "".join(out), hidden
 
 
@@ -260,7 +288,7 @@ def go_sdk_name(path: Column) -> Column:
 
 
 def sdk_imports(files: DataFrame, cap: int = 400) -> DataFrame:
-    """(repo_id, path, line, sdk, capped): where a known SDK is imported, never the line itself."""
+    """(repo_id, part, path, line, sdk, capped): where a known SDK is imported, never the line itself; Go comes after the others."""
     ext = F.regexp_extract("path", r"\.([^./]+)$", 1)
     js = files.where(ext.isin("ts", "tsx", "js", "py") & F.col("content").rlike(JS_LINE)).select("repo_id", "path", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
     js = js.where(F.col("text").rlike(JS_LINE))
@@ -277,17 +305,147 @@ def sdk_imports(files: DataFrame, cap: int = 400) -> DataFrame:
     w = Window.partitionBy("repo_id")
     # one more than the cap tells that there are more, and keeps a repository's window small
     rows = rows.withColumn("r", F.row_number().over(w.orderBy("part", "path", "line", "sdk"))).where(F.col("r") <= cap + 1).withColumn("capped", F.max("r").over(w) > cap)
-    return rows.where(F.col("r") <= cap).select("repo_id", "path", "line", "sdk", "capped")
+    return rows.where(F.col("r") <= cap).select("repo_id", "part", "path", "line", "sdk", "capped")
+
+
+def config_texts(files: DataFrame) -> DataFrame:
+    """(repo_id, path, kind, read, cut, text) of configuration files: whether it may and can be read, whether it is longer than the read limit, its redacted text.
+
+    Links that lead out and credential names other than variable files are
+    refused, as are links to any credential name.
+    """
+    rows = with_real_paths(files).withColumn("kind", arch_source_kind("path")).where(F.col("kind").isin(*C.CONFIG_LABELS) & ~under_skip_dir("path", C.ARCH_SKIP_DIRS))
+    linked = F.coalesce(F.col("link_target") != "", F.lit(False))
+    refused = F.when(linked, F.coalesce(is_credential_named("real_path"), F.lit(True))).otherwise(is_credential_named("path") & ~F.lower("path").endswith(".tfvars"))
+    rows = rows.select("repo_id", "path", "kind", (F.col("content").isNotNull() & ~refused).alias("read"), F.coalesce(F.length("content") > READ_LIMIT, F.lit(False)).alias("cut"), F.substring("content", 1, READ_LIMIT).alias("content"))
+    rows = rows.withColumn("text", pandas_udf(_redacted, "text string, n int")(F.when(F.col("read"), F.col("content")))["text"])
+    return rows.select("repo_id", "path", "kind", "read", (F.col("cut") & F.col("read")).alias("cut"), "text")
 
 
-def arch_stats(files: DataFrame) -> DataFrame:
-    """Counts of configuration files (found, included, unreadable, cut), variables, dependencies, integrations and SDK lines of each repository."""
-    config = arch_source_kind("path").isNotNull() & ~under_skip_dir("path", C.ARCH_SKIP_DIRS)
-    base = files.groupBy("repo_id").agg(
-        F.count_if(config).alias("configs"), F.count_if(config & F.col("content").isNotNull()).alias("included"), F.count_if(config & F.col("content").isNull()).alias("unreadable"),
-        F.count_if(config & (F.length("content") > READ_LIMIT)).alias("truncated"))
-    parts = {"env_vars": env_names(files), "deps": dependency_union(all_deps(files)), "sdk_lines": sdk_imports(files)}
+def env_files(files: DataFrame) -> DataFrame:
+    """(repo_id, path, read, cut, n_names) of environment files: ``cut`` where only the first characters are read."""
+    name = r"(?m)^[ \t]*(?:export[ \t]+)?([A-Z][A-Z0-9_]+)[ \t]*="
+    names = F.size(F.regexp_extract_all(F.substring("content", 1, ENV_LIMIT), F.lit(name), F.lit(1)))
+    return of_kind(files, "env").select("repo_id", "path", F.col("content").isNotNull().alias("read"), F.coalesce(F.length("content") > ENV_LIMIT, F.lit(False)).alias("cut"), F.greatest(F.coalesce(names, F.lit(0)), F.lit(0)).alias("n_names"))
+
+
+@dataclass
+class Evidence:
+    """What the evidence of repositories rests on, each a narrow stored table, so files are read once for each."""
+
+    configs: DataFrame
+    env: DataFrame
+    names: DataFrame
+    deps: DataFrame
+    sdk: DataFrame
+    dirs: DataFrame
+
+
+def gather(files: DataFrame) -> Evidence:
+    """Configuration texts, environment files and names, dependencies, SDK lines and integration directories of the files."""
+    parts = {"configs": config_texts(files), "env": env_files(files), "names": env_names(files), "deps": all_deps(files), "sdk": sdk_imports(files), "dirs": integration_dirs(files)}
+    return Evidence(**{name: materialize(rows, name) for name, rows in parts.items()})
+
+
+def evidence_sections(evidence: Evidence, unavailable: DataFrame | None = None) -> DataFrame:
+    """(repo_id, rank, key, path, text): the sections of each repository's evidence bundle, in the order of rank and key.
+
+    Configuration files by kind and walk, the names of variables, dependencies,
+    directories of integrations and SDK lines, each with a heading. A repository
+    of ``unavailable`` (repo_id, reason) that has sections but no SDK lines
+    starts with a section that says so.
+    """
+    none = F.lit(None).cast("string")
+    own = evidence.configs.where(F.col("read") & F.col("text").rlike(r"\S"))
+    rank = F.array_position(F.array(*map(F.lit, C.CONFIG_LABELS)), F.col("kind")).cast("int")
+    label = F.element_at(F.create_map(*[F.lit(x) for pair in C.CONFIG_LABELS.items() for x in pair]), F.col("kind"))
+    out = own.select("repo_id", rank.alias("rank"), walk_key("path").alias("key"), "path", F.concat(F.lit("===== "), label, F.lit(": "), "path", F.lit(" =====\n"), "text", F.lit("\n")).alias("text"))
+    key = F.expr("array(struct(false as d, '' as x))")  # one section a repository
+
+    def lists(rows: DataFrame, at: int, line: Column, order: list, head: Column, joint: str = "\n") -> DataFrame:
+        """One section of the lines of a repository, which are its own sorted names."""
+        per = rows.select("repo_id", F.struct(*order, line.alias("line")).alias("l")).groupBy("repo_id").agg(F.array_sort(F.collect_list("l")).alias("ls"))
+        body = F.array_join(F.transform("ls", lambda x: x["line"]), joint)
+        return per.select("repo_id", F.lit(at).alias("rank"), key.alias("key"), none.alias("path"), F.concat(head, body, F.lit("\n")).alias("text"))
+
+    out = out.unionByName(lists(evidence.names, 5, F.col("name"), [], F.lit("===== ENVIRONMENT VARIABLE NAMES (values omitted) =====\n")))
+    deps = dependency_union(evidence.deps)
+    out = out.unionByName(lists(deps, 6, F.concat("name", F.lit(" @ "), F.coalesce("version", F.lit("None"))), ["name"], F.lit("===== DEPENDENCY MANIFESTS (name @ version) =====\n")))
+    head = F.concat(F.lit("===== INTEGRATION DIRECTORIES ("), "dir", F.lit(", "), F.size(F.split("names", ",")).cast("string"), F.lit(" total) =====\n"))
+    out = out.unionByName(evidence.dirs.select("repo_id", F.lit(7).alias("rank"), key.alias("key"), none.alias("path"), F.concat(head, F.replace(F.col("names"), F.lit(","), F.lit(", ")), F.lit("\n")).alias("text")))
+    sdk = evidence.sdk
+    capped = sdk.groupBy("repo_id").agg(F.max("capped").alias("capped"))
+    line = F.concat("path", F.lit(":"), F.col("line").cast("string"), F.lit(": "), "sdk")
+    found = lists(sdk.select("repo_id", "part", "path", "line", "sdk"), 8, line, ["part", "path", F.col("line").alias("n"), "sdk"], F.lit("")).join(capped, "repo_id")
+    head = F.when(F.col("capped"), SDK_HEAD_CAPPED).otherwise(SDK_HEAD)
+    out = out.unionByName(found.withColumn("text", F.concat(head, "text")).drop("capped"))
+    if unavailable is not None:
+        has = out.select("repo_id").distinct().join(sdk.select("repo_id").distinct(), "repo_id", "left_anti").join(unavailable, "repo_id")
+        said = F.concat(F.lit("===== SDK IMPORTS unavailable: "), "reason", F.lit(" =====\nNo import evidence could be gathered, so every connection below is configured, not proven live.\n"))
+        out = out.unionByName(has.select("repo_id", F.lit(0).alias("rank"), key.alias("key"), none.alias("path"), said.alias("text")))
+    return out
+
+
+SDK_HEAD = "===== SDK IMPORTS (git grep \u2014 file:line: sdk) =====\n"
+SDK_HEAD_CAPPED = "===== SDK IMPORTS (git grep \u2014 file:line: sdk; capped at 400 lines, more may exist and are not shown) =====\n"
+
+
+def placed_sections(sections: DataFrame) -> DataFrame:
+    """Sections with ``start``, the characters before each in the whole bundle, and ``whole``, the bundle's length; stored, so their texts are made once."""
+    stored = materialize(sections, "sections")
+    narrow = stored.select("repo_id", "rank", "key", "path", (F.length("text") + 1).cast("long").alias("len"))
+    at = running(narrow, ["repo_id"], ["rank", "key"], start=F.col("len"))
+    at = at.select("repo_id", "rank", F.coalesce("path", F.lit("")).alias("at"), "start", (F.col("start_all") - 1).alias("whole"))
+    return stored.withColumn("at", F.coalesce("path", F.lit(""))).join(at, ["repo_id", "rank", "at"]).drop("at")
+
+
+def evidence_bundle(placed: DataFrame, max_chars: int = 500_000) -> DataFrame:
+    """(repo_id, bundle, truncated): the sections in order, cut at the character, with a notice where something is cut."""
+    near = placed.where(F.col("start") < max_chars)  # at most the budget and one section of bounded length
+    per = near.groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("ts"), F.max("whole").alias("whole"))
+    text = F.substring(F.array_join(F.transform("ts", lambda x: x["text"]), "\n"), 1, max_chars)
+    notice = F.concat(F.lit(f"\n\n===== BUNDLE TRUNCATED at {max_chars:,} of "), F.format_number("whole", 0), F.lit(" chars -- the sources above are incomplete =====\n"))
+    cut = F.col("whole") > max_chars
+    return per.select("repo_id", F.concat(text, F.when(cut, notice).otherwise("")).alias("bundle"), cut.alias("truncated"))
+
+
+def evidence_files(evidence: Evidence, placed: DataFrame, max_chars: int = 500_000) -> DataFrame:
+    """(repo_id, path, state): the files that each section discloses, ``included`` where the section starts before the cut, else ``dropped``."""
+    own = placed.where("path is not null").select("repo_id", "path", "start")
+    at = lambda k: placed.where(F.col("rank") == k).select("repo_id", "start")
+    env = evidence.env.where("n_names > 0").select("repo_id", "path").join(at(5), "repo_id")
+    manifests = evidence.deps.select("repo_id", F.col("manifest_path").alias("path")).distinct().join(at(6), "repo_id")
+    rows = own.unionByName(env).unionByName(manifests)
+    return rows.select("repo_id", "path", F.when(F.col("start") < max_chars, "included").otherwise("dropped").alias("state"))
+
+
+def sdk_in_bundle(placed: DataFrame, max_chars: int = 500_000) -> DataFrame:
+    """(repo_id, text): the SDK lines that stand whole before the cut."""
+    rows = placed.where("rank = 8").select("repo_id", "start", F.explode(F.array(F.regexp_extract("text", r"^[^\n]*\n", 0))).alias("head"), "text")
+    room = F.lit(max_chars) - F.col("start") - F.length("head")
+    lines = rows.select("repo_id", room.alias("room"), F.posexplode(F.split(F.expr("substring(text, length(head) + 1, length(text) - length(head) - 1)"), "\n")).alias("n", "text"))
+    upto = F.sum(F.length("text") + 1).over(Window.partitionBy("repo_id").orderBy("n")) - 1  # 400 lines at most
+    return lines.withColumn("upto", upto).where("upto <= room").select("repo_id", "n", "text")
+
+
+def arch_stats(files: DataFrame, max_chars: int = 500_000, evidence: Evidence | None = None, placed: DataFrame | None = None) -> DataFrame:
+    """Counts of each repository's evidence: configuration files found, included, unreadable and cut, environment files unreadable and cut, variables, dependencies, integrations, SDK lines inside the cut.
+
+    Only the four kinds of configuration count as such. ``included`` are those
+    with text, ``truncated`` says whether the bundle is cut.
+    """
+    evidence = gather(files) if evidence is None else evidence
+    placed = placed_sections(evidence_sections(evidence)) if placed is None else placed
+    found = evidence.configs.groupBy("repo_id").agg(
+        F.count_if("read").alias("configs"), F.count_if(F.col("read") & F.col("text").rlike(r"\S")).alias("included"), F.count_if(~F.col("read")).alias("unreadable"), F.count_if("cut").alias("cut"))
+    env = evidence.env.groupBy("repo_id").agg(F.count_if(~F.col("read")).alias("env_unreadable"), F.count_if(F.col("read") & F.col("cut")).alias("env_cut"))
+    base = files.select("repo_id").distinct().join(found, "repo_id", "left").join(env, "repo_id", "left")
+    capped = placed.where("rank = 8").select("repo_id", F.col("text").contains("; capped at ").alias("all_capped"))
+    parts = {"env_vars": evidence.names, "deps": dependency_union(evidence.deps), "sdk_lines": sdk_in_bundle(placed, max_chars)}
     for name, rows in parts.items():
         base = base.join(rows.groupBy("repo_id").agg(F.count("*").alias(name)), "repo_id", "left")
-    listed = integration_dirs(files).select("repo_id", F.size(F.split("names", ",")).cast("long").alias("integrations"))
-    return base.join(listed, "repo_id", "left").na.fill(0, [*parts, "integrations"])
+    listed = evidence.dirs.select("repo_id", F.size(F.split("names", ",")).cast("long").alias("integrations"))
+    whole = placed.groupBy("repo_id").agg((F.max("whole") > max_chars).alias("truncated"))
+    base = base.join(listed, "repo_id", "left").join(whole, "repo_id", "left").join(capped, "repo_id", "left")
+    base = base.na.fill(0, ["configs", "included", "unreadable", "cut", "env_unreadable", "env_cut", *parts, "integrations"]).na.fill(False, ["truncated"])
+    return base.withColumn("sdk_capped", F.coalesce("all_capped", F.lit(False)) & (F.col("sdk_lines") > 0)).drop("all_capped")

@@ -205,28 +205,3 @@ def largest_file(files: DataFrame) -> DataFrame:
     """The largest file of each repository, among API handlers where there are any."""
     pref = F.concat(F.lit("/"), "path").contains("/pages/api/").cast("int")
     return files.groupBy("repo_id").agg(F.max_by(F.struct("path", "size"), F.struct(pref.alias("p"), "size", "path")).alias("f")).select("repo_id", "f.path", "f.size")
-
-
-def preview_rollup(parts: dict[str, DataFrame], notes: dict[str, Column] | None = None) -> DataFrame:
-    """One row for each repository and analysis: counts, included, dropped, assembled_chars, notes.
-
-    A part has repo_id, its counts, and of included, dropped and assembled_chars
-    what the analysis computes; the others are null, which is not 0. ``notes``
-    has a text or null for the rows of an analysis.
-    """
-    known, out = ("included", "dropped", "assembled_chars"), None
-    for analysis, part in parts.items():
-        names = [c for c in part.columns if c not in ("repo_id", *known)]
-        counts = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.coalesce(F.col(c), F.lit(0)).cast("long") for c in names)))
-        have = [(F.col(c) if c in part.columns else F.lit(None)).cast("long").alias(c) for c in known]
-        note = (notes or {}).get(analysis, F.lit(None).cast("string"))
-        rows = part.select("repo_id", F.lit(analysis).alias("analysis"), counts.alias("counts"), *have, F.array_compact(F.array(note)).alias("notes"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def budget_totals(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """(repo_id, files, included, dropped, assembled_chars) of a budget."""
-    got = kept.groupBy("repo_id").agg(F.count("*").alias("included"), F.sum("len").alias("assembled_chars"))
-    per = rows.groupBy("repo_id").agg(F.count("*").alias("files")).join(got, "repo_id", "left").na.fill(0)
-    return per.select("repo_id", "files", "included", (F.col("files") - F.col("included")).alias("dropped"), "assembled_chars")

@@ -94,11 +94,12 @@ def labelled_field(text: str | Column, label: str) -> Column:
 
 
 def feature_group_sizes(cards: DataFrame) -> DataFrame:
-    """Name and number of endpoints of each group card, the total and the share of the biggest."""
-    n = F.expr("try_cast(regexp_extract(title, '[(]([0-9]+) endpoints?[)]', 1) as int)")
-    rows = cards.select(*KEY, F.trim(F.regexp_replace("title", r"\s*\([0-9]+ endpoints?\)\s*$", "")).alias("name"), n.alias("n")).where("n is not null")
+    """Name and size of each group card, whose title is a name, an opening bracket and a number; the total and the share of the biggest, 7 at least."""
+    rule = r"^(.+?)\s*\(([0-9]+)"
+    n = F.regexp_extract("title", rule, 2).try_cast("long")
+    rows = cards.select(*KEY, F.regexp_replace(F.regexp_extract("title", rule, 1), r"^\s+|\s+$", "").alias("name"), n.alias("n")).where("n is not null")
     w = Window.partitionBy(*KEY)
-    return rows.select(*KEY, "name", "n", F.sum("n").over(w).alias("total"), F.greatest(F.lit(7), F.round(F.col("n") * 100 / F.greatest(F.max("n").over(w), F.lit(1))).cast("int")).alias("width"))
+    return rows.select(*KEY, "name", "n", F.sum("n").over(w).alias("total"), F.greatest(F.lit(7), F.bround(F.col("n") * 100 / F.greatest(F.max("n").over(w), F.lit(1))).cast("int")).alias("width"))
 
 
 def profile_shares(shares: DataFrame) -> DataFrame:

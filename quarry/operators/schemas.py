@@ -51,8 +51,16 @@ def _embedded_schema(files: DataFrame, budget: int, max_files: int) -> DataFrame
     return rows.select("repo_id", F.lit("embedded-sql").alias("kind"), "path", F.when(kept, "kept").otherwise("dropped").alias("state"), F.lit(False).alias("cut"))
 
 
-def find_schema(files: DataFrame, budget: int = BUDGET, max_files: int = 40, embedded: bool = True) -> DataFrame:
-    """The files of the first kind that a repository has: the largest one, Rails' first in walk order, or models by size within the budget; Go files with SQL in strings where there is no other kind."""
+def find_schema(files: DataFrame, budget: int = BUDGET, max_files: int = 40, embedded: bool = True, overrides: DataFrame | None = None) -> DataFrame:
+    """The files of the first kind that a repository has: the largest one, Rails' first in walk order, or models by size within the budget; Go files with SQL in strings where there is no other kind.
+
+    A repository of ``overrides`` (repo_id, path) has the file that is named
+    there and no other, of any name; one that is not there is named all the same.
+    """
+    if overrides is not None:
+        own = overrides.select("repo_id", "path").join(files.select("repo_id", "path", F.length("content").alias("len")), ["repo_id", "path"], "left")
+        forced = own.select("repo_id", F.lit("override").alias("kind"), "path", F.lit("kept").alias("state"), F.coalesce(F.col("len") > budget, F.lit(False)).alias("cut"))
+        return find_schema(files.join(overrides.select("repo_id").distinct(), "repo_id", "left_anti"), budget, max_files, embedded).unionByName(forced)
     rows = files.where(~under_skip_dir("path")).select("repo_id", "path", "size", F.length("content").cast("long").alias("len"), schema_kind().alias("k")).where("k is not null")
     rows = rows.withColumn("first_kind", F.min("k").over(Window.partitionBy("repo_id"))).where("k = first_kind")
     w = Window.partitionBy("repo_id").orderBy(F.when(F.col("k") == 1, F.lit(0)).otherwise(-F.col("size")), F.when(F.col("k") == 1, walk_key("path")), "path")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import constants as C
+from quarry.operators.files import list_files
 
 TOKENS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
 FIELDS = ("input", "output", "cache_read", "cache_write")
@@ -31,12 +32,12 @@ def override_table(spark: SparkSession, text: str) -> DataFrame:
 
 
 def price_for(usage: DataFrame, prices: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """Usage with its price: the override, else the built-in one, else null. Both tables are a few rows."""
+    """Usage with its price: the override, else the built-in one, else null. Spark sends a price table to all tasks where it is small."""
     key = ["provider", "model"]
-    out = usage.join(F.broadcast(prices.select(*key, *(F.col(f).alias(f"b_{f}") for f in FIELDS))), key, "left")
+    out = usage.join((prices.select(*key, *(F.col(f).alias(f"b_{f}") for f in FIELDS))), key, "left")
     if overrides is None:
         return out.select(*usage.columns, *(F.col(f"b_{f}").alias(f"p_{f}") for f in FIELDS))
-    out = out.join(F.broadcast(overrides.select(*key, *(F.col(f).alias(f"o_{f}") for f in FIELDS))), key, "left")
+    out = out.join((overrides.select(*key, *(F.col(f).alias(f"o_{f}") for f in FIELDS))), key, "left")
     return out.select(*usage.columns, *(F.coalesce(f"o_{f}", f"b_{f}").alias(f"p_{f}") for f in FIELDS))
 
 
@@ -87,14 +88,24 @@ def prompt_plan(preview: DataFrame, templates=C.PROMPTS) -> DataFrame:
     return out.select("repo_id", "analysis", "template", "shell_chars", "body_chars", "body_max_chars", *calls)
 
 
-def codebase_size_estimate(files: DataFrame, budget: int = 1_000_000, overhead: int = 131, skew: float = 2.0) -> DataFrame:
-    """Likely and largest bundle of a selection: mean block by target and skew, within the budget."""
-    block = F.length("content") + overhead
-    per = files.groupBy("repo_id").agg(F.sum(block).alias("whole"), F.avg(block).alias("mean"), F.max(block).alias("largest"), F.count("*").alias("n"))
-    target = F.least(F.lit(50), F.greatest(F.lit(20), F.floor(F.col("n") / 20)))
-    factor = F.when(F.col("n") > target, F.lit(skew)).otherwise(F.lit(1.0))
-    likely = F.least(F.lit(float(budget)), F.col("whole").cast("double"), target * F.col("mean") * factor)
-    return per.select("repo_id", F.floor(likely).alias("likely"), F.least("whole", budget + F.col("largest")).alias("most"))
+def codebase_size_estimate(files: DataFrame, budget: int = 1_000_000, preview_budget: int = 1_000_000, target: int | None = None, overhead: int = 131, skew: float = 2.0) -> DataFrame:
+    """(repo_id, previewed, readable, likely, most): what a selection's bundle will probably have, and the most it can.
+
+    Of the kept files, those whose heads the preview holds; a block is the text,
+    the path and what stands around them. A selection takes ``target`` of the
+    readable ones, heavier than the mean where it leaves any out; the last one
+    may overrun the budget. Repositories without a kept file have no row.
+    """
+    rows = list_files(files).where(F.col("walk_rank") <= max(1, preview_budget // 800)).select("repo_id", "path")
+    rows = rows.join(files.select("repo_id", "path", F.length("content").alias("len")), ["repo_id", "path"])
+    block = F.col("len") + F.length("path") + overhead
+    per = rows.groupBy("repo_id").agg(F.count("*").alias("previewed"), F.count("len").alias("readable"), F.sum(block).alias("whole"), F.avg(block).alias("mean"), F.max(block).alias("largest"))
+    asked = F.lit(target) if target is not None else F.least(F.lit(50), F.greatest(F.lit(20), F.floor(F.col("previewed") / 20)))
+    asked = F.least(asked, F.col("readable"))
+    factor = F.when(asked < F.col("readable"), F.lit(skew)).otherwise(F.lit(1.0))
+    likely = F.least(F.lit(float(budget)), F.col("whole").cast("double"), asked * F.col("mean") * factor)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return per.select("repo_id", "previewed", "readable", zero(F.floor(likely)).alias("likely"), zero(F.least("whole", budget + F.col("largest"))).alias("most"))
 
 
 def cache_key(prompt: str = "prompt"):

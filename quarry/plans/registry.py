@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import constants as C
 from quarry.functions.shared import shared_dir
-from quarry.operators import arch, budget, classify, history, imports, replies, schemas, usage
+from quarry.operators import arch, budget, classify, history, imports, previews, replies, schemas, usage
 from quarry.operators import files as fs
 from quarry.plans import standins as v
 from quarry.sources import readers
@@ -581,14 +581,15 @@ def deps_requirements(spark, d):
     return arch.deps_requirements(v.files(spark, d))
 
 
-@query("SELECT repo_id, 'p' || doc_id || '/pyproject.toml' AS manifest_path, 'pyproject' AS kind, unnest(['numpy', 'lib' || doc_id]) AS name, unnest(['>=1', '==2']) AS version FROM files_v")
+@query(_PYP)
 def deps_pyproject(spark, d):
-    text = F.concat(F.lit('[project]\nname = "x"\ndependencies = ["numpy>=1", "lib'), F.col("doc_id").cast("string"), F.lit('[a]==2; python_version > \'3\'"]\n'))
-    toml = v.files(spark, d).withColumn("path", F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit("/pyproject.toml"))).withColumn("content", text)
-    return arch.deps_pyproject(toml)
+    return arch.deps_pyproject(v.files(spark, d))
 
 
-@query(f"WITH {_DEPS} SELECT repo_id, name, arg_max(version, (list_transform(string_split(manifest_path, '/'), lambda x, i: (CASE WHEN i < len(string_split(manifest_path, '/')) THEN '1' ELSE '0' END) || x), version)) AS version FROM deps GROUP BY 1, 2")
+_UNITED = f"{_DEPS}, united AS (SELECT repo_id, name, arg_max(version, (list_transform(string_split(manifest_path, '/'), lambda x, i: (CASE WHEN i < len(string_split(manifest_path, '/')) THEN '1' ELSE '0' END) || x), version)) AS version FROM deps GROUP BY 1, 2)"
+
+
+@query(f"WITH {_UNITED} SELECT * FROM united")
 def dependency_union(spark, d):
     return arch.dependency_union(arch.all_deps(v.files(spark, d)))
 
@@ -616,7 +617,7 @@ _SDK = f"""js AS (SELECT repo_id, path, line, text FROM (SELECT repo_id, path, u
 gol AS (SELECT repo_id, path, line, regexp_extract(text, {v._lit(C.GO_PATH)}, 1) AS module FROM (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1)::int AS line FROM files_v WHERE path LIKE '%.go')),
 sdk_all AS (SELECT repo_id, path, line, regexp_replace(CASE WHEN regexp_extract(text, {v._lit(C.SDK)}, 1) <> '' THEN regexp_extract(text, {v._lit(C.SDK)}, 1) WHEN regexp_extract(text, 'new (Stripe|Twilio|Redis|S3Client)', 1) <> '' THEN regexp_extract(text, 'new (Stripe|Twilio|Redis|S3Client)', 1) ELSE 'sdk' END, '[''"@]', '', 'g') AS sdk, 0 AS part FROM js
   UNION ALL SELECT repo_id, path, line, string_split(module, '/')[3], 1 FROM gol WHERE module <> ''),
-sdk AS (SELECT repo_id, path, line, sdk, count(*) OVER (PARTITION BY repo_id) > 400 AS capped FROM sdk_all QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY part, path, line, sdk) <= 400)"""
+sdk AS (SELECT repo_id, part, path, line, sdk, count(*) OVER (PARTITION BY repo_id) > 400 AS capped FROM sdk_all QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY part, path, line, sdk) <= 400)"""
 
 
 @query(f"WITH {_SDK} SELECT * FROM sdk")
@@ -625,14 +626,36 @@ def sdk_imports(spark, d):
 
 
 _ENV = "env AS (SELECT DISTINCT repo_id, unnest(regexp_extract_all(content, '(?m)^[ \\t]*(?:export[ \\t]+)?([A-Z][A-Z0-9_]+)[ \\t]*=', 1)) AS name FROM files_v WHERE path LIKE 'deploy%/.env.example')"
-_STATS = f"""{_SDK}, {_DEPS}, {_ENV}, found AS (SELECT repo_id, count(*) FILTER (k IS NOT NULL) AS configs, count(*) FILTER (k IS NOT NULL AND content IS NOT NULL) AS included, count(*) FILTER (k IS NOT NULL AND content IS NULL) AS unreadable, count(*) FILTER (k IS NOT NULL AND length(content) > 200000) AS truncated FROM (SELECT repo_id, content, {_KIND} AS k FROM files_v) GROUP BY 1),
-stats AS (SELECT *, (SELECT count(*) FROM env e WHERE e.repo_id = f.repo_id) AS env_vars, (SELECT count(DISTINCT name) FROM deps x WHERE x.repo_id = f.repo_id) AS deps, (SELECT count(*) FROM sdk s WHERE s.repo_id = f.repo_id) AS sdk_lines,
-  (SELECT count(DISTINCT string_split(path, '/')[2]) FROM files_v i WHERE i.repo_id = f.repo_id AND starts_with(path, 'integrations/')) AS integrations FROM found f)"""
+#: The configuration of the stand-in is Secrets with a password and a URL, and the text of each file is read here.
+_EVIDENCE = rf"""{_SDK}, {_UNITED}, {_ENV}, {_DIRS}, kinds AS (SELECT repo_id, path, content, {_KIND} AS kind, {_WALK} AS walk FROM files_v WHERE NOT list_has_any(string_split(path, '/')[:-2], {v._list(C.ARCH_SKIP_DIRS)})),
+configs AS (SELECT repo_id, path, kind, walk, length(content) > 200000 AS cut, regexp_replace(regexp_replace(content, '(?m)^(  password: ).+$', '\1[REDACTED]', 'g'), '(://[^\s:/@]*:)[^\s/@]+@', '\1[REDACTED]@', 'g') AS text FROM kinds WHERE kind IN ('compose', 'k8s', 'gateway', 'iac')),
+parts AS (SELECT repo_id, list_position({v._list(C.CONFIG_LABELS)}, kind) AS rank, walk, path, '===== ' || ({v._list(C.CONFIG_LABELS.values())})[list_position({v._list(C.CONFIG_LABELS)}, kind)] || ': ' || path || ' =====' || chr(10) || text || chr(10) AS text FROM configs WHERE regexp_matches(text, '\S')
+  UNION ALL SELECT repo_id, 5, [], NULL, '===== ENVIRONMENT VARIABLE NAMES (values omitted) =====' || chr(10) || string_agg(name, chr(10) ORDER BY name) || chr(10) FROM env GROUP BY 1
+  UNION ALL SELECT repo_id, 6, [], NULL, '===== DEPENDENCY MANIFESTS (name @ version) =====' || chr(10) || string_agg(name || ' @ ' || version, chr(10) ORDER BY name) || chr(10) FROM united GROUP BY 1
+  UNION ALL SELECT repo_id, 7, [], NULL, '===== INTEGRATION DIRECTORIES (' || dir || ', ' || n || ' total) =====' || chr(10) || replace(names, ',', ', ') || chr(10) FROM dirs
+  UNION ALL SELECT repo_id, 8, [], NULL, CASE WHEN bool_or(capped) THEN {v._lit(arch.SDK_HEAD_CAPPED)} ELSE {v._lit(arch.SDK_HEAD)} END || string_agg(path || ':' || line || ': ' || sdk, chr(10) ORDER BY part, path, line, sdk) || chr(10) FROM sdk GROUP BY 1),
+placed AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY repo_id ORDER BY rank, walk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(length(text) + 1) OVER (PARTITION BY repo_id) - 1 AS whole FROM parts),
+bundle AS (SELECT repo_id, substr(string_agg(text, chr(10) ORDER BY start), 1, 900) || CASE WHEN max(whole) > 900 THEN chr(10) || chr(10) || '===== BUNDLE TRUNCATED at 900 of ' || format('{{:,}}', max(whole)::bigint) || ' chars -- the sources above are incomplete =====' || chr(10) ELSE '' END AS bundle, max(whole) > 900 AS truncated FROM placed GROUP BY 1),
+disclosed AS (SELECT repo_id, path, start FROM placed WHERE path IS NOT NULL UNION ALL SELECT f.repo_id, f.path, p.start FROM files_v f JOIN placed p ON p.repo_id = f.repo_id AND p.rank = 5 WHERE f.path LIKE 'deploy%/.env.example' UNION ALL SELECT DISTINCT x.repo_id, x.manifest_path, p.start FROM deps x JOIN placed p ON p.repo_id = x.repo_id AND p.rank = 6),
+sdk_cut AS (SELECT p.repo_id, 900 - start - length(string_split(text, chr(10))[1]) - 1 AS room FROM placed p WHERE rank = 8),
+sdk_kept AS (SELECT s.repo_id, count(*) AS n FROM (SELECT *, sum(length(path || ':' || line || ': ' || sdk) + 1) OVER (PARTITION BY repo_id ORDER BY part, path, line, sdk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS upto FROM sdk) s JOIN sdk_cut c ON c.repo_id = s.repo_id WHERE upto <= room GROUP BY 1),
+stats AS (SELECT r.repo_id, coalesce(n.configs, 0) AS configs, coalesce(n.included, 0) AS included, 0 AS unreadable, coalesce(n.cut, 0) AS cut, 0 AS env_unreadable, 0 AS env_cut, (SELECT count(*) FROM env e WHERE e.repo_id = r.repo_id) AS env_vars, (SELECT count(*) FROM united u WHERE u.repo_id = r.repo_id) AS deps,
+  coalesce(k.n, 0) AS sdk_lines, coalesce(i.n, 0) AS integrations, coalesce(b.truncated, false) AS truncated, coalesce(k.n > 0 AND (SELECT bool_or(capped) FROM sdk s WHERE s.repo_id = r.repo_id), false) AS sdk_capped
+  FROM (SELECT DISTINCT repo_id FROM files_v) r LEFT JOIN (SELECT repo_id, count(*) AS configs, count(*) FILTER (regexp_matches(text, '\S')) AS included, count(*) FILTER (cut) AS cut FROM configs GROUP BY 1) n ON n.repo_id = r.repo_id LEFT JOIN sdk_kept k ON k.repo_id = r.repo_id LEFT JOIN dirs i ON i.repo_id = r.repo_id LEFT JOIN bundle b ON b.repo_id = r.repo_id)"""
+
+
+@query(f"WITH {_EVIDENCE} SELECT * FROM stats")
+def arch_stats(spark, d):
+    return arch.arch_stats(v.files(spark, d), 900)
 
 
-@query(f"WITH {_STATS} SELECT * FROM stats")
-def arch_stats(spark, d):
-    return arch.arch_stats(v.files(spark, d))
+@query(f"WITH {_EVIDENCE} SELECT b.repo_id, md5(bundle) AS bundle_md5, truncated, coalesce(string_agg(path, ',' ORDER BY path) FILTER (start < 900), '') AS files, coalesce(string_agg(path, ',' ORDER BY path) FILTER (start >= 900), '') AS dropped FROM bundle b LEFT JOIN disclosed x ON x.repo_id = b.repo_id GROUP BY 1, 2, 3")
+def evidence_bundle(spark, d):
+    found = arch.gather(v.files(spark, d))
+    placed = arch.placed_sections(arch.evidence_sections(found))
+    of = lambda state: F.array_join(F.sort_array(F.collect_list(F.when(F.col("state") == state, F.col("path")))), ",").alias({"included": "files"}.get(state, state))
+    lists = arch.evidence_files(found, placed, 900).groupBy("repo_id").agg(of("included"), of("dropped"))
+    return arch.evidence_bundle(placed, 900).join(lists, "repo_id", "left").select("repo_id", F.md5("bundle").alias("bundle_md5"), "truncated", F.coalesce("files", F.lit("")).alias("files"), F.coalesce("dropped", F.lit("")).alias("dropped"))
 
 
 # ---- imports
@@ -825,8 +848,8 @@ def labelled_field(spark, d):
     return v.replies(spark, d).select("repo_id", "prompt_id", replies.labelled_field("text", "Owner").alias("owner"), replies.labelled_field("text", "Nobody").alias("missing"))
 
 
-@query(rf"""WITH {_CARDS}, g AS (SELECT repo_id, prompt_id, trim(regexp_replace(title, '\s*\([0-9]+ endpoints?\)\s*$', '')) AS name, try_cast(regexp_extract(title, '[(]([0-9]+) endpoints?[)]', 1) AS int) AS n FROM cards WHERE n IS NOT NULL), w AS (SELECT *, sum(n) OVER (PARTITION BY repo_id, prompt_id)::bigint AS total, greatest(max(n) OVER (PARTITION BY repo_id, prompt_id), 1) AS top FROM g)
-SELECT repo_id, prompt_id, name, n, total, greatest(7, round(n * 100 / top::double))::int AS width FROM w""")
+@query(rf"""WITH {_CARDS}, g AS (SELECT repo_id, prompt_id, trim(regexp_extract(title, '^(.+?)\s*[(][0-9]', 1)) AS name, try_cast(regexp_extract(title, '^.+?\s*[(]([0-9]+)', 1) AS bigint) AS n FROM cards WHERE n IS NOT NULL), w AS (SELECT *, sum(n) OVER (PARTITION BY repo_id, prompt_id)::bigint AS total, greatest(max(n) OVER (PARTITION BY repo_id, prompt_id), 1) AS top FROM g)
+SELECT repo_id, prompt_id, name, n, total, greatest(7, round_even(n * 100 / top::double, 0))::int AS width FROM w""")
 def feature_group_sizes(spark, d):
     return replies.feature_group_sizes(replies.split_cards(v.replies(spark, d)))
 
@@ -909,10 +932,11 @@ def estimate_run(spark, d):
     return usage.estimate_run(_plan(spark, d), v.prices(spark), "openai", "gpt-5.6-terra")
 
 
-@query("""WITH b AS (SELECT repo_id, sum(length(content) + 131)::bigint AS whole, avg(length(content) + 131) AS mean, max(length(content) + 131)::bigint AS largest, count(*) AS n FROM files_v GROUP BY 1), t AS (SELECT *, least(50, greatest(20, n // 20)) AS target FROM b)
-SELECT repo_id, floor(least(1e5, whole, target * mean * CASE WHEN n > target THEN 2.0 ELSE 1.0 END))::bigint AS likely, least(whole, 100000 + largest) AS most FROM t""")
+@query(f"""WITH w AS (SELECT repo_id, path, length(content) AS len, row_number() OVER (PARTITION BY repo_id ORDER BY {_WALK}) AS ord FROM files_v WHERE {_KEPT}), p AS (SELECT *, len + length(path) + 131 AS block FROM w WHERE ord <= 30),
+b AS (SELECT repo_id, count(*) AS previewed, count(len) AS readable, sum(block) AS whole, avg(block) AS mean, max(block) AS largest FROM p GROUP BY 1), t AS (SELECT *, least(least(50, greatest(20, previewed // 20)), readable) AS target FROM b)
+SELECT repo_id, previewed, readable, CASE WHEN readable = 0 THEN 0 ELSE floor(least(20000.0::double, whole, target * mean * CASE WHEN target < readable THEN 2.0 ELSE 1.0 END))::bigint END AS likely, CASE WHEN readable = 0 THEN 0 ELSE least(whole, 20000 + largest)::bigint END AS most FROM t""")
 def codebase_size_estimate(spark, d):
-    return usage.codebase_size_estimate(v.files(spark, d), 100_000)
+    return usage.codebase_size_estimate(v.files(spark, d), 20_000, 24_000)
 
 
 @query("""WITH k AS (SELECT run_id, sha256(concat_ws('|', provider, model, '4096', text)) AS key, input_tokens FROM usage_v), r AS (SELECT DISTINCT key FROM k WHERE input_tokens % 2 = 0) SELECT run_id, count(*) AS calls, count(r.key) AS hits, count(r.key) / count(*)::double AS hit_rate, sum(CASE WHEN r.key IS NULL THEN input_tokens ELSE 0 END)::bigint AS input_tokens FROM k LEFT JOIN r USING (key) GROUP BY 1""")
@@ -933,31 +957,48 @@ def run_manifest(spark, d):
 
 # ---- previews of the seven analyses
 
-_ROLL = f"""WITH {_WALKED}, b AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY repo_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM walked), {_STATS}, {_SURFACE}, {_SCHEMA}, {_bulk_sql("D", 3)},
-layers AS (SELECT repo_id, {_LAYER} AS layer FROM files_v WHERE NOT list_has_any(string_split(path, '/')[:-2], {v._list(C.BACKEND_SKIP_DIRS)}))
-SELECT repo_id, 'tour' AS analysis, 'files=' || count(*) AS counts, count(*) FILTER (before < 20000) AS included, count(*) FILTER (before >= 20000) AS dropped, coalesce(sum(len) FILTER (before < 20000), 0)::bigint AS assembled_chars, CASE WHEN coalesce(sum(len) FILTER (before < 20000), 0) > 20000 THEN 'the real run stops here' ELSE '' END AS notes FROM b GROUP BY 1
-UNION ALL SELECT repo_id, 'backend', {" || ',' || ".join(f"'{x}=' || count(*) FILTER (layer = '{x}')" for x in sorted(C.LAYERS))}, NULL, NULL, NULL, '' FROM layers GROUP BY 1
-UNION ALL SELECT repo_id, 'architecture', 'configs=' || configs || ',deps=' || deps || ',env_vars=' || env_vars || ',integrations=' || integrations || ',sdk_lines=' || sdk_lines || ',truncated=' || truncated || ',unreadable=' || unreadable, included, NULL, NULL, '' FROM stats
-UNION ALL SELECT repo_id, 'interfaces', 'go=' || count(*) FILTER (weight > 0) || ',surface=' || count(*), NULL, NULL, NULL, '' FROM surface GROUP BY 1
-UNION ALL SELECT repo_id, 'schema', 'candidates=' || count(*), count(*) FILTER (state = 'kept'), count(*) FILTER (state = 'dropped'), NULL, '' FROM schema GROUP BY 1
-UNION ALL SELECT c.repo_id, 'history', 'bulk_deletions=' || (SELECT count(*) FROM bulk b WHERE b.repo_id = c.repo_id) || ',commits=' || count(*), NULL, NULL, NULL, '' FROM commits_v c GROUP BY c.repo_id
-UNION ALL SELECT repo_id, 'product_intent', 'found=' || count(*) || ',unreadable=' || count(*) FILTER ({_KEPT} AND content IS NULL), count(*) FILTER ({_KEPT}), count(*) FILTER (NOT {_KEPT}), NULL, '' FROM files_v GROUP BY 1"""
+_ABORTS = "(VALUES " + ", ".join(f"({v._lit(a)}, {v._lit(C.ABORT_PREFIX + r)})" for a, r in C.ABORT_REASONS.items()) + ") t(analysis, stop)"
+#: The lists and the characters of each analysis, with small budgets.
+_PREVIEWS = rf"""{_FAIR}, {_EVIDENCE}, {_SURFACE}, {_SCHEMA}, {_bulk_sql("D", 3)}, {_bulk_sql("A", 4).split("),\n", 1)[1].replace("per AS", "per_a AS").replace("bulk AS", "bulk_a AS").replace("FROM per JOIN", "FROM per_a JOIN")},
+listed AS (SELECT repo_id, path, content, length(content) AS len, row_number() OVER (PARTITION BY repo_id ORDER BY {_WALK}) AS ord FROM files_v WHERE {_KEPT}),
+fit AS (SELECT repo_id, 0::bigint AS n, 20000::bigint AS rest, false AS taken FROM listed GROUP BY 1 UNION ALL SELECT f.repo_id, w.ord, f.rest - CASE WHEN w.len + length(w.path) + 131 <= f.rest THEN w.len + length(w.path) + 131 ELSE 0 END, w.len + length(w.path) + 131 <= f.rest FROM fit f JOIN listed w ON w.repo_id = f.repo_id AND w.ord = f.n + 1),
+ranked_surface AS (SELECT s.repo_id, s.path, row_number() OVER (PARTITION BY s.repo_id ORDER BY tier, CASE WHEN tier = 1 THEN -weight ELSE 0 END, s.path) AS ord, length(content) + length(s.path) + 130 AS cost, regexp_matches(content, '\S') AS full FROM surface s JOIN files_v f ON f.repo_id = s.repo_id AND f.path = s.path),
+reads AS (SELECT repo_id, 0::bigint AS n, 9000::bigint AS rest, false AS taken FROM ranked_surface GROUP BY 1 UNION ALL SELECT f.repo_id, w.ord, f.rest - CASE WHEN w.full AND w.cost <= f.rest THEN w.cost ELSE 0 END, w.full AND w.cost <= f.rest FROM reads f JOIN ranked_surface w ON w.repo_id = f.repo_id AND w.ord = f.n + 1),
+lists AS (SELECT repo_id, 'tour' AS analysis, ord <= 30 AS included, path, length('  [' || (ord - 1) || '] ' || path || chr(10) || chr(10)) + least(len, 800) + 1 AS chars FROM listed
+  UNION ALL SELECT q.repo_id, 'backend', f.path IS NOT NULL, q.path, q.len + length(chr(10) || '===== LAYER ' || q.layer || ': ' || q.path || ' =====' || chr(10) || chr(10)) FROM queue q LEFT JOIN fair f ON f.repo_id = q.repo_id AND f.path = q.path
+  UNION ALL SELECT repo_id, 'architecture', start < 900, path, 0 FROM disclosed
+  UNION ALL SELECT w.repo_id, 'interfaces', f.taken, w.path, w.cost + 1 FROM ranked_surface w JOIN reads f ON f.repo_id = w.repo_id AND f.n = w.ord
+  UNION ALL SELECT repo_id, 'schema', state = 'kept', path, 1 FROM schema WHERE state = 'kept' OR kind IN ('models', 'embedded-sql')
+  UNION ALL SELECT w.repo_id, 'product_intent', f.taken, w.path, w.len + length(w.path) + 131 FROM listed w JOIN fit f ON f.repo_id = w.repo_id AND f.n = w.ord)"""
+_ROLL = rf"""WITH RECURSIVE {_PREVIEWS}, repos AS (SELECT DISTINCT repo_id FROM files_v UNION SELECT repo_id FROM commits_v),
+sums AS (SELECT r.repo_id, a.analysis, CASE WHEN a.analysis <> 'history' THEN (SELECT count(*) FROM lists l WHERE l.repo_id = r.repo_id AND l.analysis = a.analysis AND included) END AS included, CASE WHEN a.analysis <> 'history' THEN (SELECT count(*) FROM lists l WHERE l.repo_id = r.repo_id AND l.analysis = a.analysis AND NOT included) END AS dropped,
+  coalesce((SELECT sum(chars) FROM lists l WHERE l.repo_id = r.repo_id AND l.analysis = a.analysis AND included), 0) AS chars, stop FROM repos r, {_ABORTS.replace(" t(", " a(")}),
+sized AS (SELECT s.* EXCLUDE (chars), CASE analysis WHEN 'history' THEN NULL WHEN 'architecture' THEN coalesce(length(b.bundle), 0) WHEN 'backend' THEN CASE WHEN chars > 0 THEN chars + 60000 - st.rest ELSE 0 END WHEN 'schema' THEN chars ELSE greatest(chars - 1, 0) END::bigint AS assembled_chars, (SELECT count(*) FROM commits_v c WHERE c.repo_id = s.repo_id) AS commits
+  FROM sums s LEFT JOIN bundle b ON b.repo_id = s.repo_id LEFT JOIN start st ON st.repo_id = s.repo_id)
+SELECT repo_id, analysis, included, dropped, assembled_chars, CASE WHEN analysis = 'history' THEN commits = 0 ELSE assembled_chars = 0 END AS stops, CASE WHEN CASE WHEN analysis = 'history' THEN commits = 0 ELSE assembled_chars = 0 END THEN stop ELSE '' END AS stop,
+  CASE WHEN analysis = 'tour' AND dropped > 0 THEN dropped || ' of ' || (included + dropped) || ' source files never reach the file-selection prompt: it holds ' || included || ' at 800 chars each. The model cannot pick a file it never saw.' WHEN analysis = 'interfaces' AND dropped > 0 THEN dropped || ' of ' || (included + dropped) || ' surface files did not reach the bundle: empty, or past the budget.' ELSE '' END AS dropped_note,
+  CASE analysis WHEN 'history' THEN commits WHEN 'tour' THEN included + dropped WHEN 'interfaces' THEN included WHEN 'product_intent' THEN dropped WHEN 'backend' THEN coalesce((SELECT route FROM layer_counts x WHERE x.repo_id = sized.repo_id), 0) WHEN 'architecture' THEN coalesce((SELECT deps FROM stats x WHERE x.repo_id = sized.repo_id), 0) ELSE included END AS one_count FROM sized"""
+
+
+def _previews(spark, d):
+    f, c = v.files(spark, d), v.commits(spark, d)
+    parts = {
+        "tour": previews.tour(f, 24_000), "backend": previews.backend(f, 60_000), "architecture": previews.architecture(f, 900), "interfaces": previews.interfaces(f, 9_000), "schema": previews.schema(f),
+        "history": previews.git_history(c, _bulk(spark, d, "A", 4), _bulk(spark, d)), "product_intent": previews.product_intent(f, 20_000),
+    }
+    return f.select("repo_id").unionByName(c.select("repo_id")), parts
 
 
 @query(_ROLL)
 def preview_rollup(spark, d):
-    f, c = v.files(spark, d), v.commits(spark, d)
-    rows = budget.walked(f)
-    surface = classify.surface_files(f).groupBy("repo_id").agg(F.count_if(F.col("weight") > 0).alias("go"), F.count("*").alias("surface"))
-    schema = schemas.find_schema(f).groupBy("repo_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("state") == "kept").alias("included"), F.count_if(F.col("state") == "dropped").alias("dropped"))
-    deleted = c.groupBy("repo_id").agg(F.count("*").alias("commits")).join(_bulk(spark, d).groupBy("repo_id").agg(F.count("*").alias("bulk_deletions")), "repo_id", "left")
-    parts = {
-        "tour": budget.budget_totals(rows, budget.budget_prefix(rows, 20_000)), "backend": classify.layer_counts(f), "architecture": arch.arch_stats(f), "interfaces": surface,
-        "schema": schema, "history": deleted, "product_intent": fs.count_files(f).withColumnsRenamed({"kept": "included"}),
-    }
-    notes = {"tour": F.when(F.col("assembled_chars") > 20_000, "the real run stops here")}
-    return budget.preview_rollup(parts, notes).withColumn("counts", _written(F.col("counts"))).withColumn("notes", F.array_join("notes", ","))
+    """Every repository and analysis, with the note that stops a run, the note on what was left out, and one of its counts."""
+    rows = previews.preview_rollup(*_previews(spark, d))
+    key = F.element_at(F.create_map(*[F.lit(x) for pair in {"tour": "source files found", "backend": "matched as route", "architecture": "dependencies declared", "interfaces": "surface files read", "schema": "schema files read", "history": "commits", "product_intent": "dropped by the budget"}.items() for x in pair]), F.col("analysis"))
+    said = lambda word: F.array_join(F.filter("notes", lambda n: n.contains(word)), "|")
+    stop = F.array_join(F.filter("notes", lambda n: n.startswith(C.ABORT_PREFIX)), "|")
+    return rows.select("repo_id", "analysis", "included", "dropped", "assembled_chars", (stop != "").alias("stops"), stop.alias("stop"), F.concat(said("never reach"), said("did not reach")).alias("dropped_note"), F.element_at("counts", key).alias("one_count"))
 
 
-def _written(counts):
-    return F.array_join(F.array_sort(F.transform(F.map_entries(counts), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",")
+@query(f"WITH RECURSIVE {_PREVIEWS} SELECT repo_id, analysis, CASE WHEN included THEN 'included' ELSE 'dropped' END AS label, row_number() OVER (PARTITION BY repo_id, analysis, included ORDER BY {_WALK}) AS n, path FROM lists")
+def preview_files(spark, d):
+    return previews.preview_files(_previews(spark, d)[1])

@@ -40,6 +40,8 @@ TEMPLATES = (
 N = len(TEMPLATES)
 #: The template that lies in a directory of integrations, and where; templates of which each fifth file is listed as larger than the cap.
 INTEGRATION, INTEGRATION_PREFIXES, LARGE = 22, ("", "packages/", "app-store/", "app-store/_x/"), (2, 17, 23)
+#: The template, of keys, of which each fourth file lies in a repository without any source.
+BARE = 20
 #: (path, target) of links; § is the number of a document and ¶ the path of its file. One is a link to a directory.
 LINKS = (
     ("links/a§.py", "../¶"), ("links/b§.py", "a§.py"), ("links/deep/c§.py", ".././b§.py"), ("dirs/d§", "../links"), ("links/e§.py", "../dirs/d§/deep/../a§.py"), ("links/f§.py", "g§.py"),
@@ -85,7 +87,8 @@ def files(spark, d) -> DataFrame:
     of = lambda i: F.get(F.array(*(F.lit(t[i]) for t in TEMPLATES)), k)
     fill = lambda c: F.replace(F.replace(c, F.lit("§"), F.col("doc_id").cast("string")), F.lit("¤"), (F.col("doc_id") % 270).cast("string"))
     path = F.when(k == INTEGRATION, F.concat(F.get(F.array(*map(F.lit, INTEGRATION_PREFIXES)), (F.col("doc_id") % 4).cast("int")), fill(of(0)))).otherwise(fill(of(0)))
-    rows = docs.select(F.col("source").alias("repo_id"), "doc_id", path.alias("path"), F.concat(fill(of(1)), F.when(of(2), F.coalesce("text", F.lit(""))).otherwise("")).alias("content"))
+    repo = F.when((k == BARE) & (F.col("doc_id") % 4 == 0), "bare").otherwise(F.col("source"))
+    rows = docs.select(repo.alias("repo_id"), "doc_id", path.alias("path"), F.concat(fill(of(1)), F.when(of(2), F.coalesce("text", F.lit(""))).otherwise("")).alias("content"))
     listed = F.octet_length("content") + F.when(k.isin(*LARGE) & (F.col("doc_id") % 5 == 0), 600_000).otherwise(0)
     return rows.select("repo_id", "path", listed.cast("long").alias("size"), F.lit(None).cast("string").alias("link_target"), "content", "doc_id")
 
@@ -116,7 +119,7 @@ def replies(spark, d) -> DataFrame:
     n = F.col("doc_id").cast("string")
     text = F.concat(
         F.lit("intro\n## Overview\n"), "text", F.lit("\n## Cards\n### Orders ("), (F.col("doc_id") % 9).cast("string"), F.lit(" endpoints)\n**Owner:** dev"), n,
-        F.lit("\n### `users` ("), (F.col("doc_id") % 5).cast("string"), F.lit(" endpoints)\nbody\n"),
+        F.lit("\n### `users` ("), (F.col("doc_id") % 5).cast("string"), F.lit(" routes)\nbody\n### Tail ("), (F.col("doc_id") % 3).cast("string"), F.lit(")\n### No size (x 3)\nbody\n"),
         F.when(F.col("doc_id") % 4 == 3, F.concat(F.lit("```mermaid\nerDiagram\n  nobody ||--o{ ghosts : see\n```\n### Step (`order"), n, F.lit("`, `Users`, `id`)\n")))
         .otherwise(F.concat(F.lit("```mermaid\nerDiagram\n  users ||--o{ orders"), n, F.lit(" : has\n  ghosts ||..o{ Users : see\n  users }o--|| nobody\n```\n"))),
         F.lit("```json\n{\"a\": "), n, F.lit("}\n```\n"))
@@ -157,7 +160,7 @@ VIEWS = {
         CASE WHEN l_returnflag = 'A' THEN 'A' WHEN l_returnflag = 'R' THEN 'D' WHEN l_linestatus = 'F' THEN 'R' ELSE 'M' END AS status
       FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)""",
     "eras_v": "SELECT 'repo' || r AS repo_id, e.* FROM range(7) t(r), (VALUES " + ", ".join(f"({i}, '{n}', '{s}', {_lit(e)})" for i, n, s, e in ERAS) + ") e(era_index, name, start_month, end_month)",
-    "files_v": f"""SELECT source AS repo_id, CASE WHEN doc_id % {N} = {INTEGRATION} THEN ({_list(INTEGRATION_PREFIXES)})[doc_id % 4 + 1] ELSE '' END || {_fill(0)} AS path, (strlen(content) + CASE WHEN doc_id % {N} IN {LARGE} AND doc_id % 5 = 0 THEN 600000 ELSE 0 END)::bigint AS size, content, doc_id FROM (
+    "files_v": f"""SELECT CASE WHEN doc_id % {N} = {BARE} AND doc_id % 4 = 0 THEN 'bare' ELSE source END AS repo_id, CASE WHEN doc_id % {N} = {INTEGRATION} THEN ({_list(INTEGRATION_PREFIXES)})[doc_id % 4 + 1] ELSE '' END || {_fill(0)} AS path, (strlen(content) + CASE WHEN doc_id % {N} IN {LARGE} AND doc_id % 5 = 0 THEN 600000 ELSE 0 END)::bigint AS size, content, doc_id FROM (
       SELECT source, doc_id, {_fill(1)} || CASE WHEN ({_list([t[2] for t in TEMPLATES])})[doc_id % {N} + 1] THEN coalesce(text, '') ELSE '' END AS content FROM documents)""",
     "sources_v": f"SELECT repo_id, path, content FROM files_v UNION ALL SELECT DISTINCT repo_id, 'go.mod', ({_list(MODULES)})[length(repo_id) % 3 + 1] FROM files_v",
     "links_v": "SELECT repo_id, replace(l.p, '§', doc_id::varchar) AS path, replace(replace(l.t, '§', doc_id::varchar), '¶', f.path) AS link_target FROM files_v f, (VALUES " + ", ".join(f"({_lit(p)}, {_lit(t)})" for p, t in LINKS) + ") l(p, t)",
@@ -167,7 +170,10 @@ VIEWS = {
 ## Cards
 ### Orders (' || (doc_id % 9) || ' endpoints)
 **Owner:** dev' || doc_id || '
-### `users` (' || (doc_id % 5) || ' endpoints)
+### `users` (' || (doc_id % 5) || ' routes)
+body
+### Tail (' || (doc_id % 3) || ')
+### No size (x 3)
 body
 ' || CASE WHEN doc_id % 4 = 3 THEN '```mermaid
 erDiagram

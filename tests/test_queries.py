@@ -65,4 +65,5 @@ def test_every_document_reaches_python_imports_and_pyproject(spark, tmp_path):
     d = documents(spark, tmp_path, {1: "", 0: "", 14: say, 22: say, 24: say, 23: say})  # 14 models.py, 22 a client, 24 a serializer, 23 no Python
     got = {(r["from_path"], r["to_path"]) for r in registry.queries()["resolve_python"](spark, d).collect()}
     assert got == {(p, "pkg/m1.py") for p in ("app14/models.py", "app-store/integrations/slack22/client.py", "src/serializers/s24.py")}
-    assert {r["name"] for r in registry.queries()["deps_pyproject"](spark, d).collect()} >= {f"lib{k}" for k in (1, 0, 14, 22, 24, 23)}
+    d = documents(spark, tmp_path / "more", {25: "", 52: "", 26: ""})  # two pyproject files, and one that does not parse
+    assert {(r["manifest_path"], r["name"], r["version"]) for r in registry.queries()["deps_pyproject"](spark, d).collect()} == {(f"p{k}/pyproject.toml", n, c) for k in (25, 52) for n, c in (("numpy", ">=2"), (f"lib{k}", "==2"), ("pytest", ""))}
