@@ -225,7 +225,7 @@ def _rewritten(scopes: _Scopes, line: str, below: str | None) -> str | None:
     due = scopes.due(depth, key if value else "")
     secret = bool(under) or bool(key and re.search(C.SECRET_KEY, key))
     if key and not value:
-        if scopes.secret and key in ("data", "stringData"):
+        if scopes.secret and not under and key in ("data", "stringData"):
             scopes.above.append((depth, "data", item))
         elif under or (secret and not (below and _keyed(below))):
             return scopes.hide(head + " ", "", depth, item, True)

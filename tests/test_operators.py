@@ -646,3 +646,129 @@ def test_exact_files_and_upper_case_suffixes(spark):
     files = spark.createDataFrame(rows, "repo_id string, path string, content string")
     assert {(r["from_path"], r["to_path"]) for r in imports.import_edges(files).collect()} == {("src/a.JS", "src/b"), ("src/a.JS", "src/c.js")}
     assert imports.import_coverage(files).first()["covered"] == 8
+
+
+def redacted_by_lines(text):
+    """The redaction rule, line by line as it is written down: (lines, number of masked values)."""
+    secret_key = re.compile(r"pass|pwd|secret|token|key|cred|auth|private|salt|signature|dsn|session|cookie|licen[cs]e|webhook", re.I)
+    out, masked, docs = [], 0, [[]]
+    for line in text.split("\n"):
+        if line.strip() in ("---", "...") and line[:3] in ("---", "..."):
+            docs += [[line], []]
+        else:
+            docs[-1].append(line)
+
+    def pair(line):
+        m = re.match(r'(\s*-?\s*"?)([A-Za-z_][\w.-]*)("?\s*[:=]\s*)(.*)$', line)
+        return m and (m[1] + m[2] + m[3], m[2], m[4]) if m and (m[4] or m[3].strip().endswith(":")) else None
+
+    for doc in docs:
+        kind = any(re.match(r"\s*kind:\s*[\"']?Secret\b", x, re.I) for x in doc)
+        data = swallow = waiting = None
+        for i, line in enumerate(doc):
+            if not line.strip():
+                out.append(line)
+                continue
+            depth = len(line) - len(line.lstrip())
+            if swallow is not None:
+                if depth > swallow[0] or (depth == swallow[0] and line.lstrip().startswith("-") and not swallow[1]):
+                    continue
+                swallow = None
+            if data is not None and depth <= data:
+                data = None
+            if kind and data is None and re.match(r"\s*(data|stringData):\s*$", line):
+                data = depth
+                out.append(line)
+                continue
+            p = pair(line)
+            if data is None and p and p[1] == "name" and re.fullmatch(r"[\"']?[A-Za-z_][\w.-]*[\"']?\s*", p[2]):
+                waiting = depth if secret_key.search(p[2]) else None
+                out.append(line)
+                continue
+            value_of_name = bool(p and p[1] == "value" and p[2] and waiting is not None and depth >= waiting)
+            if (p and p[1] == "value" and p[2]) or (waiting is not None and depth <= waiting):
+                waiting = None
+            secret = p and (data is not None or secret_key.search(p[1]))
+            if p and p[2] and (secret or value_of_name):
+                if not value_of_name and re.fullmatch(r"[|>][-+\d]*\s*(#.*)?", p[2]):
+                    swallow = depth, line.lstrip().startswith("-")
+                quote = p[2][-1] if p[2][-1] in "'\"" and p[0].count(p[2][-1]) % 2 else ""
+                out.append(p[0] + "[REDACTED]" + quote)
+                masked += 1
+            elif p and not p[2] and secret:
+                below = next((x for x in doc[i + 1 :] if x.strip()), "")
+                if data is None and len(below) - len(below.lstrip()) > depth and pair(below):
+                    out.append(line)
+                else:
+                    swallow = depth, line.lstrip().startswith("-")
+                    out.append(p[0].rstrip() + " [REDACTED]")
+                    masked += 1
+            else:
+                new, n = re.subn(r"(?<=[\w+.-])(://[^\s:/@]*:)[^\s/@]+(?=@)", r"\1[REDACTED]", line)
+                out.append(new)
+                masked += n
+    return out, masked
+
+
+def test_redaction_by_the_written_rule():
+    """Generated documents: nested mappings and lists, names with values, blocks of text, Secrets, several documents."""
+    import random
+
+    rng = random.Random(17)
+    lines = [
+        "image: x", "password: p", "API_TOKEN=abc", "- name: API_TOKEN", "- name: HOST", "  value: v1", "value: 100", "valueFrom: x", "tokens:", "- abc", "secrets:", "private_key: |", "auth:", "kind: Secret", "data:", "stringData:", "url: http://u:pw@h/x",
+        '- "DB_PASSWORD=x"', "limits:", "cpu:", "", "key: >-", "plain text", "name: my-token", "- redis://:pw@h", "credentials: 'a b'", "env:", "- value: q", "name: two words", "kind: ConfigMap",
+    ]
+    for _ in range(4000):
+        text = "\n".join("---" if rng.random() < 0.06 else (" " * rng.choice([0, 0, 2, 4]) + rng.choice(lines)).rstrip() for _ in range(rng.randint(1, 14)))
+        got, n = arch.redact_text(text)
+        want, m = redacted_by_lines(text)
+        assert (got.split("\n"), n) == (want, m), text
+
+
+def test_a_secret_name_ends_at_its_value():
+    text = "- name: API_TOKEN\n  valueFrom: x\nlimits:\n  cpu:\n    value: 100\n"
+    assert arch.redact_text(text) == (text, 0)
+    assert arch.redact_text("- name: API_TOKEN\n  value: a\n  value: b\n") == ("- name: API_TOKEN\n  value: [REDACTED]\n  value: b\n", 1)
+
+
+def test_evidence_of_a_repository(spark):
+    rows = [
+        ("r", "package.json", 1, '{"dependencies": {"b": "2", "a": "1"}}'), ("r", "app/.env.example", 1, "TOKEN=x\nexport HOST=y\n"), ("r", "compose.yaml", 1, " \n"), ("r", "docker-compose.yml", 1, "web:\n  password: p\n"), ("r", "deploy/k8s/credentials.yaml", 1, "a: 1"),
+        ("r", "deploy/k8s/big.yaml", 1, "x" * 200_001), ("r", "vars.tfvars", 1, "secret = x"), ("r", "bad.tf", 1, None), ("r", "a.ts", 1, "import S from 'stripe'\nconst t = new Twilio(x)\n"), ("s", "README.md", 1, "x"),
+    ]
+    df = spark.createDataFrame(rows, "repo_id string, path string, size long, content string")
+    stats = {r["repo_id"]: r for r in arch.arch_stats(df).collect()}
+    r = stats["r"]
+    assert (r["configs"], r["included"], r["unreadable"], r["cut"], r["env_vars"], r["deps"], r["sdk_lines"], r["truncated"]) == (4, 3, 2, 1, 2, 2, 2, False)
+    assert stats["s"]["configs"] == stats["s"]["sdk_lines"] == 0
+    found = arch.gather(df)
+    placed = arch.placed_sections(arch.evidence_sections(found))
+    bundle = arch.evidence_bundle(placed).first()["bundle"]
+    heads = [x for x in bundle.split("\n") if x.startswith("=====")]
+    assert [h.split(" ")[1] for h in heads] == ["PROCESS", "KUBERNETES", "INFRASTRUCTURE-AS-CODE", "ENVIRONMENT", "DEPENDENCY", "SDK"] and "a @ 1\nb @ 2\n" in bundle and "HOST\nTOKEN\n" in bundle and "password: p" not in bundle
+    at = bundle.index("===== ENVIRONMENT")
+    states = {r["path"]: r["state"] for r in arch.evidence_files(found, placed, at).collect()}
+    assert states == {"docker-compose.yml": "included", "deploy/k8s/big.yaml": "included", "vars.tfvars": "included", "app/.env.example": "dropped", "package.json": "dropped"}
+    cut = arch.evidence_bundle(placed, at).first()
+    assert cut["truncated"] and cut["bundle"].startswith(bundle[:at]) and cut["bundle"].endswith(f"===== BUNDLE TRUNCATED at {at:,} of {len(bundle):,} chars -- the sources above are incomplete =====\n")
+    assert arch.sdk_in_bundle(placed, len(bundle) - 2).count() == 1 and arch.sdk_in_bundle(placed, len(bundle) - 1).count() == 2 and arch.sdk_in_bundle(placed, at).count() == 0
+    none = spark.createDataFrame([("r", "git timed out"), ("s", "git timed out")], "repo_id string, reason string")
+    silent = arch.gather(df.where("path <> 'a.ts'"))
+    text = {r["repo_id"]: r["bundle"] for r in arch.evidence_bundle(arch.placed_sections(arch.evidence_sections(silent, none))).collect()}
+    assert text["r"].startswith("===== SDK IMPORTS unavailable: git timed out =====\n") and "s" not in text
+
+
+def test_groups_of_any_counted_title(spark):
+    titles = ["Users (3)", "Orders (12 routes)", "Cart (4 endpoints)", "None", "x (y) (2)", "( 5)", "Zero (0)"]
+    cards = spark.createDataFrame([("r", 1, i, t, "") for i, t in enumerate(titles)], "repo_id string, prompt_id int, card int, title string, body string")
+    got = {r["name"]: (r["n"], r["total"], r["width"]) for r in replies.feature_group_sizes(cards).collect()}
+    assert got == {"Users": (3, 21, 25), "Orders": (12, 21, 100), "Cart": (4, 21, 33), "x (y)": (2, 21, 17), "Zero": (0, 21, 7)}
+
+
+def test_schema_of_an_override(spark):
+    rows = [("r", "schema.prisma", 9, "x" * 9), ("r", "db/my.txt", 9, "y" * 9), ("s", "schema.prisma", 9, "z" * 9)]
+    df = spark.createDataFrame(rows, "repo_id string, path string, size long, content string")
+    forced = spark.createDataFrame([("r", "db/my.txt"), ("t", "gone.sql")], "repo_id string, path string")
+    got = {(r["repo_id"], r["kind"], r["path"], r["state"], r["cut"]) for r in schemas.find_schema(df, 5, overrides=forced).collect()}
+    assert got == {("r", "override", "db/my.txt", "kept", True), ("t", "override", "gone.sql", "kept", False), ("s", "prisma", "schema.prisma", "kept", True)}
