@@ -88,6 +88,46 @@ def split_sections(replies: DataFrame) -> DataFrame:
     return rows.unionByName(gist)
 
 
+def heading_tree(replies: DataFrame) -> DataFrame:
+    """(repo_id, prompt_id, n, level, title, parent_n, parent, body): every heading of a reply, numbered, under the nearest one before it of a lower level.
+
+    body is what stands between a heading and the next of any level.
+    """
+    head = r"(?m)(?=^#{1,6}[ \t]+\S)"
+    rows = replies.select(*KEY, F.posexplode(F.split("text", head)).alias("pos", "part")).where(F.col("part").rlike(r"^#{1,6}[ \t]+\S"))
+    line = F.regexp_extract("part", r"^[^\n]*", 0)
+    rows = rows.select(*KEY, "pos", F.length(F.regexp_extract(line, "^#+", 0)).alias("level"), F.regexp_replace(line, r"^#+\s+|\s+$", "").alias("title"), F.regexp_replace(F.expr("substring(part, length(regexp_extract(part, '^[^\\n]*', 0)) + 1)"), r"^\s+|\s+$", "").alias("body"))
+    w = Window.partitionBy(*KEY).orderBy("pos")
+    rows = rows.withColumn("n", F.row_number().over(w))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    last = {k: F.max(F.when(F.col("level") == k, F.struct("n", "title"))).over(before) for k in range(1, 6)}
+    rows = rows.select("*", *(x.alias(f"l{k}") for k, x in last.items()))
+    above = F.array_max(F.array_compact(F.array(*(F.when(F.col("level") > k, F.col(f"l{k}")) for k in last))))
+    return rows.withColumn("above", above).select(*KEY, "n", "level", "title", F.col("above.n").alias("parent_n"), F.col("above.title").alias("parent"), "body")
+
+
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def menu_parts(text: str | Column) -> Column:
+    """Struct of a menu's opener, its groups from the first ### card on, and its tour, which is what follows the first ## heading that names one."""
+    text = F.col(text) if isinstance(text, str) else text
+    cut = F.split(text, r"(?imd)^##[ \t]+[^\n]*tour[^\n]*$", 2)
+    head = F.get(cut, F.lit(0))
+    starts = head.rlike(r"^###\s")
+    parts = F.split(head, r"(?md)(?=^###\s)", 2)
+    return F.struct(
+        F.when(starts, "").otherwise(_trimmed(F.get(parts, F.lit(0)))).alias("opener"), _trimmed(F.when(starts, head).otherwise(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))).alias("groups"), _trimmed(F.coalesce(F.get(cut, F.lit(1)), F.lit(""))).alias("tour"))
+
+
+def first_card(text: str | Column) -> Column:
+    """The first ### card with its heading, 2,500 characters at most; without one the first 1,500 of the text."""
+    text = F.col(text) if isinstance(text, str) else text
+    card = F.regexp_extract(text, r"(?smd)^###(?=\s).*?(?=^###\s|\z)", 0)
+    return F.when(card == "", F.substring(text, 1, 1500)).otherwise(F.substring(card, 1, 2500))
+
+
 def labelled_field(text: str | Column, label: str) -> Column:
     """The first line with any text after **label:**, '' where there is none."""
     return F.regexp_replace(F.regexp_extract(text, rf"\*\*{label}:\*\*\s*([^\n]+)", 1), r"^\s+|\s+$", "")

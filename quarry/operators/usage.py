@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import constants as C
@@ -61,31 +61,49 @@ def cost_rollup(costed: DataFrame, *levels: str) -> DataFrame:
 def estimate_run(plan: DataFrame, prices: DataFrame, provider: str, model: str, cap: int = 16_384) -> DataFrame:
     """Low and high input tokens, worst-case output, costs and the largest prompt of each repository's plan.
 
-    Only the largest prompt takes the most that a body can be.
+    Only the largest prompt takes the most that a body can be. ``notes`` are
+    those of the plan, which say what its figures leave out.
     """
     chars, largest = F.col("shell_chars") + F.col("body_chars"), F.col("shell_chars") + F.coalesce("body_max_chars", "body_chars")
     per = plan.groupBy("repo_id").agg(
         F.floor(F.sum(chars * F.col("calls_low")) / 4).alias("input_low"), F.floor(F.sum(chars * F.col("calls_high")) / 4).alias("input_high"),
-        (F.sum("calls_high") * cap).alias("output_high"), F.max(F.floor(largest / 2.5)).alias("largest_prompt"))
+        (F.sum("calls_high") * cap).alias("output_high"), F.max(F.floor(largest / 2.5)).alias("largest_prompt"),
+        F.array_sort(F.collect_set(F.when(F.col("note") != "", F.concat_ws(": ", "template", "note")))).alias("notes"))  # a prompt's note once
     price = prices.where((F.col("provider") == provider) & (F.col("model") == model)).select(F.lit(provider).alias("provider"), "input", "output", "max_input")
-    rows = per.withColumn("provider", F.lit(provider)).join(F.broadcast(price), "provider", "left")
-    return rows.select("repo_id", "input_low", "input_high", "output_high", "largest_prompt", F.round(F.col("input_low") * F.col("input"), 6).alias("cost_low"), F.round(F.col("input_high") * F.col("input") + F.col("output_high") * F.col("output"), 6).alias("cost_high"), (F.col("largest_prompt") > F.col("max_input")).alias("over_ceiling"))
+    rows = per.withColumn("provider", F.lit(provider)).join(F.broadcast(price.limit(1)), "provider", "left")  # one row
+    return rows.select("repo_id", "input_low", "input_high", "output_high", "largest_prompt", F.round(F.col("input_low") * F.col("input"), 6).alias("cost_low"), F.round(F.col("input_high") * F.col("input") + F.col("output_high") * F.col("output"), 6).alias("cost_high"), (F.col("largest_prompt") > F.col("max_input")).alias("over_ceiling"), "notes")
 
 
-def prompt_plan(preview: DataFrame, templates=C.PROMPTS) -> DataFrame:
-    """A row for each repository and prompt: fixed and filled characters, and calls low and high.
+#: A slot of a template; braces around anything else are text.
+SLOT = r"\{([a-z_][a-z0-9_]*)\}"
+
+
+def shell_chars(text: str | Column, house: Column) -> Column:
+    """A template's own characters: its text with the house style in its place, without each of the other slots once."""
+    filled = F.replace(F.col(text) if isinstance(text, str) else text, F.lit("{house_style}"), house)
+    slots = F.array_distinct(F.regexp_extract_all(filled, F.lit(SLOT), F.lit(1)))
+    return F.length(filled) - F.aggregate(slots, F.lit(0), lambda n, s: n + F.length(s) + 2)
+
+
+def prompt_plan(preview: DataFrame, templates: DataFrame, house: str = "", evidence: str = "") -> DataFrame:
+    """A row for each repository and prompt: fixed and filled characters, calls low and high, what the figures leave out.
 
     ``preview`` has repo_id, analysis, part, body_chars, body_max_chars and
-    migrations (their number, null where an analysis has none); a template names
-    the part that fills it. A template's fixed part is its length without its
-    placeholders. The templates are a fixed table of a few rows.
+    migrations (their number, null where an analysis has none). ``templates`` has
+    analysis, template, text, part (null for a prompt that no repository's text
+    fills, such as a shared overview), calls_low, calls_high and note; its fixed
+    characters come from the texts. ``house`` is filled in for {house_style},
+    with the rules of ``evidence`` after it where a prompt is given sources.
     """
-    rows = [(a, t, n - sum(len(x) + 2 for x in slots.split()), part, lo, hi) for a, t, n, slots, part, lo, hi in templates]
-    table = preview.sparkSession.createDataFrame(rows, "analysis string, template string, shell_chars int, part string, calls_low int, calls_high int")
-    out = preview.join(F.broadcast(table), ["analysis", "part"])
+    whole = F.when(F.col("part").isNull(), F.lit(house)).otherwise(F.lit(f"{house}\n\n{evidence}" if evidence else house))
+    table = templates.select("analysis", "template", shell_chars("text", whole).alias("shell_chars"), "part", "calls_low", "calls_high", "note")
+    given = preview.join(table.where("part is not null"), ["analysis", "part"])
+    shared = preview.select("repo_id", "analysis").distinct().join(table.where("part is null"), "analysis").withColumn("body_chars", F.lit(0).cast("long")).withColumn("body_max_chars", F.lit(None).cast("long")).withColumn("migrations", F.lit(None).cast("long"))
+    names = ["repo_id", "analysis", "template", "shell_chars", "body_chars", "body_max_chars", "migrations", "calls_low", "calls_high", "note"]
+    out = given.select(names).unionByName(shared.select(names))
     few = (F.col("template") == "migration-acts.md") & (F.coalesce("migrations", F.lit(0)) < 4)
     calls = [F.when(few, 0).otherwise(F.col(c)).alias(c) for c in ("calls_low", "calls_high")]
-    return out.select("repo_id", "analysis", "template", "shell_chars", "body_chars", "body_max_chars", *calls)
+    return out.select("repo_id", "analysis", "template", "shell_chars", "body_chars", "body_max_chars", *calls, "note")
 
 
 def codebase_size_estimate(files: DataFrame, budget: int = 1_000_000, preview_budget: int = 1_000_000, target: int | None = None, overhead: int = 131, skew: float = 2.0) -> DataFrame:

@@ -843,6 +843,23 @@ def split_sections(spark, d):
     return replies.split_sections(v.replies(spark, d)).select("repo_id", "prompt_id", "section", F.md5("body").alias("body_md5"))
 
 
+@query(r"""WITH h AS (SELECT repo_id, prompt_id, pos, length(regexp_extract(line, '^(#{1,6})[ \t]+\S', 1)) AS level, trim(regexp_replace(line, '^#{1,6}[ \t]+', '')) AS title FROM (SELECT repo_id, prompt_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM replies_v) WHERE regexp_matches(line, '^#{1,6}[ \t]+\S'))
+SELECT repo_id, prompt_id, row_number() OVER (PARTITION BY repo_id, prompt_id ORDER BY pos)::int AS n, level::int AS level, title, (SELECT arg_max(p.title, p.pos) FROM h p WHERE p.prompt_id = h.prompt_id AND p.repo_id = h.repo_id AND p.pos < h.pos AND p.level < h.level) AS parent FROM h""")
+def heading_tree(spark, d):
+    return replies.heading_tree(v.replies(spark, d)).select("repo_id", "prompt_id", "n", "level", "title", "parent")
+
+
+_MENU = r"""cut AS (SELECT repo_id, prompt_id, text, regexp_extract(text, '(?im)^##[ \t]+[^\n]*tour[^\n]*$') AS mark FROM replies_v), headed AS (SELECT *, CASE WHEN mark = '' THEN text ELSE substr(text, 1, strpos(text, mark) - 1) END AS head, CASE WHEN mark = '' THEN '' ELSE substr(text, strpos(text, mark) + length(mark)) END AS tour FROM cut),
+menu AS (SELECT *, strpos(chr(10) || head, chr(10) || '### ') AS spot, strpos(chr(10) || text, chr(10) || '### ') AS card FROM headed)"""
+
+
+@query(rf"""WITH {_MENU} SELECT repo_id, prompt_id, md5(trim(CASE WHEN spot = 0 THEN head ELSE substr(head, 1, spot - 1) END, ' ' || chr(10) || chr(9))) AS opener_md5, md5(trim(CASE WHEN spot = 0 THEN '' ELSE substr(head, spot) END, ' ' || chr(10) || chr(9))) AS groups_md5, trim(tour, ' ' || chr(10) || chr(9)) AS tour,
+  substr(CASE WHEN card = 0 THEN substr(text, 1, 1500) ELSE substr(text, card, CASE WHEN strpos(substr(text, card + 3), chr(10) || '### ') = 0 THEN length(text) ELSE strpos(substr(text, card + 3), chr(10) || '### ') + 3 END) END, 1, 2500) AS first_card FROM menu""")
+def split_menu(spark, d):
+    rows = v.replies(spark, d).select("repo_id", "prompt_id", replies.menu_parts("text").alias("m"), replies.first_card("text").alias("first_card"))
+    return rows.select("repo_id", "prompt_id", F.md5("m.opener").alias("opener_md5"), F.md5("m.groups").alias("groups_md5"), F.col("m.tour").alias("tour"), "first_card")
+
+
 @query(r"SELECT repo_id, prompt_id, trim(regexp_extract(text, '\*\*Owner:\*\*\s*([^\n]+)', 1)) AS owner, trim(regexp_extract(text, '\*\*Nobody:\*\*\s*([^\n]+)', 1)) AS missing FROM replies_v")
 def labelled_field(spark, d):
     return v.replies(spark, d).select("repo_id", "prompt_id", replies.labelled_field("text", "Owner").alias("owner"), replies.labelled_field("text", "Nobody").alias("missing"))
@@ -907,18 +924,20 @@ def cost_rollup(spark, d):
 
 
 _BODY = "body AS (SELECT repo_id, sum(length(content))::bigint AS body_chars, max(length(content))::bigint AS largest, count(*) FILTER (starts_with(path, 'db/migrations/')) AS migrations FROM files_v GROUP BY 1)"
-_PROMPTS = ", ".join(f"('{a}', '{t}', {n - sum(len(x) + 2 for x in slots.split())}, '{part}', {lo}, {hi})" for a, t, n, slots, part, lo, hi in C.PROMPTS)
-_PLAN = f"""plan AS (SELECT repo_id, analysis, template, shell_chars, floor(body_chars * CASE part {' '.join(f"WHEN '{p}' THEN {w}" for p, w in (('bundle', 1.0), ('manifest', 0.5), ('head', 0.25), ('names', 0.125), ('survey', 0.0625), ('stream', 0.25), ('diff', 0.125)))} END)::bigint AS body_chars,
-  CASE WHEN analysis = 'tour' AND part = 'bundle' THEN body_chars + largest END AS body_max_chars, CASE WHEN template = 'migration-acts.md' AND migrations < 4 THEN 0 ELSE lo END AS calls_low, CASE WHEN template = 'migration-acts.md' AND migrations < 4 THEN 0 ELSE hi END AS calls_high FROM body, (VALUES {_PROMPTS}) t(analysis, template, shell_chars, part, lo, hi))"""
+_SHARES = {"bundle": 1.0, "manifest": 0.5, "head": 0.25, "names": 0.125, "survey": 0.0625, "stream": 0.25, "diff": 0.125}
+_PLAN = rf"""filled AS (SELECT *, replace(text, '{{house_style}}', CASE WHEN part IS NULL THEN {v._lit(v.HOUSE)} ELSE {v._lit(v.HOUSE)} || chr(10) || chr(10) || {v._lit(v.EVIDENCE)} END) AS whole FROM templates_v),
+shells AS (SELECT *, length(whole) - coalesce(list_sum(list_transform(list_distinct(regexp_extract_all(whole, '\{{([a-z_][a-z0-9_]*)\}}', 1)), lambda x: length(x) + 2)), 0) AS shell_chars FROM filled),
+plan AS (SELECT repo_id, analysis, template, shell_chars::int AS shell_chars, CASE WHEN part IS NULL THEN 0 ELSE floor(body_chars * CASE part {' '.join(f"WHEN '{p}' THEN {w}" for p, w in _SHARES.items())} END)::bigint END AS body_chars,
+  CASE WHEN analysis = 'tour' AND part = 'bundle' THEN body_chars + largest END AS body_max_chars, CASE WHEN template = 'migration-acts.md' AND migrations < 4 THEN 0 ELSE calls_low END AS calls_low, CASE WHEN template = 'migration-acts.md' AND migrations < 4 THEN 0 ELSE calls_high END AS calls_high, note FROM body, shells)"""
 
 
 def _plan(spark, d):
-    """Every part of a preview is a share of the repository's characters here."""
+    """Every part of a preview is a share of the repository's characters here; templates are texts of a table."""
     body = v.files(spark, d).groupBy("repo_id").agg(F.sum(F.length("content")).alias("whole"), F.max(F.length("content")).cast("long").alias("largest"), F.count_if(F.col("path").startswith("db/migrations/")).alias("migrations"))
-    shares = {"bundle": 1.0, "manifest": 0.5, "head": 0.25, "names": 0.125, "survey": 0.0625, "stream": 0.25, "diff": 0.125}
-    parts = F.array(*(F.struct(F.lit(a).alias("analysis"), F.lit(p).alias("part"), F.lit(shares[p]).alias("share")) for a, p in sorted({(a, p) for a, _, _, _, p, *_ in C.PROMPTS})))
+    parts = F.array(*(F.struct(F.lit(a).alias("analysis"), F.lit(p).alias("part"), F.lit(_SHARES[p]).alias("share")) for a, p in sorted({(a, p) for a, _, p, *_ in C.PROMPTS})))
     most = F.when((F.col("analysis") == "tour") & (F.col("part") == "bundle"), F.col("whole") + F.col("largest"))
-    return usage.prompt_plan(body.select("*", F.inline(parts)).select("repo_id", "analysis", "part", F.floor(F.col("whole") * F.col("share")).alias("body_chars"), most.alias("body_max_chars"), "migrations"))
+    given = body.select("*", F.inline(parts)).select("repo_id", "analysis", "part", F.floor(F.col("whole") * F.col("share")).alias("body_chars"), most.alias("body_max_chars"), "migrations")
+    return usage.prompt_plan(given, v.templates(spark, d), v.HOUSE, v.EVIDENCE)
 
 
 @query(f"WITH {_BODY}, {_PLAN} SELECT * FROM plan")
@@ -926,10 +945,10 @@ def prompt_plan(spark, d):
     return _plan(spark, d)
 
 
-@query(f"""WITH {_PRICE}, {_BODY}, {_PLAN}, p AS (SELECT *, shell_chars + body_chars AS chars, shell_chars + coalesce(body_max_chars, body_chars) AS most FROM plan), e AS (SELECT repo_id, (sum(chars * calls_low) // 4)::bigint AS input_low, (sum(chars * calls_high) // 4)::bigint AS input_high, (sum(calls_high) * 16384)::bigint AS output_high, max(floor(most / 2.5::double))::bigint AS largest_prompt FROM p GROUP BY 1)
-SELECT repo_id, input_low, input_high, output_high, largest_prompt, round(input_low * input, 6) AS cost_low, round(input_high * input + output_high * output, 6) AS cost_high, largest_prompt > max_input AS over_ceiling FROM e, prices WHERE provider = 'openai'""")
+@query(f"""WITH {_PRICE}, {_BODY}, {_PLAN}, p AS (SELECT *, shell_chars + body_chars AS chars, shell_chars + coalesce(body_max_chars, body_chars) AS most FROM plan), e AS (SELECT repo_id, (sum(chars * calls_low) // 4)::bigint AS input_low, (sum(chars * calls_high) // 4)::bigint AS input_high, (sum(calls_high) * 16384)::bigint AS output_high, max(floor(most / 2.5::double))::bigint AS largest_prompt, string_agg(DISTINCT template || ': ' || note, '|' ORDER BY template || ': ' || note) FILTER (note <> '') AS notes FROM p GROUP BY 1)
+SELECT repo_id, input_low, input_high, output_high, largest_prompt, round(input_low * input, 6) AS cost_low, round(input_high * input + output_high * output, 6) AS cost_high, largest_prompt > max_input AS over_ceiling, notes FROM e, prices WHERE provider = 'openai'""")
 def estimate_run(spark, d):
-    return usage.estimate_run(_plan(spark, d), v.prices(spark), "openai", "gpt-5.6-terra")
+    return usage.estimate_run(_plan(spark, d), v.prices(spark), "openai", "gpt-5.6-terra").withColumn("notes", F.array_join("notes", "|"))
 
 
 @query(f"""WITH w AS (SELECT repo_id, path, length(content) AS len, row_number() OVER (PARTITION BY repo_id ORDER BY {_WALK}) AS ord FROM files_v WHERE {_KEPT}), p AS (SELECT *, len + length(path) + 131 AS block FROM w WHERE ord <= 30),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import constants as C
 from quarry.operators import usage
 
 #: (path, head, whether the document's text follows). § is the document's number, ¤ the number modulo 270, ten times the number of templates, so that what it names exists.
@@ -122,10 +123,24 @@ def replies(spark, d) -> DataFrame:
         F.lit("\n### `users` ("), (F.col("doc_id") % 5).cast("string"), F.lit(" routes)\nbody\n### Tail ("), (F.col("doc_id") % 3).cast("string"), F.lit(")\n### No size (x 3)\nbody\n"),
         F.when(F.col("doc_id") % 4 == 3, F.concat(F.lit("```mermaid\nerDiagram\n  nobody ||--o{ ghosts : see\n```\n### Step (`order"), n, F.lit("`, `Users`, `id`)\n")))
         .otherwise(F.concat(F.lit("```mermaid\nerDiagram\n  users ||--o{ orders"), n, F.lit(" : has\n  ghosts ||..o{ Users : see\n  users }o--|| nobody\n```\n"))),
-        F.lit("```json\n{\"a\": "), n, F.lit("}\n```\n"))
+        F.lit("```json\n{\"a\": "), n, F.lit("}\n```\n"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("## A Guided TOUR of "), n, F.lit("\n### Stop\n1. start\n"))).otherwise(""))
     return docs.select(F.col("source").alias("repo_id"), F.col("doc_id").alias("prompt_id"), text.alias("text"))
 
 
+#: The voice of the stand-in prompts, and its rules for those that are given sources.
+HOUSE, EVIDENCE = "Write plainly.", "Cite the file {and} the name."
+
+
+def templates(spark, d) -> DataFrame:
+    """Prompt templates: each the text of a document with slots, every other one with the house style; and the one that five analyses share."""
+    rows = [(i, *p) for i, p in enumerate(C.PROMPTS)] + [(len(C.PROMPTS), a, C.OVERVIEW, None, 1, 1, "") for a in C.OVERVIEW_ANALYSES]
+    named = spark.createDataFrame(rows, "doc_id long, analysis string, template string, part string, calls_low int, calls_high int, note string")
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("own"))
+    head = F.when(F.col("doc_id") % 2 == 0, F.lit("{house_style}\n")).otherwise("")
+    text = F.concat(head, "own", F.lit('\n{"json": {}}\n{codebase} {'), F.coalesce("part", F.lit("facts")), F.lit("} {codebase}\n"))
+    return named.join(docs, "doc_id").select("analysis", "template", text.alias("text"), "part", "calls_low", "calls_high", "note")
+
+
 def llm_usage(spark, d) -> DataFrame:
     c = table(spark, d, "conversations").where("role = 'assistant'")
     models = F.get(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(m).alias("m")) for p, m in MODELS)), (F.col("conv_id") % 4).cast("int"))
@@ -189,7 +204,11 @@ erDiagram
 ' END || '```json
 {"a": ' || doc_id || '}
 ```
-' AS text FROM documents""",
+' || CASE WHEN doc_id % 2 = 0 THEN '## A Guided TOUR of ' || doc_id || '
+### Stop
+1. start
+' ELSE '' END AS text FROM documents""",
+    "templates_v": "SELECT p.* EXCLUDE (doc_id), CASE WHEN p.doc_id % 2 = 0 THEN '{house_style}' || chr(10) ELSE '' END || coalesce(d.text, '') || chr(10) || '{\"json\": {}}' || chr(10) || '{codebase} {' || coalesce(part, 'facts') || '} {codebase}' || chr(10) AS text FROM (VALUES " + ", ".join(f"({i}, {', '.join(map(_lit, p))})" for i, p in [*enumerate(C.PROMPTS), *((len(C.PROMPTS), (a, C.OVERVIEW, None, 1, 1, "")) for a in C.OVERVIEW_ANALYSES)]) + ") p(doc_id, analysis, template, part, calls_low, calls_high, note) JOIN documents d ON d.doc_id = p.doc_id",
     "usage_v": f"""SELECT conv_id AS run_id, ({_list([m[0] for m in MODELS])})[conv_id % 4 + 1] AS provider, ({_list([m[1] for m in MODELS])})[conv_id % 4 + 1] AS model, n AS input_tokens, n // 3 AS output_tokens, n // 5 AS cache_read_tokens, n // 7 AS cache_write_tokens, turn * 0.5::double AS duration_s, turn % 3 = 0 AS cached, '2024-05-' || (conv_id % 20 + 10) AS day, text
       FROM (SELECT *, (length(text) // 4)::bigint AS n FROM conversations WHERE role = 'assistant')""",
 }
