@@ -22,19 +22,32 @@ def directory(path, depth: int = 2) -> Column:
     return F.array_join(F.slice(parts, 1, F.least(F.size(parts) - 1, F.lit(depth))), "/")
 
 
-def scope_of(files: Column, depth: int = 2) -> Column:
-    """Longest common directory of the paths, cut to ``depth`` segments.
+def _directories(path: Column) -> Column:
+    parts = F.split(path, "/")
+    return F.slice(parts, 1, F.size(parts) - 1)
 
-    The common prefix of all is that of the least and the greatest directory.
-    """
-    dirs = F.transform(files, lambda p: F.slice(F.split(p, "/"), 1, F.size(F.split(p, "/")) - 1))
-    lo, hi = F.array_min(dirs), F.array_max(dirs)
+
+def scope_between(lo: Column, hi: Column, depth: int = 2) -> Column:
+    """The common beginning of two lists of directories, cut to ``depth``: of the least and the greatest it is that of all."""
     same = F.zip_with(lo, hi, lambda a, b: F.coalesce(a == b, F.lit(False)))
     first = F.array_position(same, False)
     n = F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
     return F.array_join(F.slice(lo, 1, F.least(n, F.lit(depth))), "/")
 
 
+def scope_of(files: Column, depth: int = 2) -> Column:
+    """Longest common directory of the paths, cut to ``depth`` segments."""
+    dirs = F.transform(files, _directories)
+    return scope_between(F.array_min(dirs), F.array_max(dirs), depth)
+
+
+def commit_scopes(changes: DataFrame, depth: int = 2) -> DataFrame:
+    """(repo_id, hash, scope, n_files) of each commit, from the least and the greatest directory alone."""
+    dirs = _directories(F.col("path"))
+    per = changes.groupBy("repo_id", "hash").agg(F.min(dirs).alias("lo"), F.max(dirs).alias("hi"), F.count("*").alias("n_files"))
+    return per.select("repo_id", "hash", scope_between(F.col("lo"), F.col("hi"), depth).alias("scope"), "n_files")
+
+
 def dir_month_counts(changes: DataFrame, commits: DataFrame, depth: int = 2) -> DataFrame:
     """Commits of each directory and month; a commit counts once in a directory, root files do not."""
     dirs = changes.select("repo_id", "hash", directory("path", depth).alias("dir")).where("dir <> ''").dropDuplicates(["repo_id", "hash", "dir"])
@@ -80,11 +93,22 @@ def unrenamed(changes: DataFrame) -> DataFrame:
 
 
 def bulk_changes(changes: DataFrame, commits: DataFrame, status: str, min_files: int) -> DataFrame:
-    """Commits that add (A) or delete (D) many paths; merges are left out. ``renames_only`` marks pure moves."""
+    """Commits that add (A) or delete (D) many paths; merges are left out. ``renames_only`` marks pure moves, ``n_noise`` counts paths with a segment in the skip set.
+
+    A commit's paths are counted, not gathered: they can be of any number. ``bulk_files`` has them.
+    """
+    dirs = _directories(F.col("path"))
+    noisy = F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, C.SKIP_DIRS)))
     per = unrenamed(changes).where(F.col("status") == status).groupBy("repo_id", "hash").agg(
-        F.sort_array(F.collect_list("path")).alias("files"), F.count("*").alias("n_files"), F.every("pure").alias("renames_only"))
+        F.min(dirs).alias("lo"), F.max(dirs).alias("hi"), F.count("*").alias("n_files"), F.count_if(noisy).alias("n_noise"), F.every("pure").alias("renames_only"))
     per = per.where(F.col("n_files") >= min_files)
-    return per.join(commits.where("n_parents < 2"), ["repo_id", "hash"]).select("repo_id", "hash", "ts", "month", "author", "subject", "files", "n_files", "renames_only", scope_of(F.col("files")).alias("scope"))
+    return per.join(commits.where("n_parents < 2"), ["repo_id", "hash"]).select("repo_id", "hash", "ts", "month", "author", "subject", "n_files", "n_noise", "renames_only", scope_between(F.col("lo"), F.col("hi")).alias("scope"))
+
+
+def bulk_files(changes: DataFrame, bulk: DataFrame, status: str) -> DataFrame:
+    """(repo_id, hash, path): the paths of the bulk changes, a row for each."""
+    rows = unrenamed(changes).where(F.col("status") == status).select("repo_id", "hash", "path")
+    return rows.join(bulk.select("repo_id", "hash"), ["repo_id", "hash"], "left_semi")
 
 
 def top_changes(bulk: DataFrame, k: int = 20) -> DataFrame:
@@ -99,11 +123,9 @@ def exclude_pure_renames(bulk: DataFrame) -> DataFrame:
     return bulk.where("not renames_only")
 
 
-def is_noise_deletion(files="files") -> Column:
-    """Whether more than half of the files have a segment in the skip set, the base name included."""
-    skip = F.array(*map(F.lit, C.SKIP_DIRS))
-    noisy = F.size(F.filter(files, lambda f: F.arrays_overlap(F.split(f, "/"), skip)))
-    return noisy > F.size(files) * 0.5
+def is_noise_deletion() -> Column:
+    """Whether more than half of a bulk change's files have a segment in the skip set, the base name included."""
+    return F.col("n_noise") > F.col("n_files") * 0.5
 
 
 def pick_graves(bulk: DataFrame, min_files: int = 8, k: int = 6) -> DataFrame:

@@ -231,8 +231,11 @@ def import_coverage(files: DataFrame) -> DataFrame:
 
 
 def tag_relationships(rels: DataFrame, abstractions: DataFrame, edges: DataFrame) -> DataFrame:
-    """EXTRACTED where an import goes from a file of the first to a file of the second, else INFERRED."""
-    of = abstractions.select("repo_id", "name", F.explode("files").alias("path"))
+    """EXTRACTED where an import goes from a file of the first to a file of the second, else INFERRED.
+
+    ``abstractions`` has repo_id, name and files, or a row for each file (path).
+    """
+    of = abstractions.select("repo_id", "name", F.explode("files").alias("path") if "files" in abstractions.columns else "path")
     src = of.select("repo_id", F.col("name").alias("from_name"), F.col("path").alias("from_path"))
     dst = of.select("repo_id", F.col("name").alias("to_name"), F.col("path").alias("to_path"))
     proven = edges.join(src, ["repo_id", "from_path"]).join(dst, ["repo_id", "to_path"]).select("repo_id", "from_name", "to_name").distinct().withColumn("hit", F.lit(True))

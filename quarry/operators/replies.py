@@ -146,7 +146,7 @@ def profile_shares(shares: DataFrame) -> DataFrame:
     """Numeric shares of contributors and patterns, clamped to 0 to 100; null where they are no numbers."""
     n = F.expr("try_cast(rtrim('% ', pct) as double)")
     rows = shares.withColumn("n", n)
-    return rows.select("repo_id", "era_index", "label", F.when(F.isnan("n"), None).otherwise(F.least(F.greatest("n", F.lit(0.0)), F.lit(100.0))).alias("share"))
+    return rows.select("repo_id", "era_index", "label", F.when(F.col("n").isNull() | F.isnan("n"), None).otherwise(F.least(F.greatest("n", F.lit(0.0)), F.lit(100.0))).alias("share"))
 
 
 def validate_reply(parsed: DataFrame, selected: DataFrame, dimensions: int | None = None) -> DataFrame:

@@ -109,7 +109,8 @@ def bulk_changes(spark, d):
 
 @query("WITH " + _bulk_sql("D", 3) + " SELECT repo_id, hash, scope FROM bulk")
 def scope_of(spark, d):
-    return _bulk(spark, d).select("repo_id", "hash", history.scope_of(F.col("files")).alias("scope"))
+    nested = history.bulk_files(v.changes(spark, d), _bulk(spark, d), "D").groupBy("repo_id", "hash").agg(F.collect_list("path").alias("files"))
+    return nested.select("repo_id", "hash", history.scope_of(F.col("files")).alias("scope"))
 
 
 @query("WITH " + _bulk_sql("D", 3) + " SELECT repo_id, hash, n_files, row_number() OVER (PARTITION BY repo_id ORDER BY n_files DESC, ts DESC, hash) AS change_rank, concat_ws('  ', hash, (DATE '1970-01-01' + (ts // 86400)::int)::varchar, n_files || ' files', scope || '/', subject) AS line FROM bulk QUALIFY change_rank <= 20")
@@ -125,6 +126,11 @@ def exclude_pure_renames(spark, d):
 _NOISE = f"len(list_filter(files, lambda f: list_has_any(string_split(f, '/'), {v._list(C.SKIP_DIRS)}))) > len(files) * 0.5"
 
 
+@query("WITH " + _bulk_sql("D", 3) + " SELECT repo_id, hash, unnest(files) AS path FROM bulk")
+def bulk_files(spark, d):
+    return history.bulk_files(v.changes(spark, d), _bulk(spark, d), "D")
+
+
 @query("WITH " + _bulk_sql("D", 3) + f" SELECT repo_id, hash, {_NOISE} AS noise FROM bulk")
 def is_noise_deletion(spark, d):
     return _bulk(spark, d).select("repo_id", "hash", history.is_noise_deletion().alias("noise"))
@@ -181,8 +187,7 @@ sizes AS (SELECT DISTINCT repo_id, era_index, n FROM num), picks AS (SELECT repo
 l AS (SELECT c.repo_id, c.era_index, c.ts, c.hash, concat_ws(' | ', c.month, c.author, coalesce({_SCOPE}, '') || '/', c.subject) AS line FROM num c LEFT JOIN per ON per.repo_id = c.repo_id AND per.hash = c.hash WHERE n <= 400 OR EXISTS (SELECT 1 FROM picks p WHERE p.repo_id = c.repo_id AND p.era_index = c.era_index AND p.seq = c.seq))
 SELECT repo_id, era_index, count(*)::int AS n_lines, md5(string_agg(line, chr(10) ORDER BY ts, hash)) AS stream_md5 FROM l GROUP BY 1, 2""")
 def commit_stream(spark, d):
-    scopes = v.changes(spark, d).groupBy("repo_id", "hash").agg(F.collect_list("path").alias("files")).select("repo_id", "hash", history.scope_of(F.col("files")).alias("scope"))
-    return history.commit_stream(history.era_commits(v.commits(spark, d), v.eras(spark)), scopes).select("repo_id", "era_index", "n_lines", F.md5("stream").alias("stream_md5"))
+    return history.commit_stream(history.era_commits(v.commits(spark, d), v.eras(spark)), history.commit_scopes(v.changes(spark, d))).select("repo_id", "era_index", "n_lines", F.md5("stream").alias("stream_md5"))
 
 
 @query(f"""WITH per AS (SELECT e.repo_id, e.era_index, count(*) AS c FROM commits_v c JOIN eras_v e ON {_IN_ERA} GROUP BY 1, 2), r AS (SELECT repo_id, era_index, name, coalesce(c, 0) AS commits FROM eras_v LEFT JOIN per USING (repo_id, era_index))
@@ -699,14 +704,6 @@ gofile AS (SELECT repo_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir FRO
 goedge AS (SELECT DISTINCT s.repo_id, s.path AS from_path, g.path AS to_path FROM gospecs s JOIN mods m USING (repo_id) JOIN gofile g ON g.repo_id = s.repo_id AND s.spec || '/' = m.module || '/' || CASE WHEN g.dir = '' THEN '' ELSE g.dir || '/' END WHERE g.dir <> regexp_replace(s.path, '/?[^/]*$', ''))"""
 
 
-def _go_repo(spark, d):
-    """Go files of one module a repository, each importing the package of its neighbours."""
-    base = v.files(spark, d).select("repo_id", "doc_id")
-    go = base.select("repo_id", F.concat(F.lit("p"), F.col("doc_id") % 9, F.lit("/f"), "doc_id", F.lit(".go")).alias("path"), F.concat(F.lit('package p\nimport (\n\t"fmt"\n\t"example.org/x/p'), (F.col("doc_id") + 1) % 9, F.lit('"\n)\n')).alias("content"))
-    mod = base.select("repo_id").distinct().select("repo_id", F.lit("go.mod").alias("path"), F.lit("module example.org/x\n").alias("content"))
-    return go.unionByName(mod)
-
-
 @query(f"WITH {_SPECS}, {_GOEDGE} SELECT * FROM goedge")
 def resolve_go_packages(spark, d):
     f = v.sources(spark, d)
@@ -724,21 +721,28 @@ def import_coverage(spark, d):
 
 
 def _abstractions(spark, d):
-    f = _go_repo(spark, d).where("path <> 'go.mod'")
-    return f.groupBy("repo_id", F.substring_index("path", "/", 1).alias("name")).agg(F.collect_list("path").alias("files"))
+    """The two outer directories of each file, as its abstraction: a row for each file."""
+    return v.sources(spark, d).select("repo_id", history.directory("path").alias("name"), "path").where("name <> ''")
 
 
 def _relationships(spark, d):
-    return v.files(spark, d).select("repo_id", F.concat(F.lit("p"), F.col("doc_id") % 9).alias("from_name"), F.concat(F.lit("p"), (F.col("doc_id") * 2 + 1) % 10).alias("to_name")).distinct()
+    """Each abstraction with the next one and the one after it, in both directions, with itself and with one that is not there."""
+    names = _abstractions(spark, d).select("repo_id", "name").distinct()
+    w = W.partitionBy("repo_id").orderBy("name")
+    near = names.select("repo_id", "name", *(F.lead("name", k).over(w).alias(f"n{k}") for k in (1, 2, 4)))
+    near = near.select("repo_id", "name", F.explode(F.array("n1", "n2", "n4", "name", F.lit("ghost"))).alias("other")).where("other is not null")
+    both = F.inline(F.array(F.struct(F.col("name").alias("from_name"), F.col("other").alias("to_name")), F.struct(F.col("other").alias("from_name"), F.col("name").alias("to_name"))))
+    return near.select("repo_id", both).distinct()
 
 
-_RELS = "rels AS (SELECT DISTINCT repo_id, 'p' || (doc_id % 9) AS from_name, 'p' || ((doc_id * 2 + 1) % 10) AS to_name FROM files_v), abs AS (SELECT DISTINCT repo_id, 'p' || (doc_id % 9) AS name FROM files_v)"
+_RELS = r"""owned AS (SELECT repo_id, array_to_string(string_split(path, '/')[:least(len(string_split(path, '/')) - 1, 2)], '/') AS name, path FROM sources_v WHERE contains(path, '/')), abs AS (SELECT DISTINCT repo_id, name FROM owned),
+near AS (SELECT repo_id, name, unnest([lead(name, 1) OVER w, lead(name, 2) OVER w, lead(name, 4) OVER w, name, 'ghost']) AS other FROM abs WINDOW w AS (PARTITION BY repo_id ORDER BY name)),
+rels AS (SELECT repo_id, name AS from_name, other AS to_name FROM near WHERE other IS NOT NULL UNION SELECT repo_id, other, name FROM near WHERE other IS NOT NULL)"""
 
 
-@query(f"WITH {_RELS} SELECT r.*, CASE WHEN substr(from_name, 2)::int = (substr(to_name, 2)::int + 8) % 9 AND to_name <> 'p9' AND EXISTS (SELECT 1 FROM abs a WHERE a.repo_id = r.repo_id AND a.name = to_name) THEN 'EXTRACTED' ELSE 'INFERRED' END AS source FROM rels r")
+@query(f"WITH {_SPECS}, {_PYEDGE}, {_JSEDGE}, {_GOEDGE}, {_RELS}, edges AS (SELECT * FROM pyedge UNION SELECT * FROM jsedge UNION SELECT * FROM goedge), proven AS (SELECT DISTINCT e.repo_id, a.name AS from_name, b.name AS to_name FROM edges e JOIN owned a ON a.repo_id = e.repo_id AND a.path = e.from_path JOIN owned b ON b.repo_id = e.repo_id AND b.path = e.to_path) SELECT r.*, CASE WHEN p.repo_id IS NULL THEN 'INFERRED' ELSE 'EXTRACTED' END AS source FROM rels r LEFT JOIN proven p ON p.repo_id = r.repo_id AND p.from_name = r.from_name AND p.to_name = r.to_name")
 def tag_relationships(spark, d):
-    f = _go_repo(spark, d)
-    return imports.tag_relationships(_relationships(spark, d), _abstractions(spark, d), imports.resolve_go_packages(imports.extract_imports(f), f))
+    return imports.tag_relationships(_relationships(spark, d), _abstractions(spark, d), imports.import_edges(v.sources(spark, d)))
 
 
 @query(f"WITH {_RELS}, l AS (SELECT repo_id, from_name AS name, to_name AS other, 'to' AS direction FROM rels UNION ALL SELECT repo_id, to_name, from_name, 'from' FROM rels WHERE from_name <> to_name) SELECT l.* FROM l WHERE EXISTS (SELECT 1 FROM abs a WHERE a.repo_id = l.repo_id AND a.name = l.name) AND EXISTS (SELECT 1 FROM abs a WHERE a.repo_id = l.repo_id AND a.name = l.other)")
@@ -871,19 +875,33 @@ def feature_group_sizes(spark, d):
     return replies.feature_group_sizes(replies.split_cards(v.replies(spark, d)))
 
 
-@query("SELECT repo_id, doc_id AS era_index, 'dev' AS label, CASE doc_id % 4 WHEN 0 THEN (doc_id % 100)::double WHEN 1 THEN 100.0 WHEN 2 THEN NULL ELSE 45.0 END AS share FROM files_v")
+#: Shares as models write them, taken from the texts: plain, beyond the range, no number, a word, with blanks.
+_SHARES_OF = "shares AS (SELECT repo_id, doc_id AS era_index, regexp_extract(content, '[A-Za-z]+') AS label, (CASE doc_id % 5 WHEN 0 THEN (length(content) % 100)::varchar WHEN 1 THEN (length(content) % 400) || '%' WHEN 2 THEN 'NaN' WHEN 3 THEN regexp_extract(content, '[A-Za-z]+') ELSE '-' || (length(content) % 7) || ' % ' END) AS pct FROM files_v)"
+
+
+@query(f"WITH {_SHARES_OF}, n AS (SELECT *, try_cast(rtrim(pct, '% ') AS double) AS n FROM shares) SELECT repo_id, era_index, label, CASE WHEN NOT isnan(n) THEN least(greatest(n, 0.0::double), 100.0::double) END AS share FROM n")
 def profile_shares(spark, d):
-    pct = F.when(F.col("doc_id") % 4 == 0, (F.col("doc_id") % 100).cast("string")).when(F.col("doc_id") % 4 == 1, "250%").when(F.col("doc_id") % 4 == 2, "NaN").otherwise("45% ")
-    return replies.profile_shares(v.files(spark, d).select("repo_id", F.col("doc_id").alias("era_index"), F.lit("dev").alias("label"), pct.alias("pct")))
+    n, word, k = F.length("content"), F.regexp_extract("content", "[A-Za-z]+", 0), F.col("doc_id") % 5
+    pct = F.when(k == 0, (n % 100).cast("string")).when(k == 1, F.concat((n % 400).cast("string"), F.lit("%"))).when(k == 2, "NaN").when(k == 3, word).otherwise(F.concat(F.lit("-"), (n % 7).cast("string"), F.lit(" % ")))
+    return replies.profile_shares(v.files(spark, d).select("repo_id", F.col("doc_id").alias("era_index"), word.alias("label"), pct.alias("pct")))
+
+
+#: Parsed replies from the texts: names and chapters are words, one file is the document's own or none, a month or what is not one.
+_PARSED = r"""said AS (SELECT repo_id, doc_id AS prompt_id, path, content, length(content) AS n, regexp_extract_all(content, '[A-Za-z]{3,}') AS ws FROM files_v),
+parsed AS (SELECT repo_id, prompt_id, ws[:3] AS names, CASE WHEN n % 3 = 0 THEN list_reverse(ws[:3]) WHEN n % 3 = 1 THEN ws[:4] ELSE ws[:2] END AS chapters, CASE WHEN n % 5 = 0 THEN path || '.gone' ELSE path END AS file, CASE n % 4 WHEN 0 THEN '2024-05' WHEN 1 THEN '2024' WHEN 2 THEN regexp_extract(content, '[0-9]{4}-[0-9]{2}') ELSE '1999-12' END AS month FROM said)"""
 
 
-@query("""SELECT repo_id, doc_id AS prompt_id, unnest(list_filter([CASE WHEN doc_id % 5 = 0 THEN 'not_unique' END, CASE WHEN doc_id % 7 = 0 THEN 'names_differ' END, CASE WHEN doc_id % 3 = 0 THEN 'unknown_file' END, CASE WHEN doc_id % 2 = 0 THEN 'bad_month' END], lambda x: x IS NOT NULL)) AS rule FROM files_v""")
+@query(f"""WITH {_PARSED} SELECT repo_id, prompt_id, 'empty' AS rule FROM parsed WHERE len(names) = 0 UNION ALL SELECT repo_id, prompt_id, 'not_unique' FROM parsed WHERE len(list_distinct(names)) < len(names)
+UNION ALL SELECT repo_id, prompt_id, 'names_differ' FROM parsed WHERE NOT (list_has_all(names, chapters) AND list_has_all(chapters, names)) UNION ALL SELECT repo_id, prompt_id, 'bad_month' FROM parsed WHERE NOT regexp_full_match(month, '[0-9]{{4}}-[0-9]{{2}}')
+UNION ALL SELECT p.repo_id, prompt_id, 'unknown_file' FROM parsed p WHERE NOT EXISTS (SELECT 1 FROM files_v f WHERE f.repo_id = p.repo_id AND f.path = p.file)""")
 def validate_reply(spark, d):
     f = v.files(spark, d)
-    n = F.col("doc_id")
-    names = F.when(n % 5 == 0, F.array(F.lit("a"), F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b")))
-    chapters = F.when(n % 7 == 0, F.array(F.lit("a"), F.lit("c"))).otherwise(F.array(F.lit("b"), F.lit("a")))
-    parsed = f.select("repo_id", n.alias("prompt_id"), names.alias("names"), chapters.alias("chapters"), F.when(n % 3 == 0, F.array(F.lit("gone.py"))).otherwise(F.array("path")).alias("files"), F.when(n % 2 == 0, "2024").otherwise("2024-05").alias("month"))
+    n, ws = F.length("content"), F.regexp_extract_all("content", F.lit("[A-Za-z]{3,}"), F.lit(0))
+    first = lambda k: F.slice("ws", 1, k)
+    chapters = F.when(F.col("n") % 3 == 0, F.reverse(first(3))).when(F.col("n") % 3 == 1, first(4)).otherwise(first(2))
+    month = F.when(F.col("n") % 4 == 0, "2024-05").when(F.col("n") % 4 == 1, "2024").when(F.col("n") % 4 == 2, F.regexp_extract("content", "[0-9]{4}-[0-9]{2}", 0)).otherwise("1999-12")
+    file = F.when(F.col("n") % 5 == 0, F.concat("path", F.lit(".gone"))).otherwise(F.col("path"))
+    parsed = f.select("repo_id", F.col("doc_id").alias("prompt_id"), "path", "content", n.alias("n"), ws.alias("ws")).select("repo_id", "prompt_id", first(3).alias("names"), chapters.alias("chapters"), F.array(file).alias("files"), month.alias("month"))
     return replies.validate_reply(parsed, f)
 
 

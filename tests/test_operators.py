@@ -831,3 +831,9 @@ def test_previews_list_and_stop(spark):
     assert got["r", "product_intent"]["counts"] == {"files in the bundle": 2, "dropped by the budget": 1, "unreadable": 1} or got["r", "product_intent"]["counts"]["unreadable"] == 1
     lists = [(r["label"], r["n"], r["path"]) for r in previews.preview_files(parts).where("analysis = 'tour'").orderBy("label", "n").collect()]
     assert lists == [("dropped", 1, "src/a.py"), ("dropped", 2, "src/b.py"), ("dropped", 3, "src/c.py"), ("included", 1, "app/routes.rb"), ("included", 2, "config/routes.rb")]
+
+
+def test_shares_that_are_no_numbers(spark):
+    cases = {"45%": 45.0, " 12 % ": 12.0, "250%": 100.0, "-3": 0.0, "NaN": None, "many": None, "": None, "%": None, None: None}
+    df = spark.createDataFrame([("r", i, "x", p) for i, p in enumerate(cases)], "repo_id string, era_index int, label string, pct string")
+    assert [r["share"] for r in replies.profile_shares(df).orderBy("era_index").collect()] == list(cases.values())
