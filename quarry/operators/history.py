@@ -49,8 +49,12 @@ def commit_scopes(changes: DataFrame, depth: int = 2) -> DataFrame:
 
 
 def dir_month_counts(changes: DataFrame, commits: DataFrame, depth: int = 2) -> DataFrame:
-    """Commits of each directory and month; a commit counts once in a directory, root files do not."""
-    dirs = changes.select("repo_id", "hash", directory("path", depth).alias("dir")).where("dir <> ''").dropDuplicates(["repo_id", "hash", "dir"])
+    """Commits of each directory and month; a commit counts once in a directory, root files do not.
+
+    Changes are dealt by commit once: finding a commit's distinct directories
+    and its month then need no further exchange.
+    """
+    dirs = changes.select("repo_id", "hash", directory("path", depth).alias("dir")).where("dir <> ''").repartition("repo_id", "hash").dropDuplicates(["repo_id", "hash", "dir"])
     return dirs.join(commits.select("repo_id", "hash", "month"), ["repo_id", "hash"]).groupBy("repo_id", "dir", "month").agg(F.count("*").alias("n"))
 
 

@@ -777,8 +777,10 @@ def embedded_ddl(spark, d):
     return schemas.embedded_ddl(v.files(spark, d)).select("repo_id", "path", F.size("ddl").alias("n_ddl"), "tables", "ddl_rank")
 
 
-_TABLES = """tables AS (SELECT DISTINCT repo_id, lower(name) AS name FROM (
-SELECT repo_id, 'orders' || doc_id AS name FROM files_v WHERE path LIKE 'db%/schema.sql' UNION ALL SELECT repo_id, 'users' FROM files_v WHERE path LIKE 'db%/schema.sql' UNION ALL SELECT repo_id, 't' || (doc_id % 270) FROM files_v WHERE path LIKE 'db/migrations/%' UNION ALL SELECT repo_id, 'order' || doc_id FROM files_v WHERE path LIKE 'app%/models.py'))"""
+#: Declarations of four dialects, read from the texts.
+_TABLES = r"""decl AS (SELECT repo_id, content AS t FROM files_v WHERE path LIKE 'db%/schema.sql' OR path LIKE 'db/migrations/%' OR path LIKE 'app%/models.py'),
+named AS (SELECT repo_id, unnest(list_concat(regexp_extract_all(t, '(?i)\bmodel\s+(\w+)', 1), regexp_extract_all(t, '(?i)CREATE\s+(?:\w+\s+)*?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:[`"\[]?\w+[`"\]]?\s*\.\s*)?[`"\[]?(\w+)[`"\]]?', 1), regexp_extract_all(t, '(?i)\bcreate_table\s+["'':]?(\w+)', 1), regexp_extract_all(t, '(?i)class\s+(\w+)\s*\([^)]*Model', 1))) AS name FROM decl),
+tables AS (SELECT DISTINCT repo_id, lower(name) AS name FROM named)"""
 
 
 def _tables(spark, d):

@@ -837,3 +837,16 @@ def test_shares_that_are_no_numbers(spark):
     cases = {"45%": 45.0, " 12 % ": 12.0, "250%": 100.0, "-3": 0.0, "NaN": None, "many": None, "": None, "%": None, None: None}
     df = spark.createDataFrame([("r", i, "x", p) for i, p in enumerate(cases)], "repo_id string, era_index int, label string, pct string")
     assert [r["share"] for r in replies.profile_shares(df).orderBy("era_index").collect()] == list(cases.values())
+
+
+def test_counts_take_one_exchange_a_side(spark, tmp_path):
+    spark.sql("SELECT 'r' AS repo_id, 'h' AS hash, 'a/b/x.py' AS path").write.parquet(str(tmp_path / "ch"))
+    spark.sql("SELECT 'r' AS repo_id, 'h' AS hash, '2024-01' AS month").write.parquet(str(tmp_path / "co"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counts = history.dir_month_counts(spark.read.parquet(str(tmp_path / "ch")), spark.read.parquet(str(tmp_path / "co")))
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(repo_id") == 3 and [tuple(r) for r in counts.collect()] == [("r", "a/b", "2024-01", 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
