@@ -43,16 +43,16 @@ def alone(counts: np.ndarray, toxic: np.ndarray, n: int, pos: int) -> np.ndarray
     return np.where(counts >= 5, (toxic - expect) ** 2 / spread, 0.0)
 
 
-def together(rows: list[np.ndarray], y: np.ndarray, counts: np.ndarray, toxic: np.ndarray, tile: int = 512) -> np.ndarray:
+def together(rows: list[np.ndarray], y: np.ndarray, counts: np.ndarray, toxic: np.ndarray, tile: int = 512, least_rows: int = 20, least_share: float = 1 / 200) -> np.ndarray:
     """For each term the greatest chi-square of an interaction with another: what both say beyond what each adds.
 
-    Every two terms are asked whose four cells (both, either, none) have 20 rows
-    and 1/200 of the rows or more, fewer would say nothing, by products of tiles
+    Every two terms are asked whose four cells (both, either, none) have
+    ``least_rows`` and ``least_share`` of the rows or more, fewer would say nothing, by products of tiles
     of the sample's matrix. Terms of the same rows, as a word and its beginning
     often are, are asked as one.
     """
     n, pos = len(y), int(y.sum())
-    cell = max(20, n // 200)
+    cell = max(least_rows, int(n * least_share + 1e-9))
     best, marks = np.zeros(len(counts)), np.zeros(len(counts), np.uint64)
     for r, mark in zip(rows, np.random.default_rng(3).integers(1, 1 << 63, n, dtype=np.uint64)):
         marks[r] += mark
@@ -98,13 +98,13 @@ def together(rows: list[np.ndarray], y: np.ndarray, counts: np.ndarray, toxic: n
 class Machine:
     """Factorization machine with a logistic loss over the terms that tell the classes apart, alone or with another."""
 
-    def __init__(self, rows: list[np.ndarray], y: np.ndarray, share: float, rank: int = 4, least: float = 15.0, least_pair: float = 40.0, rounds: int = 12):
+    def __init__(self, rows: list[np.ndarray], y: np.ndarray, share: float, rank: int = 4, least: float = 15.0, least_pair: float = 40.0, least_rows: int = 20, least_share: float = 1 / 200, rounds: int = 12):
         n, pos = len(y), int(y.sum())
         has = np.zeros((2, BUCKETS), np.int32)
         for r, c in zip(rows, y):
             has[int(c), r] += 1
         total = has.sum(0)
-        chosen = np.flatnonzero((alone(total, has[1], n, pos) >= least) | (together(rows, y, total, has[1]) >= least_pair))
+        chosen = np.flatnonzero((alone(total, has[1], n, pos) >= least) | (together(rows, y, total, has[1], least_rows=least_rows, least_share=least_share) >= least_pair))
         self.index = {int(b): k for k, b in enumerate(chosen)}
         place = np.full(BUCKETS, -1, np.int32)
         place[chosen] = np.arange(len(chosen))
@@ -152,12 +152,17 @@ def held_out(doc_id: str | Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", per_class: int = 4000) -> Machine | None:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", per_class: int = 4000, least: float = 15.0, least_pair: float = 40.0, least_rows: int = 20, least_share: float = 1 / 200) -> Machine | None:
     """Fit on about ``per_class`` labelled rows of either class that aren't held out.
 
     The ids are chosen by a hash (of repeated labels the highest counts). Their
     hashed terms come to the driver; the sample's size bounds them. None where
     no row is labelled.
+
+    The model has the terms whose chi-square against the label is ``least`` or
+    more, or in an interaction with another term ``least_pair`` or more; an
+    interaction is asked where each of its four cells has ``least_rows`` rows of
+    the sample and ``least_share`` of them.
     """
     bounded_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("y"))
@@ -177,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     n, pos = sum(counts.values()), counts.get(1, 0)
     sampled, y = got.t.to_list(), got.y.to_numpy(dtype=float)
     del got
-    return Machine(sampled, y, pos / n)
+    return Machine(sampled, y, pos / n, least=least, least_pair=least_pair, least_rows=least_rows, least_share=least_share)
 
 
 def score(docs: DataFrame, machine: Machine | None, text: str = "text", doc_id: str = "doc_id", limit: float = 0.3) -> DataFrame:

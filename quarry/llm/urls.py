@@ -56,29 +56,29 @@ def _shrunk(k: float):
     return (F.col("bad") + F.lit(k) * F.col("parent")) / (F.col("n") + F.lit(k))
 
 
-def parents(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host: the suffix is the last label, or the last two where they are in SUFFIXES."""
+def parents(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host: the suffix is the last label, or the last two where they are in ``suffixes``."""
     name = F.regexp_replace(host, r":[0-9]*$", "")
-    long = F.regexp_extract(name, r"[^.]*\.[^.]*$", 0).isin(*SUFFIXES)
+    long = F.regexp_extract(name, r"[^.]*\.[^.]*$", 0).isin(*suffixes)
     suffix = F.when(long, F.regexp_extract(name, r"[^.]*\.[^.]*$", 0)).otherwise(F.regexp_extract(name, r"[^.]*$", 0))
     return F.when(long, F.regexp_extract(name, r"([^.]*\.)?[^.]*\.[^.]*$", 0)).otherwise(F.regexp_extract(name, r"([^.]*\.)?[^.]*$", 0)), suffix
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, max_rate: float = 0.35, z: float = 1.64) -> DataFrame:
+def reputation(pages: DataFrame, outcomes: DataFrame, max_rate: float = 0.35, z: float = 1.64, suffixes=SUFFIXES) -> DataFrame:
     """Hosts with their posterior and its verdict: (host, bad_rate, bad_bound, blocked).
 
     ``pages`` has page_id and host, ``outcomes`` page_id and bad (0/1, one row a
     page). Each level is shrunk towards the posterior rate of the level above.
     Hosts without a labelled page take what their domain and suffix say.
     """
-    domain, suffix = parents(F.col("host"))
+    domain, suffix = parents(F.col("host"), suffixes)
     hosts = pages.join(outcomes, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     hosts = materialize(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
     domains = materialize(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
-    suffixes = suffixes.withColumn("parent", F.lit((total["bad"] or 0) / (total["n"] or 1)))
-    above = suffixes.select("suffix", _shrunk(_strength(suffixes)).alias("parent"))
+    tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    total = tops.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+    tops = tops.withColumn("parent", F.lit((total["bad"] or 0) / (total["n"] or 1)))
+    above = tops.select("suffix", _shrunk(_strength(tops)).alias("parent"))
     domains = domains.join(above, "suffix")
     above = domains.select("domain", "suffix", _shrunk(_strength(domains)).alias("parent"))
     hosts = hosts.join(above, ["domain", "suffix"])
@@ -88,7 +88,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame, max_rate: float = 0.35, z:
     return hosts.select("host", post.alias("bad_rate"), low.alias("bad_bound")).withColumn("blocked", F.col("bad_bound") > max_rate)
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_rate: float = 0.35) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_rate: float = 0.35, suffixes=SUFFIXES) -> DataFrame:
     """One row per page row: page_id, host, path, rule, verdict, bad_rate, bad_bound.
 
     Labels belong to the page of the same id; a page is bad where a label row
@@ -96,14 +96,15 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_rate: float = 0.
     with both null say nothing). bad_rate and bad_bound are the posterior of the
     page's host and its lower bound, to six digits. Null urls and urls without
     :// have empty host and path and share the reputation of the empty host.
-    Repeated pages each get a row; only page_id and url are read, so other
+    ``suffixes`` are the public suffixes of two labels, of any number. Repeated
+    pages each get a row; only page_id and url are read, so other
     columns cannot clash; an empty table gives none.
     """
     host, path = url_host("url"), url_path("url")
     seen = pages.select("page_id", host.alias("host"), path.alias("path"))
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
     outcomes = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")).where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    hosts = reputation(seen, outcomes, max_rate)
+    hosts = reputation(seen, outcomes, max_rate, suffixes=suffixes)
     rule, verdict = rule_column(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("blocked"), "block").otherwise("allow")
     out = seen.join(hosts, "host", "left")

@@ -609,3 +609,14 @@ def test_pipeline_on_odd_rows(spark, odd):
     assert len(single) == len(ODD) - 4 and not any(n == 0 for _, n in mixed) and max(mixed.values()) <= 6  # the long text stands twice
     ids = {r["doc_id"]: r["ids"] for r in stages["byte_bpe"](spark, odd, SF).collect()}
     assert list(ids[1]) == list(ids[2]) == [] and len(ids[7]) > 50_000
+
+
+def test_suffixes_are_a_parameter(spark):
+    hosts = spark.createDataFrame([("a.b.blog.example",), ("x.co.uk:80",)], "host string")
+    ask = lambda **more: [tuple(r) for r in hosts.select(*urls.parents(F.col("host"), **more)).collect()]
+    assert ask(suffixes=("blog.example",)) == [("b.blog.example", "blog.example"), ("co.uk:80".split(":")[0], "uk")]
+    assert ask(suffixes=tuple(f"s{i}.example" for i in range(9_000)) + ("co.uk",)) == [("blog.example", "example"), ("x.co.uk", "co.uk")]
+    pages = spark.createDataFrame([(i, f"http://h{i}.blog.example/") for i in range(40)] + [(i, f"http://g{i}.fine.example/") for i in range(40, 80)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i < 40 else 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    verdicts = lambda **more: {r["page_id"]: r["verdict"] for r in urls.judge(pages, labels, rules=(), **more).collect()}
+    assert {v for i, v in verdicts(suffixes=("blog.example",)).items() if i < 40} == {"block"} and {v for i, v in verdicts().items() if i >= 40} == {"allow"}
