@@ -549,6 +549,11 @@ def env_names(spark, d):
     return arch.env_names(v.files(spark, d))
 
 
+@query("SELECT repo_id, path, content IS NOT NULL AS read, length(content) > 40000 AS cut, len(regexp_extract_all(substr(content, 1, 40000), '(?m)^[ \\t]*(?:export[ \\t]+)?[A-Z][A-Z0-9_]+[ \\t]*=')) AS n_names FROM files_v WHERE path LIKE 'deploy%/.env.example'")
+def env_files(spark, d):
+    return arch.env_files(v.files(spark, d))
+
+
 _PKG = """SELECT repo_id, path AS manifest_path, 'package' AS kind, name, arg_max(json_extract_string(j, '$.' || g || '."' || name || '"'), g) AS version FROM (SELECT repo_id, path, j, g, unnest(json_keys(j, '$.' || g)) AS name
   FROM (SELECT repo_id, path, CASE WHEN json_valid(content) THEN content::json END AS j, unnest(['dependencies', 'devDependencies']) AS g FROM files_v WHERE path LIKE '%/package.json')) GROUP BY repo_id, path, name"""
 _GOM = r"""SELECT repo_id, path AS manifest_path, 'go_mod' AS kind, name, arg_max(version, pos) AS version FROM (SELECT repo_id, path, pos, regexp_extract(line, CASE WHEN inside THEN '^(\S+)\s+(\S+)$' ELSE '^require\s+([^\s(]\S*)\s+(\S+)$' END, 1) AS name, regexp_extract(line, CASE WHEN inside THEN '^(\S+)\s+(\S+)$' ELSE '^require\s+([^\s(]\S*)\s+(\S+)$' END, 2) AS version

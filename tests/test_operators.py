@@ -852,3 +852,10 @@ def test_counts_take_one_exchange_a_side(spark, tmp_path):
         assert plan.count("Exchange hashpartitioning(repo_id") == 3 and [tuple(r) for r in counts.collect()] == [("r", "a/b", "2024-01", 1)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_long_environment_files_are_cut(spark):
+    rows = [("r", "a/.env", "A=1\n" + "#" * 40_000 + "\nLATE=2\n"), ("r", "b/.env.example", "B_C=1\nexport D_=2\nlow=3\n"), ("r", "c/.env", None)]
+    df = spark.createDataFrame(rows, "repo_id string, path string, content string")
+    assert sorted((r["path"], r["read"], r["cut"], r["n_names"]) for r in arch.env_files(df).collect()) == [("a/.env", True, True, 1), ("b/.env.example", True, False, 2), ("c/.env", False, False, 0)]
+    assert {r["name"] for r in arch.env_names(df).collect()} == {"A", "B_C", "D_"}
