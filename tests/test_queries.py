@@ -50,13 +50,13 @@ def test_reply_queries_read_whole_texts(spark, tmp_path):
     text = "word " * 5_000 + "\n## Late\n### `users` view\n### Last (4 endpoints)\n**Owner:** late\n```json\n{\"late\": 1}\n```\n  users ||--o{ users : self\n"
     d = documents(spark, tmp_path, {1: text, 13: "short"})
     ask = lambda name: [r for r in registry.queries()[name](spark, d).collect() if r["prompt_id"] == 1]
-    cards = [m.strip() for m in re.findall(r"(?m)^### (.*)$", text)] + ["Orders (1 endpoints)", "`users` (1 endpoints)"]
+    cards = [m.strip() for m in re.findall(r"(?m)^### (.*)$", text)] + ["Orders (1 endpoints)", "`users` (1 routes)", "Tail (1)", "No size (x 3)"]
     assert [r["title"] for r in sorted(ask("split_cards"), key=lambda r: r["card"])] == cards
     contexts = [r["context_md5"] for r in sorted(ask("chapter_context"), key=lambda r: r["card"])]
     assert contexts[0] == hashlib.md5(b"(This is the first chapter.)").hexdigest() and contexts[1] == hashlib.md5(b"").hexdigest() != contexts[2]
     assert sorted(r["section"] for r in ask("split_sections")) == ["cards", "late", "overview"]
     assert [r["value"] for r in ask("reply_values")] == ['{"late": 1}'] and [r["owner"] for r in ask("labelled_field")] == ["late"]
-    assert {r["name"]: r["n"] for r in ask("feature_group_sizes")} == {"Last": 4, "Orders": 1, "`users`": 1}
+    assert {r["name"]: r["n"] for r in ask("feature_group_sizes")} == {"Last": 4, "Orders": 1, "`users`": 1, "Tail": 1}
     assert [r["name"] for r in ask("reply_tables")] == ["users"]
 
 
@@ -64,6 +64,6 @@ def test_every_document_reaches_python_imports_and_pyproject(spark, tmp_path):
     say = "\nfrom pkg.m1 import thing\n"
     d = documents(spark, tmp_path, {1: "", 0: "", 14: say, 22: say, 24: say, 23: say})  # 14 models.py, 22 a client, 24 a serializer, 23 no Python
     got = {(r["from_path"], r["to_path"]) for r in registry.queries()["resolve_python"](spark, d).collect()}
-    assert got == {(p, "pkg/m1.py") for p in ("app14/models.py", "app-store/integrations/slack22/client.py", "src/serializers/s24.py")}
+    assert got == {(p, "pkg/m1.py") for p in ("app14/models.py", "app-store/integrations/slack22/client.py", "src/serializers/s24.py", "pkg/m1.py")}  # the last one imports itself
     d = documents(spark, tmp_path / "more", {25: "", 52: "", 26: ""})  # two pyproject files, and one that does not parse
     assert {(r["manifest_path"], r["name"], r["version"]) for r in registry.queries()["deps_pyproject"](spark, d).collect()} == {(f"p{k}/pyproject.toml", n, c) for k in (25, 52) for n, c in (("numpy", ">=2"), (f"lib{k}", "==2"), ("pytest", ""))}
