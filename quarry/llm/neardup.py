@@ -7,9 +7,9 @@ the whole texts is 0.8 or more. Classes are the links' connected components.
 
 Exact copies are one node from the start, and a bucket's members are compared
 with the bucket's hub first, so a group of copies costs links in proportion to
-its members, not pairs. Where a bucket then still holds more than one component,
-other members of it become hubs in turn and meet the members of the other
-components. What the hubs leave is compared in full: a bucket's members of
+its members, not pairs. Where a large bucket then still holds more than one
+component, other members of it become hubs in turn and meet the members of the
+other components. What the hubs leave is compared in full: a bucket's members of
 different components whose weights can reach the similarity meet in tiles of
 bounded size, and a tile gives only links that join components. So every two
 texts that share a bucket are compared or already in one class, but for pairs
@@ -42,6 +42,8 @@ TILE = 512
 TILE_KEY = ["h", "k", "i", "j"]
 #: Pairs of one hub that meet in a task, and parts that one label is dealt into.
 PART, SALTS = 2000, 32
+#: Only larger buckets get further hubs: in others a member of plain length comes to no more tiles of a weight class than it would meet hubs.
+LARGE = TILE * TURNS * HUBS
 #: Texts of more than this weight (about a thousand words) count as several of a tile's members.
 PLAIN = 4000
 #: Document frequencies are kept in a count sketch of this depth and width; terms in less than one of LIGHT documents weigh alike.
@@ -315,13 +317,13 @@ def verified(pairs: DataFrame, corpus: Corpus) -> DataFrame:
     a, a bounded number at a time: a's text goes to each of its parts, b's to one.
     """
     nodes, sent, at_least = corpus.nodes, corpus.sent, corpus.at_least
-    sig = nodes.select("fp", "sig")
-    pairs = pairs.join(sig.select(F.col("fp").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("fp").alias("a"), F.col("sig").alias("sa")), "a")
-    pairs = materialize(pairs.where(pandas_udf(_alike, "double")("sa", "sb") >= at_least - 0.2).select("a", "b"), "pairs")
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    others = pairs.join(parts, "a").select(F.col("a").alias("hub"), F.col("b").alias("fp"), F.pmod(F.xxhash64("b"), "parts").alias("part"))
-    hubs = parts.select(F.col("a").alias("hub"), F.col("a").alias("fp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    wanted = others.unionByName(hubs).join(nodes.select("fp", "rep"), "fp")
+    end = lambda x: nodes.select(F.col("fp").alias(x), F.col("sig").alias(f"s{x}"), F.col("rep").alias(f"r{x}"))
+    pairs = pairs.join(end("b"), "b").join(end("a"), "a")
+    pairs = materialize(pairs.where(pandas_udf(_alike, "double")("sa", "sb") >= at_least - 0.2).select("a", "b", "ra", "rb"), "pairs")
+    parts = pairs.groupBy("a").agg(F.first("ra").alias("ra"), F.ceil(F.count("*") / PART).alias("parts"))
+    others = pairs.drop("ra").join(parts.drop("ra"), "a").select(F.col("a").alias("hub"), F.col("b").alias("fp"), F.col("rb").alias("rep"), F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    hubs = parts.select(F.col("a").alias("hub"), F.col("a").alias("fp"), F.col("ra").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    wanted = others.unionByName(hubs)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = _sampler(sent)
@@ -351,11 +353,12 @@ def components(links: DataFrame) -> DataFrame:
     moved are looked up again, in SALTS parts each, as one label may be that of
     a third of all nodes.
     """
-    both = materialize(links.select("a", "b").union(links.select("b", "a")).toDF("v", "u").distinct(), "edges")
+    both = links.select("a", "b").union(links.select("b", "a")).toDF("v", "u")
     labels = materialize(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("l")), "labels")
+    near = both.union(labels.select("v", F.col("v").alias("u")))  # a node is its own neighbour
     while True:
-        near = both.join(labels.select(F.col("v").alias("u"), F.col("l").alias("x")), "u").groupBy("v").agg(F.min("x").alias("x"))
-        step = materialize(labels.join(near, "v").select("v", "l", F.least("l", "x").alias("x")), "labels")
+        x = near.join(labels.select(F.col("v").alias("u"), F.col("l").alias("x")), "u")
+        step = materialize(x.groupBy("v").agg(F.max(F.when(F.col("u") == F.col("v"), F.col("x"))).alias("l"), F.min("x").alias("x")), "labels")
         if not step.where("x <> l").take(1):
             return labels.select(F.col("v").alias("fp"), F.col("l").alias("label"))
         moved = step.select("x").distinct().join(step.select(F.col("v").alias("x"), F.col("x").alias("y")), "x").where("y < x")
@@ -365,14 +368,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(h, fp, label) of the buckets that hold more than one component."""
+    """(h, fp, label, n) of the buckets that hold more than one component; n is the number of the bucket's members."""
     known = shared.join(labels, "fp", "left").select("h", "fp", F.coalesce("label", "fp").alias("label"))
-    mixed = known.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
+    mixed = known.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("h", "n")
     return materialize(known.join(mixed, "h"), "unsettled")
 
 
 def tiled(rest: DataFrame, corpus: Corpus) -> DataFrame:
-    """Links (a, b) between unsettled members of one bucket and different components, by their whole texts.
+    """Links (a, b) of labels: components with similar members, unsettled ones of one bucket, by their whole texts.
 
     Two sets are as similar only if the lesser weight is that part of the greater,
     so a member meets those of its own weight class and of the one below. Larger
@@ -383,8 +386,8 @@ def tiled(rest: DataFrame, corpus: Corpus) -> DataFrame:
     """
     nodes, sent, at_least = corpus.nodes, corpus.sent, corpus.at_least
     width = max(-math.log(max(at_least, 1e-3)), 1e-3) * 1.001
-    rows = rest.join(nodes.select("fp", "weight"), "fp").select("h", "fp", F.xxhash64("label").alias("l"), "weight", F.floor(F.log("weight") / width).alias("c"))
-    rows = rows.select("h", "fp", "l", "weight", "c", F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("k")).withColumn("own", F.col("k") == F.col("c"))
+    rows = rest.join(nodes.select("fp", "weight"), "fp").select("h", "fp", "label", F.xxhash64("label").alias("l"), "weight", F.floor(F.log("weight") / width).alias("c"))
+    rows = rows.select("h", "fp", "label", "l", "weight", "c", F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("k")).withColumn("own", F.col("k") == F.col("c"))
     mixed = rows.groupBy("h", "k").agg(F.count("*").alias("n"), F.max("own").alias("any"), F.min("l").alias("lo"), F.max("l").alias("hi")).where("any and lo <> hi")
     heavy = F.greatest(F.lit(1.0), F.exp(F.col("k") * width) / PLAIN)
     parts = mixed.select("h", "k", F.least("n", F.ceil(F.col("n") * heavy / TILE)).cast("long").alias("parts"))
@@ -392,7 +395,7 @@ def tiled(rest: DataFrame, corpus: Corpus) -> DataFrame:
     bands = F.transform("bands", lambda x, i: F.xxhash64(i, x))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("fp", "h"), "parts")).join(nodes.select("fp", "rep", "sig", bands.alias("bands")), "fp")
     rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = rows.select("h", "k", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "fp", "rep", "l", "weight", "own", "part", "sig", "bands")
+    rows = rows.select("h", "k", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "fp", "rep", "label", "l", "weight", "own", "part", "sig", "bands")
 
     def partners(tile: pd.DataFrame, l: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Each row with later ones of other components (``l`` as it is then) that its samples resemble."""
@@ -426,7 +429,7 @@ def tiled(rest: DataFrame, corpus: Corpus) -> DataFrame:
 
     def link(tile: pd.DataFrame) -> pd.DataFrame:
         a, b, s, sets = [], [], _sampler(sent), {}
-        fp, l = tile["fp"].to_numpy(), tile["l"].to_numpy().copy()
+        label, l = tile["label"].to_numpy(), tile["l"].to_numpy().copy()
 
         def terms(x: int):
             if x not in sets:
@@ -437,8 +440,8 @@ def tiled(rest: DataFrame, corpus: Corpus) -> DataFrame:
         for r, at in partners(tile, l) if mixes(tile) else ():
             for x in at:
                 if l[x] != l[r] and jaccard_sorted(terms(r), terms(x)) >= at_least:
-                    a.append(fp[r])
-                    b.append(fp[x])
+                    a.append(label[r])
+                    b.append(label[x])
                     l[l == l[x]] = l[r]
             sets.pop(r, None)  # later rows don't meet it again
         return pd.DataFrame({"a": a, "b": b})
@@ -490,21 +493,26 @@ def _labelled(docs: DataFrame, text: str, doc_id: str, similar: float) -> tuple[
     shared = materialize(members.join(hubs, "h"), "shared")
     links = verified(shared.where("fp <> a").select("a", F.col("fp").alias("b")).distinct(), corpus)
     labels = components(links)
+    rest = unsettled(shared, labels)
     for turn in range(TURNS):
-        rest = unsettled(shared, labels)
-        # other members of each bucket are its hubs in turn, and the members of other components meet them
-        pivots = rest.groupBy("h").agg(F.array(*(F.min_by(F.struct("fp", "label"), F.xxhash64("fp", F.lit(turn * HUBS + k))) for k in range(HUBS))).alias("ps"))
-        met = rest.join(pivots, "h").select("fp", "label", F.explode(F.array_distinct("ps")).alias("p")).where("label <> p.label")
+        # other members of each large bucket are its hubs in turn, and the members of other components meet them
+        large = rest.where(F.col("n") > LARGE)
+        if not large.take(1):
+            break
+        pivots = large.groupBy("h").agg(F.array(*(F.min_by(F.struct("fp", "label"), F.xxhash64("fp", F.lit(turn * HUBS + k))) for k in range(HUBS))).alias("ps"))
+        met = large.join(pivots, "h").select("fp", "label", F.explode(F.array_distinct("ps")).alias("p")).where("label <> p.label")
         met = met.select(F.least("fp", "p.fp").alias("a"), F.greatest("fp", "p.fp").alias("b")).distinct()
         more = verified(met, corpus)
         if not more.take(1):
             break
         links = links.union(more)
         labels = components(links)
-    more = tiled(unsettled(shared, labels), corpus)
-    if more.take(1):
-        labels = components(links.union(more))
+        rest = unsettled(shared, labels)
+    more = tiled(rest, corpus)
     whole = nodes.select("fp", "rep", "n").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    if more.take(1):
+        joined = components(more).toDF("label", "to")
+        whole = whole.join(joined, "label", "left").select("fp", "rep", "n", F.coalesce("to", "label").alias("label"))
     whole = materialize(whole, "labelled")
     named = whole.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
     return rows.select("doc_id", "fp"), materialize(whole.join(named, "label").select("fp", "label", "class_id", "class_size"), "classes")

@@ -385,6 +385,26 @@ def test_every_two_texts_of_a_bucket_are_compared(spark, monkeypatch):
     assert got == {d: find(d) for d in top} and 5 < len(set(got.values())) < 190
 
 
+def test_only_large_buckets_get_further_hubs(spark, monkeypatch):
+    """A bucket of a few tiles goes there after its first hub; larger ones meet further hubs, with the same classes."""
+    rng, data = np.random.default_rng(4), []
+    for family in range(4):
+        for k in range(30):
+            words = [f"f{family}w{i}" for i in range(120)] + [f"f{family}k{k}x{i}" for i in range(int(rng.integers(0, 20)))]
+            for at in rng.choice(120, int(rng.integers(0, 3)), replace=False):
+                words[at] = f"c{k}at{at}"
+            data.append((family * 100 + k, " ".join(words)))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    met, verified, left, tiled = [], neardup.verified, [], neardup.tiled
+    monkeypatch.setattr(neardup, "verified", lambda pairs, corpus: met.append(1) or verified(pairs, corpus))
+    monkeypatch.setattr(neardup, "tiled", lambda rest, corpus: left.append(rest.count()) or tiled(rest, corpus))
+    plain = sorted(map(tuple, neardup.classes(docs).collect()))
+    assert len(met) == 1 and left[0] > 0
+    monkeypatch.setattr(neardup, "LARGE", 2)
+    assert sorted(map(tuple, neardup.classes(docs).collect())) == plain
+    assert len(met) >= 3 and 4 <= len({c for _, c, _ in plain}) < len(data)
+
+
 def test_rows_without_id_are_linked(spark):
     words = [f"n{i}" for i in range(100)]
     near = lambda k: " ".join([*words[:k], "other", *words[k + 1 :]])
