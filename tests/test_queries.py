@@ -67,3 +67,24 @@ def test_every_document_reaches_python_imports_and_pyproject(spark, tmp_path):
     assert got == {(p, "pkg/m1.py") for p in ("app14/models.py", "app-store/integrations/slack22/client.py", "src/serializers/s24.py", "pkg/m1.py")}  # the last one imports itself
     d = documents(spark, tmp_path / "more", {25: "", 52: "", 26: ""})  # two pyproject files, and one that does not parse
     assert {(r["manifest_path"], r["name"], r["version"]) for r in registry.queries()["deps_pyproject"](spark, d).collect()} == {(f"p{k}/pyproject.toml", n, c) for k in (25, 52) for n, c in (("numpy", ">=2"), (f"lib{k}", "==2"), ("pytest", ""))}
+
+
+def test_notes_on_thousands_of_files(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from quarry.operators import previews
+    from quarry.plans import standins as v
+
+    d = documents(spark, tmp_path, {k: "x" for k in range(2_000)})
+    parts = {"tour": previews.tour(v.files(spark, d), 24_000)}
+    (note,) = (r["note"] for r in parts["tour"].notes.collect())
+    most = parts["tour"].counts.where("repo_id = 's'").collect()[0]["source files found"]
+    assert most > 1_030 and note.startswith(f"{most - 30:,} of {most:,} source files never reach")  # the reference groups thousands
+    monkeypatch.setattr(registry, "_previews", lambda spark, d: (v.files(spark, d).select("repo_id").unionByName(v.commits(spark, SF).select("repo_id")), parts))
+    got = registry.queries()["preview_rollup"](spark, d).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
+    for t in ("orders", "lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(SQL["preview_rollup"]).df()
+    assert rows(got) == rows(want[want["analysis"] == "tour"]) and len(got) == 9  # two repositories of files, seven of commits
